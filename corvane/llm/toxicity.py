@@ -1,8 +1,10 @@
 """Toxicity by a bag of subword embeddings, averaged into a linear softmax.
 
 A word, with A-Z lower-cased, is the mean of the embeddings of its character n-grams (3 to 5
-bytes, with a mark at either end, hashed into ``BUCKETS``); a document is the mean of its words,
-and a softmax over two classes tells toxic from not. Embeddings and softmax are trained together
+bytes, with a mark at either end, hashed into ``BUCKETS``); a document is the mean of its different
+words, weighted by 1 + ln of how often each occurs and with ``NEUTRAL`` words of zero added, so
+that neither endless repeats nor very short texts stand out; and a softmax over two classes tells
+toxic from not. Embeddings and softmax are trained together
 in numpy, on the driver, on a bounded sample of labelled rows: ``toxic_docs`` and ``other_docs``
 rows in the order of a hash of their ids. The share of toxic rows among all labels corrects the
 bias for the sample's. Unseen misspellings and inflections share n-grams with what was seen.
@@ -23,16 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.tokens import LOWER, SPACE, U64, mix, slices, word_bounds
+from corvane.llm.tokens import LOWER, SPACE, U64, mix, slices, strings, word_bounds, word_hashes
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
-DIM = 8
+DIM = 4
+NEUTRAL = 20
 GAIN = 100.0  #: a toxic word is about one in fifty, so means are scaled up before the softmax
-TOXIC_DOCS, OTHER_DOCS = 1500, 2500
+TOXIC_DOCS, OTHER_DOCS = 2500, 4500
 THRESHOLD = 0.3
-EPOCHS = 12
-BATCH = 128
+EPOCHS, LEAST_STEPS = 5, 240
+BATCH = 64
+DECAY = 1e-3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,10 +59,16 @@ def _grams(text: np.ndarray, size: int) -> np.ndarray:
     return (mix(packed + (U64(size) << U64(56))) & U64(BUCKETS - 1)).astype(np.int32)
 
 
-def _words(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Padded bytes; starts and ends of each row's different words; their rows and weights."""
     text, edges = _padded(data, borders)
     start, end, first = word_bounds(text, edges)
-    return text, start, end, first
+    row = np.repeat(np.arange(len(borders) - 1), np.diff(first))
+    own = mix(word_hashes(text, start, end) ^ mix(row.astype(U64) + U64(1)))
+    _, at, times = np.unique(own, return_index=True, return_counts=True)
+    order = np.argsort(at)
+    at = at[order]
+    return text, start[at], end[at], row[at], 1 + np.log(times[order])
 
 
 def word_values(text: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -73,50 +83,58 @@ def word_values(text: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.
     return total / np.maximum(count, 1)
 
 
-def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, ids, weights): a document's buckets and the weight of each in the document's mean."""
+def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A document's buckets and the weight of each in the document's mean."""
+    text, start, end, _, weight = _words(data, np.array([0, len(data)]))
+    counts = [np.maximum(0, end - start + 3 - size) for size in SIZES]
+    per_gram = weight / np.maximum(1, sum(counts)) / (weight.sum() + NEUTRAL)
+    ids, shares = [], []
+    for size, n in zip(SIZES, counts, strict=True):
+        word = np.repeat(np.arange(len(start)), n)
+        ids.append(_grams(text, size)[(start - 1)[word] + np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)])
+        shares.append(per_gram[word])
+    seen, where = np.unique(np.concatenate(ids), return_inverse=True)
+    return seen.astype(np.int32), np.bincount(where, np.concatenate(shares), minlength=len(seen)).astype(np.float32)
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, data, borders in slices(batch.column("text")):
-            ids, weights = [], []
-            for i in range(hi - lo):
-                own = data[borders[i] : borders[i + 1]]
-                text, start, end, _ = _words(own, np.array([0, len(own)]))
-                share = np.zeros(BUCKETS)
-                count = sum(np.maximum(0, end - start + 3 - size) for size in SIZES)
-                per_gram = 1.0 / np.maximum(count, 1) / max(1, len(start))
-                for size in SIZES:
-                    grams = _grams(text, size)
-                    weight = np.zeros(len(grams) + 1)
-                    n = np.maximum(0, end - start + 3 - size)
-                    has = n > 0
-                    np.add.at(weight, start[has] - 1, per_gram[has])
-                    np.add.at(weight, start[has] - 1 + n[has], -per_gram[has])
-                    share += np.bincount(grams, np.maximum(0, np.cumsum(weight)[:-1]), minlength=BUCKETS)[:BUCKETS]
-                ids.append(np.flatnonzero(share > 1e-12).astype(np.int32))
-                weights.append(share[ids[-1]].astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["toxic", "ids", "weights"])
+        found = [features(np.frombuffer(text, np.uint8)) for text in strings(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], ["doc_id", "toxic", "ids", "weights"])
+
+
+def _batches(ids: list[np.ndarray], weights: list[np.ndarray], toxic: np.ndarray, known: np.ndarray, order: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Of each batch: buckets used, the place in them of every entry, weights, each document's first entry, classes."""
+    out = []
+    for at in range(0, len(order), BATCH):
+        own = [(i, known[ids[i]]) for i in order[at : at + BATCH]]
+        own = [(i, keep) for i, keep in own if keep.any()]
+        if not own:
+            continue
+        used, where = np.unique(np.concatenate([ids[i][keep] for i, keep in own]), return_inverse=True)
+        weight = np.concatenate([weights[i][keep] for i, keep in own]) * np.float32(GAIN)
+        out.append((used, where.astype(np.int32), weight, np.r_[0, np.cumsum([k.sum() for _, k in own])[:-1]], toxic[[i for i, _ in own]]))
+    return out
 
 
 def train(ids: list[np.ndarray], weights: list[np.ndarray], toxic: np.ndarray, prior: float, seed: int = 5) -> tuple[np.ndarray, float]:
-    """(value of each bucket, bias): their sum for a document is its log odds."""
+    """(value of each bucket, bias): a document's log odds are the bias and its weighted values.
+
+    Embeddings learn by Adagrad with decay, the softmax by Adam. Buckets of one document only are left out.
+    """
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-    out = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
+    emb = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32)
+    out = rng.normal(0, 1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
-    order = rng.permutation(len(ids))
-    batches = []
-    for at in range(0, len(order), BATCH):
-        own = order[at : at + BATCH]
-        own = own[[len(ids[i]) > 0 for i in own]]
-        if not len(own):
-            continue
-        flat = np.concatenate([ids[i] for i in own])
-        used, where = np.unique(flat, return_inverse=True)
-        first = np.r_[0, np.cumsum([len(ids[i]) for i in own])[:-1]]
-        batches.append((used, where.astype(np.int32), np.concatenate([weights[i] for i in own]) * np.float32(GAIN), first, toxic[own].astype(int)))
-    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (emb, out, bias)]
+    documents = np.zeros(BUCKETS, dtype=np.int64)
+    for x in ids:
+        documents[x] += 1
+    known = documents > 1
+    batches = _batches(ids, weights, toxic, known, rng.permutation(len(ids)))
+    squares = np.zeros_like(emb)
+    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (out, bias)]
     step = 0
-    for _ in range(EPOCHS if len(batches) > 8 else 60):
+    for _ in range(max(EPOCHS, LEAST_STEPS // max(1, len(batches)))):
         for b in rng.permutation(len(batches)):
             used, where, weight, first, y = batches[b]
             hidden = np.add.reduceat(emb[used][where] * weight[:, None], first, axis=0)
@@ -127,11 +145,14 @@ def train(ids: list[np.ndarray], weights: list[np.ndarray], toxic: np.ndarray, p
             p /= len(y)
             back = np.repeat(p @ out.T, np.diff(np.r_[first, len(weight)]), axis=0) * weight[:, None]
             grad = np.stack([np.bincount(where, back[:, k], minlength=len(used)) for k in range(DIM)], axis=1).astype(np.float32)
+            squares[used] += grad * grad
+            emb[used] = (emb[used] - 0.02 * grad / (np.sqrt(squares[used]) + 1e-8)) * np.float32(1 - DECAY)
             step += 1
-            for x, g, rows, (m, v) in zip((emb, out, bias), (grad, hidden.T @ p, p.sum(axis=0)), (used, slice(None), slice(None)), moments, strict=True):
-                m[rows] = 0.9 * m[rows] + 0.1 * g
-                v[rows] = 0.99 * v[rows] + 0.01 * g * g
-                x[rows] -= 0.02 * (m[rows] / (1 - 0.9**step)) / (np.sqrt(v[rows] / (1 - 0.99**step)) + 1e-6)
+            for x, g, (m, v) in zip((out, bias), (hidden.T @ p, p.sum(axis=0)), moments, strict=True):
+                m[:] = 0.9 * m + 0.1 * g
+                v[:] = 0.99 * v + 0.01 * g * g
+                x -= (0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+    emb[~known] = 0
     share = toxic.mean()
     shift = np.log(prior / (1 - prior)) - np.log(share / (1 - share))
     return (GAIN * (emb @ (out[:, 1] - out[:, 0]))).astype(np.float64), float(bias[1] - bias[0] + shift)
@@ -147,26 +168,18 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, other_
     order = [F.xxhash64(F.lit(5), "_l"), F.col("_l")]
     sample = known.where("toxic = 1").orderBy(*order).limit(toxic_docs).unionAll(known.where("toxic = 0").orderBy(*order).limit(other_docs))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sample, F.col("doc_id") == F.col("_l")).select("toxic", "text", "doc_id")
-    got = rows.mapInArrow(features_with_id, "toxic int, ids array<int>, weights array<float>, doc_id long").orderBy("doc_id", F.xxhash64("ids")).toArrow()
-    flat = lambda c, kind: [x.values.to_numpy(zero_copy_only=False).astype(kind) for x in got[c].combine_chunks()]
-    toxic = got["toxic"].to_numpy()
+    got = rows.mapInArrow(_features, "doc_id long, toxic int, ids array<int>, weights array<float>").toArrow().sort_by("doc_id")
+    flat = lambda c: [x.values.to_numpy(zero_copy_only=False) for chunk in got[c].chunks for x in chunk]
+    toxic = got["toxic"].to_numpy().astype(np.int64)
     if len(toxic) == 0 or toxic.min() == toxic.max():
         return np.zeros(BUCKETS), -np.inf
-    return train(flat("ids", np.int32), flat("weights", np.float32), toxic, counts[1] / (counts[0] + counts[1]))
-
-
-def features_with_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = 0
-        for out in features(iter([batch])):
-            yield pa.RecordBatch.from_arrays([*out.columns, batch.column("doc_id").slice(at, out.num_rows)], ["toxic", "ids", "weights", "doc_id"])
-            at += out.num_rows
+    return train(flat("ids"), flat("weights"), toxic, counts[1] / (counts[0] + counts[1]))
 
 
 def log_odds(data: np.ndarray, borders: np.ndarray, value: np.ndarray, bias: float) -> np.ndarray:
-    text, start, end, first = _words(data, borders)
-    sums = np.r_[0.0, np.cumsum(word_values(text, start, end, value))]
-    return bias + (sums[first[1:]] - sums[first[:-1]]) / np.maximum(1, np.diff(first))
+    text, start, end, row, weight = _words(data, borders)
+    n = len(borders) - 1
+    return bias + np.bincount(row, word_values(text, start, end, value) * weight, minlength=n) / (np.bincount(row, weight, minlength=n) + NEUTRAL)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str] | None = None) -> DataFrame:

@@ -13,15 +13,17 @@ from corvane.llm import chat_format, decontamination, language_id, mixing, toxic
 from corvane.llm.queries import QUERIES
 
 LARGER = "/root/testdata/sf0.01"
+LARGEST = "/root/testdata/sf0.1"
 
 
 def test_toxicity_on_held_out_rows(spark):
-    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
-    scored = QUERIES["op5_toxicity"](spark, LARGER)
-    assert scored.count() == spark.read.parquet(f"{LARGER}/documents.parquet").count()
+    """At sf0.1, whose labels have some 340 toxic rows to learn from."""
+    labels = spark.read.parquet(f"{LARGEST}/labels.parquet")
+    scored = QUERIES["op5_toxicity"](spark, LARGEST)
     held = scored.join(labels, "doc_id").where("held_out").collect()
-    right = np.mean([r.predicted == r.toxic for r in held])
-    assert right >= 0.95 and all(0 <= r.score <= 1 for r in held)
+    caught = [r.predicted for r in held if r.toxic]
+    wrong = [r.predicted for r in held if not r.toxic]
+    assert np.mean(caught) >= 0.6 and np.mean(wrong) <= 0.03 and all(0 <= r.score <= 1 for r in held)
 
 
 def test_toxicity_edge_cases(spark):
