@@ -1,0 +1,143 @@
+"""URL, host and HTML expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Query parameters that only track where a visit came from.
+TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "spm", "ref", "from", "share", "fbclid", "gclid"]
+
+#: Tiers of sources and their weights, domains and suffix patterns by tier.
+TIER_WEIGHTS = {"official": 1.00, "academic": 0.95, "mainstream": 0.75, "community": 0.55, "unknown": 0.45, "low": 0.12}
+DOMAIN_TIERS = {
+    "academic": ["arxiv.org", "doi.org", "nature.com", "science.org", "sciencedirect.com", "springer.com", "ieee.org", "acm.org", "pubmed.ncbi.nlm.nih.gov", "ncbi.nlm.nih.gov", "semanticscholar.org", "openalex.org", "crossref.org", "biorxiv.org"],
+    "official": ["w3.org", "ietf.org", "iso.org", "python.org", "docs.python.org", "developer.mozilla.org", "microsoft.com", "learn.microsoft.com", "docs.oracle.com", "kernel.org", "postgresql.org", "sqlite.org", "who.int"],
+    "mainstream": ["wikipedia.org", "reuters.com", "apnews.com", "bbc.com", "xinhuanet.com", "people.com.cn", "thepaper.cn", "caixin.com", "github.com", "stackoverflow.com"],
+    "community": ["zhihu.com", "juejin.cn", "segmentfault.com", "v2ex.com", "reddit.com", "medium.com", "jianshu.com", "cnblogs.com", "bilibili.com", "weibo.com"],
+    "low": ["csdn.net"],
+}
+SUFFIX_TIERS = [(r"(^|\.)(gov|mil)(\.[a-z]{2})?$", "official"), (r"(^|\.)(edu|ac)(\.[a-z]{2})?$", "academic")]
+
+#: Signs of content farms in domain names and pages, and their weights in the penalty.
+CHEAP_TLDS = [".xyz", ".top", ".icu", ".cyou", ".buzz", ".click", ".link", ".shop", ".site", ".online", ".website", ".space", ".fun", ".cfd"]
+FARM_HOST = r"(\d{3,}\.|[a-z]{2,}\d{2,4}\.|(news|info|tech|ai|tools?|guide|tips|blog|daily|hub|zone|world)[-_]?\d{0,4}\.)"
+FARM_WORDS = ["aggregat", "curat", "syndicat", "rewrite", "spinner", "aizixun", "caiji", "zhuanzai", "wenzhang"]
+TRUSTED_SUFFIXES = [".gov", ".gov.cn", ".edu", ".edu.cn", ".ac.cn", ".ac.uk", ".mil", ".int", ".org.cn"]
+LAYOUT = {
+    "dense_ads": r"(?i)(googlesyndication|adsbygoogle|pagead2|广告位|advert)",
+    "paginated_bait": r"(?i)(下一页|第\s*\d+\s*页\s*/\s*共|next\s*page)",
+    "scraped_footer": r"(?i)(本文(转载|来源|整理)自|内容来自网络|版权归原作者所有|侵删)",
+    "no_author": r"(小编|编辑整理|综合报道)",
+}
+FARM_WEIGHTS = {"cheap_tld": 0.05, "farm_host": 0.10, "farm_word": 0.12, "dense_ads": 0.06, "paginated_bait": 0.08, "scraped_footer": 0.12, "no_author": 0.05, "keyword_stuffing": 0.08, "burst": 0.12, "clone": 0.15}
+MAX_PENALTY = 0.45
+
+
+def host(url: Column) -> Column:
+    """Lower-cased host without port; text without a scheme is taken as a host."""
+    bare = F.regexp_replace(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://", "")
+    return F.regexp_extract(bare, r"^([^/?#:]*)", 1)
+
+
+def _path(url: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"^[^/?#]*([^?#]*)", 1), "/+$", "")
+
+
+def _query(url: Column) -> Column:
+    kept = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING))
+    return F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+
+
+def without_tracking(url: Column) -> Column:
+    """Scheme, host, path and the parameters that aren't tracking; no fragment, no slash at the end."""
+    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://)", 1))
+    return F.concat(scheme, host(url), _path(url), _query(url))
+
+
+def canonical(url: Column) -> Column:
+    """As ``without_tracking``, without scheme and ``www.``."""
+    return F.regexp_replace(F.concat(host(url), _path(url), _query(url)), r"^www\.", "")
+
+
+def url_fingerprint(url: Column) -> Column:
+    return F.substring(F.sha2(without_tracking(url), 256), 1, 32)
+
+
+def registrable(site: Column) -> Column:
+    """The last two labels of a host, three where the last two are a public suffix of a country."""
+    labels = F.split(F.regexp_replace(site, r"^www\.", ""), r"\.")
+    n = F.size(labels)
+    three = (n >= 3) & F.concat_ws(".", F.slice(labels, -2, 2)).rlike(r"^(com|co|org|net|gov|edu|ac)\.[a-z]{2}$")
+    return F.when(n < 2, site).when(three, F.array_join(F.slice(labels, -3, 3), ".")).otherwise(F.array_join(F.slice(labels, -2, 2), "."))
+
+
+def domain_tier(site: Column, overrides: dict[str, str] | None = None) -> Column:
+    """Tier of a host: the user's overrides, the table by any parent domain, then suffixes, else unknown."""
+    def under(domains: list[str]) -> Column:
+        return F.exists(F.array(*[F.lit(d) for d in domains]), lambda d: (site == d) | site.endswith(F.concat(F.lit("."), d)))
+
+    out = F.when(F.coalesce(site, F.lit("")) == "", "unknown")
+    for d, tier in (overrides or {}).items():
+        out = out.when(under([d]), tier)
+    for tier in ("low", "academic", "official", "mainstream", "community"):
+        out = out.when(under(DOMAIN_TIERS[tier]), tier)
+    for pattern, tier in SUFFIX_TIERS:
+        out = out.when(site.rlike(pattern), tier)
+    return out.otherwise("unknown")
+
+
+def tier_weight(tier: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in TIER_WEIGHTS.items() for x in kv]), tier)
+
+
+def trusted(site: Column) -> Column:
+    return F.exists(F.array(*[F.lit(s) for s in TRUSTED_SUFFIXES]), lambda s: site.endswith(s))
+
+
+def farm_flags(site: Column, html: Column) -> Column:
+    """Signs of a content farm in a host and a page; trusted hosts have none."""
+    flags = F.array_compact(
+        F.array(
+            F.when(F.exists(F.array(*[F.lit(t) for t in CHEAP_TLDS]), lambda t: site.endswith(t)), "cheap_tld"),
+            F.when(site.rlike("(?i)" + FARM_HOST), "farm_host"),
+            F.when(F.exists(F.array(*[F.lit(w) for w in FARM_WORDS]), lambda w: F.contains(site, w)), "farm_word"),
+            *[F.when(html.rlike(p), name) for name, p in LAYOUT.items()],
+        )
+    )
+    return F.when(trusted(site), F.array().cast("array<string>")).otherwise(flags)
+
+
+def farm_penalty(flags: Column) -> Column:
+    """Sum of the flags' weights up to the cap; a burst that is no clone counts half."""
+    weights = F.create_map(*[F.lit(x) for kv in FARM_WEIGHTS.items() for x in kv])
+    total = F.least(F.lit(MAX_PENALTY), F.aggregate(flags, F.lit(0.0), lambda acc, f: acc + F.coalesce(weights[f], F.lit(0.0))))
+    alone = F.array_contains(flags, "burst") & ~F.array_contains(flags, "clone")
+    return F.greatest(F.lit(0.0), F.when(alone, total - FARM_WEIGHTS["burst"] / 2).otherwise(total))
+
+
+def html_title(html: Column) -> Column:
+    return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+
+
+def html_text(html: Column) -> Column:
+    """Text without scripts, styles, navigation and tags, the common entities undone, blanks collapsed."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer|aside)[^>]*>.*?</(script|style|nav|header|footer|aside)>", " ")
+    bare = F.regexp_replace(bare, r"(?s)<[^>]+>", " ")
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        bare = F.replace(bare, F.lit(entity), F.lit(char))
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def links(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*href="([^"]+)"'), F.lit(1))
+
+
+def urls_in(text: Column, limit: int = 50) -> Column:
+    found = F.regexp_extract_all(text, F.lit(r"(https?://[^\s<>\"'）)】]+)"), F.lit(1))
+    return F.slice(F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?。，；：！？]+$", ""))), 1, limit)
+
+
+def unsafe_host(url: Column) -> Column:
+    """Loopback, private and link-local addresses and names that shouldn't be fetched."""
+    return host(url).rlike(r"^(localhost|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|169\.254\.|0\.0\.0\.0|\[?::1)|\.local$|\.internal$")
