@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import books, retrieval, texts
+from corvane.plans import books, evidence, retrieval, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (retrieval, texts, books):
+for _part in (retrieval, texts, books, evidence):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
