@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import books, evidence, retrieval, texts
+from corvane.plans import books, evidence, exports, retrieval, streams, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (retrieval, texts, books, evidence):
+for _part in (retrieval, texts, books, evidence, exports, streams):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
