@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import books, evidence, exports, retrieval, streams, texts
+from corvane.plans import books, evidence, exports, retrieval, streams, texts, web
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (retrieval, texts, books, evidence, exports, streams):
+for _part in (retrieval, texts, books, evidence, web, exports, streams):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
