@@ -66,11 +66,31 @@ def best_chunks(hits: DataFrame, samples: int = 3) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).cast("long"))
 
 
+def trigrams(text: Column) -> Column:
+    """Distinct runs of three characters."""
+    return F.array_distinct(F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, 3))).otherwise(F.array().cast("array<string>")))
+
+
 def title_hits(items: DataFrame, queries: DataFrame, limit: int = 60) -> DataFrame:
-    """Items whose title or locator holds the query of three characters or more; shortest titles first."""
-    asked = queries.where(F.length("query") >= 3).select("query_id", F.lower("query").alias("q"))
-    hit = items.join(F.broadcast(asked), F.contains(F.lower("title"), F.col("q")) | F.contains(F.lower("locator"), F.col("q")))
-    return top(hit.select("query_id", "item_id", F.length("title").cast("long").alias("title_chars")), limit, F.col("title_chars"), F.col("item_id"))
+    """Items whose title or locator holds the query of three characters or more; shortest titles first.
+
+    Candidates share the query's first trigram, so that the join has an equal key.
+    """
+    asked = queries.where(F.length("query") >= 3).select("query_id", F.lower("query").alias("q"), F.substring(F.lower("query"), 1, 3).alias("gram"))
+    low = items.select("item_id", F.length("title").cast("long").alias("title_chars"), F.lower("title").alias("t"), F.lower("locator").alias("l"))
+    grams = low.select("*", F.explode(F.array_union(trigrams(F.col("t")), trigrams(F.col("l")))).alias("gram"))
+    hit = grams.join(asked, "gram").where(F.contains("t", F.col("q")) | F.contains("l", F.col("q")))
+    return top(hit.select("query_id", "item_id", "title_chars"), limit, F.col("title_chars"), F.col("item_id"))
+
+
+def cosines(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Adds cosine to pairs (query_id, item_id, ..); null where one of them has no vector."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("_q"))
+    v = vectors.select("item_id", F.col("embedding").cast("array<double>").alias("_v"))
+    joined = pairs.join(q, "query_id", "left").join(v, "item_id", "left")
+    size = F.sqrt(dot(F.col("_q"), F.col("_q"))) * F.sqrt(dot(F.col("_v"), F.col("_v")))
+    return joined.withColumn("cosine", F.round(F.try_divide(dot(F.col("_q"), F.col("_v")), size), 6)).drop("_q", "_v")
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = False) -> DataFrame:

@@ -148,8 +148,8 @@ def hybrid_rrf(spark, sf_dir):
 @query(f"{_RRF} SELECT query_id, item_id, coalesce(keyword_rank IS NOT NULL, false) OR cosine >= 0.5 AS strong FROM fused LEFT JOIN pairs USING (query_id, item_id)")
 def weak_match_flag(spark, sf_dir):
     """Any channel but the vector makes a match strong, else a cosine of 0.5; weak ones are kept."""
-    vec = R.knn(V.vectors(spark, sf_dir), V.query_vectors(spark, sf_dir), 1 << 30)
-    return _fused(spark, sf_dir).join(vec.select("query_id", "item_id", "cosine"), ["query_id", "item_id"], "left").select("query_id", "item_id", (F.col("keyword_rank").isNotNull() | F.coalesce(F.col("cosine") >= 0.5, F.lit(False))).alias("strong"))
+    scored = R.cosines(_fused(spark, sf_dir), V.query_vectors(spark, sf_dir), V.vectors(spark, sf_dir))
+    return scored.select("query_id", "item_id", (F.col("keyword_rank").isNotNull() | F.coalesce(F.col("cosine") >= 0.5, F.lit(False))).alias("strong"))
 
 
 @query(_RRF + """ SELECT query_id, item_id, array_to_string(list_filter([CASE WHEN keyword_rank IS NOT NULL THEN 'keyword#' || keyword_rank END, CASE WHEN semantic_rank IS NOT NULL THEN 'semantic#' || semantic_rank END], lambda x: x IS NOT NULL), ' + ') AS reason, rrf FROM fused""")

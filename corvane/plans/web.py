@@ -109,11 +109,11 @@ def reverse_video_votes(spark, sf_dir):
 one AS (SELECT * FROM spaces QUALIFY kind = 'image' OR row_number() OVER (PARTITION BY query_id, kind, owner ORDER BY score DESC, item_id) = 1)
 SELECT query_id, kind, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM one QUALIFY rank <= 20""")
 def search_by_image(spark, sf_dir):
-    """Neighbours among pictures and scenes at once; of a video only its best scene."""
+    """Neighbours among pictures and scenes at once; of a video, which has ten scenes, only its best: 200 neighbours hold 20 owners."""
     from pyspark.sql import Window
 
     v = V.vectors(spark, sf_dir)
-    near = retrieval.knn(v, V.query_vectors(spark, sf_dir), 1 << 30).join(v.select("item_id", "label"), "item_id")
+    near = retrieval.knn(v, V.query_vectors(spark, sf_dir), 200).join(v.select("item_id", "label"), "item_id")
     kinds = near.withColumn("kind", F.when(F.col("label") < 5, "image").otherwise("scene")).withColumn("owner", F.when(F.col("label") < 5, F.col("item_id")).otherwise(F.floor(F.col("item_id") / 10))).withColumn("score", F.greatest(F.lit(0.0), "cosine"))
     one = kinds.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "kind", "owner").orderBy(F.desc("score"), "item_id"))).where("kind = 'image' OR r = 1").drop("rank", "r")
     return retrieval.top(one.select("query_id", "kind", "item_id", "score"), 20, F.desc("score"), F.col("item_id"))

@@ -24,10 +24,18 @@ def bibtex(records: DataFrame) -> DataFrame:
     return keyed.select("record_id", body.alias("entry"))
 
 
+def numbered(df: DataFrame, key: str, width: int = 100_000) -> DataFrame:
+    """Adds n, the place in the order of an integer key: counts of ranges of the key are summed up, and rows are numbered inside their range."""
+    placed = df.withColumn("_range", F.floor(F.col(key) / width))
+    before = F.coalesce(F.sum("_count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_count")).select("_range", before.alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    return placed.withColumn("_inside", inside).join(starts, "_range").withColumn("n", F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+
+
 def gbt7714(records: DataFrame) -> DataFrame:
     """(record_id, entry) numbered in the order of record_id."""
-    n = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("record_id"))
-    return records.select("record_id", F.concat(F.lit("["), n.cast("string"), F.lit("] "), F.upper("author"), F.lit(". "), "title", F.lit("[J]. "), F.coalesce(F.col("year").cast("string"), F.lit("[n.d.]")), F.lit(".")).alias("entry"))
+    return numbered(records, "record_id").select("record_id", F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), F.upper("author"), F.lit(". "), "title", F.lit("[J]. "), F.coalesce(F.col("year").cast("string"), F.lit("[n.d.]")), F.lit(".")).alias("entry"))
 
 
 def csv_lines(df: DataFrame, columns: list[str]) -> DataFrame:
