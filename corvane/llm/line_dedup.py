@@ -79,12 +79,25 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_t"), batch.column("n_lines"), pa.array(dropped, pa.int64()), pa.array(maps, pa.binary())], ["_d", "_t", "n_lines", "n_dropped", "keep"])
 
 
+def rejoined(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
+    """Rows with what was aggregated of their keys.
+
+    The join is on a hash of the keys. A join on the keys themselves would run in the stage that
+    aggregates, where Spark can't split the partition of a hot key.
+    """
+    own = groups.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], *[c for c in groups.columns if c not in keys])
+    test = F.xxhash64(*keys) == F.xxhash64(*[f"_g{i}" for i in range(len(keys))])
+    for i, k in enumerate(keys):
+        test = test & (F.col(k) == F.col(f"_g{i}"))
+    return rows.join(own, test).drop(*[f"_g{i}" for i in range(len(keys))])
+
+
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(_d, _t, n_lines, n_dropped, keep) for each distinct document row; see ``documents.keyed``."""
     rows = keyed(docs)
     lines = rows.mapInArrow(_line_keys(min_chars), "h long, g long, _d long, _t int, pos int")
     holders = lines.groupBy("h", "g").agg(F.countDistinct("_d").alias("n"), F.max("_d").alias("holder")).where(F.col("n") >= min_docs).select("h", "g", "holder")
-    shared = lines.join(holders, ["h", "g"])
+    shared = rejoined(lines, holders, "h", "g")
     late = shared.repartitionByRange("h", "g", F.col("_d").desc()).sortWithinPartitions("h", "g", F.col("_d").desc(), "pos").mapInArrow(_stream, "_d long, _t int, pos int")
     gone = late.groupBy("_d", "_t").agg(F.array_distinct(F.collect_list("pos")).alias("gone"))
     text = F.coalesce("text", F.lit(""))
