@@ -29,12 +29,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.components import connected_components
 from corvane.llm.groups import paired_blocks, runs
-from corvane.llm.scratch import written
+from corvane.tables import written
 from corvane.llm.tokens import LOWER_BYTES, U64, mix, strings
 
 SHINGLE_WORDS = 3
@@ -109,10 +109,20 @@ def block_masks(blocks: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(one, blocks - radius)]
 
 
-def sampled_masks(bits: int, tables: int, seed: int = 11) -> list[int]:
-    """``tables`` masks of ``bits`` random bits each."""
+def mask_nodes(masks: list[int]) -> Column:
+    """The upper nodes of a class: one for each mask of the first 64 bits."""
+    return F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for t, m in enumerate(masks)])
+
+
+def sampled_nodes(size: int, tables: int, words: int, seed: int = 11) -> Column:
+    """The upper nodes of a class: for each table, the pattern of ``size`` random bytes of the whole fingerprint.
+
+    A fingerprint's bits are of one kind, so whole bytes sample as well as single bits do.
+    """
     rng = np.random.default_rng(seed)
-    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
+    every = F.concat(F.unhex(F.lpad(F.hex("fp"), 16, "0")), F.col("wide"))
+    picks = [rng.choice(words * 8, size, replace=False) for _ in range(tables)]
+    return F.array(*[F.xxhash64(F.lit(t), *[F.substring(every, int(b) + 1, 1) for b in pick]) for t, pick in enumerate(picks)])
 
 
 def _roots(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> np.ndarray:
@@ -207,13 +217,12 @@ def _small(key: np.ndarray, fp: np.ndarray, wide: np.ndarray, side: np.ndarray,
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def similar(classes: DataFrame, radius: int, masks: list[int], words: int = 1) -> DataFrame:
-    """(a, b) edges that connect all classes (rep, fp, wide) within ``radius`` that meet under some mask.
+def similar(classes: DataFrame, radius: int, nodes: Column, words: int = 1) -> DataFrame:
+    """(a, b) edges that connect all classes (rep, fp, wide) within ``radius`` that share one of the upper nodes.
 
     Edges are stars around the smallest row of each group: they connect what links connect.
     """
-    nodes = F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for t, m in enumerate(masks)]))
-    dealt = paired_blocks(classes.select("rep", "fp", "wide", nodes.alias("node")), "node", "rep")
+    dealt = paired_blocks(classes.select("rep", "fp", "wide", F.explode(nodes).alias("node")), "node", "rep")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "part"):
@@ -240,22 +249,22 @@ def similar(classes: DataFrame, radius: int, masks: list[int], words: int = 1) -
     return placed.mapInArrow(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, radius: int = RADIUS, masks: list[int] | None = None, words: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, radius: int = RADIUS, nodes: Column | None = None, words: int = 1) -> DataFrame:
     """(doc_id, fp, wide, component_id) for documents (doc_id, text, ...).
 
-    ``masks`` name the upper nodes; without them they are those that guarantee every pair within
+    ``nodes`` are the upper nodes; without them they are those that guarantee every pair within
     ``radius`` of 64 bits. With ``words`` > 1 the radius holds for the whole fingerprint.
     """
     fps = written(fingerprints(docs, k, words), "fingerprints")
     classes = written(fps.where("doc_id is not null").groupBy("fp", "wide").agg(F.min("doc_id").alias("rep")), "classes")
-    edges = similar(classes, radius, masks or block_masks(max(BLOCKS, radius + 2), radius), words)
+    edges = similar(classes, radius, mask_nodes(block_masks(max(BLOCKS, radius + 2), radius)) if nodes is None else nodes, words)
     named = classes.join(connected_components(edges), F.col("rep") == F.col("node"), "left").select("fp", "wide", F.coalesce("component", "rep").alias("component_id"))
     return fps.where("doc_id is not null").join(named, ["fp", "wide"]).select("doc_id", "fp", "wide", "component_id").unionByName(fps.where("doc_id is null").withColumn("component_id", F.lit(None).cast("long")))
 
 
 SIMILARITY = 0.8
 WIDE_WORDS = 8
-SAMPLED_BITS = 16
+SAMPLED_BYTES = 2
 SAMPLED_TABLES = 48
 
 
@@ -269,7 +278,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, k: int =
 
     64 bits are too few to tell 0.8 from 0.7, so fingerprints have 512 here, and documents are linked
     if they differ in at most ``wide_radius`` of them. Upper nodes of the index are sampled patterns
-    of 16 of the first 64 bits: a pair at the threshold agrees on one with probability 0.07, and
-    meets in one of 48 nodes with probability 0.97; closer pairs nearly always do.
+    of two bytes: a pair at the threshold agrees on one with probability 0.07, and meets in one of
+    48 nodes with probability 0.97 if its bits differ independently; closer pairs nearly always do.
     """
-    return near_duplicates(docs, k, wide_radius(similarity), sampled_masks(SAMPLED_BITS, SAMPLED_TABLES), WIDE_WORDS).select("doc_id", "component_id")
+    return near_duplicates(docs, k, wide_radius(similarity), sampled_nodes(SAMPLED_BYTES, SAMPLED_TABLES, WIDE_WORDS), WIDE_WORDS).select("doc_id", "component_id")
