@@ -32,9 +32,9 @@ SIZES = (3, 4, 5)
 DIM = 4
 NEUTRAL = 20
 GAIN = 100.0  #: a toxic word is about one in fifty, so means are scaled up before the softmax
-TOXIC_DOCS, OTHER_DOCS = 2500, 4500
+TOXIC_DOCS, OTHER_DOCS = 2000, 4000
 THRESHOLD = 0.3
-EPOCHS, LEAST_STEPS = 5, 240
+EPOCHS, LEAST_STEPS = 5, 480
 BATCH = 64
 DECAY = 1e-3
 
@@ -131,6 +131,8 @@ def train(ids: list[np.ndarray], weights: list[np.ndarray], toxic: np.ndarray, p
         documents[x] += 1
     known = documents > 1
     batches = _batches(ids, weights, toxic, known, rng.permutation(len(ids)))
+    ids.clear()  # the batches have what is needed of them
+    weights.clear()
     squares = np.zeros_like(emb)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (out, bias)]
     step = 0
@@ -168,12 +170,18 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, other_
     order = [F.xxhash64(F.lit(5), "_l"), F.col("_l")]
     sample = known.where("toxic = 1").orderBy(*order).limit(toxic_docs).unionAll(known.where("toxic = 0").orderBy(*order).limit(other_docs))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sample, F.col("doc_id") == F.col("_l")).select("toxic", "text", "doc_id")
-    got = rows.mapInArrow(_features, "doc_id long, toxic int, ids array<int>, weights array<float>").toArrow().sort_by("doc_id")
-    flat = lambda c: [x.values.to_numpy(zero_copy_only=False) for chunk in got[c].chunks for x in chunk]
-    toxic = got["toxic"].to_numpy().astype(np.int64)
+    ids, weights, toxic = _collected(rows.mapInArrow(_features, "doc_id long, toxic int, ids array<int>, weights array<float>"))
     if len(toxic) == 0 or toxic.min() == toxic.max():
         return np.zeros(BUCKETS), -np.inf
-    return train(flat("ids"), flat("weights"), toxic, counts[1] / (counts[0] + counts[1]))
+    return train(ids, weights, toxic, counts[1] / (counts[0] + counts[1]))
+
+
+def _collected(sample: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """The bounded sample's features, in the order of doc_id, as views of what arrived."""
+    got = sample.toArrow()
+    order = np.argsort(got["doc_id"].to_numpy(), kind="stable").tolist()
+    views = [[x.values.to_numpy(zero_copy_only=False) for chunk in got[c].chunks for x in chunk] for c in ("ids", "weights")]
+    return [views[0][i] for i in order], [views[1][i] for i in order], got["toxic"].to_numpy()[order].astype(np.int64)
 
 
 def log_odds(data: np.ndarray, borders: np.ndarray, value: np.ndarray, bias: float) -> np.ndarray:
