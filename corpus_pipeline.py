@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import decontamination, line_dedup, mixing, simhash, toxicity
-from corvane.llm.scratch import written
+from corvane.tables import written
 
-#: documents that score this much or more are rejected
-MAX_TOXICITY = 0.5
+#: documents that score this much or more are rejected, as the operator's own prediction has it
+MAX_TOXICITY = toxicity.THRESHOLD
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.scratch import Table
+from corvane.tables import Table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
