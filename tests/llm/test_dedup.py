@@ -221,3 +221,46 @@ def test_line_dedup(spark):
     assert kept[5] == "own 5" and kept[6] is None and kept[9] == texts[9]
     assert line_dedup.drop_lines(docs).columns == docs.columns
     assert line_dedup.line_digests(documents(spark, [])).count() == 0
+
+
+def brute_sets(texts, k=5):
+    words = [(t or "").translate({c: c + 32 for c in range(65, 91)}).encode().split() for t in texts]
+    return [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in words]
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def edited(rng, words, share):
+    """A copy with about this share of words replaced, each costing five shingles."""
+    out = list(words)
+    for i in np.flatnonzero(rng.random(len(out)) < share):
+        out[i] = f"e{rng.integers(10**9)}"
+    return out
+
+
+def test_similar_documents_are_those_of_exact_jaccard(spark):
+    rng = np.random.default_rng(21)
+    texts = [None, "", " ", "one", "a b c d e f g h", "a b c d e f g h i", "ab " * 500, "ab " * 90, "A b c d e f g h i"]
+    for n in (9, 12, 30, 60, 150, 400, 400, 400):
+        for _ in range(12):
+            base = [f"t{x}" for x in rng.integers(0, 10**6, n)]
+            texts += [" ".join(base), *[" ".join(edited(rng, base, s)) for s in (0.01, 0.02, 0.025, 0.04)], " ".join(base + [f"m{x}" for x in rng.integers(0, 10**6, n // 5)])]
+    sets = brute_sets(texts)
+    links = [(i, j) for j in range(len(texts)) for i in range(j) if jaccard(sets[i], sets[j]) >= 0.8]
+    close = [(i, j) for i, j in links if jaccard(sets[i], sets[j]) < 0.85]
+    assert len(close) > 100
+    got = dict(simhash.similar_documents(documents(spark, texts)).select("doc_id", "component_id").collect())
+    assert got == components_of(range(len(texts)), links)
+
+
+def test_verified_roots_connect_like_brute_force():
+    rng = np.random.default_rng(22)
+    sets = [np.zeros(0, np.uint64), np.array([5], np.uint64)]
+    for _ in range(30):
+        base = rng.integers(0, 1 << 62, int(rng.integers(1, 60)), dtype=np.uint64)
+        sets += [np.unique(np.r_[base[rng.random(len(base)) < s], rng.integers(0, 1 << 62, int(rng.integers(0, 3)), dtype=np.uint64)]) for s in (1, 0.97, 0.93, 0.9)]
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i]) and len(sets[j]) and jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8]
+    wanted = components_of(range(len(sets)), links)
+    assert simhash.verified_roots(sets, 0.8).tolist() == [wanted[i] for i in range(len(sets))]
