@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import decontamination, line_dedup, mixing, simhash, toxicity
+from corvane.llm.documents import NO_ID
 from corvane.tables import written
 
 #: documents that score this much or more are rejected, as the operator's own prediction has it
@@ -30,19 +31,24 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates.
+    """One row, that with the smallest id and then text hash, of each group of near duplicates.
 
-    Five-word shingles and a similarity of 0.8 or more, see ``simhash.similar_documents``. Documents
-    without words are a group of their own kind and keep one as well.
+    Five-word shingles and a similarity of 0.8 or more, see ``simhash.similar_rows``. A row is known by
+    its id and text: a null id, which comes last, is no group of its own, one id with two texts is two
+    documents, and of rows repeated with the same id and text one is kept, whatever their other columns.
+    Documents without words are a group of their own kind and keep one as well.
     """
-    groups = simhash.similar_documents(docs)
-    return docs.join(groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = simhash.similar_rows(docs)
+    best = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_d"), F.col("text_key").alias("_t"))).alias("best"))
+    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_t": simhash.text_hash(F.col("text"))})
+    return keyed.join(best.select("best._d", "best._t"), ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window like a benchmark item."""
-    found = decontamination.contaminated_pairs(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    """Documents without a window like a benchmark item; a matter of the text alone, so rows are known by its hash."""
+    keyed = docs.withColumn("_t", simhash.text_hash(F.col("text")))
+    found = decontamination.contaminated_pairs(keyed.select(F.col("_t").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return keyed.join(found.select(F.col("doc_id").alias("_t")).distinct(), "_t", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

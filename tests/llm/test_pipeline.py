@@ -46,3 +46,29 @@ def test_run_and_empty_tables(spark):
     empty = spark.read.parquet(f"{LARGER}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, LARGER).count() == 0
+
+
+def test_stages_know_rows_by_id_and_text(spark, tmp_path):
+    prose = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "pqrstu"}
+    near = prose["p"].replace("p30 ", "changed ")
+    item = " ".join(f"leak{i}" for i in range(30))
+    rows = [
+        (None, prose["q"]), (None, prose["r"]), (None, prose["r"]),  # null ids: clean, and a row repeated whole
+        (5, prose["s"]), (5, prose["s"]),  # repeated rows
+        (2, prose["p"]), (7, near), (7, prose["t"]),  # one id with two texts, one of them a near copy
+        (None, prose["u"]), (9, prose["u"]),  # an id goes before none
+        (None, f"{item} and more"), (8, f"before {item}"), (8, "a clean text that has the id of a leaked one"),
+        (None, None), (None, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    single = corpus_pipeline.one_of_each_group(spark, docs, LARGER)
+    assert single.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text or "") for r in single.collect()), key=str)
+    leaked = [(8, f"before {item}")]
+    clean = [(8, "a clean text that has the id of a leaked one")]
+    assert kept == sorted([(None, prose["q"]), (None, prose["r"]), (5, prose["s"]), (2, prose["p"]), (7, prose["t"]), (9, prose["u"]), (None, "")] + leaked + clean, key=str)
+
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(rows[:10] + rows[12:], key=str)
