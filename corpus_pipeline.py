@@ -52,8 +52,12 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the words that the mix takes of each (taken)."""
-    return mixing.mix(docs)
+    """The mix itself: a row for each repetition of a document, with the text taken in it; n_chars follows the text.
+
+    Documents of which the mix takes nothing are left out, so sources have their target shares of words.
+    """
+    out = mixing.mixed(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 STAGES = [

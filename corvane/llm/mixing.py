@@ -75,3 +75,22 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = M
     left = F.round(F.col("target") - whole * F.col("source_size")).cast("long")
     extra = F.greatest(F.lit(0).cast("long"), F.least("size", left - F.col("_offset") - F.col("_before")))
     return placed.withColumn("taken", (whole * F.col("size") + extra).cast("long")).select(*own, "size", "source_size", "target", "taken")
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """Text up to the end of its n-th word, with the spaces as they are."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), n.cast("int")), "")
+
+
+def mixed(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """The mix itself: a row for each repetition (1, 2, ..) of a document, with the text that is taken in it.
+
+    Whole repetitions have the text as it is, and the document at a border its first words. Documents
+    of which the mix takes nothing have no row. The other columns are those of ``mix``; taken counts
+    the document's words in all its repetitions.
+    """
+    own = [c for c in docs.columns if c != "repetition"]
+    taken = mix(docs.select(*own), weights, max_epochs, seed).where("taken > 0")
+    rows = taken.withColumn("repetition", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    left = F.col("taken") - (F.col("repetition") - 1) * F.col("size")
+    return rows.withColumn("text", F.when(left >= F.col("size"), F.col("text")).otherwise(first_words(F.col("text").cast("string"), left)))

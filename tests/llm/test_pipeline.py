@@ -5,10 +5,12 @@ The tables have few labels, so a quarter of the toxic documents, which aren't le
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import decontamination
+from corvane.llm import decontamination, mixing
 
 LARGER = "/root/testdata/sf0.01"
 
@@ -72,3 +74,26 @@ def test_stages_know_rows_by_id_and_text(spark, tmp_path):
     left = corpus_pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path))
     assert left.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(rows[:10] + rows[12:], key=str)
+
+
+def test_mixing_stage_makes_the_mix(spark):
+    rows = [(i, "".join(f" w{i}-{j}\n" for j in range(1 + i % 13)), s) for s, ids in (("big", range(200)), ("small", range(200, 230)), (None, range(230, 260))) for i in ids] + [(None, "a b  c", "small"), (300, None, "big"), (301, " ", "small")]
+    docs = spark.createDataFrame([(i, t, None, s, 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    decided = {(r.doc_id, r.text): r for r in mixing.mix(docs).collect()}
+    out = corpus_pipeline.mix_sources(spark, docs, LARGER).collect()
+    words = Counter()
+    by_doc = defaultdict(list)
+    for r in out:
+        words[r.source] += len(r.text.split())
+        by_doc[r.doc_id].append(r)
+        assert r.n_chars == len(r.text)
+    assert words == {r.source: round(r.target) for r in out} and max(len(x) for x in by_doc.values()) == 3
+    cut = 0
+    for (i, text), r in decided.items():
+        got = [x.text for x in sorted(by_doc[i], key=lambda x: x.repetition)]
+        whole, rest = divmod(r.taken, r.size) if r.size else (0, 0)
+        assert got[:whole] == [text] * whole and len(got) == whole + (rest > 0)
+        if rest:
+            cut += 1
+            assert text.startswith(got[-1]) and len(got[-1].split()) == rest
+    assert cut
