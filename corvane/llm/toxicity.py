@@ -6,14 +6,18 @@ words, weighted by 1 + ln of how often each occurs and with ``NEUTRAL`` words of
 that neither endless repeats nor very short texts stand out; and a softmax over two classes tells
 toxic from not. Embeddings and softmax are trained together
 in numpy, on the driver, on a bounded sample of labelled rows: ``toxic_docs`` and ``other_docs``
-rows in the order of a hash of their ids. The share of toxic rows among all labels corrects the
+rows in the order of a hash of their ids, of which whole documents are taken in that order as
+long as they have at most ``max_entries`` (n-gram, weight) entries of 6 bytes in all; one that
+would go beyond is left out. Spark writes the sample's entries to a table, and the driver reads
+that piece by piece into two flat arrays. The share of toxic rows among all labels corrects the
 bias for the sample's. Unseen misspellings and inflections share n-grams with what was seen.
 
 Averaging and softmax are linear in the words, so a trained model is one number a bucket, and
 scoring whole texts is vectorised over the bytes of a slice.
 
 Null and empty texts get the score of the bias alone. Labels that are null are left out; a doc_id
-with several labels is toxic if one says so. Without labels of both classes every score is 0.
+with several labels is toxic if one says so, and one with several texts is learned from in one of
+them. Without labels of both classes every score is 0.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.tokens import LOWER, SPACE, U64, mix, slices, strings, word_bounds, word_hashes
+from corvane.tables import Table
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
@@ -33,6 +38,8 @@ DIM = 4
 NEUTRAL = 20
 GAIN = 100.0  #: a toxic word is about one in fifty, so means are scaled up before the softmax
 TOXIC_DOCS, OTHER_DOCS = 2000, 4000
+MAX_ENTRIES = 16_000_000
+SAMPLE_PARTS = 24
 THRESHOLD = 0.3
 EPOCHS, LEAST_STEPS = 5, 480
 BATCH = 64
@@ -99,54 +106,53 @@ def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [features(np.frombuffer(text, np.uint8)) for text in strings(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], ["doc_id", "toxic", "ids", "weights"])
+        for i, text in enumerate(strings(batch.column("text"))):
+            ids, weights = features(np.frombuffer(text, np.uint8))
+            own = batch.slice(i, 1)
+            yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("toxic"), pa.array([len(ids)], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([(weights * np.float32(GAIN)).astype(np.float16).tobytes()], pa.binary())], ["doc_id", "toxic", "entries", "ids", "weights"])
 
 
-def _batches(ids: list[np.ndarray], weights: list[np.ndarray], toxic: np.ndarray, known: np.ndarray, order: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """Of each batch: buckets used, the place in them of every entry, weights, each document's first entry, classes."""
-    out = []
-    for at in range(0, len(order), BATCH):
-        own = [(i, known[ids[i]]) for i in order[at : at + BATCH]]
-        own = [(i, keep) for i, keep in own if keep.any()]
-        if not own:
-            continue
-        used, where = np.unique(np.concatenate([ids[i][keep] for i, keep in own]), return_inverse=True)
-        weight = np.concatenate([weights[i][keep] for i, keep in own]) * np.float32(GAIN)
-        out.append((used, where.astype(np.int32), weight, np.r_[0, np.cumsum([k.sum() for _, k in own])[:-1]], toxic[[i for i, _ in own]]))
-    return out
-
-
-def train(ids: list[np.ndarray], weights: list[np.ndarray], toxic: np.ndarray, prior: float, seed: int = 5) -> tuple[np.ndarray, float]:
+def train(ids: np.ndarray, weights: np.ndarray, first: np.ndarray, toxic: np.ndarray, prior: float, seed: int = 5) -> tuple[np.ndarray, float]:
     """(value of each bucket, bias): a document's log odds are the bias and its weighted values.
 
-    Embeddings learn by Adagrad with decay, the softmax by Adam. Buckets of one document only are left out.
+    Document i has the buckets ids[first[i]:first[i + 1]] with their weights,
+    which are GAIN times their shares. Embeddings learn by Adagrad with decay, the softmax by Adam. Buckets of one document only are left out.
     """
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32)
     out = rng.normal(0, 1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
-    documents = np.zeros(BUCKETS, dtype=np.int64)
-    for x in ids:
-        documents[x] += 1
-    known = documents > 1
-    batches = _batches(ids, weights, toxic, known, rng.permutation(len(ids)))
-    ids.clear()  # the batches have what is needed of them
-    weights.clear()
+    known = np.bincount(ids, minlength=BUCKETS) > 1
+    order = rng.permutation(len(toxic))
+    batches = [order[at : at + BATCH] for at in range(0, len(order), BATCH)]
     squares = np.zeros_like(emb)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (out, bias)]
+    place = np.zeros(BUCKETS, dtype=np.int32)
     step = 0
     for _ in range(max(EPOCHS, LEAST_STEPS // max(1, len(batches)))):
-        for b in rng.permutation(len(batches)):
-            used, where, weight, first, y = batches[b]
-            hidden = np.add.reduceat(emb[used][where] * weight[:, None], first, axis=0)
+        for at in rng.permutation(len(batches)):
+            own = [(i, known[ids[first[i] : first[i + 1]]]) for i in batches[at].tolist()]
+            own = [(i, keep) for i, keep in own if keep.any()]
+            if not own:
+                continue
+            bucket = np.concatenate([ids[first[i] : first[i + 1]][keep] for i, keep in own])
+            weight = np.concatenate([weights[first[i] : first[i + 1]][keep] for i, keep in own]).astype(np.float32)
+            starts = np.r_[0, np.cumsum([k.sum() for _, k in own])[:-1]]
+            y = toxic[[i for i, _ in own]]
+            in_batch = np.zeros(BUCKETS, dtype=bool)
+            in_batch[bucket] = True
+            used = np.flatnonzero(in_batch)
+            place[used] = np.arange(len(used))
+            where = place[bucket]
+            own_emb = emb[used].T.copy()
+            hidden = np.stack([np.add.reduceat(e[where] * weight, starts) for e in own_emb], axis=1)
             logits = hidden @ out + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(y)), y] -= 1
             p /= len(y)
-            back = np.repeat(p @ out.T, np.diff(np.r_[first, len(weight)]), axis=0) * weight[:, None]
-            grad = np.stack([np.bincount(where, back[:, k], minlength=len(used)) for k in range(DIM)], axis=1).astype(np.float32)
+            sizes = np.diff(np.r_[starts, len(weight)])
+            grad = np.stack([np.bincount(where, np.repeat(b, sizes) * weight, minlength=len(used)) for b in out @ p.T], axis=1).astype(np.float32)
             squares[used] += grad * grad
             emb[used] = (emb[used] - 0.02 * grad / (np.sqrt(squares[used]) + 1e-8)) * np.float32(1 - DECAY)
             step += 1
@@ -160,7 +166,7 @@ def train(ids: list[np.ndarray], weights: list[np.ndarray], toxic: np.ndarray, p
     return (GAIN * (emb @ (out[:, 1] - out[:, 0]))).astype(np.float64), float(bias[1] - bias[0] + shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, other_docs: int = OTHER_DOCS) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, other_docs: int = OTHER_DOCS, max_entries: int = MAX_ENTRIES) -> tuple[np.ndarray, float]:
     """Trains on labelled documents that aren't held out; see ``train``."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_l"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("_l"))).groupBy("_l").agg(F.max("toxic").alias("toxic"))
@@ -169,19 +175,33 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, other_
         return np.zeros(BUCKETS), -np.inf
     order = [F.xxhash64(F.lit(5), "_l"), F.col("_l")]
     sample = known.where("toxic = 1").orderBy(*order).limit(toxic_docs).unionAll(known.where("toxic = 0").orderBy(*order).limit(other_docs))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sample, F.col("doc_id") == F.col("_l")).select("toxic", "text", "doc_id")
-    ids, weights, toxic = _collected(rows.mapInArrow(_features, "doc_id long, toxic int, ids array<int>, weights array<float>"))
+    text = F.col("text").cast("string")
+    found = docs.select(F.col("doc_id").cast("long"), F.struct(F.xxhash64(text).alias("h"), text.alias("text")).alias("one")).join(sample, F.col("doc_id") == F.col("_l"))
+    rows = found.groupBy("doc_id", "toxic").agg(F.min("one")["text"].alias("text")).repartition(SAMPLE_PARTS, "doc_id")
+    table = Table(rows.mapInArrow(_features, "doc_id long, toxic int, entries long, ids binary, weights binary"), "toxicity_sample")
+    ids, weights, first, toxic = _collected(table.df, max_entries)
+    table.drop()
     if len(toxic) == 0 or toxic.min() == toxic.max():
         return np.zeros(BUCKETS), -np.inf
-    return train(ids, weights, toxic, counts[1] / (counts[0] + counts[1]))
-
-
-def _collected(sample: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """The bounded sample's features, in the order of doc_id, as views of what arrived."""
-    got = sample.toArrow()
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable").tolist()
-    views = [[x.values.to_numpy(zero_copy_only=False) for chunk in got[c].chunks for x in chunk] for c in ("ids", "weights")]
-    return [views[0][i] for i in order], [views[1][i] for i in order], got["toxic"].to_numpy()[order].astype(np.int64)
+    return train(ids, weights, first, toxic, counts[1] / (counts[0] + counts[1]))
+
+
+def _collected(sample: DataFrame, max_entries: int) -> tuple[np.ndarray, ...]:
+    """The sample's entries as flat arrays, in the order of doc_id: ids, weights, each document's first, classes."""
+    taken, left = [], max_entries
+    for r in sample.select("doc_id", "toxic", "entries").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").collect():
+        if r.entries <= left:
+            taken.append(r)
+            left -= r.entries
+    taken.sort(key=lambda r: r.doc_id)
+    first = np.r_[0, np.cumsum([r.entries for r in taken], dtype=np.int64)]
+    place = {r.doc_id: i for i, r in enumerate(taken)}
+    ids, weights = np.zeros(first[-1], np.int32), np.zeros(first[-1], np.float16)
+    for r in sample.select("doc_id", "ids", "weights").toLocalIterator():
+        if r.doc_id in place:
+            own = slice(first[place[r.doc_id]], first[place[r.doc_id] + 1])
+            ids[own], weights[own] = np.frombuffer(r.ids, np.int32), np.frombuffer(r.weights, np.float16)
+    return ids, weights, first, np.array([r.toxic for r in taken], dtype=np.int64)
 
 
 def log_odds(data: np.ndarray, borders: np.ndarray, value: np.ndarray, bias: float) -> np.ndarray:
