@@ -7,13 +7,14 @@ the first k are clamped, and the rest get the level (total - their caps) / (thei
 their weight, for the smallest k at which the next source isn't above its cap.
 
 A target of e epochs takes every document floor(e) times, and then documents in a seeded order
-(a digest of seed and doc_id) until the fraction of an epoch that is left is filled; the
+(a digest of seed, doc_id and text) until the fraction of an epoch that is left is filled; the
 document at that border is taken in part, so a source's total is its target to the word. The
 running total in seeded order is made in two steps, by slot of the digest and inside the slot,
 so a source that holds a third of all rows is spread over ``SLOTS`` groups.
 
-A null text has no words; a null source is a source of its own, the last in order. Rows with
-the same doc_id count one by one, in the order of their sizes. A corpus without words takes none.
+A null text has no words; a null source is a source of its own, the last in order. A null doc_id
+is an id like any other. Rows with the same doc_id count one by one; those with the same text too
+are alike, so it doesn't matter which of them is taken. A corpus without words takes none.
 """
 
 from __future__ import annotations
@@ -31,6 +32,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def digest(seed: str, doc_id: Column, text: Column) -> Column:
+    """The place of a document in the seeded order; the text is in it, so that rows of one id, or of none, are spread."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(F.md5(text.cast("string")), F.lit(""))))
+
+
 def cyclic_weights(sources: DataFrame, cycle: int = 3) -> DataFrame:
     """Adds ``weight``: 1, 2, .. cycle, repeating over the sources by code point, null last."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -60,7 +66,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = M
     Columns of the documents with these names are replaced.
     """
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    sized = docs.select(*own, word_count(F.col("text").cast("string")).alias("size")).withColumn("_digest", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    sized = docs.select(*own, word_count(F.col("text").cast("string")).alias("size")).withColumn("_digest", digest(seed, F.col("doc_id"), F.col("text")))
     sized = sized.withColumn("_slot", F.conv(F.substring("_digest", 1, 3), 16, 10).cast("int"))
     slots = sized.groupBy("source", "_slot").agg(F.sum("size").alias("_slot_size"))
     by_source = slots.groupBy("source").agg(F.sum("_slot_size").alias("source_size"))

@@ -109,7 +109,7 @@ FROM marked GROUP BY doc_id
 OP10_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    md5('mix-1:' || CAST(doc_id AS VARCHAR)) AS digest
+    md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS digest
   FROM documents
 ), weighed AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3.0::DOUBLE * sum(size) AS cap,
