@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.groups import rejoined
 from corvane.tables import Table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step on edges (u, v) with u > v; each node's neighbours are tied to the smallest of them.
 
-    The smallest neighbour is a pre-aggregated minimum that is joined back, so a node
-    with very many neighbours is never gathered in one task.
+    The smallest neighbour is a pre-aggregated minimum that is joined back on a hash of the
+    node, so that Spark can split the rows of a node with very many neighbours among tasks.
     """
     near = edges.select(F.col("u").alias("x"), F.col("v").alias("y"))
     if large:
         near = near.unionAll(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
     least = near.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("x", "m"))
-    tied = near.join(least, "x")
+    tied = rejoined(near, least, "x")
     if large:
         return tied.where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
     return tied.where("y > m").select(F.col("y").alias("u"), F.col("m").alias("v")).unionAll(least.where("x > m").select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct()

@@ -1,7 +1,8 @@
 """The identity of a document row inside the operators on whole texts.
 
-A row is known by its doc_id and a hash of its text, so that a repeated doc_id with another
-text is another document, and a row that is repeated as it is gets the same result each time.
+A row is known by its doc_id and a 64-bit hash of its text, so that a repeated or null doc_id
+with another text is another document, and a row that is repeated as it is gets the same result
+each time.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ NO_ID = -(1 << 63)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(_d, _t, text): doc_id with a stand-in for null, 20 bits of a hash of the text, the text."""
+    """(_d, _t, text): doc_id with a stand-in for null, a 64-bit hash of the text, the text."""
     text = F.col("text").cast("string")
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"), text_key(text).alias("_t"), text.alias("text"))
 
 
 def text_key(text: Column) -> Column:
-    return F.hash(text).bitwiseAND(F.lit((1 << 20) - 1))
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def doc_id() -> Column:

@@ -1,4 +1,4 @@
-"""Streams of small groups inside sorted partitions, with hot groups cut into pairs of blocks."""
+"""Streams of small groups inside sorted partitions, hot groups cut into pairs of blocks, joins with what was aggregated."""
 
 from __future__ import annotations
 
@@ -28,6 +28,19 @@ def paired_blocks(df: DataFrame, key: str, spread: str, block_rows: int = BLOCK_
     return out.withColumn("part", F.xxhash64(key, low, high)).withColumn("side", F.when(low == high, 2).when(F.col("_mine") == low, 0).otherwise(1).cast("byte")).drop("_b", "_mine", "_other")
 
 
+def rejoined(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
+    """Rows with what was aggregated of their keys.
+
+    The join is on a hash of the keys. A join on the keys themselves would run in the stage that
+    aggregates, where Spark can't split the partition of a hot key.
+    """
+    own = groups.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], *[c for c in groups.columns if c not in keys])
+    test = F.xxhash64(*keys) == F.xxhash64(*[f"_g{i}" for i in range(len(keys))])
+    for i, k in enumerate(keys):
+        test = test & (F.col(k) == F.col(f"_g{i}"))
+    return rows.join(own, test).drop(*[f"_g{i}" for i in range(len(keys))])
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: str, target_rows: int = 20_000) -> Iterator[pa.Table]:
     """Tables of whole groups of consecutive equal ``key``; groups never straddle two tables."""
     held: list[pa.RecordBatch] = []

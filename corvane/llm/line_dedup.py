@@ -7,12 +7,16 @@ their lines, except in the largest doc_id that holds the key.
 Keys travel as 128-bit hashes with document and line number, never as text. How many documents
 hold a key is pre-aggregated, so a key that a third of all rows share is not gathered; lines of
 frequent keys are then range-partitioned by hash and document (a hot hash spreads over several
-ranges), sorted by hash, document and position, and streamed: what is not the first occurrence
-is marked. The result is one compressed bitmap of kept lines a document instead of text.
-
-A null or empty text is one empty line, which stays. A null doc_id counts as smaller than any
-other. Rows that are repeated whole are one document; a repeated doc_id with another text counts
-once where documents are counted, and keeps the lines of each of its rows alike.
+ranges), sorted by hash, falling document and position, and streamed: the first document of a
+hash keeps its lines, and those of later documents are marked. A hash that a range begins with may
+have begun in the range before, which the stream can't see, so the first document of that one hash
+is marked as open, and only these few rows look up the largest document of their hash. The result
+is one compressed bitmap of kept lines a document instead of text.
+
+A null or empty text is one empty line, which stays. Rows that are repeated whole are one document;
+a repeated doc_id with another text counts once where documents are counted, and keeps the lines of
+each of its rows alike. Rows with a null doc_id are documents told apart by their texts; they are
+smaller than any id, and among themselves in the order of a hash of the text.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.documents import doc_id, keyed
+from corvane.llm.documents import NO_ID, doc_id, keyed, text_key
+from corvane.llm.groups import rejoined
 from corvane.llm.tokens import LOWER_BYTES, strings
 
 MIN_CHARS = 40
@@ -58,14 +63,28 @@ def _line_keys(min_chars: int):
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     h, g, d, t, pos = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(d, pa.int64()), pa.array(t, pa.int32()), pa.array(pos, pa.int32())], ["h", "g", "_d", "_t", "pos"])
+    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(pos, pa.int32())], ["h", "g", "_d", "_t", "pos"])
 
 
-def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by hash and falling document; those of a hash's first document are its first occurrences."""
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one range come by hash and falling document: those after a hash's first document, and, as open, the first document of the first hash."""
+    edge = last = first = None  # the range's first hash, the last row's hash, that hash's first document
     for batch in batches:
-        late = np.asarray(batch.column("_d")) != np.asarray(batch.column("holder"))
-        yield batch.select(["_d", "_t", "pos"]).filter(pa.array(late))
+        if not batch.num_rows:
+            continue
+        h, g, d, u = (np.asarray(batch.column(c)) for c in ("h", "g", "_d", "_u"))
+        begins = np.r_[last != (h[0], g[0]), (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
+        if edge is None:
+            edge = (h[0], g[0])
+        run = np.cumsum(begins) - 1  # -1: the hash that the last batch ended with
+        at = np.flatnonzero(begins)
+        heads_d, heads_u = np.r_[d[at], first[0] if first else 0], np.r_[u[at], first[1] if first else 0]
+        head_d, head_u = heads_d[run], heads_u[run]
+        late = (d != head_d) | (u != head_u)
+        open_ = ~late & (h == edge[0]) & (g == edge[1])
+        last, first = (h[-1], g[-1]), (head_d[-1], head_u[-1])
+        out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(open_)], [*batch.schema.names, "open"])
+        yield out.filter(pa.array(late | open_))
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,30 +98,21 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_t"), batch.column("n_lines"), pa.array(dropped, pa.int64()), pa.array(maps, pa.binary())], ["_d", "_t", "n_lines", "n_dropped", "keep"])
 
 
-def rejoined(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
-    """Rows with what was aggregated of their keys.
-
-    The join is on a hash of the keys. A join on the keys themselves would run in the stage that
-    aggregates, where Spark can't split the partition of a hot key.
-    """
-    own = groups.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], *[c for c in groups.columns if c not in keys])
-    test = F.xxhash64(*keys) == F.xxhash64(*[f"_g{i}" for i in range(len(keys))])
-    for i, k in enumerate(keys):
-        test = test & (F.col(k) == F.col(f"_g{i}"))
-    return rows.join(own, test).drop(*[f"_g{i}" for i in range(len(keys))])
-
-
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(_d, _t, n_lines, n_dropped, keep) for each distinct document row; see ``documents.keyed``."""
     rows = keyed(docs)
-    lines = rows.mapInArrow(_line_keys(min_chars), "h long, g long, _d long, _t int, pos int")
-    holders = lines.groupBy("h", "g").agg(F.countDistinct("_d").alias("n"), F.max("_d").alias("holder")).where(F.col("n") >= min_docs).select("h", "g", "holder")
-    shared = rejoined(lines, holders, "h", "g")
-    late = shared.repartitionByRange("h", "g", F.col("_d").desc()).sortWithinPartitions("h", "g", F.col("_d").desc(), "pos").mapInArrow(_stream, "_d long, _t int, pos int")
+    lines = rows.mapInArrow(_line_keys(min_chars), "h long, g long, _d long, _t long, pos int").withColumn("_u", F.when(F.col("_d") == NO_ID, F.col("_t")).otherwise(0))
+    document = F.struct("_d", "_u")
+    holders = lines.groupBy("h", "g").agg(F.countDistinct(document).alias("n"), F.max(document).alias("holder")).where(F.col("n") >= min_docs).select("h", "g", "holder")
+    shared = rejoined(lines, holders.select("h", "g"), "h", "g")
+    order = ["h", "g", F.col("_d").desc(), F.col("_u").desc(), "pos"]
+    streamed = shared.select("h", "g", "_d", "_u", "_t", "pos").repartitionByRange(*order[:4]).sortWithinPartitions(*order).mapInArrow(_later, "h long, g long, _d long, _u long, _t long, pos int, open boolean")
+    opened = rejoined(streamed.where("open"), holders, "h", "g").where(document != F.col("holder"))
+    late = streamed.where("not open").select("_d", "_t", "pos").unionAll(opened.select("_d", "_t", "pos"))
     gone = late.groupBy("_d", "_t").agg(F.array_distinct(F.collect_list("pos")).alias("gone"))
     text = F.coalesce("text", F.lit(""))
     counted = rows.select("_d", "_t", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")).dropDuplicates(["_d", "_t"])
-    return counted.join(gone, ["_d", "_t"], "left").mapInArrow(_bitmaps, "_d long, _t int, n_lines long, n_dropped long, keep binary")
+    return counted.join(gone, ["_d", "_t"], "left").mapInArrow(_bitmaps, "_d long, _t long, n_lines long, n_dropped long, keep binary")
 
 
 def kept_bits(keep: bytes, n: int) -> np.ndarray:
@@ -144,7 +154,7 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
             yield pa.RecordBatch.from_arrays(out, columns)
 
     text = F.col("text").cast("string")
-    from_docs = docs.withColumns({"text": text, "_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_t": F.hash(text).bitwiseAND(F.lit((1 << 20) - 1))})
+    from_docs = docs.withColumns({"text": text, "_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_t": text_key(text)})
     joined = from_docs.join(bitmaps.select("_d", "_t", F.col("n_lines").alias("_n"), F.col("n_dropped").alias("_gone"), F.col("keep").alias("_keep")), ["_d", "_t"], "left")
     schema = from_docs.drop("_d", "_t").schema
     return joined.select(*columns, "_n", "_gone", "_keep").mapInArrow(cut, schema)
