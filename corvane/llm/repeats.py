@@ -10,7 +10,7 @@ The exact question, for windows of W tokens, is asked of a few keys instead of e
 2. *Cells.* Where the factors of an anchor differ, the edges of repeats lie. Windows are taken in
    cells by their offset to the anchor. The windows of a cell have a common core: a core that
    occurs once has no repeated window; if all full cells of a core are equal, all their windows
-   repeat.
+   repeat. Cells that are still open are taken apart into smaller ones, size by size.
 3. *Windows* of the cells that are still open are compared one by one.
 
 Each step has the same form: rows (h, s, ..) where windows can only repeat inside an h and do so
@@ -35,7 +35,7 @@ from corvane.llm.tokens import U64, Prefix, mix, slices
 
 _STEP = (1 << 20) - 4096
 _INDEX = U64((1 << 21) - 1)
-_LEVEL = "h long, s long, _d long, _t int, p long"
+_LEVEL = "h long, s long, _d long, _t long, p long"
 
 #: bytes and row borders of a slice -> tokens as 64-bit integers and row borders in tokens
 Tokens = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -122,15 +122,18 @@ def windows(tokens: np.ndarray, start: np.ndarray, lo: np.ndarray, n: np.ndarray
 def _rows(h: np.ndarray, s: np.ndarray, d: np.ndarray, t: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(h), 100_000):
         own = slice(at, at + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(s[own].view(np.int64)), pa.array(d[own]), pa.array(t[own], pa.int32()), pa.array(p[own])], ["h", "s", "_d", "_t", "p"])
+        yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(s[own].view(np.int64)), pa.array(d[own]), pa.array(t[own]), pa.array(p[own])], ["h", "s", "_d", "_t", "p"])
 
 
 def _column(batch: pa.RecordBatch, name: str, lo: int, hi: int) -> np.ndarray:
     return batch.column(name).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
 
 
-def repeated_windows(docs: DataFrame, tokenise: Tokens, window: int, gram: int, cell: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Rows ``keyed`` of the documents, and (_d, _t, starts): packed runs of repeated window starts."""
+def repeated_windows(docs: DataFrame, tokenise: Tokens, window: int, gram: int, sizes: tuple[int, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows ``keyed`` of the documents, and (_d, _t, starts): packed runs of repeated window starts.
+
+    ``sizes`` are those of the cells, each a multiple of the next.
+    """
     rows = keyed(docs)
 
     def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +142,7 @@ def repeated_windows(docs: DataFrame, tokenise: Tokens, window: int, gram: int,
                 row, at, off, n, h, s = anchors(*tokenise(data, borders), window, gram)
                 yield from _rows(h, s, _column(batch, "_d", lo, hi)[row], _column(batch, "_t", lo, hi)[row], pack(at, off, n))
 
-    def opened(one_by_one: bool):
+    def opened(cell: int):
         def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo, hi, data, borders in slices(batch.column("text")):
@@ -152,26 +155,26 @@ def repeated_windows(docs: DataFrame, tokenise: Tokens, window: int, gram: int,
                     for i in range(0, len(p), 2000):
                         own = slice(i, i + 2000)
                         base = starts[row[own]]
-                        if one_by_one:
+                        if cell == 1:
                             part, first, h = windows(tokens, base, at[own], n[own], window)
                             yield from _rows(h, np.zeros(len(h), U64), d[row[own][part]], t[row[own][part]], pack(first, first * 0, first * 0 + 1))
                         else:
-                            unique = mix(d[row[own]].view(U64) ^ (p[own].view(U64) * U64(31)))
+                            unique = mix(d[row[own]].view(U64) ^ mix(t[row[own]].view(U64)) ^ (p[own].view(U64) * U64(31)))
                             part, first, j, m, h, s = cells(tokens, base, at[own], off[own], n[own], window, cell, unique)
                             yield from _rows(h, s, d[row[own][part]], t[row[own][part]], pack(first, j, m))
 
         return level
 
     found, level = [], rows.mapInArrow(factor, _LEVEL)
-    for step in (*(["cells"] if cell > 1 else []), "windows", "end"):
+    for cell in (*sizes, 1, None):
         groups = level.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("n > 1").select("h", (F.col("s0") != F.col("s1")).alias("open"))
         shared = level.join(groups, "h")
         found.append(shared.where("not open").select("_d", "_t", "p"))
-        if step == "end":
+        if cell is None:
             break
         parts = shared.where("open").groupBy("_d", "_t").agg(F.collect_set("p").alias("parts"))
         level = rows.join(parts, ["_d", "_t"])
-        level = level.select("text", "_d", "_t", "parts").mapInArrow(opened(step == "windows"), _LEVEL)
+        level = level.select("text", "_d", "_t", "parts").mapInArrow(opened(cell), _LEVEL)
     every = found[0]
     for more in found[1:]:
         every = every.unionAll(more)

@@ -29,6 +29,7 @@ from corvane.llm.tokens import strings, word_bounds, word_hashes
 
 WINDOW_WORDS = 35
 GRAM_WORDS = 8
+CELLS = (4,)
 
 
 def _words(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +59,7 @@ def _cut(window: int, digest: bool):
 
 def without_repeats(docs: DataFrame, window: int = WINDOW_WORDS, digest: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept words joined by one space, or the SHA-256 of that."""
-    rows, repeats = repeated_windows(docs, _words, window, min(GRAM_WORDS, window))
+    rows, repeats = repeated_windows(docs, _words, window, min(GRAM_WORDS, window), CELLS if window > 2 * CELLS[0] else ())
     joined = rows.join(repeats, ["_d", "_t"], "left").select(doc_id(), "text", "starts")
     return joined.mapInArrow(_cut(window, digest), "doc_id long, n_words long, n_removed long, kept string")
 

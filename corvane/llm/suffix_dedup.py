@@ -2,9 +2,9 @@
 
 Suffixes are put into buckets by a sampled prefix (the anchor, see ``repeats``), and one bucket is
 resolved at a time. Long ties, suffixes that agree for longer than the anchor, are not compared
-byte by byte: cells of 16 neighbouring suffixes are named by hashes of their common core and of
-their whole, which stand in for the ranks of a cover sample, and only cells at the edge of a
-repeat are opened. The README says how this differs from a suffix array with a difference cover.
+byte by byte: cells of 16 and then of 4 neighbouring suffixes are named by hashes of their common
+core and of their whole, which stand in for the ranks of a cover sample, and only cells at the edge
+of a repeat are opened. The README says how this differs from a suffix array with a difference cover.
 
 Texts are UTF-8 bytes, null is empty, and strings never cross documents. Rows that are repeated
 whole are two places. A row's other columns aren't used.
@@ -25,7 +25,7 @@ from corvane.llm.tokens import strings
 
 WINDOW_BYTES = 400
 GRAM_BYTES = 33
-CELL = 16
+CELLS = (16, 4)
 
 
 def _bytes(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +54,7 @@ def _cut(window: int, digest: bool):
 
 def without_repeated_bytes(docs: DataFrame, window: int = WINDOW_BYTES, digest: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept is the remaining bytes, which may cut a character, or their SHA-256."""
-    rows, repeats = repeated_windows(docs, _bytes, window, min(GRAM_BYTES, window), CELL if window > 2 * CELL else 1)
+    rows, repeats = repeated_windows(docs, _bytes, window, min(GRAM_BYTES, window), CELLS if window > 2 * CELLS[0] else ())
     joined = rows.join(repeats, ["_d", "_t"], "left").select(doc_id(), "text", "starts")
     return joined.mapInArrow(_cut(window, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}")
 

@@ -264,3 +264,69 @@ def test_verified_roots_connect_like_brute_force():
     links = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i]) and len(sets[j]) and jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8]
     wanted = components_of(range(len(sets)), links)
     assert simhash.verified_roots(sets, 0.8).tolist() == [wanted[i] for i in range(len(sets))]
+
+
+def brute_lines(rows, min_chars, min_docs):
+    """(doc_id, n_lines, n_dropped, digest) of each row; null ids are documents told apart by text, below any id and in the order of xxhash64."""
+    strip = " \t\n\x0b\x0c\r"
+
+    def document(i, t):
+        signed = xxhash.xxh64_intdigest((t or "").encode(), 42)
+        return (i is not None, i or 0, 0 if i is not None else signed - (1 << 64) * (signed >> 63))
+
+    keys = [[line.strip(strip).translate({c: c + 32 for c in range(65, 91)}) for line in (t or "").split("\n")] for _, t in rows]
+    holders = {}
+    for (i, t), own in zip(rows, keys, strict=True):
+        for k in own:
+            if len(k) >= min_chars:
+                holders.setdefault(k, set()).add(document(i, t))
+    out = []
+    for (i, t), own in zip(rows, keys, strict=True):
+        gone = [k in holders and len(holders[k]) >= min_docs and max(holders[k]) != document(i, t) for k in own]
+        kept = "\n".join(line for line, g in zip((t or "").split("\n"), gone, strict=True) if not g)
+        out.append((i, len(own), sum(gone), sha256(kept.encode()).hexdigest()))
+    return out
+
+
+def many_ids(seed=31, n=5000):
+    """A third of the rows without an id, a third with one id, texts that share lines and passages, and rows repeated whole."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(3000)]
+    passages = [" ".join(rng.choice(words, 20)) for _ in range(60)]
+    rows = []
+    for j in range(n):
+        lines = [" ".join(rng.choice(words, 12)), passages[int(rng.integers(60))] if j % 4 == 0 else f"own {j}", " ".join(rng.choice(words, 3))]
+        rows.append((None if j % 3 == 0 else 7 if j % 3 == 1 else j, "\n".join(lines)))
+    rows += rows[:40] + [(None, None), (None, ""), (7, None), (None, passages[0]), (None, passages[0].upper())]
+    return rows
+
+
+def test_null_and_clashing_ids_are_told_apart_by_text(spark):
+    rows = many_ids()
+    docs = spark.createDataFrame([(i, t, None, "s", 0, 1, "x") for i, t in rows], SCHEMA).repartition(4)
+    texts = [t for _, t in rows]
+    own = lambda brute: sorted(((i, *b) for (i, _), b in zip(rows, brute, strict=True)), key=str)
+    assert rows_by_id(substring_dedup.substring_digests(docs, 12)) == own(brute_words(texts, 12))
+    assert rows_by_id(suffix_dedup.suffix_digests(docs, 70)) == own(brute_bytes(texts, 70))
+    assert rows_by_id(line_dedup.line_digests(docs, 40, 5)) == sorted(brute_lines(rows, 40, 5), key=str)
+
+
+def test_lines_without_an_id_have_one_holder(spark):
+    line = "a line of over forty characters that many documents hold"
+    rows = [(None, f"{line}\nown {i}") for i in range(30)] + [(None, f"other {line}\n{i}") for i in range(4)] + [(3, f"and {line}\n{i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_by_id(line_dedup.line_digests(docs))
+    assert got == sorted(brute_lines(rows, 40, 5), key=str)
+    assert Counter(r[2] for r in got) == {1: 29, 0: 14}
+
+
+def test_hot_lines_over_many_ranges(spark):
+    """A line that nearly all documents hold begins in one range and goes on through others."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lines = [f"line {k} is held by a great many of the documents" for k in range(3)]
+        rows = [(i if i % 5 else None, "\n".join([lines[0], f"own {i}"] + [x for k, x in enumerate(lines[1:]) if i % (k + 2)])) for i in range(700)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+        assert rows_by_id(line_dedup.line_digests(docs)) == sorted(brute_lines(rows, 40, 5), key=str)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
