@@ -2,17 +2,19 @@
 
 Words are maximal runs of letters and digits with A-Z lower-cased, so changes of punctuation, case
 and spacing don't hide a passage. An item's fingerprint is the SimHash of its five-word shingles,
-with repeats. Every window of a document as long as an item is a candidate for that item if their
-fingerprints are within ``RADIUS`` bits: with the 64 bits in eight blocks, one block then differs in
-at most RADIUS // 8 bits, so a table for each block and value lists the items within that, and no
-fingerprint within the radius is missed. A candidate is verified by the exact weighted Jaccard
-similarity of the two multisets of shingles, which has to be ``MIN_SIMILARITY`` or more.
-
-Windows that share no shingle with an item have similarity zero, so only windows around a shared
-shingle are fingerprinted; that drops nothing. A document shorter than the item is one window.
-
-The benchmark is broadcast in blocks of about ``BLOCK_CHARS`` characters, each against all
-documents, so what is broadcast doesn't grow with it. Items of fewer than five words are one
+with repeats. A window of a document, as long as an item, is a candidate for that item if their
+fingerprints are within ``RADIUS`` bits. The multi-index finds them: with the 64 bits in eight
+blocks, one block then differs in at most RADIUS // 8 bits, so a table for each block and value
+lists the items within that, a window is looked up in all eight, and no item within the radius is
+missed. A candidate is verified by the exact weighted Jaccard similarity of the two multisets of
+shingles, which has to be ``MIN_SIMILARITY`` or more.
+
+A window that holds no shingle of any item of its length has similarity zero with all of them, so
+only windows around such a shingle are fingerprinted and looked up; that drops nothing. A document
+shorter than the item is one window.
+
+The benchmark is broadcast in blocks of about ``BLOCK_CHARS`` characters as arrays, each against
+all documents, so what is broadcast doesn't grow with it. Items of fewer than five words are one
 shingle and match where their words occur; items and documents without words match nothing. Null
 texts are empty. Repeated rows are rows of their own; repeated item_ids are one item with several
 texts.
@@ -20,7 +22,7 @@ texts.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,58 +62,90 @@ def simhash(hashes: np.ndarray, lo: np.ndarray, n: int) -> np.ndarray:
     return np.packbits((sums[lo + n] - sums[lo]) * 2 > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def _expanded(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For lists first[i] .. first[i + 1]: the place of every entry of the lists ``at``, and which of them it is of."""
+    n = first[at + 1] - first[at]
+    of = np.repeat(np.arange(len(at)), n)
+    return first[at][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), of
+
+
 class Items:
-    """A block of benchmark items, indexed by shingle and by fingerprint blocks."""
+    """A block of benchmark items as arrays, with tables by fingerprint block and by shingle."""
 
     def __init__(self, ids: list[int], texts: list[bytes], radius: int):
-        self.radius, self.ids, self.words, self.counts, prints = radius, [], [], [], []
-        where = defaultdict(set)
+        self.radius = radius
+        kept, words, grams, counts, prints = [], [], [], [], []
         for item, text in zip(ids, texts, strict=True):
             data = np.frombuffer(text, np.uint8)
             tokens, _ = _word_tokens(data, np.array([0, len(data)]))
-            if not len(tokens):
-                continue
-            hashes = _shingles(tokens, min(SHINGLE_WORDS, len(tokens)))
-            for h in set(hashes.tolist()):
-                where[min(SHINGLE_WORDS, len(tokens)), h].add(len(self.ids))
-            self.ids.append(item)
-            self.words.append(len(tokens))
-            self.counts.append(Counter(hashes.tolist()))
-            prints.append(simhash(hashes, np.array([0]), len(hashes))[0])
-        self.prints = np.array(prints, dtype=U64)
-        self.holders = {k: sorted(v) for k, v in where.items()}
-        self.lengths = sorted({k for k, _ in where})
-        self.keys = {k: np.array(sorted(h for n, h in where if n == k), dtype=U64) for k in self.lengths}
-        blocks = self.prints.view(np.uint8).reshape(-1, 8)
-        apart = np.bitwise_count(np.arange(256, dtype=np.uint8)[None, :, None] ^ blocks.T[:, None, :])
-        self.index = apart <= radius // 8  # block, value, item
-
-    def near(self, fingerprints: np.ndarray, item: int) -> np.ndarray:
-        values = np.ascontiguousarray(fingerprints).view(np.uint8).reshape(-1, 8)
-        listed = self.index[np.arange(8)[None, :], values, item].any(axis=1)
-        return listed & (np.bitwise_count(fingerprints ^ self.prints[item]) <= self.radius)
-
-
-def _best(tokens: np.ndarray, hits: np.ndarray, item: int, items: Items) -> float:
-    """The highest similarity of a window around the hits that is a candidate."""
-    n = min(items.words[item], len(tokens))
-    k = min(SHINGLE_WORDS, items.words[item])
+            if len(tokens):
+                hashes = _shingles(tokens, min(SHINGLE_WORDS, len(tokens)))
+                own, n = np.unique(hashes, return_counts=True)
+                kept.append(item)
+                words.append(len(tokens))
+                grams.append(own)
+                counts.append(n)
+                prints.append(simhash(hashes, np.array([0]), len(hashes))[0])
+        self.ids, self.words, self.prints = np.array(kept, np.int64), np.array(words, np.int64), np.array(prints, U64)
+        self.first = np.r_[0, np.cumsum([len(x) for x in grams], dtype=np.int64)]
+        self.grams, self.counts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, counts))
+        self.items = {n: np.flatnonzero(self.words == n) for n in sorted(set(words))}
+        values = np.arange(256, dtype=np.uint8)[:, None]
+        self.tables = {}  # by length: for a block's value and an item, the blocks in which the item's value is within radius // 8 bits
+        for n, own in self.items.items():
+            blocks = self.prints[own].view(np.uint8).reshape(-1, 8)
+            self.tables[n] = np.bitwise_or.reduce([(np.bitwise_count(values ^ blocks[:, b]) <= radius // 8).astype(np.uint8) << b for b in range(8)])
+        self.lengths = {}  # by shingle size: sorted shingles, and the lengths of the items that hold each
+        of_item = np.repeat(self.words, np.diff(self.first))
+        for k in sorted({min(SHINGLE_WORDS, n) for n in words}):
+            own = np.minimum(of_item, SHINGLE_WORDS) == k
+            pairs = np.unique(np.stack([self.grams[own], of_item[own].astype(U64)], axis=1), axis=0)
+            keys, first = np.unique(pairs[:, 0], return_index=True)
+            self.lengths[k] = keys, np.r_[first, len(pairs)], pairs[:, 1].astype(np.int64)
+
+    def candidates(self, fingerprints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs that the tables list and whose fingerprints are within the radius."""
+        items, table = self.items[length], self.tables[length]
+        windows, found, step = [], [], max(1, (1 << 20) // len(items))
+        for at in range(0, len(fingerprints), step):
+            piece = fingerprints[at : at + step]
+            values = np.ascontiguousarray(piece).view(np.uint8).reshape(-1, 8)
+            listed = np.bitwise_or.reduce([table[values[:, b]] & np.uint8(1 << b) for b in range(8)])
+            w, i = np.nonzero(listed)
+            near = np.bitwise_count(piece[w] ^ self.prints[items[i]]) <= self.radius
+            windows.append(w[near] + at)
+            found.append(items[i[near]])
+        return np.concatenate(windows), np.concatenate(found)
+
+    def similarity(self, window: np.ndarray, item: int) -> float:
+        """Weighted Jaccard similarity of a window's shingles with an item's."""
+        own, n = np.unique(window, return_counts=True)
+        grams, counts = (x[self.first[item] : self.first[item + 1]] for x in (self.grams, self.counts))
+        at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        both = np.minimum(n, counts[at])[grams[at] == own].sum()
+        return both / (len(window) + counts.sum() - both)
+
+
+def _found(tokens: np.ndarray, hits: np.ndarray, length: int, items: Items, min_similarity: float) -> dict[int, float]:
+    """The highest similarity of each item of a length with a window around the hits, from ``min_similarity`` on."""
+    n = min(length, len(tokens))
+    k = min(SHINGLE_WORDS, length)
     m = n - k + 1
     if m < 1:
-        return 0.0
+        return {}
     starts = np.unique((hits[:, None] - np.arange(m)[None, :]).ravel())
     starts = starts[(starts >= 0) & (starts + n <= len(tokens))]
-    best, wanted = 0.0, items.counts[item]
-    total = sum(wanted.values())
+    best: dict[int, float] = {}
     for piece in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1):
         if not len(piece):
             continue
         base = piece[0]
         hashes = _shingles(tokens[base : piece[-1] + n], k)
-        for at in piece[items.near(simhash(hashes, piece - base, m), item)] - base:
-            own = Counter(hashes[at : at + m].tolist())
-            both = sum(min(c, wanted[h]) for h, c in own.items() if h in wanted)
-            best = max(best, both / (m + total - both))
+        for w, item in zip(*(x.tolist() for x in items.candidates(simhash(hashes, piece - base, m), length)), strict=True):
+            at = piece[w] - base
+            likeness = items.similarity(hashes[at : at + m], item)
+            if likeness >= max(min_similarity, best.get(item, 0.0)):
+                best[item] = likeness
     return best
 
 
@@ -122,23 +156,27 @@ def _search(items: Items, min_similarity: float):
             for lo, hi, data, borders in slices(batch.column("text")):
                 tokens, first = _word_tokens(data, borders)
                 ids = batch.column("doc_id").slice(lo, hi - lo).to_pylist()
-                by_pair = defaultdict(list)
-                for k in items.lengths:
-                    hashes, keys = _shingles(tokens, k), items.keys[k]
+                around = defaultdict(list)
+                for k, (keys, begins, lengths) in items.lengths.items():
+                    hashes = _shingles(tokens, k)
                     if not len(hashes):
                         continue
-                    hit = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)] == hashes)
+                    key = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                    hit = np.flatnonzero(keys[key] == hashes)
                     row = np.searchsorted(first, hit, side="right") - 1
                     inside = hit + k <= first[row + 1]
-                    for at, r in zip(hit[inside].tolist(), row[inside].tolist(), strict=True):
-                        for item in items.holders[k, int(hashes[at])]:
-                            by_pair[r, item].append(at - int(first[r]))
-                for (r, item), hits in by_pair.items():
-                    best = _best(tokens[first[r] : first[r + 1]], np.array(hits), item, items)
-                    if best >= min_similarity:
-                        docs.append(ids[r])
-                        found.append(items.ids[item])
-                        likeness.append(round(best, 6))
+                    hit, row = hit[inside], row[inside]
+                    entry, of = _expanded(begins, key[hit])
+                    for at, r, n in zip((hit - first[row])[of].tolist(), row[of].tolist(), lengths[entry].tolist(), strict=True):
+                        around[r, n].append(at)
+                best: dict[tuple[int, int], float] = {}
+                for (r, n), hits in around.items():
+                    for item, x in _found(tokens[first[r] : first[r + 1]], np.array(hits), n, items, min_similarity).items():
+                        best[r, int(items.ids[item])] = max(x, best.get((r, int(items.ids[item])), 0.0))
+                for (r, item), x in best.items():
+                    docs.append(ids[r])
+                    found.append(item)
+                    likeness.append(round(x, 6))
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64()), pa.array(likeness, pa.float64())], ["doc_id", "item_id", "similarity"])
 
     return search
