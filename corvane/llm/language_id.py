@@ -50,19 +50,55 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
+class Places:
+    """An open-addressing table of 32-bit integers, four times as large as what it holds."""
+
+    def __init__(self, known: np.ndarray):
+        self._bits = max(4, int(4 * len(known) - 1).bit_length())
+        self._keys, self._place = np.zeros(1 << self._bits, np.uint32), np.zeros(1 << self._bits, np.int32)
+        open_ = np.arange(len(known))
+        at, self._probes = self._slot(known.astype(np.uint32)), 0
+        while len(open_):
+            self._probes += 1
+            free = np.flatnonzero(self._place[at] == 0)
+            _, one = np.unique(at[free], return_index=True)
+            one = free[one]
+            self._keys[at[one]], self._place[at[one]] = known[open_[one]], open_[one] + 1
+            left = np.ones(len(open_), bool)
+            left[one] = False
+            open_, at = open_[left], (at[left] + 1) & ((1 << self._bits) - 1)
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        return ((x * np.uint32(0x9E3779B1)) >> np.uint32(32 - self._bits)).astype(np.int64)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """1 + the place of each integer among the known ones, 0 for others."""
+        x = x.astype(np.uint32)
+        at = self._slot(x)
+        out = np.where(self._keys[at] == x, self._place[at], 0)
+        open_ = np.flatnonzero((out == 0) & (self._place[at] != 0))
+        for step in range(1, self._probes):
+            if not len(open_):
+                break
+            own = (at[open_] + step) & ((1 << self._bits) - 1)
+            hit = self._keys[own] == x[open_]
+            out[open_[hit]] = self._place[own[hit]]
+            open_ = open_[~hit & (self._place[own] != 0)]
+        return out
+
+
 class Model:
     """Frozen context trees of several languages."""
 
     def __init__(self, langs: list[str], gram: np.ndarray, lang: np.ndarray, n: np.ndarray):
         self.langs = langs
         self._tables = [[self._order(gram[lang == i] & ((1 << (8 * (o + 1))) - 1), n[lang == i]) for o in range(ORDER + 1)] for i in range(len(langs))]
-        self._pairs = np.zeros(1 << 16, dtype=np.int32)
-        known = np.unique(gram)
-        halves = np.unique(np.r_[known >> 16, known & 0xFFFF])
-        self._pairs[halves] = np.arange(1, len(halves) + 1)
-        self._index = np.zeros((len(halves) + 1, len(halves) + 1), dtype=np.int32)
-        self._index[self._pairs[known >> 16], self._pairs[known & 0xFFFF]] = np.arange(1, len(known) + 1)
-        self._costs = np.concatenate([np.zeros((len(langs), 1)), self.costs(known)], axis=1).astype(np.float32)
+        self._known = np.unique(gram)
+        self._costs = np.concatenate([np.zeros((len(langs), 1)), self.costs(self._known)], axis=1).astype(np.float32)
+        self._places: Places | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_places": None}  # tasks make their own
 
     @staticmethod
     def _order(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -94,7 +130,8 @@ class Model:
     def code_lengths(self, data: np.ndarray, borders: np.ndarray) -> np.ndarray:
         """Bits of each row in each language."""
         gram, borders = _grams(data, borders)
-        index = self._index[self._pairs[gram >> 16], self._pairs[gram & 0xFFFF]]
+        self._places = self._places or Places(self._known)
+        index = self._places(gram)
         missing = np.flatnonzero(index == 0)
         new, where = np.unique(gram[missing].astype(np.int64), return_inverse=True)
         new_costs = self.costs(new)
