@@ -3,14 +3,19 @@
 Vectors that point within ``acos(min_cosine)`` of each other agree on one random hyperplane's
 sign with probability 1 - angle/pi. A table's bucket is the signs of ``bits`` hyperplanes, and
 there are as many tables as it takes for a pair at the threshold to meet in one of them with
-probability ``recall``. Pairs of a bucket are verified by their cosine in double precision, in
-blocks of a matrix product, and a pair is counted in the first table in which it meets, so
-link counts need no list of pairs. Equal vectors are collapsed to one weighted vector first, and
-a hot bucket is cut into pairs of blocks (``groups.paired_blocks``).
+probability ``recall``. The signs of all tables together are a vector's sketch. Buckets first hold
+keys and sketches only, of a few bytes: a vector stays in a bucket if the sketch of another one is
+within the mean and six standard deviations of the distance at the threshold. Most vectors have no
+such neighbour and go no further; those that stay meet again in the same buckets with their
+components. Pairs are then verified by their cosine in double precision, in blocks of a matrix
+product, and a pair is counted in the first table in which it meets, so link counts need no list
+of pairs. Equal vectors are collapsed to one weighted vector first, and a hot bucket is cut into
+pairs of blocks (``groups.paired_blocks``).
 
 Vectors that are null, empty, all zero, or that hold null or non-finite components link with
-nothing; vectors of different lengths neither. Rows with the same vec_id and vector are copies
-of each other; a null vec_id keeps its links' count and has a null component.
+nothing; vectors of different lengths neither. Rows with the same vector are copies of each other,
+whatever their ids, and a repeated vec_id with another vector is another vector. A null vec_id has
+its links counted and a null component; a component of null ids only has none.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.components import connected_components
-from corvane.llm.groups import paired_blocks, runs
+from corvane.llm.groups import paired_blocks, rejoined, runs
 from corvane.tables import written
 
 MIN_COSINE = 0.95
@@ -43,12 +48,6 @@ def planes(dim: int, bits: int, tables: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).standard_normal((dim, bits * tables))
 
 
-def signatures(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """A row of ``tables`` integers for each vector; by row, so that the result is the same in any batch."""
-    signs = (x @ planes(x.shape[1], bits, tables) > 0).reshape(len(x), tables, bits)
-    return signs @ (1 << np.arange(bits, dtype=np.int64))
-
-
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(-1, dim)
 
@@ -77,9 +76,49 @@ def _within(x: np.ndarray, y: np.ndarray, min_cosine: float) -> tuple[np.ndarray
     return np.nonzero(x @ y.T >= min_cosine)
 
 
+def sketch_radius(bits: int, min_cosine: float = MIN_COSINE) -> int:
+    """Bits in which sketches of a pair at the threshold differ at most, at six standard deviations."""
+    apart = math.acos(min_cosine) / math.pi
+    return math.ceil(bits * apart + 6 * math.sqrt(bits * apart * (1 - apart)))
+
+
+def sketch(x: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature of each table, all signs packed) of each row."""
+    signs = (x @ planes(x.shape[1], bits, tables) > 0).reshape(len(x), tables, bits)
+    return signs @ (1 << np.arange(bits, dtype=np.int64)), np.packbits(signs.reshape(len(x), -1), axis=1)
+
+
+def table_signatures(column: pa.ChunkedArray, bits: int, tables: int) -> np.ndarray:
+    """The signature of each table out of sketches."""
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.unpackbits(packed, axis=1, count=bits * tables).reshape(-1, tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def _words(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Sketches of ``width`` bytes, padded to 64-bit words."""
+    out = np.zeros((len(column), -(-width // 8) * 8), np.uint8)
+    out[:, :width] = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+    return out.view(np.uint64)
+
+
+def _neighboured(words: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
+    """Which rows of a part have another sketch within the radius, among those they are compared with."""
+    out = np.zeros(len(words), bool)
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    for lo in range(0, len(left), 256):
+        i = left[lo : lo + 256]
+        near = sum(np.bitwise_count(words[i, w][:, None] ^ words[right, w][None, :]).astype(np.int32) for w in range(words.shape[1])) <= radius
+        if side[0] == 2:
+            near &= i[:, None] != right[None, :]
+        out[i] |= near.any(axis=1)
+        out[right] |= near.any(axis=0)
+    return out
+
+
 def links(classes: DataFrame, n: int, min_cosine: float = MIN_COSINE, recall: float = RECALL) -> DataFrame:
     """(rep, n_links, root) rows to be summed by rep; rep and root are connected."""
     bits, tables = plan(n, min_cosine, recall)
+    width, radius = -(-bits * tables // 8), sketch_radius(bits * tables, min_cosine)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,12 +126,22 @@ def links(classes: DataFrame, n: int, min_cosine: float = MIN_COSINE, recall: fl
                 own = batch.filter(pa.array(np.asarray(batch.column("dim")) == dim))
                 for at in range(0, own.num_rows, 2048):
                     piece = own.slice(at, 2048)
-                    sigs = signatures(_matrix(piece.column("unit"), dim), bits, tables)
+                    sigs, packed = sketch(_matrix(piece.column("unit"), dim), bits, tables)
                     keys = sigs + (np.arange(tables, dtype=np.int64) << 40) + (dim << 48)
-                    yield pa.RecordBatch.from_arrays([piece.column("rep"), piece.column("weight"), piece.column("dim"), piece.column("unit"), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["rep", "weight", "dim", "unit", "keys"])
+                    yield pa.RecordBatch.from_arrays([piece.column("rep"), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(keys.tolist(), pa.list_(pa.int64()))], ["rep", "sketch", "keys"])
+
+    def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, "part"):
+            part, side, words = table["part"].to_numpy(), table["side"].to_numpy(), _words(table["sketch"], width)
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            sizes = np.diff(np.r_[first, len(part)])
+            kept = [at + np.flatnonzero(_neighboured(words[at : at + size], side[at : at + size], radius)) for at, size in zip(first[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True)]
+            yield from table.take(np.concatenate([np.zeros(0, np.int64), *kept])).to_batches()
 
-    keyed = classes.mapInArrow(sign, "rep long, weight long, dim int, unit binary, keys array<long>")
-    dealt = paired_blocks(keyed.select("rep", "weight", "dim", "unit", F.explode("keys").alias("key")), "key", "rep")
+    keyed = classes.mapInArrow(sign, "rep long, sketch binary, keys array<long>")
+    dealt = paired_blocks(keyed.select("rep", "sketch", F.explode("keys").alias("key")), "key", "rep").select("part", "side", "rep", "key", "sketch")
+    near = written(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(stay, "part long, side byte, rep long, key long, sketch binary"), "near")
+    whole = near.join(classes.select(F.col("rep").alias("_rep"), "weight", "dim", "unit"), F.col("rep") == F.col("_rep"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, "part", 4096):
@@ -115,7 +164,7 @@ def links(classes: DataFrame, n: int, min_cosine: float = MIN_COSINE, recall: fl
                     if not len(u):
                         continue
                     seen = np.unique(np.r_[u, v])
-                    sigs = signatures(x[seen], bits, tables)
+                    sigs = table_signatures(own["sketch"].take(pa.array(seen)), bits, tables)
                     su, sv = np.searchsorted(seen, u), np.searchsorted(seen, v)
                     new = np.ones(len(u), bool)
                     for earlier in range(t):
@@ -137,19 +186,22 @@ def links(classes: DataFrame, n: int, min_cosine: float = MIN_COSINE, recall: fl
                         root = root[root]
                     yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(count[hit]), pa.array(rep[root[hit]])], ["rep", "n_links", "root"])
 
-    placed = dealt.select("part", "side", "rep", "weight", "dim", "unit", "key").repartition("part").sortWithinPartitions("part")
+    placed = whole.select("part", "side", "rep", "weight", "dim", "unit", "key", "sketch").repartition("part").sortWithinPartitions("part")
     return placed.mapInArrow(verify, "rep long, n_links long, root long")
 
 
 def embedding_near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for vectors (vec_id, embedding, ...); see the module."""
     units = written(unit_vectors(vectors), "units")
-    classes = written(units.where("unit is not null").groupBy("unit", "dim").agg(F.coalesce(F.min("vec_id"), F.min(F.xxhash64("unit"))).alias("rep"), F.count(F.lit(1)).alias("weight")), "vectors")
+    rep = F.xxhash64("unit", "dim").alias("rep")
+    classes = written(units.where("unit is not null").groupBy("unit", "dim").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight")).select("unit", "dim", "least", "weight", rep), "vectors")
     found = written(links(classes, classes.count(), min_cosine, recall), "links")
     counts = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
     named = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     joined = classes.join(counts, "rep", "left").join(named, F.col("rep") == F.col("node"), "left")
-    by_class = joined.select("unit", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    by_class = written(joined.select("rep", "least", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "linked")
+    smallest = rejoined(by_class, by_class.groupBy("component").agg(F.min("least").alias("component_id")), "component")
     plain = units.where("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = units.where("unit is not null").join(by_class, "unit").select("vec_id", "n_links", F.when(F.col("vec_id").isNotNull(), F.col("component_id")).alias("component_id")).unionByName(plain)
+    linked = rejoined(units.where("unit is not null").select("vec_id", rep), smallest.select("rep", "n_links", "component_id"), "rep")
+    out = linked.select("vec_id", "n_links", F.when(F.col("vec_id").isNotNull(), F.col("component_id")).alias("component_id")).unionByName(plain)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -330,3 +330,37 @@ def test_hot_lines_over_many_ranges(spark):
         assert rows_by_id(line_dedup.line_digests(docs)) == sorted(brute_lines(rows, 40, 5), key=str)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_planted_embedding_links(spark):
+    """Pairs at cosines of 0.95 to 1 in pairs, chains and one large group, against brute force."""
+    rng = np.random.default_rng(41)
+    unit = lambda x: x / np.linalg.norm(x)
+    vectors = [unit(rng.normal(size=64)) for _ in range(1500)]
+
+    def at_cosine(v, c):
+        w = rng.normal(size=64)
+        w = unit(w - (w @ v) * v)
+        return c * v + np.sqrt(1 - c * c) * w
+
+    for i in range(300):
+        vectors.append(at_cosine(vectors[i], rng.uniform(0.94, 1)))
+    for _ in range(40):
+        vectors.append(at_cosine(vectors[-1], 0.96))
+    vectors += [at_cosine(vectors[0], rng.uniform(0.97, 1)) for _ in range(300)]
+    order = rng.permutation(len(vectors))
+    rows = [(int(i), vectors[j].tolist()) for i, j in enumerate(order)] + [(5, vectors[3].tolist()), (None, vectors[order[8]].tolist())]
+    got = embedding_dedup.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)).collect()
+    x = np.array([unit(np.array(v)) for _, v in rows])
+    near = np.argwhere(np.triu(x @ x.T >= 0.95, 1))
+    links = Counter(near.ravel().tolist())
+    root = components_of(range(len(rows)), [(int(a), int(b)) for a, b in near])
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root[n]] = min(i, least.get(root[n], i))
+    wanted = Counter((i, links[n], least[root[n]] if i is not None else None) for n, (i, _) in enumerate(rows))
+    found = Counter((r.vec_id, r.n_links, r.component_id) for r in got)
+    assert len(got) == len(rows) and sum((wanted & found).values()) >= 0.99 * len(rows)
+    assert sum(r.n_links for r in got) >= 0.999 * 2 * len(near)
+    assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
