@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import tokens
+from corvane.functions.text import sentences, tokens
 
 TARGET, HARD, OVERLAP, TINY = 300, 480, 45, 40
 
@@ -66,10 +66,14 @@ def summary(sentence_rows: DataFrame, keywords: DataFrame, take: int = 3) -> Dat
     return shown.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "shown"))), lambda x: x["shown"]), "").alias("summary"))
 
 
-def tfidf(docs: DataFrame, take: int = 12, least: int = 2) -> DataFrame:
-    """(id, term, tfidf, rank) of texts (id, text): counts by length times ln((n + 1) / (df + 1)) + 1."""
-    terms = docs.select("id", F.explode(tokens(F.col("text"))).alias("term")).where(F.length("term") >= least)
-    tf = terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("c"))
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(id, term, c) of texts (id, text)."""
+    return docs.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("c"))
+
+
+def tfidf(counts: DataFrame, docs: DataFrame, take: int = 12, least: int = 2) -> DataFrame:
+    """(id, term, tfidf, rank) of ``term_counts`` of docs: counts by length times ln((n + 1) / (df + 1)) + 1."""
+    tf = counts.where(F.length("term") >= least)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     size = tf.groupBy("id").agg(F.sum("c").alias("size"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
@@ -137,23 +141,32 @@ def entities(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.explode(found).alias("e")).groupBy("id", "e.kind", "e.name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def style(text: Column, sents: Column) -> Column:
-    """Sentence count, variation of sentence length, share of repeated bigrams, clichés per 100 characters, votes and score.
+def style(docs: DataFrame) -> DataFrame:
+    """Of texts (id, text): sentence count, variation of sentence length, share of repeated words, clichés per 100 characters, votes and score.
 
-    Texts under 120 characters or 5 sentences have no score.
+    Texts under 120 characters or 5 sentences are left out. Sentences and tokens are made once each, behind
+    a generator that expressions aren't copied through.
     """
-    n = F.size(sents)
-    total = F.aggregate(sents, F.lit(0.0), lambda a, s: a + F.length(s))
-    squares = F.aggregate(sents, F.lit(0.0), lambda a, s: a + F.length(s) * F.length(s).cast("double"))
-    cv = F.round(F.sqrt(F.greatest(F.lit(0.0), squares / n - (total / n) * (total / n))) / (total / n), 4)
-    words = tokens(text)
-    repeat = F.round(1 - F.size(F.array_distinct(words)) / F.size(words), 4)
-    low = F.lower(text)
-    cliche = F.round(F.regexp_count(low, F.lit("|".join(CLICHES + CLICHES_ZH))) / (F.length(text) / 100.0), 4)
-    votes = (cv < 0.35).cast("int") + (repeat > 0.62).cast("int") + (cliche >= 1.2).cast("int")
-    enough = (F.length(text) >= 120) & (n >= 5)
-    score = F.element_at(F.array(*[F.lit(x) for x in (0.0, 0.3, 0.55, 0.75, 0.9)]), votes + 1)
-    return F.when(enough, F.struct(n.cast("long").alias("sentences"), cv.alias("length_cv"), repeat.alias("repeat_ratio"), cliche.alias("cliche_per_100"), votes.cast("long").alias("votes"), score.alias("score")))
+    cut = docs.where(F.length("text") >= 120).select("id", F.inline(F.array(F.struct(
+        sentences(F.col("text"), 4, 100000).alias("sents"), tokens(F.col("text")).alias("words"), F.length("text").alias("chars"),
+        F.regexp_count(F.lower("text"), F.lit("|".join(CLICHES + CLICHES_ZH))).alias("cliches"),
+    ))))
+    lengths = F.transform("sents", lambda s: F.length(s).cast("double"))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    counted = cut.select("id", F.inline(F.array(F.struct(
+        F.size("sents").cast("long").alias("sentences"), add(lengths).alias("total"), add(F.transform(lengths, lambda x: x * x)).alias("squares"),
+        F.size("words").alias("n_words"), F.size(F.array_distinct("words")).alias("n_distinct"), "chars", "cliches",
+    )))).where("sentences >= 5")
+    mean = F.col("total") / F.col("sentences")
+    out = counted.select(
+        "id", "sentences",
+        F.round(F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("sentences") - mean * mean)) / mean, 4).alias("length_cv"),
+        F.round(1 - F.col("n_distinct") / F.col("n_words"), 4).alias("repeat_ratio"),
+        F.round(F.col("cliches") / (F.col("chars") / 100.0), 4).alias("cliche_per_100"),
+    )
+    votes = (F.col("length_cv") < 0.35).cast("long") + (F.col("repeat_ratio") > 0.62).cast("long") + (F.col("cliche_per_100") >= 1.2).cast("long")
+    score = F.element_at(F.array(*[F.lit(x) for x in (0.0, 0.3, 0.55, 0.75, 0.9)]), F.col("votes").cast("int") + 1)
+    return out.withColumn("votes", votes).withColumn("score", score)
 
 
 #: Names of files that hold secrets.

@@ -6,13 +6,14 @@ Queries are rows with a query_id; every step keeps it, so a batch of queries is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import tokens
+from corvane.tables import written
 
 RRF_K = 60
 ROUTE_LIMIT = 200
@@ -20,23 +21,13 @@ ROUTE_LIMIT = 200
 QUERY_BLOCK = 1024
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, item_id, tf) of chunks (chunk_id, item_id, text)."""
-    return chunks.select("chunk_id", "item_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "chunk_id", "item_id").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def doc_stats(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", F.size(tokens(F.col("text"))).cast("long").alias("dl"))
-
-
 def bm25(post: DataFrame, stats: DataFrame, query_terms: DataFrame, every_term: bool = True) -> DataFrame:
     """(query_id, chunk_id, item_id, score): BM25 with k1 1.2, b 0.75 and the probabilistic idf, floored.
 
-    ``query_terms`` has distinct (query_id, term). The postings are cut to the queries' terms before
-    anything is counted, and with ``every_term`` a chunk has to hold all terms of its query.
+    ``query_terms`` has distinct (query_id, term), and ``post`` the postings of these terms (see
+    ``SearchIndex.of``). With ``every_term`` a chunk has to hold all terms of its query.
     """
-    asked = query_terms.select("term").distinct()
-    used = post.join(asked, "term", "left_semi")
+    used = post.select("term", "chunk_id", "item_id", "tf")
     df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     corpus = stats.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -96,36 +87,52 @@ def cosines(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFra
 def knn(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
     """(query_id, item_id, cosine, rank): exact nearest neighbours of queries (query_id, embedding) in (item_id, embedding).
 
-    A block of query vectors goes to the tasks; each batch of vectors is one matrix product that
-    keeps its own top k a query, so what is shuffled is k rows a query and batch. A vector without
-    length has cosine 0 with all.
+    A block of about QUERY_BLOCK query vectors goes to the tasks at a time, and of several blocks each
+    one's result is written before the next is read, so the driver holds one block. Each batch of
+    vectors is one matrix product that keeps its own top k a query, so what is shuffled is k rows a
+    query and batch. A vector without length has cosine 0 with all.
     """
-    rows = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null").orderBy("query_id").collect()
-    out = None
-    for at in range(0, len(rows), QUERY_BLOCK):
-        block = rows[at : at + QUERY_BLOCK]
-        ids, q = np.array([r.query_id for r in block]), _unit(np.array([r.v for r in block], dtype=np.float64))
-
-        def search(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                item = np.asarray(batch.column("item_id"))
-                flat = batch.column("v")
-                x = _unit(flat.flatten().to_numpy(zero_copy_only=False).reshape(len(item), -1))
-                cos = np.round(q @ x.T, 6)
-                if skip_self:
-                    cos[ids[:, None] == item[None, :]] = -2
-                take = min(k, len(item))
-                best = np.lexsort((np.broadcast_to(item, cos.shape), -cos), axis=1)[:, :take]
-                keep = np.take_along_axis(cos, best, axis=1).ravel() >= -1
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, take)[keep]), pa.array(item[best].ravel()[keep]), pa.array(np.take_along_axis(cos, best, axis=1).ravel()[keep])], ["query_id", "item_id", "cosine"])
-
-        found = vectors.select(F.col("item_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null").mapInArrow(search, "query_id long, item_id long, cosine double")
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        return vectors.where("false").select(F.lit(0).cast("long").alias("query_id"), "item_id", F.lit(0.0).alias("cosine"), F.lit(0).cast("long").alias("rank"))
-    return top(out, k, F.desc("cosine"), F.col("item_id"))
+    asked = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
+    have = vectors.select(F.col("item_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
+    blocks = -(-asked.count() // QUERY_BLOCK)
+    if blocks <= 1:
+        return _knn_block(have, asked.orderBy("query_id").collect(), k, skip_self)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    tables = [written(_knn_block(have, asked.where(block == b).orderBy("query_id").collect(), k, skip_self), "neighbours") for b in range(blocks)]
+    return reduce(DataFrame.unionAll, tables)
+
+
+def _knn_block(have: DataFrame, rows: list, k: int, skip_self: bool) -> DataFrame:
+    """Neighbours of one block of queries, which goes to the tasks."""
+    ids, q = np.array([r.query_id for r in rows], dtype=np.int64), _unit(np.array([r.v for r in rows], dtype=np.float64).reshape(len(rows), -1))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            item = np.asarray(batch.column("item_id"))
+            x = _unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(item), -1))
+            cos = np.round(q @ x.T, 6)
+            if skip_self:
+                cos[ids[:, None] == item[None, :]] = -2
+            take = min(k, len(item))
+            best = _first(cos, item, take)
+            keep = np.take_along_axis(cos, best, axis=1).ravel() >= -1
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, take)[keep]), pa.array(item[best].ravel()[keep]), pa.array(np.take_along_axis(cos, best, axis=1).ravel()[keep])], ["query_id", "item_id", "cosine"])
+
+    return top(have.mapInArrow(search, "query_id long, item_id long, cosine double"), k, F.desc("cosine"), F.col("item_id"))
+
+
+def _first(cos: np.ndarray, item: np.ndarray, take: int) -> np.ndarray:
+    """The columns of the ``take`` highest values of each row, by item where values are equal; only what reaches the row's bound is sorted."""
+    if take == cos.shape[1]:
+        return np.lexsort((np.broadcast_to(item, cos.shape), -cos), axis=1)
+    out = np.empty((len(cos), take), dtype=np.int64)
+    bounds = np.partition(cos, cos.shape[1] - take, axis=1)[:, cos.shape[1] - take]
+    for row, bound, to in zip(cos, bounds, out, strict=True):
+        at = np.flatnonzero(row >= bound)
+        to[:] = at[np.lexsort((item[at], -row[at]))[:take]]
+    return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -269,7 +269,8 @@ def recovery_drop_filter(spark, sf_dir):
 
 @query(f"WITH {CHUNKS}, {POSTINGS}, {queries_sql(3)} SELECT query_id, q.term, count(chunk_id) AS n FROM query_terms q LEFT JOIN postings p ON p.term = q.term GROUP BY query_id, q.term")
 def recovery_split_terms(spark, sf_dir):
-    return answers.split_terms(retrieval.postings(V.chunks(spark, sf_dir)), V.query_terms(spark, sf_dir, 3))
+    terms = V.query_terms(spark, sf_dir, 3)
+    return answers.split_terms(V.index(spark, sf_dir).of(terms), terms)
 
 
 _VOCAB = f"""{CHUNKS}, {POSTINGS}, vocab AS (SELECT term, sum(tf)::BIGINT AS cnt FROM postings WHERE length(term) BETWEEN 2 AND 12 AND regexp_matches(term, '^[a-z0-9]+$') GROUP BY term),
@@ -280,7 +281,7 @@ typos AS (SELECT DISTINCT t[1:len(t) - 1] AS term FROM (SELECT unnest({TOKENS.fo
 near AS (SELECT DISTINCT u.term, v.term AS suggestion, levenshtein(u.term, v.term) AS distance, cnt FROM unknown u JOIN vocab v ON abs(length(u.term) - length(v.term)) <= most AND (u.term[1:1] = v.term[1:1] OR u.term[-1:] = v.term[-1:]) AND levenshtein(u.term, v.term) <= most)
 SELECT term, suggestion, distance, cnt FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY cnt DESC, distance, suggestion) AS r FROM near) WHERE r = 1""")
 def recovery_did_you_mean(spark, sf_dir):
-    vocab = retrieval.postings(V.chunks(spark, sf_dir)).where(F.length("term").between(2, 12) & F.col("term").rlike("^[a-z0-9]+$")).groupBy("term").agg(F.sum("tf").alias("cnt"))
+    vocab = V.index(spark, sf_dir).postings.where(F.length("term").between(2, 12) & F.col("term").rlike("^[a-z0-9]+$")).groupBy("term").agg(F.sum("tf").alias("cnt"))
     t = V.table(spark, sf_dir, "benchmark").select(F.explode(F.slice(tokens(F.col("text")), 1, 8)).alias("t")).where((F.length("t") >= 3) & F.col("t").rlike("^[a-z0-9]+$"))
     return answers.did_you_mean(t.select(F.expr("substring(t, 1, length(t) - 1)").alias("term")), vocab)
 

@@ -18,8 +18,8 @@ _BASE = f"WITH {CHUNKS}, {POSTINGS}, {STATS}, {queries_sql()}, {BM25}"
 
 
 def _bm25(spark, sf_dir) -> DataFrame:
-    c = V.chunks(spark, sf_dir)
-    return R.bm25(R.postings(c), R.doc_stats(c), V.query_terms(spark, sf_dir))
+    index, terms = V.index(spark, sf_dir), V.query_terms(spark, sf_dir)
+    return R.bm25(index.of(terms), index.stats, terms)
 
 
 @query(_BASE + " SELECT query_id, chunk_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm25) WHERE rank <= 200")
@@ -77,9 +77,8 @@ def tag_semi_join(spark, sf_dir):
   SELECT DISTINCT item_id FROM postings WHERE term IN ('was', 'from') GROUP BY chunk_id, item_id HAVING count(*) = 2)
 SELECT query_id, item_id, rank FROM keyword WHERE item_id NOT IN (SELECT item_id FROM gone)""")
 def exclude_anti_join(spark, sf_dir):
-    post = R.postings(V.chunks(spark, sf_dir))
     words = V.queries(spark, sf_dir).select("query_id", F.explode(F.array(F.lit("was"), F.lit("from"))).alias("term"))
-    gone = R.excluded_items(post, words)
+    gone = R.excluded_items(V.index(spark, sf_dir).of(words), words)
     return R.best_chunks(_bm25(spark, sf_dir)).join(gone, ["query_id", "item_id"], "left_anti").select("query_id", "item_id", "rank")
 
 
@@ -93,7 +92,8 @@ HAVING count(DISTINCT e.term) = (SELECT count(DISTINCT x.term) FROM expanded x W
 def synonym_or_expand(spark, sf_dir):
     types = V.table(spark, sf_dir, "events").select(F.lower("event_type").alias("a"), F.lit("the").alias("b")).distinct()
     syn = types.unionAll(spark.createDataFrame([("the", "of"), ("de", "la"), ("und", "die")], "a string, b string"))
-    return R.match_alternatives(R.postings(V.chunks(spark, sf_dir)), R.expand_synonyms(V.query_terms(spark, sf_dir), syn))
+    expanded = R.expand_synonyms(V.query_terms(spark, sf_dir), syn)
+    return R.match_alternatives(V.index(spark, sf_dir).of(expanded.select(F.col("alternative").alias("term"))), expanded)
 
 
 @query(f"WITH {CHUNKS}, {queries_sql(3)} SELECT query_id, chunk_id FROM chunks JOIN queries ON len(terms) = 3 AND contains(' ' || array_to_string({V.TOKENS.format('text')}, ' ') || ' ', ' ' || query || ' ')")
@@ -101,8 +101,8 @@ def phrase_match(spark, sf_dir):
     """Chunks with the query's words side by side: candidates by all words, then the phrase."""
     c = V.chunks(spark, sf_dir)
     q = V.queries(spark, sf_dir, 3).where(F.size("terms") > 0)
-    post = R.postings(c)
-    cand = R.match_alternatives(post, q.select("query_id", F.explode("terms").alias("term")).withColumn("alternative", F.col("term")))
+    asked_terms = q.select("query_id", F.explode("terms").alias("term"))
+    cand = R.match_alternatives(V.index(spark, sf_dir).of(asked_terms), asked_terms.withColumn("alternative", F.col("term")))
     flat = F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), " "), F.lit(" "))
     asked = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(tokens(F.col("text")), 1, 3).alias("w")).where(F.size("w") == 3)
     return cand.join(c.select("chunk_id", "text"), "chunk_id").join(asked, "query_id").where(F.contains(flat, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))).select("query_id", "chunk_id")
@@ -240,5 +240,5 @@ def click_learning(spark, sf_dir):
 
 @query(f"WITH {CHUNKS}, {POSTINGS} SELECT term, sum(tf)::BIGINT AS cnt, count(*) AS df FROM postings WHERE length(term) BETWEEN 2 AND 12 GROUP BY term ORDER BY cnt DESC, term LIMIT 8000")
 def vocabulary(spark, sf_dir):
-    p = R.postings(V.chunks(spark, sf_dir)).where(F.length("term").between(2, 12))
+    p = V.index(spark, sf_dir).postings.where(F.length("term").between(2, 12))
     return p.groupBy("term").agg(F.sum("tf").alias("cnt"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("cnt"), "term").limit(8000)

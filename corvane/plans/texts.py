@@ -51,7 +51,7 @@ tfidf AS (SELECT id, term, tfidf, rank FROM (SELECT *, row_number() OVER (PARTIT
 
 @query(f"WITH {_TFIDF} SELECT * FROM tfidf")
 def tfidf_keywords(spark, sf_dir):
-    return passages.tfidf(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return passages.tfidf(V.index(spark, sf_dir).item_terms(), V.table(spark, sf_dir, "documents"))
 
 
 @query()
@@ -72,7 +72,7 @@ SELECT id, string_agg((CASE WHEN gap > 1 THEN '……' ELSE '' END) || sentence[
 def extractive_summary(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     s = d.select("id", F.posexplode(sentences(F.col("text"), 8, 160)).alias("i", "sentence"))
-    return passages.summary(s, passages.tfidf(d).select("id", "term"))
+    return passages.summary(s, passages.tfidf(V.index(spark, sf_dir).item_terms(), d).select("id", "term"))
 
 
 @query(r"""WITH found AS (
@@ -120,8 +120,7 @@ parts AS (
 voted AS (SELECT *, (length_cv < 0.35)::BIGINT + (repeat_ratio > 0.62)::BIGINT + (cliche_per_100 >= 1.2)::BIGINT AS votes FROM parts)
 SELECT doc_id, sentences, length_cv, repeat_ratio, cliche_per_100, votes, [0.0::DOUBLE, 0.3::DOUBLE, 0.55::DOUBLE, 0.75::DOUBLE, 0.9::DOUBLE][votes + 1] AS score FROM voted""")
 def ai_style_stats(spark, sf_dir):
-    d = V.table(spark, sf_dir, "documents")
-    return d.select("doc_id", passages.style(F.col("text"), sentences(F.col("text"), 4, 100000)).alias("s")).where("s is not null").select("doc_id", "s.*")
+    return passages.style(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("id", "doc_id")
 
 
 @query(r"""WITH named AS (SELECT doc_id, '/home/' || source || '/' || ['.env', 'id_rsa', 'server.pem', '.env.local', 'my_passwords.txt', 'notes.md', 'tokenizer.py'][doc_id % 7 + 1] AS path FROM documents),

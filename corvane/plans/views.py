@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
+from corvane.operators.search_index import SearchIndex, built
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -37,6 +38,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.where(F.trim("text") != "").select((F.col("doc_id") * 100000 + F.col("n")).alias("chunk_id"), F.col("doc_id").alias("item_id"), F.col("n").cast("long").alias("chunk_index"), "text")
 
 
+def index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The index of all chunks, built at its first use."""
+    return built(spark, f"{sf_dir}/documents.parquet", lambda: chunks(spark, sf_dir))
+
+
 def queries(spark: SparkSession, sf_dir: str, words: int = 2) -> DataFrame:
     """(query_id, query, terms) from the benchmark's items: each item's first tokens."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(tokens(F.col("text")), 1, words).alias("terms"))
