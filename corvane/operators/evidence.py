@@ -12,8 +12,9 @@ from corvane.functions.text import tokens
 from corvane.functions.web import tier_weight
 
 #: Words that turn a sentence against a claim, or for it.
-REFUTING = r"(?i)(辟谣|不实|谣言|误传|假的|反驳|质疑|\bfalse\b|\bdebunk|\bmyth\b|\brefut|\bdisput|\bincorrect\b|\bnot true\b)"
-SUPPORTING = r"(?i)(证实|确认|属实|支持|\bconfirm|\bverified\b|\bsupport|\bevidence shows\b)"
+REFUTING = r"(?i)(辟谣|谣言|不实|假的|误传|误读|纠正|更正|澄清|撤稿|撤回|被推翻|并不|其实不|debunk|false|hoax|myth|misleading|retract|incorrect|not true|refut)"
+SUPPORTING = r"(?i)(证实|确认|属实|已验证|官方回应.{0,6}属实|research shows|confirmed|verified|study finds|according to)"
+#: Words of the library's own that negate a sentence.
 NEGATION = r"(?i)(不|没|无|非|未|\bnot\b|\bno\b|\bnever\b|n't\b)"
 
 
@@ -59,13 +60,15 @@ def rank_with_trust(clusters: DataFrame, weight: float = 0.35) -> DataFrame:
 def bursts(posts: DataFrame, hours: int = 48, least_sites: int = 6) -> DataFrame:
     """(topic, post_id) of posts in a window of ``hours`` in which ``least_sites`` or more sites write on the topic.
 
-    Windows end at posts. Distinct sites of a window are counted by a running set a topic; the posts
-    of a window that is a burst are found by looking ahead for one that ends in time.
+    Windows end at an hour with posts. Sites are counted once an hour first, each then counts for the
+    hours in whose windows it is, and the hours of a window that is a burst select the posts.
     """
-    back = Window.partitionBy("topic").orderBy("hour").rangeBetween(-hours, 0)
-    ahead = Window.partitionBy("topic").orderBy("hour").rangeBetween(0, hours)
-    ends = posts.withColumn("end", F.size(F.collect_set("site").over(back)) >= least_sites)
-    return ends.withColumn("in_burst", F.max("end").over(ahead)).where("in_burst").select("topic", "post_id")
+    active = posts.select("topic", "site", "hour").distinct()
+    reach = lambda lo, hi: F.explode(F.sequence(F.col("hour") + lo, F.col("hour") + hi))
+    counted = active.select("topic", "site", reach(0, hours).alias("hour")).groupBy("topic", "hour").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= least_sites)
+    ends = counted.join(active.select("topic", "hour").distinct(), ["topic", "hour"], "left_semi")
+    inside = ends.select("topic", reach(-hours, 0).alias("hour")).distinct()
+    return posts.join(inside, ["topic", "hour"], "left_semi").select("topic", "post_id")
 
 
 def clones(posts: DataFrame, least_sites: int = 3) -> DataFrame:
@@ -121,11 +124,13 @@ def term_sets(texts: DataFrame, least: int = 4) -> DataFrame:
 def conflicts(sentences: DataFrame, overlap: float = 0.55) -> DataFrame:
     """(topic, a, b, shared): sentences of one topic and different sites that share words, of which one is negated.
 
-    Sentences are (topic, id, site, text). Pairs come from a join on topic and term, never from all pairs.
+    Sentences are (topic, id, site, text); one id may be of several topics. Pairs come from a join on
+    topic and term, never from all pairs.
     """
     facts = sentences.select("topic", "id", "site", F.col("text").rlike(NEGATION).alias("negated"))
-    terms = term_sets(sentences.select("id", "text")).join(facts, "id")
-    size = terms.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    words = term_sets(sentences.select("id", "text").dropDuplicates(["id"]))
+    terms = words.join(facts, "id")
+    size = words.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     x, y = terms.where("negated").alias("x"), terms.where("not negated").alias("y")
     met = x.join(y, (F.col("x.topic") == F.col("y.topic")) & (F.col("x.term") == F.col("y.term")) & (F.col("x.site") != F.col("y.site")))
     pairs = met.groupBy(F.col("x.topic").alias("topic"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))

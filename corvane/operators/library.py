@@ -113,6 +113,19 @@ def pack_islands(pairs: DataFrame, least: int = 2) -> DataFrame:
     return runs.where(F.col("n") >= least).select("a", "b", "shift", "start", "end", "n")
 
 
+def frame_runs(frames: DataFrame) -> DataFrame:
+    """(a, b, shift, start, end, n): runs of two frames or more in which two videos look alike, of frames (video, i, look).
+
+    A run holds two alike frames one after the other, so videos meet on the looks of neighbouring
+    frames and not on single looks, which a great many frames have.
+    """
+    nexts = frames.select("video", "i", "look", F.lead("look").over(Window.partitionBy("video").orderBy("i")).alias("then")).where("then is not null")
+    x, y = nexts.alias("x"), nexts.alias("y")
+    met = x.join(y, (F.col("x.look") == F.col("y.look")) & (F.col("x.then") == F.col("y.then")) & (F.col("x.video") < F.col("y.video")))
+    steps = met.select(F.col("x.video").alias("a"), F.col("y.video").alias("b"), F.col("x.i").alias("i"), F.col("y.i").alias("j"), F.explode(F.array(F.lit(0), F.lit(1))).alias("d"))
+    return pack_islands(steps.select("a", "b", (F.col("i") + F.col("d")).alias("i"), (F.col("j") + F.col("d")).alias("j")).distinct())
+
+
 def engine_health(log: DataFrame, window: int = 30, reference_ms: float = 1500.0) -> DataFrame:
     """(engine, score, base, ewma_ms, n) after the whole log (engine, seq, outcome, elapsed_ms).
 

@@ -76,13 +76,15 @@ def tier_histogram(spark, sf_dir):
     return _trusted(spark, sf_dir).groupBy("tier", "hide").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("trust"), 6).alias("trust"))
 
 
-@query("""WITH posts AS (SELECT event_id AS post_id, event_type AS topic, 's' || user_id % 60 AS site, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour FROM events WHERE event_id % 4 = 0),
-ends AS (SELECT DISTINCT topic, hour FROM posts p WHERE (SELECT count(DISTINCT site) FROM posts q WHERE q.topic = p.topic AND q.hour BETWEEN p.hour - 2 AND p.hour) >= 6)
+@query("""WITH posts AS (SELECT event_id AS post_id, event_type AS topic, 's' || user_id AS site, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour FROM events),
+active AS (SELECT DISTINCT topic, site, hour FROM posts), hours AS (SELECT DISTINCT topic, hour FROM posts),
+ends AS (SELECT h.topic, h.hour FROM hours h JOIN active a ON a.topic = h.topic AND a.hour BETWEEN h.hour - 2 AND h.hour GROUP BY ALL HAVING count(DISTINCT site) >= 10)
 SELECT topic, post_id FROM posts p WHERE EXISTS (SELECT 1 FROM ends e WHERE e.topic = p.topic AND e.hour BETWEEN p.hour AND p.hour + 2)""")
 def burst_sites(spark, sf_dir):
-    """Six sites within two hours, since the given events come close together."""
-    e = V.table(spark, sf_dir, "events").where("event_id % 4 = 0")
-    return E.bursts(e.select(F.col("event_id").alias("post_id"), F.col("event_type").alias("topic"), F.concat(F.lit("s"), (F.col("user_id") % 60).cast("string")).alias("site"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000).alias("hour")), 2)
+    """Ten sites within two hours, since the given events come close together."""
+    e = V.table(spark, sf_dir, "events")
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000)
+    return E.bursts(e.select(F.col("event_id").alias("post_id"), F.col("event_type").alias("topic"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("site"), hour.alias("hour")), 2, 10)
 
 
 @query(rf"WITH {_RESULTS} SELECT regexp_replace(lower(title), '[^\p{{L}}\p{{N}}]+', '', 'g') AS title_key, count(DISTINCT site) AS sites FROM results GROUP BY 1 HAVING count(DISTINCT site) >= 3")
@@ -90,12 +92,14 @@ def clone_titles(spark, sf_dir):
     return E.clones(_results(spark, sf_dir))
 
 
-_EVIDENCE = """said AS (SELECT 'c' || event_id % 300 AS claim, 's' || user_id % 25 AS site, CASE event_type WHEN 'purchase' THEN 'support' WHEN 'signup' THEN 'support' WHEN 'error' THEN 'refute' ELSE 'neutral' END AS stance FROM events WHERE event_id % 7 = 0)"""
+_EVIDENCE = """said AS (SELECT 'c' || user_id || '-' || strftime(ts, '%m-%d') AS claim, 's' || CAST(extract(hour FROM ts) // 6 AS BIGINT) AS site, CASE event_type WHEN 'purchase' THEN 'support' WHEN 'signup' THEN 'support' WHEN 'error' THEN 'refute' ELSE 'neutral' END AS stance FROM events)"""
 
 
 def _evidence(spark, sf_dir):
+    """What was said of a user's day stands for a claim, and a quarter of the day for a site."""
     t = F.col("event_type")
-    return V.table(spark, sf_dir, "events").where("event_id % 7 = 0").select(F.concat(F.lit("c"), (F.col("event_id") % 300).cast("string")).alias("claim"), F.concat(F.lit("s"), (F.col("user_id") % 25).cast("string")).alias("site"), F.when(t.isin("purchase", "signup"), "support").when(t == "error", "refute").otherwise("neutral").alias("stance"))
+    claim = F.concat(F.lit("c"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "MM-dd"))
+    return V.table(spark, sf_dir, "events").select(claim.alias("claim"), F.concat(F.lit("s"), F.floor(F.hour("ts") / 6).cast("string")).alias("site"), F.when(t.isin("purchase", "signup"), "support").when(t == "error", "refute").otherwise("neutral").alias("stance"))
 
 
 _VERDICTS = f"""{_EVIDENCE}, by_claim AS (SELECT claim, count(DISTINCT site) FILTER (stance = 'support') AS support_sites, count(DISTINCT site) FILTER (stance = 'refute') AS refute_sites,
@@ -114,19 +118,19 @@ def controversy(spark, sf_dir):
     return E.verdicts(_evidence(spark, sf_dir)).select("claim", "support", "refute", "controversy", "level")
 
 
-@query(f"""WITH {_EVIDENCE}, cells AS (SELECT claim AS topic, site, max((stance = 'support')::INT) AS s, max((stance = 'refute')::INT) AS r FROM said WHERE site IN ('s1', 's2', 's3', 's4') GROUP BY ALL),
+@query(f"""WITH {_EVIDENCE}, cells AS (SELECT claim AS topic, site, max((stance = 'support')::INT) AS s, max((stance = 'refute')::INT) AS r FROM said GROUP BY ALL),
 named AS (SELECT topic, site, CASE WHEN s = 1 AND r = 1 THEN 'mixed' WHEN s = 1 THEN 'positive' WHEN r = 1 THEN 'negative' ELSE 'neutral' END AS said FROM cells)
-SELECT topic, coalesce(max(said) FILTER (site = 's1'), 'silent') AS s1, coalesce(max(said) FILTER (site = 's2'), 'silent') AS s2, coalesce(max(said) FILTER (site = 's3'), 'silent') AS s3, coalesce(max(said) FILTER (site = 's4'), 'silent') AS s4
+SELECT topic, coalesce(max(said) FILTER (site = 's0'), 'silent') AS s0, coalesce(max(said) FILTER (site = 's1'), 'silent') AS s1, coalesce(max(said) FILTER (site = 's2'), 'silent') AS s2, coalesce(max(said) FILTER (site = 's3'), 'silent') AS s3
 FROM (SELECT DISTINCT claim AS topic FROM said) LEFT JOIN named USING (topic) GROUP BY topic""")
 def consensus_matrix(spark, sf_dir):
-    return E.matrix(_evidence(spark, sf_dir).withColumnRenamed("claim", "topic"), ["s1", "s2", "s3", "s4"])
+    return E.matrix(_evidence(spark, sf_dir).withColumnRenamed("claim", "topic"), ["s0", "s1", "s2", "s3"])
 
 
-@query("""WITH m AS (SELECT l_partkey AS topic, 'd' || o_orderkey % 50 AS site, CAST(o_orderdate AS DATE) AS day, CASE o_orderkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'official' ELSE 'community' END AS tier FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '1995-03-01'),
+@query("""WITH m AS (SELECT l_partkey AS topic, 'd' || o_orderkey % 50 AS site, CAST(o_orderdate AS DATE) AS day, CASE o_orderkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'official' ELSE 'community' END AS tier FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 firsts AS (SELECT topic, arg_min(site, (day, site)) AS first_site, min(day) AS first_day, max(day) - min(day) AS days, count(day) AS n, arg_min(tier, (day, site)) AS first_tier FROM (SELECT topic, site, day, min(tier) AS tier FROM m GROUP BY ALL) GROUP BY topic)
 SELECT topic, first_site, first_day, days, n, CASE WHEN n >= 5 AND days <= 3 THEN 'burst' WHEN n >= 3 AND first_tier IN ('unknown', 'low', 'community') THEN 'weak_origin' ELSE 'traced' END AS kind FROM firsts""")
 def origin_trace(spark, sf_dir):
-    li, o = V.table(spark, sf_dir, "lineitem"), V.table(spark, sf_dir, "orders").where("o_orderdate < timestamp '1995-03-01'")
+    li, o = V.table(spark, sf_dir, "lineitem"), V.table(spark, sf_dir, "orders")
     m = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("l_partkey").alias("topic"), F.concat(F.lit("d"), (F.col("o_orderkey") % 50).cast("string")).alias("site"), F.to_date("o_orderdate").alias("day"), F.when(F.col("o_orderkey") % 3 == 0, "low").when(F.col("o_orderkey") % 3 == 1, "official").otherwise("community").alias("tier"))
     return E.origin(m.groupBy("topic", "site", "day").agg(F.min("tier").alias("tier")))
 
@@ -138,34 +142,45 @@ def site_independence(spark, sf_dir):
     return E.independence(r)
 
 
-_DATED = """dated AS (SELECT l_partkey AS topic, 'd' || l_suppkey AS site, CAST(min(l_shipdate) AS DATE) AS day, CASE WHEN l_suppkey % 3 = 0 THEN 'month' ELSE 'day' END AS precision FROM lineitem WHERE l_suppkey % 10 < 4 GROUP BY ALL)"""
+_DATED = """dated AS (SELECT l_orderkey AS topic, 'd' || l_suppkey AS site, CAST(min(l_shipdate) AS DATE) AS day, CASE WHEN l_suppkey % 3 = 0 THEN 'month' ELSE 'day' END AS precision FROM lineitem GROUP BY ALL)"""
 
 
 @query(f"""WITH {_DATED}, gaps AS (SELECT x.topic, x.site AS a, y.site AS b, abs(CASE WHEN x.precision = 'month' OR y.precision = 'month' THEN CAST(date_trunc('month', x.day) AS DATE) - CAST(date_trunc('month', y.day) AS DATE) ELSE x.day - y.day END) AS days
   FROM dated x JOIN dated y ON x.topic = y.topic AND x.site < y.site) SELECT topic, a, b, days FROM gaps WHERE days >= 2""")
 def date_conflicts(spark, sf_dir):
-    d = V.table(spark, sf_dir, "lineitem").where("l_suppkey % 10 < 4").groupBy(F.col("l_partkey").alias("topic"), F.col("l_suppkey")).agg(F.to_date(F.min("l_shipdate")).alias("day"))
+    d = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("topic"), F.col("l_suppkey")).agg(F.to_date(F.min("l_shipdate")).alias("day"))
     return E.date_conflicts(d.select("topic", F.concat(F.lit("d"), F.col("l_suppkey").cast("string")).alias("site"), "day", F.when(F.col("l_suppkey") % 3 == 0, "month").otherwise("day").alias("precision")))
 
 
-@query("""WITH claimed AS (SELECT DISTINCT o_orderkey AS key, o_totalprice AS value FROM orders WHERE o_orderkey % 5 = 0), sourced AS (SELECT l_orderkey AS key, l_extendedprice * 1.0 AS value FROM lineitem WHERE l_orderkey % 3 <> 0
-  UNION ALL SELECT o_orderkey, o_totalprice * (1 + (o_orderkey % 4) * 0.003::DOUBLE) FROM orders WHERE o_orderkey % 2 = 0)
+@query("""WITH claimed AS (SELECT DISTINCT o_orderkey AS key, o_totalprice AS value FROM orders), sourced AS (SELECT l_orderkey AS key, l_extendedprice * 1.0 AS value FROM lineitem WHERE l_returnflag = 'R'
+  UNION ALL SELECT o_orderkey, o_totalprice * (1 + (o_orderkey % 4) * 0.003::DOUBLE) FROM orders WHERE o_orderstatus = 'F')
 SELECT key, value, CASE WHEN EXISTS (SELECT 1 FROM sourced s WHERE s.key = c.key AND abs(c.value - s.value) <= 0.005::DOUBLE * abs(c.value)) THEN 'ok' WHEN EXISTS (SELECT 1 FROM sourced s WHERE s.key = c.key) THEN 'mismatch' ELSE 'unverified' END AS status FROM claimed c""")
 def number_check(spark, sf_dir):
+    """Every order's total against the prices of its returned lines and, of finished orders, a total told again with a deviation."""
     o, li = V.table(spark, sf_dir, "orders"), V.table(spark, sf_dir, "lineitem")
-    claimed = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
-    sourced = li.where("l_orderkey % 3 <> 0").select(F.col("l_orderkey").alias("key"), F.col("l_extendedprice").alias("value"))
-    return E.number_check(claimed, sourced.unionAll(o.where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_totalprice") * (1 + (F.col("o_orderkey") % 4) * F.lit(0.003)))))
+    claimed = o.select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
+    sourced = li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("key"), F.col("l_extendedprice").alias("value"))
+    return E.number_check(claimed, sourced.unionAll(o.where("o_orderstatus = 'F'").select("o_orderkey", F.col("o_totalprice") * (1 + (F.col("o_orderkey") % 4) * F.lit(0.003)))))
 
 
-@query(f"""WITH {CHUNKS}, sents AS (SELECT item_id // 25 AS topic, chunk_id AS id, 's' || item_id % 9 AS site, text || CASE WHEN item_id % 2 = 0 THEN ' never' ELSE '' END AS text FROM chunks WHERE length(text) BETWEEN 40 AND 400),
+_FOUND = f"""{_BASE}, hits AS (SELECT query_id AS topic, chunk_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM bm25) WHERE r <= 50)"""
+
+
+def _found(spark, sf_dir):
+    """(topic, chunk_id, item_id, text): the first fifty chunks of each query, which is what a topic is here."""
+    hits = retrieval.top(_bm25(spark, sf_dir), 50, F.desc("score"), F.col("chunk_id")).select(F.col("query_id").alias("topic"), "chunk_id", "item_id")
+    return hits.join(V.chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
+
+
+@query(f"""{_FOUND}, sents AS (SELECT topic, chunk_id AS id, 's' || h.item_id % 9 AS site, text || CASE WHEN h.item_id % 2 = 0 THEN ' never' ELSE '' END AS text FROM hits h JOIN chunks USING (chunk_id) WHERE length(text) BETWEEN 40 AND 400),
 terms AS (SELECT DISTINCT topic, id, site, regexp_matches(text, '(不|没|无|非|未)') OR regexp_matches(text, '(?i)(\\bnot\\b|\\bno\\b|\\bnever\\b|n''t\\b)') AS negated, unnest({TOKENS.format('text')}) AS term FROM sents),
-kept AS (SELECT * FROM terms WHERE length(term) >= 4), size AS (SELECT id, count(*) AS n FROM kept GROUP BY id),
+kept AS (SELECT * FROM terms WHERE length(term) >= 4), size AS (SELECT id, count(DISTINCT term) AS n FROM kept GROUP BY id),
 met AS (SELECT x.topic, x.id AS a, y.id AS b, count(*) AS shared FROM kept x JOIN kept y ON x.topic = y.topic AND x.term = y.term AND x.site <> y.site AND x.negated AND NOT y.negated GROUP BY ALL)
 SELECT topic, a, b, shared FROM met JOIN size p ON p.id = a JOIN size q ON q.id = b WHERE shared >= 0.55::DOUBLE * least(p.n, q.n)""")
 def conflict_pairs(spark, sf_dir):
-    c = V.chunks(spark, sf_dir).where(F.length("text").between(40, 400))
-    s = c.select(F.floor(F.col("item_id") / 25).alias("topic"), F.col("chunk_id").alias("id"), F.concat(F.lit("s"), (F.col("item_id") % 9).cast("string")).alias("site"), F.concat("text", F.when(F.col("item_id") % 2 == 0, " never").otherwise("")).alias("text"))
+    """Among a query's chunks; an even item's text is negated, since the given texts say nothing."""
+    c = _found(spark, sf_dir).where(F.length("text").between(40, 400))
+    s = c.select("topic", F.col("chunk_id").alias("id"), F.concat(F.lit("s"), (F.col("item_id") % 9).cast("string")).alias("site"), F.concat("text", F.when(F.col("item_id") % 2 == 0, " never").otherwise("")).alias("text"))
     return E.conflicts(s)
 
 
@@ -191,33 +206,38 @@ def preprint_merge(spark, sf_dir):
     return E.merge_preprints(_records(spark, sf_dir)).select("record_id", "formal_id", "first_day")
 
 
+def _corpora(spark, sf_dir):
+    """(corpus, id, term, weight): TF-IDF vectors of length one of the first twenty items of each query, which are a corpus."""
+    t = tfidf(V.index(spark, sf_dir).item_terms(), V.table(spark, sf_dir, "documents"))
+    norm = t.groupBy("id").agg(F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))).alias("norm"))
+    hits = retrieval.best_chunks(_bm25(spark, sf_dir)).where("rank <= 20").select(F.col("query_id").alias("corpus"), F.col("item_id").alias("id"))
+    return hits.join(t, "id").join(norm, "id").select("corpus", "id", "term", (F.col("tfidf") / F.col("norm")).alias("weight"))
+
+
 @query()
 def tfidf_cluster(spark, sf_dir):
-    """Clusters of fifty documents at a time."""
-    d = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    t = tfidf(d)
-    norm = t.groupBy("id").agg(F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))).alias("norm"))
-    v = t.join(norm, "id").select(F.floor(F.col("id") / 50).alias("corpus"), "id", "term", (F.col("tfidf") / F.col("norm")).alias("weight"))
-    return E.clusters(v)
+    """Clusters among the first twenty items of each query."""
+    return E.clusters(_corpora(spark, sf_dir))
+
 
+_WEIGHED = _TFIDF.replace("df AS (SELECT term", "df2 AS (SELECT term").replace("JOIN df USING", "JOIN df2 USING")
 
-@query(f"""WITH {_TFIDF}, norms AS (SELECT id, sqrt(sum(tfidf * tfidf)) AS norm FROM tfidf GROUP BY id), v AS (SELECT id // 50 AS corpus, id, term, tfidf / norm AS w FROM tfidf JOIN norms USING (id))
+
+@query(f"""{_BASE}, {_BEST}, {_WEIGHED}, norms AS (SELECT id, sqrt(sum(tfidf * tfidf)) AS norm FROM tfidf GROUP BY id),
+v AS (SELECT query_id AS corpus, id, term, tfidf / norm AS w FROM keyword k JOIN tfidf ON id = k.item_id JOIN norms USING (id) WHERE k.rank <= 20)
 SELECT x.corpus, x.id AS a, y.id AS b, round(sum(x.w * y.w), 6) AS cosine FROM v x JOIN v y ON x.corpus = y.corpus AND x.term = y.term AND x.id < y.id GROUP BY ALL""")
 def tfidf_cosines(spark, sf_dir):
-    d = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    t = tfidf(d)
-    norm = t.groupBy("id").agg(F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf"))).alias("norm"))
-    v = t.join(norm, "id").select(F.floor(F.col("id") / 50).alias("corpus"), "id", "term", (F.col("tfidf") / F.col("norm")).alias("w"))
+    v = _corpora(spark, sf_dir)
     x, y = v.alias("x"), v.alias("y")
     met = x.join(y, (F.col("x.corpus") == F.col("y.corpus")) & (F.col("x.term") == F.col("y.term")) & (F.col("x.id") < F.col("y.id")))
-    return met.groupBy(F.col("x.corpus").alias("corpus"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.round(F.sum(F.col("x.w") * F.col("y.w")), 6).alias("cosine"))
+    return met.groupBy(F.col("x.corpus").alias("corpus"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.round(F.sum(F.col("x.weight") * F.col("y.weight")), 6).alias("cosine"))
 
 
 @query()
 def topic_building(spark, sf_dir):
-    """Topics among the lines of twenty documents at a time."""
-    c = V.chunks(spark, sf_dir).where(F.length("text").between(12, 400))
-    s = c.select(F.floor(F.col("item_id") / 20).alias("corpus"), F.col("chunk_id").alias("id"), F.concat(F.lit("s"), (F.col("item_id") % 9).cast("string")).alias("site"), F.array_distinct(F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 5)).alias("terms"))
+    """Topics among the first fifty chunks of each query."""
+    c = _found(spark, sf_dir).where(F.length("text").between(12, 400))
+    s = c.select(F.col("topic").alias("corpus"), F.col("chunk_id").alias("id"), F.concat(F.lit("s"), (F.col("item_id") % 9).cast("string")).alias("site"), F.array_distinct(F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 5)).alias("terms"))
     return E.topics(s)
 
 
@@ -302,7 +322,7 @@ def vec_lsh_recall(spark, sf_dir):
     return exact.join(got.select("query_id", "item_id", F.lit(1).alias("hit")), ["query_id", "item_id"], "left").groupBy("query_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 2).alias("recall"))
 
 
-_FRAMES = """frames AS (SELECT user_id % 30 AS video, CAST(floor(value) AS BIGINT) % 40 AS look, row_number() OVER (PARTITION BY user_id % 30 ORDER BY ts, event_id) AS i FROM events WHERE event_id % 3 = 0)"""
+_FRAMES = """frames AS (SELECT user_id AS video, CAST(floor(value) AS BIGINT) AS look, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"""
 
 
 @query(f"""WITH {_FRAMES}, pairs AS (SELECT x.video AS a, y.video AS b, x.i, y.i AS j FROM frames x JOIN frames y ON x.look = y.look AND x.video < y.video),
@@ -312,11 +332,7 @@ def video_runs(spark, sf_dir):
     """Stretches in which the frames of two videos look alike one after the other."""
     from pyspark.sql import Window
 
-    from corvane.operators.library import pack_islands
+    from corvane.operators.library import frame_runs
 
-    e = V.table(spark, sf_dir, "events").where("event_id % 3 = 0")
-    nth = F.row_number().over(Window.partitionBy(F.col("user_id") % 30).orderBy("ts", "event_id"))
-    f = e.select((F.col("user_id") % 30).alias("video"), (F.floor("value") % 40).alias("look"), nth.cast("long").alias("i"))
-    x, y = f.alias("x"), f.alias("y")
-    pairs = x.join(y, (F.col("x.look") == F.col("y.look")) & (F.col("x.video") < F.col("y.video"))).select(F.col("x.video").alias("a"), F.col("y.video").alias("b"), F.col("x.i").alias("i"), F.col("y.i").alias("j"))
-    return pack_islands(pairs)
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return frame_runs(V.table(spark, sf_dir, "events").select(F.col("user_id").alias("video"), F.floor("value").alias("look"), nth.cast("long").alias("i")))

@@ -28,13 +28,13 @@ def export_gbt7714(spark, sf_dir):
     return X.gbt7714(_records(spark, sf_dir))
 
 
-@query("""SELECT source AS topic, '# ' || source || chr(10) || chr(10) || string_agg('- ' || replace(text[1:80], chr(10), ' ') || ' ([source](/' || doc_id || '))', chr(10) ORDER BY doc_id) AS body FROM documents GROUP BY source""")
+@query("""SELECT source AS topic, doc_id // 200 AS page, '# ' || source || chr(10) || chr(10) || string_agg('- ' || replace(text, chr(10), ' ') || ' ([source](/' || doc_id || '))', chr(10) ORDER BY doc_id) AS body FROM documents GROUP BY 1, 2, source""")
 def export_markdown(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents")
-    return X.markdown(d.select(F.col("source").alias("topic"), F.col("doc_id").alias("pos"), F.substring("text", 1, 80).alias("text"), F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("url")))
+    return X.markdown(d.select(F.col("source").alias("topic"), F.col("doc_id").alias("pos"), "text", F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("url")))
 
 
-@query("""SELECT CAST(doc_id AS VARCHAR) || ',' || lang || ',' || (CASE WHEN regexp_matches(text[1:60], '[",\\n\\r]') THEN '"' || replace(text[1:60], '"', '""') || '"' ELSE text[1:60] END) AS line FROM documents""")
+@query("""SELECT CAST(doc_id AS VARCHAR) || ',' || lang || ',' || (CASE WHEN regexp_matches(text, '[",\\n\\r]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END) AS line FROM documents""")
 def export_csv(spark, sf_dir):
-    d = V.table(spark, sf_dir, "documents").select("doc_id", "lang", F.substring("text", 1, 60).alias("text"))
+    d = V.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return X.csv_lines(d, ["doc_id", "lang", "text"])

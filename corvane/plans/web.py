@@ -9,7 +9,6 @@ from corvane.operators import retrieval
 from corvane.operators import web_search as W
 from corvane.plans import views as V
 from corvane.plans.register import registry
-from corvane.plans.texts import _SENTENCES
 from corvane.plans.views import queries_sql
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -41,13 +40,19 @@ def site_preset(spark, sf_dir):
     return V.queries(spark, sf_dir).select("query_id", W.with_preset(F.col("query"), "gov").alias("query"))
 
 
-@query(rf"""WITH {_SENTENCES}, ok AS (SELECT doc_id // 50 AS topic, doc_id AS id, sentence AS text, regexp_replace(sentence, '\s+', '', 'g')[1:40] AS head FROM (SELECT doc_id, min(sentence) AS sentence FROM sents WHERE length(sentence) BETWEEN 12 AND 160 AND regexp_matches(sentence, '{W.CONCRETE}') AND NOT regexp_matches(sentence, '^[#=-]') GROUP BY doc_id)),
-once AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY topic, head ORDER BY id) = 1)
-SELECT topic, id, text, row_number() OVER (PARTITION BY topic ORDER BY id) AS rank FROM once QUALIFY rank <= 8""")
+@query(r"""WITH cut AS (
+  SELECT doc_id, source, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?;])\s+', '\1' || chr(1), 'g'), '([。！？；…\n])', '\1' || chr(1), 'g'), chr(1))) AS s,
+    generate_subscripts(string_split(regexp_replace(regexp_replace(text, '([.!?;])\s+', '\1' || chr(1), 'g'), '([。！？；…\n])', '\1' || chr(1), 'g'), chr(1)), 1) AS k FROM documents),
+clean AS (SELECT doc_id, source, k, trim(regexp_replace(s, '^\s+|\s+$', '', 'g')) AS sentence FROM cut),
+sents AS (SELECT doc_id, source, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos FROM clean WHERE length(sentence) BETWEEN 12 AND 160 AND NOT regexp_matches(sentence, '^[#=-]')),
+ok AS (SELECT *, regexp_replace(sentence, '\s+', '', 'g')[1:40] AS head FROM sents WHERE regexp_matches(sentence, '[0-9]|%|[A-Z][a-z]+ [A-Z][a-z]+|年|月|亿|万')),
+once AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY source, head ORDER BY doc_id, pos) = 1)
+SELECT source AS topic, doc_id, pos, sentence AS text, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) AS rank FROM once QUALIFY rank <= 8""")
 def claim_filter(spark, sf_dir):
-    s = V.table(spark, sf_dir, "documents").select("doc_id", F.explode(sentences(F.col("text"), 12, 160)).alias("sentence")).where(F.col("sentence").rlike(W.CONCRETE))
-    one = s.groupBy("doc_id").agg(F.min("sentence").alias("text"))
-    return W.claims(one.select(F.floor(F.col("doc_id") / 50).alias("topic"), F.col("doc_id").alias("id"), F.lit(1).alias("priority"), "text"))
+    """Claims among all sentences of a source."""
+    s = V.table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(sentences(F.col("text"), 12, 160)).alias("pos", "text"))
+    found = W.claims(s.select(F.col("source").alias("topic"), F.struct("doc_id", F.col("pos").cast("long").alias("pos")).alias("id"), F.lit(1).alias("priority"), "text"))
+    return found.select("topic", "id.doc_id", "id.pos", "text", "rank")
 
 
 @query("SELECT p_brand AS topic, count(*) FILTER (p_partkey % 3 <> 0) AS downloads, count(*) FILTER (p_partkey % 3 = 0) AS skipped, round(count(*) FILTER (p_partkey % 3 <> 0) * 2.5::DOUBLE, 1) AS estimated_mb FROM part GROUP BY p_brand")
@@ -78,25 +83,24 @@ def project_listing(spark, sf_dir):
     return W.project_listing(V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project")), runs, sources).select("project", "runs", "last_run", "sources")
 
 
-@query(r"""WITH code AS (SELECT doc_id, 'def ' || lang || '_reader(x):' || chr(10) || 'class Doc' || doc_id % 9 || ':' || chr(10) || '  def _hidden(): pass' || chr(10) || text[1:500] AS t FROM documents)
+@query(r"""WITH code AS (SELECT doc_id, 'def ' || lang || '_reader(x):' || chr(10) || 'class ' || source || 'Doc:' || chr(10) || '  def _hidden(): pass' || chr(10) || text AS t FROM documents)
 SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '(?m)^\s*(?:def|class|func|function|CREATE TABLE)\s+([A-Za-z][A-Za-z0-9_]{2,})', 1)))[1:12], ',') AS symbols FROM code""")
 def code_symbols(spark, sf_dir):
-    t = F.concat(F.lit("def "), "lang", F.lit("_reader(x):\nclass Doc"), (F.col("doc_id") % 9).cast("string"), F.lit(":\n  def _hidden(): pass\n"), F.substring("text", 1, 500))
+    """Whole texts under definitions named by their language and source, since the given tables hold no code."""
+    t = F.concat(F.lit("def "), "lang", F.lit("_reader(x):\nclass "), "source", F.lit("Doc:\n  def _hidden(): pass\n"), "text")
     return V.table(spark, sf_dir, "documents").select("doc_id", F.array_join(W.code_symbols(t), ",").alias("symbols"))
 
 
-@query("SELECT doc_id, '[1](/' || doc_id || ') and [2] of ' || source || ' ' AS text FROM documents")
+@query(r"SELECT doc_id, '[1](/' || doc_id || ') and [2] of ' || regexp_replace(text, 'https?://\S+', '', 'g') AS text FROM documents")
 def citation_linkify(spark, sf_dir):
+    """Whole texts after two marks, of which one is known."""
     d = V.table(spark, sf_dir, "documents")
-    raw = F.concat(F.lit("[1] and [2] of "), "source", F.lit(" https://rogue.example/x"))
-    return d.select("doc_id", W.linked(raw, F.create_map(F.lit("1"), F.concat(F.lit("/"), F.col("doc_id").cast("string")))).alias("text"))
+    return d.select("doc_id", W.linked(F.concat(F.lit("[1] and [2] of "), "text"), F.create_map(F.lit("1"), F.concat(F.lit("/"), F.col("doc_id").cast("string")))).alias("text"))
 
 
-@query("SELECT doc_id, doc_id % 3 = 0 OR source = 'src1' AS ignored FROM documents")
+@query(f"WITH {V.ITEMS} SELECT item_id, regexp_matches(locator, '(^|/)src1/.*$') OR regexp_matches(locator, '(^|/)fr/[0-9]\\.txt$') AS ignored FROM items")
 def ignore_globs(spark, sf_dir):
-    d = V.table(spark, sf_dir, "documents")
-    path = F.concat(F.lit("/data/"), "source", F.lit("/"), F.when(F.col("doc_id") % 3 == 0, "a.tmp").otherwise("a.txt"))
-    return d.select("doc_id", W.ignored(path, ["*.tmp", "src1/*"]).alias("ignored"))
+    return V.items(spark, sf_dir).select("item_id", W.ignored(F.col("locator"), ["src1/*", "fr/?.txt"]).alias("ignored"))
 
 
 @query("""WITH by_page AS (SELECT user_id AS video, CAST(floor(value) AS BIGINT) AS page, count(DISTINCT event_id % 16) AS frames FROM events GROUP BY ALL) SELECT video, page, frames, row_number() OVER (PARTITION BY video ORDER BY frames DESC, page) AS rank FROM by_page""")

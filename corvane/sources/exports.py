@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def markdown(notes: DataFrame) -> DataFrame:
-    """(topic, body) of notes (topic, pos, text, url): a heading and a list of quoted points with their source."""
+PAGE = 200
+
+
+def markdown(notes: DataFrame, page: int = PAGE) -> DataFrame:
+    """(topic, page, body) of notes (topic, pos, text, url): a heading and a list of quoted points with their source.
+
+    A page holds the notes of ``page`` positions, so a topic of any size is never gathered whole.
+    """
     line = F.concat(F.lit("- "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" ([source]("), "url", F.lit("))"))
-    rows = notes.select("topic", "pos", line.alias("line"))
-    return rows.groupBy("topic").agg(F.concat(F.lit("# "), F.first("topic"), F.lit("\n\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")).alias("body"))
+    rows = notes.select("topic", F.floor(F.col("pos") / page).alias("page"), "pos", line.alias("line"))
+    return rows.groupBy("topic", "page").agg(F.concat(F.lit("# "), F.first("topic"), F.lit("\n\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")).alias("body"))
 
 
 def bibtex(records: DataFrame) -> DataFrame:
