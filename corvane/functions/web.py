@@ -141,3 +141,50 @@ def urls_in(text: Column, limit: int = 50) -> Column:
 def unsafe_host(url: Column) -> Column:
     """Loopback, private and link-local addresses and names that shouldn't be fetched."""
     return host(url).rlike(r"^(localhost|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|169\.254\.|0\.0\.0\.0|\[?::1)|\.local$|\.internal$")
+
+
+#: Signs of content farms in titles and snippets, and of texts written by rote in Chinese and in English.
+FARM_TITLE = r"(震惊|速看|删前|必看|太可怕|不看后悔|涨知识|收藏了|万万没想到|最全总结|一文看懂|全网最|建议收藏|干货满满)"
+REPOST_MARK = r"(本文(转载|转自|来源)|声明[:：]?\s*本文|版权归原作者所有|侵删|如有侵权.{0,12}联系|文章来源[:：]|原文链接[:：])"
+ROTE_ZH = r"(在当今[^，。]{0,8}(社会|时代|背景下)|随着[^，。]{0,10}的(不断)?发展|综上所述|总而言之|首先.{0,30}其次.{0,30}最后|值得注意的是|需要注意的是|在这个[^，。]{0,6}的时代)"
+ROTE_EN = r"(?i)(in today'?s (fast-paced|digital|modern) world|it'?s important to note that|in conclusion,|delve into|it is worth noting|plays a (crucial|vital|key) role|in the ever-evolving|unlock the (power|potential)|game-?changer)"
+
+
+def title_flags(title: Column, snippet: Column) -> Column:
+    """Signs of a content farm in a title and a snippet; null is empty."""
+    t, s = F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit(""))
+    words = F.regexp_extract_all(t, F.lit(r"([一-鿿]{2,6}|[a-zA-Z]{3,})"), F.lit(1))
+    stuffed = F.exists(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda x: x == w)) >= 3)
+    head = F.substring(t, 1, 20)
+    return F.array_compact(F.array(
+        F.when(t.rlike(FARM_TITLE), "clickbait"), F.when(s.rlike(REPOST_MARK), "repost"), F.when(stuffed, "stuffed"),
+        F.when((s != "") & (head != "") & (F.length(s) < 80) & F.contains(s, head), "echo"), F.when(F.regexp_count(t, F.lit(r"[_|｜\-–—]")) >= 4, "joined"),
+    ))
+
+
+def rote_flags(title: Column, snippet: Column, other_hosts: Column) -> Column:
+    """Signs of a text made by machine: rote phrases, without anything concrete or many of them, or the same text on three other hosts."""
+    text = F.concat(F.coalesce(title, F.lit("")), F.lit("。"), F.coalesce(snippet, F.lit("")))
+    told = F.regexp_count(text, F.lit(ROTE_ZH)) + F.regexp_count(text, F.lit(ROTE_EN))
+    concrete = F.regexp_count(text, F.lit(r"\d{2,}|[A-Z][a-zA-Z]{2,}|\d+%|v\d+\.\d+"))
+    flags = F.array_compact(F.array(F.when((told >= 2) & (concrete == 0), "rote_only").when(told >= 3, "rote"), F.when(other_hosts >= 3, "same_text")))
+    return F.when(F.length(text) < 40, F.array().cast("array<string>")).otherwise(flags)
+
+
+def age_days(published: Column, as_of: Column) -> Column:
+    """Whole days from a written date to ``as_of``, at least 0; of a year and month, from the first. Null where it can't be read, never today."""
+    s = F.trim(published)
+    day = F.coalesce(
+        F.try_to_timestamp(F.regexp_extract(s, r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:?\d{2}))$", 1)),
+        F.try_to_timestamp(F.regexp_replace(F.regexp_extract(s, r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2})$", 1), "/", "-")),
+        F.try_to_timestamp(F.concat(F.regexp_extract(s, r"^(\d{4})[-/年]\d{1,2}", 1), F.lit("-"), F.regexp_extract(s, r"^\d{4}[-/年](\d{1,2})", 1), F.lit("-1"))),
+    )
+    return F.when(day.isNotNull(), F.greatest(F.lit(0), F.floor((F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(day)) / 86400))).cast("long")
+
+
+def plain_abstract(text: Column) -> Column:
+    """Text without tags, the common entities undone, blanks collapsed; null is empty."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<[^>]+>", " ")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        bare = F.replace(bare, F.lit(entity), F.lit(char))
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
