@@ -364,3 +364,42 @@ def test_planted_embedding_links(spark):
     assert len(got) == len(rows) and sum((wanted & found).values()) >= 0.99 * len(rows)
     assert sum(r.n_links for r in got) >= 0.999 * 2 * len(near)
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
+
+
+def covered_by_repeats(texts, window):
+    """Bytes of each text in a window that starts at two places or more, by sorting a hash of every window."""
+    data = [(t or "").encode() for t in texts]
+    flat = np.frombuffer(b"".join(data), np.uint8)
+    borders = np.r_[0, np.cumsum([len(b) for b in data])]
+    step, odd = 1 << 20, 0x9E3779B97F4A7C15
+    up = np.cumprod(np.r_[np.uint64(1), np.full(step + window, odd, np.uint64)], dtype=np.uint64)
+    down = np.cumprod(np.r_[np.uint64(1), np.full(step + window, pow(odd, -1, 1 << 64), np.uint64)], dtype=np.uint64)
+    h = np.empty(max(0, len(flat) - window + 1), np.uint64)
+    for at in range(0, len(h), step):
+        piece = flat[at : at + step + window - 1].astype(np.uint64) + np.uint64(1)
+        sums = np.r_[np.uint64(0), np.cumsum(piece * up[: len(piece)], dtype=np.uint64)]
+        n = len(piece) - window + 1
+        x = (sums[window:] - sums[:n]) * down[:n]
+        h[at : at + n] = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    row = np.repeat(np.arange(len(data)), np.diff(borders))
+    inside = np.flatnonzero(row[: len(h)] == row[window - 1 :])
+    _, name, times = np.unique(h[inside], return_inverse=True, return_counts=True)
+    at = inside[times[name] > 1]
+    change = np.zeros(len(flat) + 1, np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + window, -1)
+    gone = np.cumsum(change[:-1]) > 0
+    return [gone[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)], data
+
+
+def test_suffix_dedup_on_ten_thousand_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    assert len(rows) == 10_000
+    gone, data = covered_by_repeats([r.text for r in rows], 400)
+    got = {r.doc_id: r for r in suffix_dedup.suffix_digests(docs).collect()}
+    for r, g, b in zip(rows, gone, data, strict=True):
+        own = got[r.doc_id]
+        spans = int(np.count_nonzero(np.diff(np.r_[False, g].astype(np.int8)) == 1))
+        assert (own.n_bytes, own.n_removed, own.n_spans) == (len(b), int(g.sum()), spans)
+        assert own.kept_sha256 == sha256(np.frombuffer(b, np.uint8)[~g].tobytes()).hexdigest()

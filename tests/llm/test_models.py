@@ -166,3 +166,89 @@ def test_mixing_fills_targets(spark):
     assert len({round(v, 6) for v in free.values()}) <= 1
     assert sorted(map(str, mixing.mix(df).collect())) == sorted(map(str, got))
     assert mixing.mix(df.where("false")).count() == 0
+
+
+def plain_log_odds(text, value, bias):
+    """The score word by word: the mean of the n-grams' values, weighted by 1 + ln of the word's count, with neutral words added."""
+    words = Counter(re.split(rb"[\x20\x09-\x0d]+", text.translate(toxicity.LOWER.tobytes())))
+    words.pop(b"", None)
+    total = weight = 0.0
+    for word, times in words.items():
+        marked = b" " + word + b" "
+        grams = [marked[i : i + size] for size in toxicity.SIZES for i in range(len(marked) - size + 1)]
+        own = [value[toxicity._grams(np.frombuffer(g, np.uint8), len(g))[0]] for g in grams]
+        share = 1 + np.log(times)
+        total += share * (np.mean(own) if own else 0.0)
+        weight += share
+    return bias + total / (weight + toxicity.NEUTRAL)
+
+
+def test_toxicity_scores_match_a_plain_sum():
+    rng = np.random.default_rng(51)
+    value = rng.normal(0, 5, toxicity.BUCKETS)
+    texts = [b"", b" \n ", b"a", b"You IDIOT you idiot, you", "é日本 x\x0by".encode(), b"word " * 3000, b"z" * 5000] + [b" ".join(bytes(rng.integers(97, 123, int(rng.integers(1, 12))).astype(np.uint8)) for _ in range(200)) for _ in range(5)]
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    got = toxicity.log_odds(raw, np.r_[0, np.cumsum([len(t) for t in texts])], value, -1.5)
+    assert got == pytest.approx([plain_log_odds(t, value, -1.5) for t in texts], abs=1e-9)
+
+
+def test_training_sample_is_bounded(spark, monkeypatch):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda ids, weights, first, toxic, prior: seen.append((len(ids), len(weights), first[-1], len(toxic))) or (np.zeros(toxicity.BUCKETS), 0.0))
+    twice = docs.unionByName(docs.limit(300))
+    for most in (50_000, 400_000):
+        toxicity.fit(twice, labels, max_entries=most)
+    toxicity.fit(docs, labels, max_entries=400_000)
+    assert all(n == w == f <= most for (n, w, f, _), most in zip(seen, (50_000, 400_000, 400_000), strict=True))
+    assert seen[0][0] < seen[1][0] and seen[1] == seen[2]
+
+
+def test_models_with_clashing_columns_and_empty_tables(spark):
+    rows = [(i, f"some words of text {i} here", "en" if i % 2 else "de", "s", 0.5, "x", 1) for i in range(40)] + [(None, "no id", "en", "s", 0.5, "x", 1), (50, None, None, None, None, None, None), (51, "", "en", "s", 0.5, "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double, spoken string, toxic int")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    scored = toxicity.toxicity_scores(docs, labels).collect()
+    assert len(scored) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in scored)
+    kept = toxicity.score(docs, toxicity.fit(docs, labels))
+    assert kept.columns == [*docs.columns, "toxicity"]
+    spoken = language_id.language_predictions(docs).collect()
+    assert len(spoken) == len(rows) and {r.lang_pred for r in spoken if r.doc_id in (50, 51)} == {"und"}
+    assert language_id.language_predictions(docs.where("false")).count() == 0
+    assert toxicity.toxicity_scores(docs.where("false"), labels).count() == 0
+
+
+def test_long_conversation(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"\\turn <{i}>\n" * (i % 5)) for i in range(6000)]
+    out = chat_format.format_chat(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(7)).select(chat_format.read_chat(F.col("formatted")).alias("t"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert [(t.role, t.text) for t in out.t] == [(r, x) for _, _, r, x in rows]
+    assert out.loss == "".join(x for _, _, r, x in rows if r == "assistant")
+
+
+def test_mix_without_ids(spark):
+    """Rows without an id are spread and counted one by one, and sources meet their targets to the word."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"w{i} " * (1 + i % 9), "abc"[i % 3 if i % 5 else 0]) for i in range(5000)] + [(None, None, "a"), (None, "same text", "b"), (None, "same text", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in got:
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 3 * r.size
+    total, level = sum(sizes.values()), None
+    weight = dict(zip(sorted(sizes), (1, 2, 3), strict=True))
+    open_, left = set(sizes), float(total)
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * level > 3 * sizes[s]}
+        if not over:
+            break
+        open_ -= over
+        left -= sum(3 * sizes[s] for s in over)
+    assert target == pytest.approx({s: weight[s] * level if s in open_ else 3 * sizes[s] for s in sizes})
+    assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
+    again = mixing.mix(docs.repartition(3)).collect()
+    assert Counter((r.doc_id, r.size, r.taken) for r in got) == Counter((r.doc_id, r.size, r.taken) for r in again)

@@ -97,3 +97,57 @@ def test_mixing_stage_makes_the_mix(spark):
             cut += 1
             assert text.startswith(got[-1]) and len(got[-1].split()) == rest
     assert cut
+
+
+def test_stages_against_brute_force(spark):
+    """Line dedup, near duplicates and decontamination on all rows of the given table."""
+    from test_dedup import brute_lines, brute_sets, components_of, jaccard
+
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    steps = dict(corpus_pipeline.STAGES)
+
+    lined = {r.doc_id: r.text for r in steps["line_dedup"](spark, docs, LARGER).select("doc_id", "text").collect()}
+    from hashlib import sha256
+
+    assert {i: sha256((t or "").encode()).hexdigest() for i, t in lined.items()} == {i: d for i, _, _, d in brute_lines(rows, 40, 5)}
+
+    sets = brute_sets([t for _, t in rows])
+    holders = defaultdict(list)
+    for n, own in enumerate(sets):
+        for x in own:
+            holders[x].append(n)
+    met = Counter((a, b) for own in holders.values() for k, b in enumerate(own) for a in own[:k])
+    links = [p for p in met if jaccard(sets[p[0]], sets[p[1]]) >= 0.8] + [(a, b) for b in range(len(sets)) for a in range(b) if not sets[a] and not sets[b]]
+    root = components_of(range(len(sets)), links)
+    best = {}
+    for n, (i, _) in enumerate(rows):
+        best[root[n]] = min(i, best.get(root[n], i))
+    assert sorted(r.doc_id for r in steps["simhash_dedup"](spark, docs, LARGER).select("doc_id").collect()) == sorted(best.values())
+
+    items = [words(r.text) for r in spark.read.parquet(f"{LARGER}/benchmark.parquet").collect()]
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    of_items = [grams(v) for v in items]
+    held = defaultdict(set)
+    for k, own in enumerate(of_items):
+        for g in own:
+            held[g].add(k)
+    leaked = set()
+    for i, t in rows:
+        w = words(t)
+        for k in {k for g in grams(w) for k in held.get(g, ())}:
+            n = min(len(items[k]), len(w))
+            for at in range(len(w) - n + 1):
+                own = grams(w[at : at + n])
+                both = sum((own & of_items[k]).values())
+                if both and both / sum((own | of_items[k]).values()) >= 0.8:
+                    leaked.add(i)
+                    break
+    left = {r.doc_id for r in steps["decontamination"](spark, docs, LARGER).select("doc_id").collect()}
+    assert {i for i, _ in rows} - left == leaked and leaked
+
+
+def words(text):
+    import re
+
+    return re.findall(r"[^\W_]+", (text or "").lower())
