@@ -38,7 +38,7 @@ def briefing(items: DataFrame, rising: DataFrame, as_of: str, each: int = 8) ->
     days = lambda c: (F.unix_timestamp(now) - F.unix_timestamp(F.col(c).cast("timestamp"))) / 86400.0
     sections = {
         "fresh": (days("content_time").between(0, 1), [F.desc("content_time")]),
-        "asleep": ((days("content_time") > 20) & (F.col("opens") == 0), [F.xxhash64("item_id")]),
+        "asleep": ((days("content_time") > 20) & (F.col("opens") == 0), [F.md5(F.col("item_id").cast("string"))]),
         "revisit": ((F.col("opens") >= 3) & (days("last_opened_at") > 14), [F.desc("opens")]),
         "stuck": (F.col("status") == "failed", [F.desc("content_time")]),
         "thin": (F.col("n_chunks") <= 1, [F.col("n_chunks")]),

@@ -63,7 +63,8 @@ def daily_briefing(spark, sf_dir):
     return library.briefing(_briefed(spark, sf_dir), _rising(spark, sf_dir), "2024-01-25 00:00:00").where("section <> 'asleep'")
 
 
-@query()
+@query(f"""WITH {ITEMS}, {OPENS}, own AS (SELECT i.item_id, (epoch(TIMESTAMP '2024-01-25') - epoch(content_time)) / 86400 AS age, coalesce(opens, 0) AS opens FROM items i LEFT JOIN opens USING (item_id)),
+hits AS (SELECT item_id, row_number() OVER (ORDER BY md5(CAST(item_id AS VARCHAR)), item_id) AS rank, count(*) OVER () AS total FROM own WHERE age > 20 AND opens = 0) SELECT 'asleep' AS section, rank, item_id, total FROM hits WHERE rank <= 8""")
 def daily_briefing_asleep(spark, sf_dir):
     return library.briefing(_briefed(spark, sf_dir), _rising(spark, sf_dir), "2024-01-25 00:00:00").where("section = 'asleep'")
 

@@ -145,7 +145,8 @@ def hybrid_rrf(spark, sf_dir):
     return R.top(_fused(spark, sf_dir), 30, F.desc("rrf"), F.col("item_id"))
 
 
-@query(f"{_RRF} SELECT query_id, item_id, coalesce(keyword_rank IS NOT NULL, false) OR cosine >= 0.5 AS strong FROM fused LEFT JOIN pairs USING (query_id, item_id)")
+@query(f"""{_RRF} SELECT f.query_id, f.item_id, keyword_rank IS NOT NULL OR coalesce(round(list_dot_product(q.v, x.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(x.v, x.v)), 6) >= 0.5, false) AS strong
+FROM fused f LEFT JOIN unit q ON q.item_id = f.query_id LEFT JOIN unit x ON x.item_id = f.item_id""")
 def weak_match_flag(spark, sf_dir):
     """Any channel but the vector makes a match strong, else a cosine of 0.5; weak ones are kept."""
     scored = R.cosines(_fused(spark, sf_dir), V.query_vectors(spark, sf_dir), V.vectors(spark, sf_dir))

@@ -33,7 +33,15 @@ def sentence_split(spark, sf_dir):
     return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sentence")).alias("chars"), F.max("sentence").alias("last"))
 
 
-@query()
+@query(r"""WITH parts AS (
+  SELECT doc_id, k, generate_subscripts(range(0, length(unit), 480), 1) AS j, unnest(list_transform(range(0, length(unit), 480), lambda i: unit[i + 1:i + 480])) AS part FROM (
+    SELECT doc_id, unnest(cut) AS unit, generate_subscripts(cut, 1) AS k FROM (
+      SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?;])(\s)', '\1' || chr(1) || '\2', 'g'), '([。！？；…\n])', '\1' || chr(1), 'g'), chr(1)) AS cut FROM documents)) WHERE trim(unit) <> ''),
+listed AS (SELECT doc_id, list({'out': []::VARCHAR[], 'now': part} ORDER BY k, j) AS l FROM parts GROUP BY doc_id),
+folded AS (SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN a.now <> '' AND length(a.now) + length(x.now) > 300
+  THEN {'out': list_append(a.out, a.now), 'now': CASE WHEN least(45, length(a.now)) + length(x.now) <= 480 THEN a.now[-45:] || x.now ELSE x.now END} ELSE {'out': a.out, 'now': a.now || x.now} END) AS s FROM listed),
+ended AS (SELECT doc_id, CASE WHEN len(s.out) > 0 AND length(s.now) < 40 AND length(s.out[-1]) + length(s.now) <= 480 THEN list_append(s.out[1:len(s.out) - 1], s.out[-1] || s.now) ELSE list_append(s.out, s.now) END AS chunks FROM folded)
+SELECT doc_id, unnest(chunks) AS text, generate_subscripts(chunks, 1) - 1 AS chunk_index FROM ended""")
 def chunk_pack(spark, sf_dir):
     return passages.pack_chunks(V.table(spark, sf_dir, "documents"))
 
@@ -54,7 +62,14 @@ def tfidf_keywords(spark, sf_dir):
     return passages.tfidf(V.index(spark, sf_dir).item_terms(), V.table(spark, sf_dir, "documents"))
 
 
-@query()
+_RANKS = "".join(f""", r{i} AS (SELECT id, b AS term, 0.15::DOUBLE + 0.85::DOUBLE * sum(share * weight) AS weight FROM shared JOIN r{i - 1} USING (id) WHERE term = a GROUP BY ALL)""" for i in range(1, 11))
+
+
+@query(f"""WITH words AS (SELECT id, unnest(l) AS t, generate_subscripts(l, 1) AS p FROM (SELECT doc_id AS id, list_filter({_T}, lambda x: length(x) >= 2) AS l FROM documents)),
+pairs AS (SELECT x.id, x.t AS a, y.t AS b FROM words x JOIN (SELECT id, t, p, unnest([1, 2, 3, 4]) AS d FROM words) y ON x.id = y.id AND x.p = y.p - y.d WHERE x.t <> y.t),
+edges AS (SELECT id, a, b, count(*)::DOUBLE AS w FROM (SELECT id, a, b FROM pairs UNION ALL SELECT id, b, a FROM pairs) GROUP BY ALL),
+shared AS (SELECT id, a, b, w / sum(w) OVER (PARTITION BY id, a) AS share FROM edges), r0 AS (SELECT DISTINCT id, a AS term, 1.0::DOUBLE AS weight FROM edges){_RANKS}
+SELECT id, term, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(weight, 6) DESC, term) AS rank FROM r10) WHERE rank <= 12""")
 def textrank_keywords(spark, sf_dir):
     return passages.keyword_ranks(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
