@@ -122,7 +122,7 @@ def event_dates(spark, sf_dir):
     return V.table(spark, sf_dir, "orders").select("o_orderkey", F.explode(passages.dates(text)).alias("x")).select("o_orderkey", "x.day", "x.precision")
 
 
-_CLICHES = "|".join(passages.CLICHES + passages.CLICHES_ZH).replace("'", "''")
+_CLICHES = "it is worth noting|in conclusion|in today''s world|plays a crucial role|it is important to note|delve into|in the realm of|a testament to|navigating the|furthermore|moreover|additionally|on the other hand|leverage|seamless|robust solution|unlock the potential|值得注意的是|综上所述|总而言之|总的来说|首先其次最后|在当今社会|随着科技的发展|众所周知|不难看出|由此可见|在一定程度上|具有重要意义|起到了重要作用|有着广泛的应用|极大地提高了|为我们提供了|不仅如此|与此同时|换句话说|需要指出的是|这不仅仅是|更是一种|在这个基础上"
 
 
 @query(rf"""WITH {_SENTENCES}, kept AS (SELECT doc_id, sentence FROM sents WHERE length(sentence) >= 4 AND length(sentence) <= 100000 AND NOT regexp_matches(sentence, '^[#=-]')),
@@ -183,9 +183,13 @@ def page_links(spark, sf_dir):
 
 _HOSTS = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1))"
 _MOVED = f"""placed AS (SELECT page_id, [{_HOSTS}, 'export.arxiv.org', 'docs.python.org', 'en.wikipedia.org', 'blog.csdn.net', 'old.reddit.com', 'cs.stanford.edu', 'www.nist.gov', 'x.ac.uk'][page_id % 9 + 1] AS site, html, url FROM pages)"""
-_TIER = "CASE WHEN site = '' THEN 'unknown' " + " ".join(
-    f"WHEN list_bool_or(list_transform({web.DOMAIN_TIERS[t]!r}, lambda d: site = d OR ends_with(site, '.' || d))) THEN '{t}'" for t in ("low", "academic", "official", "mainstream", "community")
-) + r" WHEN regexp_matches(site, '(^|\.)(gov|mil)(\.[a-z]{2})?$') THEN 'official' WHEN regexp_matches(site, '(^|\.)(edu|ac)(\.[a-z]{2})?$') THEN 'academic' ELSE 'unknown' END"
+_TIER = r"""CASE WHEN site = '' THEN 'unknown'
+  WHEN list_bool_or(list_transform(['csdn.net'], lambda d: site = d OR ends_with(site, '.' || d))) THEN 'low'
+  WHEN list_bool_or(list_transform(['arxiv.org', 'doi.org', 'nature.com', 'science.org', 'sciencedirect.com', 'springer.com', 'ieee.org', 'acm.org', 'pubmed.ncbi.nlm.nih.gov', 'ncbi.nlm.nih.gov', 'semanticscholar.org', 'openalex.org', 'crossref.org', 'biorxiv.org'], lambda d: site = d OR ends_with(site, '.' || d))) THEN 'academic'
+  WHEN list_bool_or(list_transform(['w3.org', 'ietf.org', 'iso.org', 'python.org', 'docs.python.org', 'developer.mozilla.org', 'microsoft.com', 'learn.microsoft.com', 'docs.oracle.com', 'kernel.org', 'postgresql.org', 'sqlite.org', 'who.int'], lambda d: site = d OR ends_with(site, '.' || d))) THEN 'official'
+  WHEN list_bool_or(list_transform(['wikipedia.org', 'reuters.com', 'apnews.com', 'bbc.com', 'xinhuanet.com', 'people.com.cn', 'thepaper.cn', 'caixin.com', 'github.com', 'stackoverflow.com'], lambda d: site = d OR ends_with(site, '.' || d))) THEN 'mainstream'
+  WHEN list_bool_or(list_transform(['zhihu.com', 'juejin.cn', 'segmentfault.com', 'v2ex.com', 'reddit.com', 'medium.com', 'jianshu.com', 'cnblogs.com', 'bilibili.com', 'weibo.com'], lambda d: site = d OR ends_with(site, '.' || d))) THEN 'community'
+  WHEN regexp_matches(site, '(^|\.)(gov|mil)(\.[a-z]{2})?$') THEN 'official' WHEN regexp_matches(site, '(^|\.)(edu|ac)(\.[a-z]{2})?$') THEN 'academic' ELSE 'unknown' END"""
 
 
 def _placed(spark, sf_dir):
@@ -232,10 +236,10 @@ def unsafe_urls(spark, sf_dir):
     return V.table(spark, sf_dir, "pages").select("page_id", web.unsafe_host(F.col("url")).alias("unsafe"))
 
 
-@query(f"""WITH {_MOVED} SELECT page_id, site, CASE WHEN list_bool_or(list_transform({web.TRUSTED_SUFFIXES!r}, lambda s: ends_with(site, s))) THEN ''
-  ELSE array_to_string(list_filter([CASE WHEN list_bool_or(list_transform({web.CHEAP_TLDS!r}, lambda t: ends_with(site, t))) THEN 'cheap_tld' END,
-    CASE WHEN regexp_matches(site, '(?i){web.FARM_HOST}') THEN 'farm_host' END, CASE WHEN list_bool_or(list_transform({web.FARM_WORDS!r}, lambda w: contains(site, w))) THEN 'farm_word' END,
-    CASE WHEN regexp_matches(html, '{web.LAYOUT["dense_ads"]}') THEN 'dense_ads' END, CASE WHEN regexp_matches(html, '{web.LAYOUT["paginated_bait"]}') THEN 'paginated_bait' END,
-    CASE WHEN regexp_matches(html, '{web.LAYOUT["scraped_footer"]}') THEN 'scraped_footer' END, CASE WHEN regexp_matches(html, '{web.LAYOUT["no_author"]}') THEN 'no_author' END], lambda x: x IS NOT NULL), ',') END AS flags FROM placed""")
+@query(rf"""WITH {_MOVED} SELECT page_id, site, CASE WHEN list_bool_or(list_transform(['.gov', '.gov.cn', '.edu', '.edu.cn', '.ac.cn', '.ac.uk', '.mil', '.int', '.org.cn'], lambda s: ends_with(site, s))) THEN ''
+  ELSE array_to_string(list_filter([CASE WHEN list_bool_or(list_transform(['.xyz', '.top', '.icu', '.cyou', '.buzz', '.click', '.link', '.shop', '.site', '.online', '.website', '.space', '.fun', '.cfd'], lambda t: ends_with(site, t))) THEN 'cheap_tld' END,
+    CASE WHEN regexp_matches(site, '(?i)(\d{{3,}}\.|[a-z]{{2,}}\d{{2,4}}\.|(news|info|tech|ai|tools?|guide|tips|blog|daily|hub|zone|world)[-_]?\d{{0,4}}\.)') THEN 'farm_host' END, CASE WHEN list_bool_or(list_transform(['aggregat', 'curat', 'syndicat', 'rewrite', 'spinner', 'aizixun', 'caiji', 'zhuanzai', 'wenzhang'], lambda w: contains(site, w))) THEN 'farm_word' END,
+    CASE WHEN regexp_matches(html, '(?i)(googlesyndication|adsbygoogle|pagead2|广告位|advert)') THEN 'dense_ads' END, CASE WHEN regexp_matches(html, '(?i)(下一页|第\s*\d+\s*页\s*/\s*共|next\s*page)') THEN 'paginated_bait' END,
+    CASE WHEN regexp_matches(html, '(?i)(本文(转载|来源|整理)自|内容来自网络|版权归原作者所有|侵删)') THEN 'scraped_footer' END, CASE WHEN regexp_matches(html, '(小编|编辑整理|综合报道)') THEN 'no_author' END], lambda x: x IS NOT NULL), ',') END AS flags FROM placed""")
 def farm_flags(spark, sf_dir):
     return _placed(spark, sf_dir).select("page_id", "site", F.array_join(web.farm_flags(F.col("site"), F.col("html")), ",").alias("flags"))

@@ -18,8 +18,16 @@ def _hits(patterns):
     return " + ".join(f"regexp_matches(q, '(?i){p}')::INT" for p in patterns)
 
 
-_KINDS = " ".join(f"WHEN {_hits(p)} > 0 THEN '{k}'" for k, p in W.INTENTS.items())
-_COUNTS = " ".join(f"WHEN {_hits(p)} > 0 THEN {_hits(p)}" for k, p in W.INTENTS.items())
+_PATTERNS = {
+    "code": [r"github", r"源码", r"源代码", r"代码实现", r"repo\b", r"仓库", r"\bnpm\b", r"\bpip install\b", r"\bapi\s*(文档|reference)", r"报错", r"traceback", r"stack\s*overflow", r"怎么写", r"示例代码", r"\b(sdk|cli)\b", r"how to (implement|code)"],
+    "scholar": [r"论文", r"文献", r"综述", r"研究进展", r"\barxiv\b", r"\bdoi\b", r"被引", r"期刊", r"\bpaper[s]?\b", r"survey", r"state[- ]of[- ]the[- ]art", r"\bsota\b", r"实验结果", r"数据集", r"benchmark"],
+    "news": [r"最新", r"今天", r"昨天", r"最近", r"新闻", r"发布会", r"上市", r"官宣", r"爆料", r"进展如何", r"\b202\d\b", r"latest", r"breaking", r"announce", r"发布了"],
+    "howto": [r"怎么", r"如何", r"教程", r"步骤", r"安装", r"配置", r"设置", r"入门", r"上手", r"\bhow to\b", r"tutorial", r"guide", r"解决", r"修复", r"排查"],
+    "definition": [r"是什么", r"什么是", r"定义", r"含义", r"概念", r"原理", r"区别", r"和.{1,12}的?区别", r"\bvs\b", r"对比", r"what is\b", r"meaning of", r"difference between"],
+    "product": [r"多少钱", r"价格", r"报价", r"哪个好", r"推荐", r"评测", r"参数", r"配置单", r"买", r"优惠", r"\breview\b", r"\bprice\b"],
+}
+_KINDS = " ".join(f"WHEN {_hits(p)} > 0 THEN '{k}'" for k, p in _PATTERNS.items())
+_COUNTS = " ".join(f"WHEN {_hits(p)} > 0 THEN {_hits(p)}" for k, p in _PATTERNS.items())
 _ASKED = "asked AS (SELECT doc_id, ['how to ', 'latest ', 'what is the price of ', 'arxiv paper survey ', ''][doc_id % 5 + 1] || split_part(text, ' ', 2) AS q FROM documents)"
 
 
@@ -35,7 +43,7 @@ def counter_queries(spark, sf_dir):
     return W.counter_queries(V.queries(spark, sf_dir))
 
 
-@query(f"WITH {queries_sql()} SELECT query_id, query || ' (' || array_to_string(list_transform({W.PRESET_SITES['gov']!r}, lambda s: 'site:' || s), ' OR ') || ')' AS query FROM queries")
+@query(f"WITH {queries_sql()} SELECT query_id, query || ' (' || array_to_string(list_transform(['gov.cn', 'gov.uk', 'europa.eu', 'who.int', 'iso.org', 'ietf.org', 'nist.gov'], lambda s: 'site:' || s), ' OR ') || ')' AS query FROM queries")
 def site_preset(spark, sf_dir):
     return V.queries(spark, sf_dir).select("query_id", W.with_preset(F.col("query"), "gov").alias("query"))
 
