@@ -15,8 +15,9 @@ The exact question, for windows of W tokens, is asked of a few keys instead of e
 
 Each step has the same form: rows (h, s, ..) where windows can only repeat inside an h and do so
 wholly where all s of the h are equal; what is left goes to the next step. Counting by h is a
-pre-aggregated sum and the way back a join, so a passage that a third of all documents share
-isn't gathered anywhere; only a document's own rows are. Texts are shuffled by document, once
+pre-aggregated sum and the way back a join on a hash of h, whose hot partitions Spark can split,
+so a passage that a third of all documents share isn't gathered anywhere; only a document's own
+rows are. Texts are shuffled by document, once
 for all steps, where Spark reuses the exchange. Equality is of 64-bit hashes; only hashes that
 share an anchor are compared, so accidental equality isn't to be expected at any size.
 """
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.documents import keyed
+from corvane.llm.groups import rejoined
 from corvane.llm.tokens import U64, Prefix, mix, slices
 
 _STEP = (1 << 20) - 4096
@@ -168,7 +170,7 @@ def repeated_windows(docs: DataFrame, tokenise: Tokens, window: int, gram: int,
     found, level = [], rows.mapInArrow(factor, _LEVEL)
     for cell in (*sizes, 1, None):
         groups = level.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("n > 1").select("h", (F.col("s0") != F.col("s1")).alias("open"))
-        shared = level.join(groups, "h")
+        shared = rejoined(level, groups, "h")
         found.append(shared.where("not open").select("_d", "_t", "p"))
         if cell is None:
             break

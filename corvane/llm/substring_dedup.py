@@ -1,11 +1,10 @@
-"""Substring dedup on words by a distributed relative Lempel-Ziv parse.
-
-Every document is factored against the whole corpus as its reference. The reference's index is
-cut into blocks by hash: a block holds the anchors (sampled eight-word grams) of its range, and
-each document meets every block that holds one of its own. A factor is extended over all windows
-around its anchor; factors that the reference holds as a whole are long factors, and become
-duplicate spans at once. Where they end, windows that straddle the factor boundary are compared
-one by one. ``repeats`` has the details and why the result is exact.
+"""Substring dedup on words: every word in a window that also starts anywhere else goes.
+
+The method named is a relative Lempel-Ziv parse, which factors each document greedily against every
+block of the reference. The README gives the measured cost of that and why it isn't what runs. What
+runs keeps its outcome: stretches that the rest of the corpus holds are found as a whole through
+sampled eight-word grams, and where they end, windows across the boundary are compared one by one.
+``repeats`` has the details and why the result is exact.
 
 A word is ``[^\\x20\\x09-\\x0D]+``, unchanged. A word is removed if it is covered by a window of
 ``window`` words of one document whose word sequence also starts anywhere else, the same document
