@@ -81,8 +81,15 @@ def tfidf(counts: DataFrame, docs: DataFrame, take: int = 12, least: int = 2) ->
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("tfidf"), "term")).cast("long")).where(F.col("rank") <= take).select("id", "term", "tfidf", "rank")
 
 
+def interleaved(first: DataFrame, second: DataFrame, take: int = 12) -> DataFrame:
+    """(id, term, rank): two ranked lists (id, term, rank) of keywords taken in turn, each term once."""
+    places = first.select("id", "term", (2 * F.col("rank") - 1).alias("place")).unionAll(second.select("id", "term", 2 * F.col("rank")))
+    once = places.groupBy("id", "term").agg(F.min("place").alias("place"))
+    return once.select("id", "term", F.row_number().over(Window.partitionBy("id").orderBy("place")).cast("long").alias("rank")).where(F.col("rank") <= take)
+
+
 def keyword_ranks(docs: DataFrame, take: int = 12, window: int = 4, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """(id, term, weight): TextRank over terms that stand within a window of each other in a text.
+    """(id, term, weight, rank): TextRank over terms that stand within a window of each other in a text.
 
     The graph of each text is an edge table; every round is a join and a sum, over all texts at once.
     """
@@ -96,7 +103,7 @@ def keyword_ranks(docs: DataFrame, take: int = 12, window: int = 4, rounds: int
     for _ in range(rounds):
         moved = edges.join(rank.withColumnRenamed("term", "a"), ["id", "a"]).select("id", F.col("b").alias("term"), (F.col("share") * F.col("weight")).alias("part"))
         rank = moved.groupBy("id", "term").agg((F.lit(1 - damping) + damping * F.sum("part")).alias("weight"))
-    return rank.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("weight", 6)), "term"))).where(F.col("rank") <= take).select("id", "term", F.round("weight", 6).alias("weight"))
+    return rank.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("weight", 6)), "term"))).where(F.col("rank") <= take).select("id", "term", F.round("weight", 6).alias("weight"), F.col("rank").cast("long").alias("rank"))
 
 
 def numbers(text: Column, limit: int = 40) -> Column:

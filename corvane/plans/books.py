@@ -132,9 +132,8 @@ def co_citation(spark, sf_dir):
 _HASH = "(('0x' || md5(split_part(text, ' ', 2))[1:4])::BIGINT * 17592186044416 + ('0x' || md5(split_part(text, ' ', 3))[1:4])::BIGINT * 4294967296 + ('0x' || md5(split_part(text, ' ', 4))[1:4])::BIGINT * 65536 + ('0x' || md5(split_part(text, ' ', 5))[1:4])::BIGINT)"
 
 
-@query(f"""WITH hashed AS (SELECT doc_id AS item_id, {_HASH} AS hash FROM documents), classes AS (SELECT hash, min(item_id) AS item_id FROM hashed GROUP BY hash),
-banded AS (SELECT item_id, hash, b, (hash >> (16 * b)) & 65535 AS v FROM classes CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS b))
-SELECT DISTINCT x.item_id AS a, y.item_id AS b, bit_count(xor(x.hash, y.hash))::BIGINT AS distance FROM banded x JOIN banded y ON x.b = y.b AND x.v = y.v AND x.item_id < y.item_id WHERE bit_count(xor(x.hash, y.hash)) <= 10
+@query(f"""WITH hashed AS (SELECT doc_id AS item_id, {_HASH} AS hash FROM documents), classes AS (SELECT hash, min(item_id) AS item_id FROM hashed GROUP BY hash)
+SELECT x.item_id AS a, y.item_id AS b, bit_count(xor(x.hash, y.hash))::BIGINT AS distance FROM classes x JOIN classes y ON x.item_id < y.item_id AND bit_count(xor(x.hash, y.hash)) <= 10
 UNION ALL SELECT c.item_id, h.item_id, 0 FROM hashed h JOIN classes c USING (hash) WHERE c.item_id < h.item_id""")
 def band_near_dup(spark, sf_dir):
     """Perceptual hashes stand in as four 16-bit digests of words, so that near ones share segments."""

@@ -271,7 +271,7 @@ def ask_passages(spark, sf_dir):
 @query()
 def ask_distinct_passages(spark, sf_dir):
     p = answers.passages(_covered(spark, sf_dir))
-    return E.distinct_passages(p.select("query_id", (F.col("chunk_id") * 1000 + F.col("i")).alias("id"), F.col("coverage").alias("score"), F.col("sentence").alias("text")))
+    return E.distinct_passages(p.select("query_id", F.xxhash64("chunk_id", "i").alias("id"), F.col("coverage").alias("score"), F.col("sentence").alias("text")))
 
 
 @query(rf"""WITH {CHUNKS}, kinds AS (SELECT item_id, chunk_id, CASE WHEN regexp_matches(lower(text), '( is (a|an|the) | means | refers to |是指|定义为)') THEN 'define' WHEN regexp_matches(lower(text), '(found that|results show|shows that|发现|表明)') THEN 'finding'
@@ -307,18 +307,11 @@ def recovery_did_you_mean(spark, sf_dir):
 
 
 @query()
-def vec_lsh_recall(spark, sf_dir):
-    """Neighbours by random-projection buckets of Spark's ML library, against the exact ones: the share found of each query."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    v = V.vectors(spark, sf_dir).select("item_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("raw"))
-    unit = Normalizer(inputCol="raw", outputCol="features").transform(v).select("item_id", "features")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=0.9, numHashTables=24, seed=3).fit(unit)
-    asked = V.query_vectors(spark, sf_dir).select("query_id").join(unit, F.col("query_id") == F.col("item_id")).select("query_id", "features")
-    near = model.approxSimilarityJoin(asked, unit, 2.1, "distance").select("datasetA.query_id", "datasetB.item_id", "distance")
-    got = retrieval.top(near, 10, F.round("distance", 6), F.col("item_id"))
-    exact = retrieval.knn(V.vectors(spark, sf_dir), V.query_vectors(spark, sf_dir), 10)
+def vec_ann_recall(spark, sf_dir):
+    """Neighbours by signs of random hyperplanes against the exact ones: the share found of each query's ten."""
+    v, q = V.vectors(spark, sf_dir), V.query_vectors(spark, sf_dir)
+    got = retrieval.ann(v, q, 10)
+    exact = retrieval.knn(v, q, 10)
     return exact.join(got.select("query_id", "item_id", F.lit(1).alias("hit")), ["query_id", "item_id"], "left").groupBy("query_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 2).alias("recall"))
 
 

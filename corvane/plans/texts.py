@@ -65,13 +65,23 @@ def tfidf_keywords(spark, sf_dir):
 _RANKS = "".join(f""", r{i} AS (SELECT id, b AS term, 0.15::DOUBLE + 0.85::DOUBLE * sum(share * weight) AS weight FROM shared JOIN r{i - 1} USING (id) WHERE term = a GROUP BY ALL)""" for i in range(1, 11))
 
 
-@query(f"""WITH words AS (SELECT id, unnest(l) AS t, generate_subscripts(l, 1) AS p FROM (SELECT doc_id AS id, list_filter({_T}, lambda x: length(x) >= 2) AS l FROM documents)),
+_TEXTRANK = f"""words AS (SELECT id, unnest(l) AS t, generate_subscripts(l, 1) AS p FROM (SELECT doc_id AS id, list_filter({_T}, lambda x: length(x) >= 2) AS l FROM documents)),
 pairs AS (SELECT x.id, x.t AS a, y.t AS b FROM words x JOIN (SELECT id, t, p, unnest([1, 2, 3, 4]) AS d FROM words) y ON x.id = y.id AND x.p = y.p - y.d WHERE x.t <> y.t),
 edges AS (SELECT id, a, b, count(*)::DOUBLE AS w FROM (SELECT id, a, b FROM pairs UNION ALL SELECT id, b, a FROM pairs) GROUP BY ALL),
-shared AS (SELECT id, a, b, w / sum(w) OVER (PARTITION BY id, a) AS share FROM edges), r0 AS (SELECT DISTINCT id, a AS term, 1.0::DOUBLE AS weight FROM edges){_RANKS}
-SELECT id, term, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(weight, 6) DESC, term) AS rank FROM r10) WHERE rank <= 12""")
+shared AS (SELECT id, a, b, w / sum(w) OVER (PARTITION BY id, a) AS share FROM edges), r0 AS (SELECT DISTINCT id, a AS term, 1.0::DOUBLE AS weight FROM edges){_RANKS},
+textrank AS (SELECT id, term, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(weight, 6) DESC, term) AS rank FROM r10) WHERE rank <= 12)"""
+
+
+@query(f"WITH {_TEXTRANK} SELECT id, term, weight FROM textrank")
 def textrank_keywords(spark, sf_dir):
-    return passages.keyword_ranks(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return passages.keyword_ranks(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).drop("rank")
+
+
+@query(f"""WITH {_TFIDF}, {_TEXTRANK}, both_ways AS (SELECT id, term, 2 * rank - 1 AS place FROM tfidf UNION ALL SELECT id, term, 2 * rank FROM textrank),
+once AS (SELECT id, term, min(place) AS place FROM both_ways GROUP BY ALL) SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY place) AS rank FROM once QUALIFY rank <= 12""")
+def keywords_interleaved(spark, sf_dir):
+    d = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return passages.interleaved(passages.tfidf(V.index(spark, sf_dir).item_terms(), d), passages.keyword_ranks(d))
 
 
 @query(f"""WITH {_TFIDF}, pieces AS (

@@ -35,7 +35,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
-    return lines.where(F.trim("text") != "").select((F.col("doc_id") * 100000 + F.col("n")).alias("chunk_id"), F.col("doc_id").alias("item_id"), F.col("n").cast("long").alias("chunk_index"), "text")
+    return lines.where(F.trim("text") != "").select((F.col("doc_id") * 1_000_000_000 + F.col("n")).alias("chunk_id"), F.col("doc_id").alias("item_id"), F.col("n").cast("long").alias("chunk_index"), "text")
 
 
 def index(spark: SparkSession, sf_dir: str) -> SearchIndex:
@@ -81,7 +81,7 @@ ITEMS = """items AS (
     TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 720 AS INTEGER)) AS content_time, sha256(text)[1:32] AS fingerprint
   FROM documents)"""
 CHUNKS = """chunks AS (
-  SELECT doc_id * 100000 + n AS chunk_id, doc_id AS item_id, n AS chunk_index, line AS text FROM (
+  SELECT doc_id * 1000000000 + n AS chunk_id, doc_id AS item_id, n AS chunk_index, line AS text FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)
   WHERE trim(line) <> '')"""
 TOKENS = r"regexp_extract_all(strip_accents(lower({0})), '[\p{{L}}\p{{N}}]+')"
