@@ -29,6 +29,16 @@ LAYOUT = {
     "paginated_bait": r"(?i)(下一页|第\s*\d+\s*页\s*/\s*共|next\s*page)",
     "scraped_footer": r"(?i)(本文(转载|来源|整理)自|内容来自网络|版权归原作者所有|侵删)",
     "no_author": r"(小编|编辑整理|综合报道)",
+    "keyword_stuffing": r"([一-鿿]{2,6})(、\1){3,}",
+}
+#: What a source has to do with what it writes on.
+INTERESTS = {
+    "vendor": r"(?i)^(www\.)?[a-z0-9-]+\.(com|cn|io|ai)$",
+    "ad": r"(?i)(/ad[s]?/|utm_(source|medium|campaign)=|/promo|/sponsor|/affiliate)",
+    "ecommerce": r"(?i)(taobao|tmall|jd\.com|amazon|ebay|pinduoduo|item\.|/product/|/dp/)",
+    "pr": r"(?i)(prnewswire|businesswire|globenewswire|美通社|新闻稿)",
+    "forum": r"(?i)(zhihu|tieba|reddit|quora|stackexchange|v2ex|douban)",
+    "selfmedia": r"(?i)(mp\.weixin\.qq\.com|toutiao|baijiahao|sohu\.com/a/|163\.com/dy/)",
 }
 FARM_WEIGHTS = {"cheap_tld": 0.05, "farm_host": 0.10, "farm_word": 0.12, "dense_ads": 0.06, "paginated_bait": 0.08, "scraped_footer": 0.12, "no_author": 0.05, "keyword_stuffing": 0.08, "burst": 0.12, "clone": 0.15}
 MAX_PENALTY = 0.45
@@ -108,6 +118,12 @@ def farm_flags(site: Column, html: Column) -> Column:
     return F.when(trusted(site), F.array().cast("array<string>")).otherwise(flags)
 
 
+def interests(url: Column) -> Column:
+    """What a page's address says of its interest; a vendor's site only where it says nothing else."""
+    other = F.array_compact(F.array(*[F.when(url.rlike(p), name) for name, p in INTERESTS.items() if name != "vendor"]))
+    return F.when((F.size(other) == 0) & host(url).rlike(INTERESTS["vendor"]), F.array(F.lit("vendor"))).otherwise(other)
+
+
 def farm_penalty(flags: Column) -> Column:
     """Sum of the flags' weights up to the cap; a burst that is no clone counts half."""
     weights = F.create_map(*[F.lit(x) for kv in FARM_WEIGHTS.items() for x in kv])

@@ -15,6 +15,8 @@ TARGET, HARD, OVERLAP, TINY = 300, 480, 45, 40
 #: English and Chinese phrases that fill text without saying anything.
 CLICHES = ["it is worth noting", "in conclusion", "in today's world", "plays a crucial role", "it is important to note", "delve into", "in the realm of", "a testament to", "navigating the", "furthermore", "moreover", "additionally", "on the other hand", "leverage", "seamless", "robust solution", "unlock the potential"]
 CLICHES_ZH = ["值得注意的是", "综上所述", "总而言之", "总的来说", "首先其次最后", "在当今社会", "随着科技的发展", "众所周知", "不难看出", "由此可见", "在一定程度上", "具有重要意义", "起到了重要作用", "有着广泛的应用", "极大地提高了", "为我们提供了", "不仅如此", "与此同时", "换句话说", "需要指出的是", "这不仅仅是", "更是一种", "在这个基础上"]
+#: Chinese words that hold a sentence together and say nothing of their own.
+FUNCTION_WORDS_ZH = ["的", "了", "和", "是", "在", "有", "与", "及", "或", "而", "对", "为", "以", "等", "之", "所", "被", "把", "从", "到", "上", "中"]
 #: What a unit after a number multiplies it by, longest names first.
 UNITS = {"万亿": 1e12, "亿": 1e8, "千万": 1e7, "百万": 1e6, "万": 1e4, "trillion": 1e12, "billion": 1e9, "million": 1e6, "thousand": 1e3, "k": 1e3, "m": 1e6, "bn": 1e9}
 
@@ -107,7 +109,7 @@ def keyword_ranks(docs: DataFrame, take: int = 12, window: int = 4, rounds: int
 
 
 def numbers(text: Column, limit: int = 40) -> Column:
-    """Distinct (value, is_percent) of a text in order; plain years are left out, units multiply."""
+    """Distinct (value, is_percent) of a text in order; plain years are left out, units multiply, and written-out Chinese percentages come last."""
     unit = "|".join(UNITS)
     pattern = rf"(?i)(?<![\w.])(\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?)\s?(%|(?:{unit})(?![A-Za-z]))?"
     digits, units = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
@@ -115,18 +117,67 @@ def numbers(text: Column, limit: int = 40) -> Column:
     both = F.transform(F.arrays_zip(digits.alias("d"), units.alias("u")), lambda x: F.struct(x["d"].alias("d"), F.lower(F.coalesce(x["u"], F.lit(""))).alias("u")))
     kept = F.filter(both, lambda x: ~((x["u"] == "") & x["d"].rlike("^(19|20)[0-9]{2}$")))
     value = lambda x: F.round(F.replace(x["d"], F.lit(","), F.lit("")).try_cast("double") * F.coalesce(by[x["u"]], F.lit(1.0)), 6)
-    return F.slice(F.array_distinct(F.transform(kept, lambda x: F.struct(value(x).alias("value"), (x["u"] == "%").alias("percent")))), 1, limit)
+    plain = F.transform(kept, lambda x: F.struct(value(x).alias("value"), (x["u"] == "%").alias("percent")))
+    spelled = F.transform(F.regexp_extract_all(text, F.lit("百分之([零〇一二两三四五六七八九十百]{1,6})"), F.lit(1)), lambda x: F.struct(zh_number(x).alias("value"), F.lit(True).alias("percent")))
+    return F.slice(F.array_distinct(F.concat(plain, F.filter(spelled, lambda x: x["value"].isNotNull()))), 1, limit)
+
+
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+#: How a day, a month or a year is written, in the order in which they count; a part of a longer date is none of its own.
+DATE_PATTERNS = [
+    ("ymd", r"(?<!\d)((?:19|20)\d{2})[-/.年](0?[1-9]|1[0-2])[-/.月](0?[1-9]|[12]\d|3[01])(?!\d)"),
+    ("ym", r"(?<!\d)((?:19|20)\d{2})[-/年](0?[1-9]|1[0-2])(?![-/.月\d])"),
+    ("dmy", r"(?<![\d/-])(0?[1-9]|[12]\d|3[01])[/-](0?[1-9]|1[0-2])[/-]((?:19|20)\d{2})(?!\d)"),
+    ("mdy", r"(?i)\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+(\d{1,2}),?\s+((?:19|20)\d{2})\b"),
+    ("y", r"(?<![\d/.,-])(?<!\d,\s)(?<!\d\s)((?:19|20)\d{2})(?![-/.年,\d])"),
+]
 
 
 def dates(text: Column, limit: int = 6) -> Column:
-    """Distinct dates (day, precision) of the first 4000 characters: full ones, then months; days above 28 count as 28."""
+    """Distinct dates (day, precision) of the first 4000 characters, which hold when a thing happened: full ones, then months, then years.
+
+    Days above 28 count as 28; what is no date is left out. A day that a finer pattern has given isn't given again.
+    """
     head = F.substring(text, 1, 4000)
-    ymd = r"(?<!\d)((?:19|20)\d{2})[-/.年](0?[1-9]|1[0-2])[-/.月](0?[1-9]|[12]\d|3[01])(?!\d)"
-    ym = r"(?<!\d)((?:19|20)\d{2})[-/年](0?[1-9]|1[0-2])(?![-/.月\d])"
-    part = lambda p, i: F.regexp_extract_all(head, F.lit(p), F.lit(i))
-    full = F.transform(F.arrays_zip(part(ymd, 1).alias("y"), part(ymd, 2).alias("m"), part(ymd, 3).alias("d")), lambda x: F.struct(F.make_date(x["y"].cast("int"), x["m"].cast("int"), F.least(x["d"].cast("int"), F.lit(28))).alias("day"), F.lit("day").alias("precision")))
-    month = F.transform(F.arrays_zip(part(ym, 1).alias("y"), part(ym, 2).alias("m")), lambda x: F.struct(F.make_date(x["y"].cast("int"), x["m"].cast("int"), F.lit(1)).alias("day"), F.lit("month").alias("precision")))
-    return F.slice(F.array_distinct(F.concat(full, month)), 1, limit)
+
+    def found(kind: str, pattern: str) -> Column:
+        groups = [F.regexp_extract_all(head, F.lit(pattern), F.lit(i + 1)).alias(f"g{i}") for i in range(3 if kind in ("ymd", "dmy", "mdy") else 2 if kind == "ym" else 1)]
+        number = lambda x: x.try_cast("int")
+        one = F.lit(1)
+        parts = {
+            "ymd": lambda x: (number(x["g0"]), number(x["g1"]), number(x["g2"])),
+            "ym": lambda x: (number(x["g0"]), number(x["g1"]), one),
+            "dmy": lambda x: (number(x["g2"]), number(x["g1"]), number(x["g0"])),
+            "mdy": lambda x: (number(x["g2"]), F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(x["g0"], 1, 3))).cast("int"), number(x["g1"])),
+            "y": lambda x: (number(x["g0"]), one, one),
+        }[kind]
+
+        def day(x: Column) -> Column:
+            y, m, d = parts(x)
+            return F.when(m.between(1, 12) & (d >= 1), F.make_date(y, m, F.least(d, F.lit(28))))
+
+        precision = {"ym": "month", "y": "year"}.get(kind, "day")
+        return F.transform(F.arrays_zip(*groups), lambda x: F.struct(day(x).alias("day"), F.lit(precision).alias("precision")))
+
+    every = F.filter(F.concat(*[found(k, p) for k, p in DATE_PATTERNS]), lambda x: x["day"].isNotNull())
+    first = F.aggregate(every, F.array().cast("array<struct<day:date,precision:string>>"), lambda kept, x: F.when(F.exists(kept, lambda k: k["day"] == x["day"]), kept).otherwise(F.array_append(kept, x)))
+    return F.slice(first, 1, limit)
+
+
+_ZH_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+
+
+def zh_number(text: Column) -> Column:
+    """The value of a Chinese numeral below ten thousand, null if it is none or nothing."""
+    digit = F.create_map(*[F.lit(x) for kv in _ZH_DIGITS.items() for x in kv])
+    each = "".join(_ZH_DIGITS)
+
+    def unit(name: str, times: int) -> Column:
+        before = F.regexp_extract(text, f"([{each}]?){name}", 1)
+        return F.when(F.contains(text, F.lit(name)), F.coalesce(F.when(F.coalesce(digit[before], F.lit(0)) > 0, digit[before]), F.lit(1)) * times).otherwise(0)
+
+    total = unit("千", 1000) + unit("百", 100) + unit("十", 10) + F.coalesce(digit[F.regexp_extract(text, f"([{each}])$", 1)], F.lit(0))
+    return F.when(text.rlike(f"^[{each}十百千]+$") & (total > 0), total.cast("double"))
 
 
 #: Patterns of entities that regular expressions can find.
@@ -149,7 +200,7 @@ def entities(docs: DataFrame) -> DataFrame:
 
 
 def style(docs: DataFrame) -> DataFrame:
-    """Of texts (id, text): sentence count, variation of sentence length, share of repeated words, clichés per 100 characters, votes and score.
+    """Of texts (id, text): sentence count, variation of sentence length, share of repeated words, share of function words among Han characters, clichés per 100 characters, votes and score.
 
     Texts under 120 characters or 5 sentences are left out. Sentences and tokens are made once each, behind
     a generator that expressions aren't copied through.
@@ -157,18 +208,20 @@ def style(docs: DataFrame) -> DataFrame:
     cut = docs.where(F.length("text") >= 120).select("id", F.inline(F.array(F.struct(
         sentences(F.col("text"), 4, 100000).alias("sents"), tokens(F.col("text")).alias("words"), F.length("text").alias("chars"),
         F.regexp_count(F.lower("text"), F.lit("|".join(CLICHES + CLICHES_ZH))).alias("cliches"),
+        F.regexp_count("text", F.lit("[一-鿿]")).alias("han"), F.regexp_count("text", F.lit("[" + "".join(FUNCTION_WORDS_ZH) + "]")).alias("functional"),
     ))))
     lengths = F.transform("sents", lambda s: F.length(s).cast("double"))
     add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     counted = cut.select("id", F.inline(F.array(F.struct(
         F.size("sents").cast("long").alias("sentences"), add(lengths).alias("total"), add(F.transform(lengths, lambda x: x * x)).alias("squares"),
-        F.size("words").alias("n_words"), F.size(F.array_distinct("words")).alias("n_distinct"), "chars", "cliches",
+        F.size("words").alias("n_words"), F.size(F.array_distinct("words")).alias("n_distinct"), "chars", "cliches", "han", "functional",
     )))).where("sentences >= 5")
     mean = F.col("total") / F.col("sentences")
     out = counted.select(
         "id", "sentences",
         F.round(F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("sentences") - mean * mean)) / mean, 4).alias("length_cv"),
         F.round(1 - F.col("n_distinct") / F.col("n_words"), 4).alias("repeat_ratio"),
+        F.round(F.when(F.col("han") > 0, F.col("functional") / F.col("han")).otherwise(0.0), 4).alias("function_ratio"),
         F.round(F.col("cliches") / (F.col("chars") / 100.0), 4).alias("cliche_per_100"),
     )
     votes = (F.col("length_cv") < 0.35).cast("long") + (F.col("repeat_ratio") > 0.62).cast("long") + (F.col("cliche_per_100") >= 1.2).cast("long")

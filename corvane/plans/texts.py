@@ -124,12 +124,18 @@ def number_normalise(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", F.explode(passages.numbers(F.col("text"))).alias("x")).select("doc_id", "x.value", "x.percent")
 
 
-@query(r"""WITH typed AS (SELECT o_orderkey, 'on ' || strftime(o_orderdate, '%Y-%m-%d') || ' or ' || strftime(o_orderdate, '%Y/%m') || ' ' AS text, o_orderdate FROM orders)
-SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y-%m-') || least(day(o_orderdate), 28) AS DATE) AS day, 'day' AS precision FROM typed
-UNION ALL SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE), 'month' FROM typed""")
+@query(r"""WITH d AS (SELECT o_orderkey, o_orderdate + INTERVAL 10 YEAR AS t FROM orders),
+w AS (SELECT o_orderkey, 0 AS nth, CAST(strftime(t, '%Y-%m-') || least(day(t), 28) AS DATE) AS day, 'day' AS precision FROM d
+  UNION ALL SELECT o_orderkey, 1, CAST(date_trunc('month', t) AS DATE), 'month' FROM d
+  UNION ALL SELECT o_orderkey, 2, CAST(strftime(t - INTERVAL 1 YEAR, '%Y-%m-') || least(day(t - INTERVAL 1 YEAR), 28) AS DATE), 'day' FROM d
+  UNION ALL SELECT o_orderkey, 3, CAST(strftime(t + INTERVAL 1 YEAR, '%Y-%m-') || least(day(t + INTERVAL 1 YEAR), 28) AS DATE), 'day' FROM d)
+SELECT o_orderkey, day, precision FROM w QUALIFY row_number() OVER (PARTITION BY o_orderkey, day ORDER BY nth) = 1""")
 def event_dates(spark, sf_dir):
-    text = F.concat(F.lit("on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" or "), F.date_format("o_orderdate", "yyyy/MM"), F.lit(" "))
-    return V.table(spark, sf_dir, "orders").select("o_orderkey", F.explode(passages.dates(text)).alias("x")).select("o_orderkey", "x.day", "x.precision")
+    """Order dates ten years on and their neighbours, written year first, as a month, day first and with the month's name."""
+    t = F.col("o_orderdate") + F.make_ym_interval(F.lit(10))
+    before, after = t - F.make_ym_interval(F.lit(1)), t + F.make_ym_interval(F.lit(1))
+    text = F.concat(F.lit("on "), F.date_format(t, "yyyy-MM-dd"), F.lit(" or "), F.date_format(t, "yyyy/MM"), F.lit(" then "), F.date_format(before, "d/M/yyyy"), F.lit(" and "), F.date_format(after, "MMMM d, yyyy"), F.lit("."))
+    return V.table(spark, sf_dir, "orders").select("o_orderkey", F.explode(passages.dates(text, 20)).alias("x")).select("o_orderkey", "x.day", "x.precision")
 
 
 _CLICHES = "it is worth noting|in conclusion|in today''s world|plays a crucial role|it is important to note|delve into|in the realm of|a testament to|navigating the|furthermore|moreover|additionally|on the other hand|leverage|seamless|robust solution|unlock the potential|值得注意的是|综上所述|总而言之|总的来说|首先其次最后|在当今社会|随着科技的发展|众所周知|不难看出|由此可见|在一定程度上|具有重要意义|起到了重要作用|有着广泛的应用|极大地提高了|为我们提供了|不仅如此|与此同时|换句话说|需要指出的是|这不仅仅是|更是一种|在这个基础上"
@@ -140,10 +146,11 @@ stat AS (SELECT doc_id, count(*) AS sentences, sum(length(sentence))::DOUBLE AS
 parts AS (
   SELECT doc_id, sentences, round(sqrt(greatest(0.0::DOUBLE, squares / sentences - (total / sentences) * (total / sentences))) / (total / sentences), 4) AS length_cv,
     round(1 - len(list_distinct({_T})) / len({_T})::DOUBLE, 4) AS repeat_ratio,
-    round(len(regexp_extract_all(lower(text), '{_CLICHES}')) / (length(text) / 100.0::DOUBLE), 4) AS cliche_per_100
+    round(len(regexp_extract_all(lower(text), '{_CLICHES}')) / (length(text) / 100.0::DOUBLE), 4) AS cliche_per_100,
+    round(CASE WHEN len(regexp_extract_all(text, '[一-鿿]')) > 0 THEN len(regexp_extract_all(text, '[的了和是在有与及或而对为以等之所被把从到上中]')) / len(regexp_extract_all(text, '[一-鿿]'))::DOUBLE ELSE 0.0::DOUBLE END, 4) AS function_ratio
   FROM stat JOIN documents USING (doc_id) WHERE sentences >= 5 AND length(text) >= 120),
 voted AS (SELECT *, (length_cv < 0.35)::BIGINT + (repeat_ratio > 0.62)::BIGINT + (cliche_per_100 >= 1.2)::BIGINT AS votes FROM parts)
-SELECT doc_id, sentences, length_cv, repeat_ratio, cliche_per_100, votes, [0.0::DOUBLE, 0.3::DOUBLE, 0.55::DOUBLE, 0.75::DOUBLE, 0.9::DOUBLE][votes + 1] AS score FROM voted""")
+SELECT doc_id, sentences, length_cv, repeat_ratio, function_ratio, cliche_per_100, votes, [0.0::DOUBLE, 0.3::DOUBLE, 0.55::DOUBLE, 0.75::DOUBLE, 0.9::DOUBLE][votes + 1] AS score FROM voted""")
 def ai_style_stats(spark, sf_dir):
     return passages.style(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("id", "doc_id")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.functions import web
 from corvane.functions.text import sentences
 from corvane.operators import retrieval
 from corvane.operators import web_search as W
@@ -82,6 +83,24 @@ def memory_upsert(spark, sf_dir):
     return W.remembered(r).withColumn("topics", F.array_join("topics", ","))
 
 
+@query("""WITH f AS (SELECT event_type AS topic, sha1(regexp_replace(lower(user_id || ' saw ' || CAST(floor(value) AS BIGINT)), '[^\\p{L}\\p{N}]+', '', 'g'))[1:20] AS fact, count(*) AS seen, max(event_id) AS last_seen FROM events GROUP BY ALL)
+SELECT topic, fact, seen, last_seen, row_number() OVER (PARTITION BY topic ORDER BY seen DESC, last_seen DESC, fact) AS rank FROM f QUALIFY rank <= 30""")
+def memory_recall(spark, sf_dir):
+    said = F.concat(F.col("user_id").cast("string"), F.lit(" saw "), F.floor("value").cast("string"))
+    return W.recalled(V.table(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), said.alias("text"), F.col("event_id").alias("ts")))
+
+
+@query("SELECT 's' || l_suppkey AS site, count(DISTINCT l_partkey) AS urls, count(DISTINCT l_orderkey) AS topics, count(*) AS hits FROM lineitem GROUP BY l_suppkey")
+def site_history(spark, sf_dir):
+    li = V.table(spark, sf_dir, "lineitem")
+    return W.site_history(li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("site"), F.col("l_partkey").alias("url"), F.col("l_orderkey").alias("topic")))
+
+
+@query("""SELECT page_id, CASE WHEN regexp_matches(url, '(?i)(/ad[s]?/|utm_(source|medium|campaign)=|/promo|/sponsor|/affiliate)') THEN 'ad' WHEN regexp_matches(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^(www\\.)?[a-z0-9-]+\\.(com|cn|io|ai)$') THEN 'vendor' ELSE '' END AS interest FROM pages""")
+def page_interests(spark, sf_dir):
+    return V.table(spark, sf_dir, "pages").select("page_id", F.array_join(web.interests(F.col("url")), ",").alias("interest"))
+
+
 @query("""WITH runs AS (SELECT o_custkey AS project, count(*) AS runs, max(o_orderdate) AS last_run FROM orders GROUP BY 1), src AS (SELECT o_custkey AS project, count(DISTINCT l_partkey) AS sources FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
 SELECT c_custkey AS project, coalesce(runs, 0) AS runs, last_run, coalesce(sources, 0) AS sources FROM customer LEFT JOIN runs ON project = c_custkey LEFT JOIN src USING (project)""")
 def project_listing(spark, sf_dir):

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corvane.functions import text, web
-from corvane.operators import evidence, library, passages, retrieval
+from corvane.operators import evidence, library, passages, retrieval, web_search
 from corvane.operators.query_language import parse
 from corvane.sources import files
 from corvane.streaming import streams
@@ -74,6 +74,22 @@ def test_numbers_and_dates(spark):
     assert [(r.value, r.percent) for r in got] == [(12.5, True), (1200.0, False), (3e6, False), (50000.0, False)]
     got = one(spark, passages.dates(F.col("t")), t="on 2024-02-31 and 2023/7, again 2024-02-31; 2021年3月5日")
     assert [(str(r.day), r.precision) for r in got] == [("2024-02-28", "day"), ("2021-03-05", "day"), ("2023-07-01", "month")]
+    got = one(spark, passages.dates(F.col("t")), t="5/11/2022, March 7, 2021, Sept. 31 2020, in 2019 and 13/13/2018")
+    assert [(str(r.day), r.precision) for r in got] == [("2022-11-05", "day"), ("2021-03-07", "day"), ("2020-09-28", "day"), ("2019-01-01", "year")]
+    got = one(spark, passages.numbers(F.col("t")), t="百分之二十三，百分之一百零五，百分之十，百分之百，百分之零，3%")
+    assert [(r.value, r.percent) for r in got] == [(3.0, True), (23.0, True), (105.0, True), (10.0, True), (100.0, True)]
+
+
+def test_interests_and_memory(spark):
+    assert one(spark, web.interests(F.col("t")), t="https://www.acme.com/about") == ["vendor"]
+    assert one(spark, web.interests(F.col("t")), t="https://www.zhihu.com/product/1?utm_source=x") == ["ad", "ecommerce", "forum"]
+    assert one(spark, web.interests(F.col("t")), t="https://a.b.example.org/x") == []
+    facts = spark.createDataFrame([("t", "A fact!", 1), ("t", "a FACT", 5), ("t", "other", 9), ("u", "a fact", 2)], "topic string, text string, ts long")
+    assert [(r.topic, r.seen, r.last_seen, r["rank"]) for r in web_search.recalled(facts).orderBy("topic", "rank").collect()] == [("t", 2, 5, 1), ("t", 1, 9, 2), ("u", 1, 2, 1)]
+    hits = spark.createDataFrame([("s", "u1", "t"), ("s", "u1", "v"), ("s", "u2", "t")], "site string, url string, topic string")
+    assert web_search.site_history(hits).collect()[0] == ("s", 2, 2, 3)
+    results = spark.createDataFrame([(1, "a", "This claim is false", ""), (1, "a", "false again", ""), (1, "b", "debunked, it says in the title", "debunked"), (1, "c", "nothing", "of the kind")], "query_id long, url string, title string, snippet string")
+    assert sorted(r.url for r in web_search.refuting(results).collect()) == ["a", "b"]
 
 
 @settings(max_examples=60, deadline=None)
