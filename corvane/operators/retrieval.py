@@ -123,8 +123,8 @@ def _knn_block(have: DataFrame, rows: list, k: int, skip_self: bool) -> DataFram
     return top(have.mapInArrow(search, "query_id long, item_id long, cosine double"), k, F.desc("cosine"), F.col("item_id"))
 
 
-#: Sign tables for neighbours of a cosine from about 0.45 on, which meet with probability 0.95; nearer ones bear more bits.
-ANN_BITS, ANN_TABLES = 6, 40
+#: Sign tables for neighbours of a cosine from about 0.3 on, which meet with probability 0.96; nearer ones bear more bits.
+ANN_BITS, ANN_TABLES = 5, 40
 
 
 def sign_keys(rows: DataFrame, name: str, bits: int, tables: int, seed: int = 7) -> DataFrame:

