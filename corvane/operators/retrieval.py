@@ -104,11 +104,13 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = False)
 
 def _knn_block(have: DataFrame, rows: list, k: int, skip_self: bool) -> DataFrame:
     """Neighbours of one block of queries, which goes to the tasks."""
-    ids, q = np.array([r.query_id for r in rows], dtype=np.int64), _unit(np.array([r.v for r in rows], dtype=np.float64).reshape(len(rows), -1))
+    if not rows:
+        return have.where("false").select(F.lit(0).cast("long").alias("query_id"), "item_id", F.lit(0.0).alias("cosine"), F.lit(0).cast("long").alias("rank"))
+    ids, q = np.array([r.query_id for r in rows], dtype=np.int64), _unit(np.array([r.v for r in rows], dtype=np.float64))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows or not len(ids):
+            if not batch.num_rows:
                 continue
             item = np.asarray(batch.column("item_id"))
             x = _unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(item), -1))
