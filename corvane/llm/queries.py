@@ -1,11 +1,11 @@
-"""Registered queries op1 to op10, the pipeline, and their SQL where SQL can express them."""
+"""Registered queries op1 to op13, the pipeline, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat_format, decontamination, embedding_dedup, language_id, line_dedup, mixing, simhash, substring_dedup, suffix_dedup, toxicity
+from corvane.llm import chat_format, conversation_repair, decontamination, embedding_dedup, filter_audit, language_id, license_scan, line_dedup, mixing, simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,13 +60,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damaged_and_repaired(_read(spark, sf_dir, "conversations"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_labels(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_decontamination, op3_simhash_dedup, op4_substring_dedup, op5_toxicity, op6_language_id, op7_chat_format, op8_line_dedup, op9_suffix_dedup, op10_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_decontamination, op3_simhash_dedup, op4_substring_dedup, op5_toxicity, op6_language_id, op7_chat_format, op8_line_dedup, op9_suffix_dedup, op10_mixing, op11_filter_audit, op12_conversation_repair, op13_license_scan, pipeline)}
 
 OP7_SQL = r"""
 WITH turns AS (
@@ -131,4 +143,80 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-ORACLE_SQL = {"op7_chat_format": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
+OP11_SQL = r"""
+WITH RECURSIVE measured AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), firsts AS (
+  SELECT body, min(doc_id) AS first FROM measured GROUP BY body
+), judged AS (
+  SELECT m.doc_id, part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+      100 * len(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body), regexp_matches(body, '[#$%&*|]'), coalesce(m.doc_id > first, false)] AS fails,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = m.doc_id AND quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = m.doc_id AND toxic = 1) AS toxic
+  FROM measured m JOIN firsts USING (body)
+), cells AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM judged GROUP BY ALL
+), orders AS (
+  SELECT '' AS o UNION ALL SELECT o || x FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) t(x) WHERE NOT contains(o, x)
+), steps AS (
+  SELECT o, CAST(i AS INTEGER) AS step, substr(o, i, 1) AS f, substr(o, 1, i - 1) AS earlier FROM orders, range(1, 6) r(i) WHERE length(o) = 5
+), met AS (
+  SELECT part, o, step, f, n, good, toxic, fails[ord(f) - 64] AS own,
+    len(list_filter(fails, lambda x: x)) AS all_fails, coalesce(list_bool_or(list_transform(range(1, step), lambda i: fails[ord(substr(o, i, 1)) - 64])), false) AS gone
+  FROM cells, steps
+), counted AS (
+  SELECT part, o, step, f, CAST(sum(n) FILTER (NOT gone AND NOT own) AS BIGINT) AS kept, CAST(sum(n) FILTER (NOT gone AND own) AS BIGINT) AS removed, CAST(sum(n) FILTER (gone AND own) AS BIGINT) AS redundant,
+    CAST(sum(n) FILTER (own AND all_fails = 1) AS BIGINT) AS unique_fails, CAST(sum(good) FILTER (NOT gone AND own) AS BIGINT) AS good_lost, CAST(sum(toxic) FILTER (NOT gone AND own) AS BIGINT) AS toxic_lost
+  FROM met GROUP BY part, o, step, f
+)
+SELECT part, o AS filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails,
+  coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley
+FROM counted
+"""
+
+OP12_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), hashed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, 8 * length(k)), lambda i: CASE WHEN i % 8 = 0 THEN ord(substr(k, CAST(i / 8 + 1 AS BIGINT), 1)) ELSE 0 END)),
+    lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) % 20 AS fate FROM keyed
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM hashed, range(CASE WHEN fate = 3 THEN 2 ELSE 1 END) WHERE fate <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS final FROM hurt
+), judged AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER w AS earlier, CASE WHEN final = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' END AS fault
+  FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+), moves(p, role, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+inserts(p, k, q) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (3, 0, 3), (3, 1, 2)),
+edits(p, needs, letter, cost, q) AS (
+  SELECT p, role, 'K', 0, q FROM moves UNION ALL SELECT p, NULL, 'R', 3, q FROM moves WHERE role <> 's' UNION ALL SELECT p, NULL, 'D', 4, p FROM range(4) r(p)
+), best(conv_id, i, q, way) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(q AS BIGINT), {'cost': CAST(3 * k AS BIGINT), 'audit': repeat('I', k)} FROM conversations, inserts WHERE p = 0
+  UNION ALL
+  SELECT b.conv_id, j.i, CAST(n.q AS BIGINT), min({'cost': CAST(b.way.cost + e.cost + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 3 ELSE 0 END + 3 * n.k AS BIGINT), 'audit': b.way.audit || letter || repeat('I', n.k)})
+  FROM best b JOIN judged j ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.i = b.i + 1
+  JOIN edits e ON e.p = b.q AND (needs IS NULL OR needs = initial) AND (letter = 'D' OR fault IS NULL OR fault = 'truncated') JOIN inserts n ON n.p = e.q
+  GROUP BY b.conv_id, j.i, n.q
+), counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+), chosen AS (
+  SELECT b.conv_id, min(way) AS way FROM best b JOIN counted c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = c.n WHERE q IN (0, 3) GROUP BY b.conv_id
+), letters AS (
+  SELECT conv_id, way.audit AS audit, unnest(string_split(way.audit, '')) AS letter, generate_subscripts(string_split(way.audit, ''), 1) AS nth FROM chosen WHERE way.audit <> ''
+), made AS (
+  SELECT *, count(*) FILTER (letter <> 'I') OVER w AS of_row, count(*) FILTER (letter <> 'D') OVER w - 1 AS made, length(replace(audit, 'D', '')) % 2 AS odd FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY nth)
+), texts AS (
+  SELECT m.conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (made - odd) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY nth) AS whole
+  FROM made m LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM m.conv_id AND j.i = m.of_row WHERE letter <> 'D' GROUP BY m.conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(way.cost, 0) AS cost, coalesce(way.audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counted d ON d.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN chosen x ON x.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+ORACLE_SQL = {"op11_filter_audit": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op7_chat_format": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
