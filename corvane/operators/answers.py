@@ -36,20 +36,6 @@ def passages(sents: DataFrame, least: float = 0.3, per_source: int = 2) -> DataF
     return ok.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "item_id").orderBy(F.desc("coverage"), "chunk_id", "i"))).where(F.col("r") <= per_source)
 
 
-def did_you_mean(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(term, suggestion, distance, cnt): the most frequent known word within one edit of a short term, two of a longer one.
-
-    Candidates share the length within the allowed edits, and the first or the last character; a term that
-    is known itself gets none.
-    """
-    unknown = terms.select("term").distinct().join(vocabulary, "term", "left_anti").withColumn("most", F.when(F.length("term") <= 3, 1).otherwise(2))
-    asked = unknown.select("term", "most", F.explode(F.array_distinct(F.array(F.concat(F.lit("^"), F.substring("term", 1, 1)), F.concat(F.lit("$"), F.substring("term", -1, 1))))).alias("edge"))
-    known = vocabulary.select(F.col("term").alias("suggestion"), "cnt", F.explode(F.array_distinct(F.array(F.concat(F.lit("^"), F.substring("term", 1, 1)), F.concat(F.lit("$"), F.substring("term", -1, 1))))).alias("edge"))
-    met = asked.join(known, "edge").where(F.abs(F.length("term") - F.length("suggestion")) <= F.col("most"))
-    near = met.withColumn("distance", F.levenshtein("term", "suggestion", 2).cast("long")).where((F.col("distance") >= 0) & (F.col("distance") <= F.col("most"))).select("term", "suggestion", "distance", "cnt").distinct()
-    return near.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("cnt"), "distance", "suggestion"))).where("r = 1").drop("r")
-
-
 def drop_one(items: DataFrame, filters: dict[str, Column]) -> DataFrame:
     """(dropped, n): how many items are left without each filter, and with all, counted in one pass."""
     names = list(filters)

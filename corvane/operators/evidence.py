@@ -188,36 +188,6 @@ def merge_preprints(records: DataFrame) -> DataFrame:
     return grouped.withColumn("formal_id", F.when(F.length("norm") >= 10, F.min(formal).over(w))).withColumn("first_day", F.when(F.length("norm") >= 10, F.min("day").over(w)).otherwise(F.col("day"))).drop("norm")
 
 
-def clusters(vectors: DataFrame, most: int = 8, least_cosine: float = 0.18) -> DataFrame:
-    """(corpus, id, cluster): average-linkage clusters of sparse vectors (corpus, id, term, weight) of length one.
-
-    Cosines come from a join on corpus and term; the merge loop is sequential and runs once a corpus of
-    a few hundred entries in Arrow Python, which is why a corpus has to be small.
-    """
-    x, y = vectors.alias("x"), vectors.alias("y")
-    dots = x.join(y, (F.col("x.corpus") == F.col("y.corpus")) & (F.col("x.term") == F.col("y.term")) & (F.col("x.id") < F.col("y.id")))
-    pairs = dots.groupBy(F.col("x.corpus").alias("corpus"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.round(F.sum(F.col("x.weight") * F.col("y.weight")), 9).alias("cosine"))
-    alone = vectors.select("corpus", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine")).distinct()
-
-    def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(frame["a"]) | set(frame["b"]))
-        cos = {(r.a, r.b): r.cosine for r in frame.itertuples()}
-        groups = [[n] for n in names]
-        while len(groups) > most:
-            best, at = least_cosine, None
-            for i in range(len(groups)):
-                for j in range(i):
-                    link = sum(cos.get((min(p, q), max(p, q)), 0.0) for p in groups[i] for q in groups[j]) / (len(groups[i]) * len(groups[j]))
-                    if link > best:
-                        best, at = link, (j, i)
-            if at is None:
-                break
-            groups[at[0]] += groups.pop(at[1])
-        return pd.DataFrame([(key[0], n, min(g)) for g in groups for n in g], columns=["corpus", "id", "cluster"])
-
-    return pairs.unionByName(alone).groupBy("corpus").applyInPandas(merge, "corpus long, id long, cluster long")
-
-
 def topics(sentences: DataFrame, most: int = 6, least_sites: int = 2) -> DataFrame:
     """(corpus, topic, id): sentences gathered under the words that most sites share, greedily and each once.
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,22 +93,43 @@ def interleaved(first: DataFrame, second: DataFrame, take: int = 12) -> DataFram
     return once.select("id", "term", F.row_number().over(Window.partitionBy("id").orderBy("place")).cast("long").alias("rank")).where(F.col("rank") <= take)
 
 
+def _text_ranks(words: list[str], window: int, rounds: int, damping: float) -> list[tuple[str, float]]:
+    """Terms of one text with their TextRank weight, heaviest first."""
+    terms, at = np.unique(np.array(words, dtype=object).astype(str), return_inverse=True) if words else (np.array([]), np.zeros(0, int))
+    n = len(terms)
+    a, b = (np.concatenate([x[:-d] if first else x[d:] for d in range(1, window + 1) for x in [at]] or [at]) for first in (True, False))
+    a, b = a[a != b], b[a != b]
+    if not len(a):
+        return []
+    edge, w = np.unique(np.concatenate([a * n + b, b * n + a]), return_counts=True)
+    src, dst = edge // n, edge % n
+    share = w / np.bincount(src, w, minlength=n)[src]
+    weight = np.ones(n)
+    for _ in range(rounds):
+        weight = 1 - damping + damping * np.bincount(dst, share * weight[src], minlength=n)
+    linked = np.flatnonzero(np.bincount(dst, minlength=n))
+    return sorted(((str(terms[i]), float(np.round(weight[i], 6))) for i in linked), key=lambda x: (-x[1], x[0]))
+
+
 def keyword_ranks(docs: DataFrame, take: int = 12, window: int = 4, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """(id, term, weight, rank): TextRank over terms that stand within a window of each other in a text.
 
-    The graph of each text is an edge table; every round is a join and a sum, over all texts at once.
+    A text's graph is no larger than the text, so it is ranked where the text is read, in Arrow batches and without a shuffle.
     """
-    words = docs.select("id", F.posexplode(F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 2)).alias("p", "a"))
-    steps = words.select("id", "a", F.col("p"), F.explode(F.sequence(F.col("p") + 1, F.col("p") + window)).alias("q"))
-    pairs = steps.join(words.select("id", F.col("p").alias("q"), F.col("a").alias("b")), ["id", "q"]).where("a <> b")
-    edges = pairs.select("id", "a", "b").unionAll(pairs.select("id", F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("id", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    share = F.col("w") / F.sum("w").over(Window.partitionBy("id", "a"))
-    edges = edges.withColumn("share", share).persist()
-    rank = edges.select("id", F.col("a").alias("term")).distinct().withColumn("weight", F.lit(1.0))
-    for _ in range(rounds):
-        moved = edges.join(rank.withColumnRenamed("term", "a"), ["id", "a"]).select("id", F.col("b").alias("term"), (F.col("share") * F.col("weight")).alias("part"))
-        rank = moved.groupBy("id", "term").agg((F.lit(1 - damping) + damping * F.sum("part")).alias("weight"))
-    return rank.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("weight", 6)), "term"))).where(F.col("rank") <= take).select("id", "term", F.round("weight", 6).alias("weight"), F.col("rank").cast("long").alias("rank"))
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, terms, weights, ranks = [], [], [], []
+            for i, words in zip(batch.column("id").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                for r, (term, weight) in enumerate(_text_ranks(words, window, rounds, damping)[:take], 1):
+                    ids.append(i)
+                    terms.append(term)
+                    weights.append(weight)
+                    ranks.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(weights, pa.float64()), pa.array(ranks, pa.int64())], ["id", "term", "weight", "rank"])
+
+    words = F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 2)
+    return docs.select(F.col("id").cast("long").alias("id"), words.alias("words")).mapInArrow(rank, "id long, term string, weight double, rank long")
 
 
 def numbers(text: Column, limit: int = 40) -> Column:
@@ -199,47 +223,69 @@ def entities(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.explode(found).alias("e")).groupBy("id", "e.kind", "e.name").agg(F.count(F.lit(1)).alias("n"))
 
 
+_SENTENCE_ENDS = re.compile(r"[。！？；\n]+|[.!?;]+\s")
+_HAN, _LATIN = re.compile("[一-鿿]"), re.compile("[a-z]{2,}")
+_STYLE = ["sentences", "total", "squares", "n_words", "n_distinct", "chars", "cliches", "han", "functional"]
+
+
+def _style_counts(text: str) -> tuple[int, ...] | None:
+    """What the style of a text is computed from; None for one that is too short."""
+    s = text.strip()
+    if len(s) < 120:
+        return None
+    lengths = [n for n in (len(x.strip()) for x in _SENTENCE_ENDS.split(s)) if n >= 4]
+    if len(lengths) < 5:
+        return None
+    low, han = s.lower(), _HAN.findall(s)
+    words = [x + y for x, y in zip(han, han[1:], strict=False)] + _LATIN.findall(low)
+    cliches = sum(map(s.count, CLICHES_ZH)) + sum(map(low.count, CLICHES))
+    return len(lengths), sum(lengths), sum(n * n for n in lengths), len(words), len(set(words)), len(s), cliches, len(han), sum(map(han.count, FUNCTION_WORDS_ZH))
+
+
 def style(docs: DataFrame) -> DataFrame:
     """Of texts (id, text): sentence count, variation of sentence length, share of repeated words, share of function words among Han characters, clichés per 100 characters, votes and score.
 
-    Texts under 120 characters or 5 sentences are left out. Sentences and tokens are made once each, behind
-    a generator that expressions aren't copied through.
+    Texts under 120 characters or 5 sentences are left out. Words are pairs of Han characters in a row and runs of two
+    Latin letters or more. Texts are counted once in Arrow batches; all ratios are expressions on these counts.
     """
-    cut = docs.where(F.length("text") >= 120).select("id", F.inline(F.array(F.struct(
-        sentences(F.col("text"), 4, 100000).alias("sents"), tokens(F.col("text")).alias("words"), F.length("text").alias("chars"),
-        F.regexp_count(F.lower("text"), F.lit("|".join(CLICHES + CLICHES_ZH))).alias("cliches"),
-        F.regexp_count("text", F.lit("[一-鿿]")).alias("han"), F.regexp_count("text", F.lit("[" + "".join(FUNCTION_WORDS_ZH) + "]")).alias("functional"),
-    ))))
-    lengths = F.transform("sents", lambda s: F.length(s).cast("double"))
-    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    counted = cut.select("id", F.inline(F.array(F.struct(
-        F.size("sents").cast("long").alias("sentences"), add(lengths).alias("total"), add(F.transform(lengths, lambda x: x * x)).alias("squares"),
-        F.size("words").alias("n_words"), F.size(F.array_distinct("words")).alias("n_distinct"), "chars", "cliches", "han", "functional",
-    )))).where("sentences >= 5")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, c) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) if t and (c := _style_counts(t))]
+            columns = zip(*(c for _, c in found), strict=True) if found else [[] for _ in _STYLE]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], ["id", *_STYLE])
+
+    counted = docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(count, "id long, " + ", ".join(f"{c} long" for c in _STYLE))
     mean = F.col("total") / F.col("sentences")
     out = counted.select(
         "id", "sentences",
-        F.round(F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("sentences") - mean * mean)) / mean, 4).alias("length_cv"),
-        F.round(1 - F.col("n_distinct") / F.col("n_words"), 4).alias("repeat_ratio"),
-        F.round(F.when(F.col("han") > 0, F.col("functional") / F.col("han")).otherwise(0.0), 4).alias("function_ratio"),
-        F.round(F.col("cliches") / (F.col("chars") / 100.0), 4).alias("cliche_per_100"),
+        (F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("sentences") - mean * mean)) / mean).alias("length_cv"),
+        F.when(F.col("n_words") > 0, 1 - F.col("n_distinct") / F.col("n_words")).otherwise(0.0).alias("repeat_ratio"),
+        F.when(F.col("han") > 0, F.col("functional") / F.col("han")).otherwise(0.0).alias("function_ratio"),
+        (F.col("cliches") / (F.col("chars") / 100.0)).alias("cliche_per_100"),
     )
-    votes = (F.col("length_cv") < 0.35).cast("long") + (F.col("repeat_ratio") > 0.62).cast("long") + (F.col("cliche_per_100") >= 1.2).cast("long")
+    signs = [F.col("length_cv") < 0.35, F.col("repeat_ratio") > 0.62, F.col("function_ratio") > 0.30, F.col("cliche_per_100") >= 1.2]
     score = F.element_at(F.array(*[F.lit(x) for x in (0.0, 0.3, 0.55, 0.75, 0.9)]), F.col("votes").cast("int") + 1)
-    return out.withColumn("votes", votes).withColumn("score", score)
+    voted = out.withColumn("votes", sum((x.cast("long") for x in signs), F.lit(0).cast("long"))).withColumn("score", score)
+    return voted.withColumns({c: F.round(c, 4) for c in ("length_cv", "repeat_ratio", "function_ratio", "cliche_per_100")})
 
 
-#: Names of files that hold secrets.
-SENSITIVE_NAMES = [".env", "id_rsa", "id_ed25519", ".htpasswd", ".netrc", "credentials", "wallet.dat"]
-SENSITIVE_EXTENSIONS = [".pem", ".key", ".pfx", ".p12", ".kdbx", ".keystore"]
+#: Names, endings and beginnings of files that hold secrets, and words in their names.
+SENSITIVE_NAMES = [".env", ".npmrc", ".netrc", ".pgpass", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "credentials.json", "credentials.csv", "login data", "cookies", "web data"]
+SENSITIVE_EXTENSIONS = [".pem", ".key", ".pfx", ".p12", ".kdbx", ".ovpn", ".ppk"]
+SENSITIVE_PREFIXES = [".env."]
+SENSITIVE_WORDS = r"(secret|password|passwd|api[_-]?key|access[_-]?token|private[_-]?key|credential|凭据|密钥|密码)"
 
 
 def sensitive_reason(path: Column) -> Column:
-    """Why a file shouldn't be read, or null: its exact name, extension, prefix, or a word in its stem."""
-    name = F.lower(F.substring_index(path, "/", -1))
-    ext = F.regexp_extract(name, r"(\.[^.]+)$", 1)
-    stem = F.regexp_replace(name, r"\.[^.]+$", "")
+    """Why a file shouldn't be read, or null: its name or stem, its ending, its beginning, or a word in its stem. A dot that a name begins or ends with begins no ending."""
+    name = F.lower(F.regexp_extract(path, r"([^/\\]*)$", 1))
+    ending = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
+    stem = F.when(ending == "", name).otherwise(F.substring(name, F.lit(1), F.length(name) - F.length(ending)))
+    begins = F.lit(False)
+    for p in SENSITIVE_PREFIXES:
+        begins = begins | F.startswith(name, F.lit(p))
     return (
-        F.when(name.isin(SENSITIVE_NAMES), "name").when(ext.isin(SENSITIVE_EXTENSIONS), "extension").when(name.startswith(".env."), "prefix")
-        .when(stem.rlike(r"(^|[^a-z])(password|passwd|secret|token|credential)s?([^a-z]|$)"), "keyword")
+        F.when(name.isin(SENSITIVE_NAMES) | stem.isin(SENSITIVE_NAMES), "name").when(ending.isin(SENSITIVE_EXTENSIONS), "extension")
+        .when(begins, "prefix").when(stem.rlike(SENSITIVE_WORDS), "keyword")
     )

@@ -62,18 +62,6 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, 3))).otherwise(F.array().cast("array<string>")))
 
 
-def title_hits(items: DataFrame, queries: DataFrame, limit: int = 60) -> DataFrame:
-    """Items whose title or locator holds the query of three characters or more; shortest titles first.
-
-    Candidates share the query's first trigram, so that the join has an equal key.
-    """
-    asked = queries.where(F.length("query") >= 3).select("query_id", F.lower("query").alias("q"), F.substring(F.lower("query"), 1, 3).alias("gram"))
-    low = items.select("item_id", F.length("title").cast("long").alias("title_chars"), F.lower("title").alias("t"), F.lower("locator").alias("l"))
-    grams = low.select("*", F.explode(F.array_union(trigrams(F.col("t")), trigrams(F.col("l")))).alias("gram"))
-    hit = grams.join(asked, "gram").where(F.contains("t", F.col("q")) | F.contains("l", F.col("q")))
-    return top(hit.select("query_id", "item_id", "title_chars"), limit, F.col("title_chars"), F.col("item_id"))
-
-
 def cosines(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """Adds cosine to pairs (query_id, item_id, ..); null where one of them has no vector."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
@@ -90,10 +78,10 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = False)
     A block of about QUERY_BLOCK query vectors goes to the tasks at a time, and of several blocks each
     one's result is written before the next is read, so the driver holds one block. Each batch of
     vectors is one matrix product that keeps its own top k a query, so what is shuffled is k rows a
-    query and batch. A vector without length has cosine 0 with all.
+    query and batch. A vector without length has cosine 0 with all; rows without id or vector are left out.
     """
-    asked = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
-    have = vectors.select(F.col("item_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null")
+    asked = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null AND query_id is not null")
+    have = vectors.select(F.col("item_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null AND item_id is not null")
     blocks = -(-asked.count() // QUERY_BLOCK)
     if blocks <= 1:
         return _knn_block(have, asked.orderBy("query_id").collect(), k, skip_self)
@@ -125,36 +113,6 @@ def _knn_block(have: DataFrame, rows: list, k: int, skip_self: bool) -> DataFram
     return top(have.mapInArrow(search, "query_id long, item_id long, cosine double"), k, F.desc("cosine"), F.col("item_id"))
 
 
-#: Sign tables for neighbours of a cosine from about 0.3 on, which meet with probability 0.96; nearer ones bear more bits.
-ANN_BITS, ANN_TABLES = 5, 40
-
-
-def sign_keys(rows: DataFrame, name: str, bits: int, tables: int, seed: int = 7) -> DataFrame:
-    """(id, key) of rows (id, embedding): of each table the signs of its random hyperplanes, with the table's number and the dimension."""
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("v").to_pylist()
-            for dim in sorted({len(x) for x in lists}):
-                at = [i for i, x in enumerate(lists) if len(x) == dim]
-                planes = np.random.default_rng([seed, dim]).standard_normal((dim, bits * tables))
-                signs = (np.array([lists[i] for i in at], dtype=np.float64) @ planes > 0).reshape(len(at), tables, bits)
-                keys = signs @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << 40) + (dim << 48)
-                ids = np.asarray(batch.column(name))[at]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, tables)), pa.array(keys.ravel())], [name, "key"])
-
-    usable = rows.select(F.col(name).cast("long"), F.col("embedding").cast("array<double>").alias("v")).where("v is not null AND size(v) > 0 AND forall(v, x -> x is not null)")
-    return usable.mapInArrow(sign, f"{name} long, key long")
-
-
-def ann(vectors: DataFrame, queries: DataFrame, k: int, bits: int = ANN_BITS, tables: int = ANN_TABLES) -> DataFrame:
-    """(query_id, item_id, cosine, rank): neighbours that share a bucket of one of the tables with the query, by their exact cosine.
-
-    Only ids travel with the keys; vectors are joined to the different candidates once.
-    """
-    met = sign_keys(queries, "query_id", bits, tables).join(sign_keys(vectors, "item_id", bits, tables), "key").select("query_id", "item_id").distinct()
-    return top(cosines(met, queries, vectors).where("cosine is not null"), k, F.desc("cosine"), F.col("item_id"))
-
-
 def _first(cos: np.ndarray, item: np.ndarray, take: int) -> np.ndarray:
     """The columns of the ``take`` highest values of each row, by item where values are equal; only what reaches the row's bound is sorted."""
     if take == cos.shape[1]:

@@ -1,7 +1,7 @@
 """The built index of a corpus: postings, chunk sizes and corpus counts as tables that searches read.
 
 Building tokenises every chunk once and writes the postings in folders by a hash of the term and
-sorted by term, so that a search for a few terms reads the folders, row groups and columns it needs.
+sorted by term, so that a search for a few terms reads the folders and columns it needs.
 An index is built once for each state of its source (path and time of change) and Spark application,
 and lies in the shared folder.
 """
@@ -53,7 +53,7 @@ def build(chunks: DataFrame) -> SearchIndex:
     return SearchIndex(spark.read.schema(placed.schema).parquet(path), stats.df)
 
 
-_BUILT: dict[tuple, SearchIndex] = {}
+_BUILT: dict[tuple, object] = {}
 
 
 def _changed(spark: SparkSession, path: str) -> tuple:
@@ -62,9 +62,14 @@ def _changed(spark: SparkSession, path: str) -> tuple:
     return system.getFileStatus(place).getModificationTime(), system.getContentSummary(place).getLength()
 
 
-def built(spark: SparkSession, source: str, chunks: Callable[[], DataFrame]) -> SearchIndex:
-    """The index of a source's chunks, built if this application has none of its present state."""
-    key = (spark.sparkContext.applicationId, source, *_changed(spark, source))
+def kept(spark: SparkSession, source: str, name: str, make: Callable[[], object]):
+    """What ``make`` builds from a source, built if this application has none of that name for the source's present state."""
+    key = (spark.sparkContext.applicationId, source, name, *_changed(spark, source))
     if key not in _BUILT:
-        _BUILT[key] = build(chunks())
+        _BUILT[key] = make()
     return _BUILT[key]
+
+
+def built(spark: SparkSession, source: str, chunks: Callable[[], DataFrame]) -> SearchIndex:
+    """The index of a source's chunks."""
+    return kept(spark, source, "postings", lambda: build(chunks()))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.plans import books, evidence, exports, research, retrieval, streams, texts, web
+from corvane.plans import books, evidence, exports, links, research, retrieval, streams, texts, web
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (retrieval, texts, books, evidence, web, research, exports, streams):
+for _part in (retrieval, texts, books, evidence, web, links, research, exports, streams):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import web
 from corvane.functions.text import tokens
-from corvane.operators import answers, retrieval
+from corvane.operators import answers, clustering, compare, retrieval, spelling, vector_index
 from corvane.operators import evidence as E
 from corvane.operators.passages import tfidf
 from corvane.plans import views as V
@@ -217,7 +217,15 @@ def _corpora(spark, sf_dir):
 @query()
 def tfidf_cluster(spark, sf_dir):
     """Clusters among the first twenty items of each query."""
-    return E.clusters(_corpora(spark, sf_dir))
+    return clustering.clusters(_corpora(spark, sf_dir))
+
+
+@query()
+def cluster_labels(spark, sf_dir):
+    """The clusters of each query's first twenty items with labels, outliers and representatives; views stand for citations."""
+    facts = V.items(spark, sf_dir).select(F.col("item_id").alias("id"), F.year("content_time").alias("year")).join(V.opens(spark, sf_dir).select(F.col("item_id").alias("id"), F.col("opens").alias("citations")), "id", "left")
+    found = clustering.cluster_table(_corpora(spark, sf_dir).join(facts, "id"))
+    return found.withColumns({"keywords": F.array_join("keywords", ","), "members": F.array_join(F.transform("members", lambda m: m.cast("string")), ",")})
 
 
 _WEIGHED = _TFIDF.replace("df AS (SELECT term", "df2 AS (SELECT term").replace("JOIN df USING", "JOIN df2 USING")
@@ -293,26 +301,65 @@ def recovery_split_terms(spark, sf_dir):
     return answers.split_terms(V.index(spark, sf_dir).of(terms), terms)
 
 
-_VOCAB = f"""{CHUNKS}, {POSTINGS}, vocab AS (SELECT term, sum(tf)::BIGINT AS cnt FROM postings WHERE length(term) BETWEEN 2 AND 12 AND regexp_matches(term, '^[a-z0-9]+$') GROUP BY term),
-typos AS (SELECT DISTINCT t[1:len(t) - 1] AS term FROM (SELECT unnest({TOKENS.format('text')}[1:8]) AS t FROM benchmark) WHERE length(t) >= 3 AND regexp_matches(t, '^[a-z0-9]+$'))"""
+_VOCAB = f"""{CHUNKS}, {POSTINGS}, vocab AS (SELECT term, sum(tf)::BIGINT AS cnt FROM postings WHERE length(term) BETWEEN 2 AND 12 GROUP BY term),
+asked AS (SELECT item_id AS query_id, unnest({TOKENS.format('text')}[1:3]) AS t, generate_subscripts({TOKENS.format('text')}[1:3], 1) AS nth FROM benchmark),
+typed AS (SELECT query_id, nth, CASE WHEN nth <> 1 + query_id % 3 THEN t ELSE CASE query_id % 4 WHEN 0 THEN t[1:length(t) - 1] WHEN 1 THEN 'q' || t[2:length(t) - 1] || 'z' WHEN 2 THEN t[1:1] || 'x' || t[2:] ELSE t[2:] || t[1:1] END END AS term FROM asked),
+unknown AS (SELECT DISTINCT term, CASE WHEN length(term) <= 3 THEN 1 ELSE 2 END AS most FROM typed WHERE length(term) BETWEEN 2 AND 12 AND term NOT IN (SELECT term FROM vocab)),
+near AS (SELECT u.term, v.term AS suggestion, levenshtein(u.term, v.term) AS distance, cnt FROM unknown u JOIN vocab v ON abs(length(u.term) - length(v.term)) <= most AND levenshtein(u.term, v.term) <= most),
+meant AS (SELECT term, suggestion, distance, cnt FROM near QUALIFY row_number() OVER (PARTITION BY term ORDER BY cnt DESC, distance, suggestion) = 1)"""
+
 
+def _typed(spark, sf_dir):
+    """(query_id, nth, term): the first three tokens of each benchmark item, one of them misspelt: cut, changed at both ends, with a letter put in, or with the first one moved to the end."""
+    read = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.slice(tokens(F.col("text")), 1, 3)).alias("at", "t"))
+    kind, size = F.col("query_id") % 4, F.length("t")
+    wrong = (
+        F.when(kind == 0, F.substring("t", F.lit(1), size - 1)).when(kind == 1, F.concat(F.lit("q"), F.substring("t", F.lit(2), size - 2), F.lit("z")))
+        .when(kind == 2, F.concat(F.substring("t", 1, 1), F.lit("x"), F.substring("t", F.lit(2), size))).otherwise(F.concat(F.substring("t", F.lit(2), size), F.substring("t", 1, 1)))
+    )
+    return read.select("query_id", (F.col("at") + 1).alias("nth"), F.when(F.col("at") != F.col("query_id") % 3, F.col("t")).otherwise(wrong).alias("term"))
 
-@query(f"""WITH {_VOCAB}, unknown AS (SELECT term, CASE WHEN length(term) <= 3 THEN 1 ELSE 2 END AS most FROM typos WHERE term NOT IN (SELECT term FROM vocab)),
-near AS (SELECT DISTINCT u.term, v.term AS suggestion, levenshtein(u.term, v.term) AS distance, cnt FROM unknown u JOIN vocab v ON abs(length(u.term) - length(v.term)) <= most AND (u.term[1:1] = v.term[1:1] OR u.term[-1:] = v.term[-1:]) AND levenshtein(u.term, v.term) <= most)
-SELECT term, suggestion, distance, cnt FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY cnt DESC, distance, suggestion) AS r FROM near) WHERE r = 1""")
+
+@query(f"WITH {_VOCAB} SELECT term, suggestion, distance, cnt FROM meant")
 def recovery_did_you_mean(spark, sf_dir):
-    vocab = V.index(spark, sf_dir).postings.where(F.length("term").between(2, 12) & F.col("term").rlike("^[a-z0-9]+$")).groupBy("term").agg(F.sum("tf").alias("cnt"))
-    t = V.table(spark, sf_dir, "benchmark").select(F.explode(F.slice(tokens(F.col("text")), 1, 8)).alias("t")).where((F.length("t") >= 3) & F.col("t").rlike("^[a-z0-9]+$"))
-    return answers.did_you_mean(t.select(F.expr("substring(t, 1, length(t) - 1)").alias("term")), vocab)
+    return spelling.suggestions(_typed(spark, sf_dir), V.spelling_index(spark, sf_dir), V.words(spark, sf_dir))
+
+
+@query(f"""WITH {_VOCAB}, tries AS (SELECT DISTINCT query_id, nth AS place, term, suggestion FROM typed JOIN meant USING (term)),
+changed AS (SELECT r.query_id, r.place, r.term, r.suggestion, t.nth, CASE WHEN t.nth = r.place THEN r.suggestion ELSE t.term END AS word FROM tries r JOIN typed t USING (query_id)),
+whole AS (SELECT query_id, place, term, suggestion, string_agg(word, ' ' ORDER BY nth) AS fixed, count(DISTINCT word) AS k FROM changed GROUP BY ALL),
+hit AS (SELECT query_id, place, chunk_id, count(DISTINCT word) AS held FROM changed JOIN postings p ON p.term = word GROUP BY query_id, place, chunk_id)
+SELECT query_id, term, suggestion, fixed, count(*) AS n FROM whole JOIN hit USING (query_id, place) WHERE held = k GROUP BY ALL""")
+def recovery_rerun(spark, sf_dir):
+    """Each suggestion put into its query and searched for; those that find nothing aren't shown."""
+    typed = _typed(spark, sf_dir)
+    found = spelling.suggestions(typed, V.spelling_index(spark, sf_dir), V.words(spark, sf_dir))
+    wanted = typed.select("term").unionAll(found.select("suggestion"))
+    return spelling.corrected(typed, found, V.index(spark, sf_dir).of(wanted))
+
+
+@query()
+def vec_ann_topk(spark, sf_dir):
+    """The ten nearest neighbours that the built vector index finds for each query."""
+    return V.vector_index(spark, sf_dir).search(V.query_vectors(spark, sf_dir), 10)
+
+
+@query()
+def vec_ann_recall(spark, sf_dir):
+    """What the vector index finds of each query's ten exact neighbours, and the share of vectors it reads for that."""
+    index, q = V.vector_index(spark, sf_dir), V.query_vectors(spark, sf_dir)
+    got, exact = index.search(q, 10), retrieval.knn(V.vectors(spark, sf_dir), q, 10)
+    hit = exact.join(got.select("query_id", "item_id", F.lit(1).alias("hit")), ["query_id", "item_id"], "left")
+    return hit.groupBy("query_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 2).alias("recall")).withColumn("share_read", F.lit(round(index.share_read(10), 4)))
 
 
 @query()
-def vec_lsh_recall(spark, sf_dir):
-    """Neighbours by signs of random hyperplanes against the exact ones: the share found of each query's ten."""
-    v, q = V.vectors(spark, sf_dir), V.query_vectors(spark, sf_dir)
-    got = retrieval.ann(v, q, 10)
-    exact = retrieval.knn(v, q, 10)
-    return exact.join(got.select("query_id", "item_id", F.lit(1).alias("hit")), ["query_id", "item_id"], "left").groupBy("query_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 2).alias("recall"))
+def text_versions(spark, sf_dir):
+    """Each document against the first one with the same first line: how much of the lines they share, and the edits."""
+    d = V.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = compare.compared_texts(compare.versions(d, F.substring_index("text", "\n", 1)))
+    first = F.transform("hunks", lambda h: F.concat(h["tag"], F.lit("@"), h["a_start"].cast("string"), F.lit(":"), h["b_start"].cast("string")))
+    return found.select("a_id", "b_id", "similarity", "a_lines", "b_lines", "same_lines", "added", "removed", "n_hunks", F.array_join(first, " ").alias("edits"))
 
 
 _FRAMES = """frames AS (SELECT user_id AS video, CAST(floor(value) AS BIGINT) AS look, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"""

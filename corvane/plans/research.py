@@ -78,7 +78,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, item_id ORDER BY
 best AS (SELECT query_id, item_id, min(chunk_id) FILTER (r = 1) AS chunk_id, max(score) AS score FROM ranked GROUP BY query_id, item_id),
 keyword AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM best),
 vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id) AS rank FROM pairs WHERE item_id IN (SELECT item_id FROM allowed)) WHERE rank <= 200),
-title AS (SELECT * FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY length(title), item_id) AS rank FROM items JOIN queries ON length(query) >= 3 AND (contains(lower(title), query) OR contains(lower(locator), query)) WHERE item_id IN (SELECT item_id FROM allowed)) WHERE rank <= 60),
+{V.TITLE_HITS},
+title AS (SELECT * FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM title_scored WHERE item_id IN (SELECT item_id FROM allowed)) WHERE rank <= 60),
 routes AS (SELECT query_id, item_id, rank FROM keyword WHERE rank <= 200 UNION ALL SELECT query_id, item_id, rank FROM vec UNION ALL SELECT query_id, item_id, rank FROM title),
 fused AS (SELECT query_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS rrf FROM routes GROUP BY query_id, item_id),
 cands AS (SELECT f.query_id, f.item_id, rrf, content_time, coalesce(opens, 0) AS opens, size_bytes AS n_chars,
@@ -103,7 +104,7 @@ def full_search(spark, sf_dir):
     hits = R.bm25(index.of(terms), index.stats, terms).join(ids, "item_id", "left_semi")
     keyword = R.best_chunks(hits).where(F.col("rank") <= R.ROUTE_LIMIT)
     vec = R.knn(V.vectors(spark, sf_dir).join(ids, "item_id", "left_semi"), V.query_vectors(spark, sf_dir), R.ROUTE_LIMIT)
-    title = R.title_hits(allowed, V.queries(spark, sf_dir))
+    title = V.titles(spark, sf_dir).search(V.queries(spark, sf_dir), allowed=ids)
     fused = R.fuse({"keyword": keyword, "semantic": vec, "title": title}, {})
     own = F.filter("terms", lambda t: F.length(t) >= 2)
     cands = (

@@ -40,11 +40,10 @@ def bm25_best_chunk_extra_hits(spark, sf_dir):
     return R.best_chunks(_bm25(spark, sf_dir)).withColumn("extra", F.concat_ws(",", F.transform("extra", lambda x: x.cast("string"))))
 
 
-@query(f"""WITH {ITEMS}, {queries_sql(1)}, hit AS (
-  SELECT query_id, item_id, length(title) AS title_chars FROM items JOIN queries ON length(query) >= 3 AND (contains(lower(title), query) OR contains(lower(locator), query)))
-SELECT query_id, item_id, title_chars, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY title_chars, item_id) AS rank FROM hit) WHERE rank <= 60""")
+@query(f"""WITH {ITEMS}, {queries_sql(1)}, {V.TITLE_HITS}
+SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM title_scored) WHERE rank <= 60""")
 def title_substring(spark, sf_dir):
-    return R.title_hits(V.items(spark, sf_dir), V.queries(spark, sf_dir, 1))
+    return V.titles(spark, sf_dir).search(V.queries(spark, sf_dir, 1))
 
 
 @query(f"WITH {ITEMS} SELECT item_id, locator, content_time FROM items WHERE starts_with(lower(locator), '/src1/') AND NOT starts_with(lower(locator), '/src1/fr') ORDER BY content_time DESC, item_id")

@@ -149,29 +149,39 @@ def event_dates(spark, sf_dir):
 _CLICHES = "it is worth noting|in conclusion|in today''s world|plays a crucial role|it is important to note|delve into|in the realm of|a testament to|navigating the|furthermore|moreover|additionally|on the other hand|leverage|seamless|robust solution|unlock the potential|值得注意的是|综上所述|总而言之|总的来说|首先其次最后|在当今社会|随着科技的发展|众所周知|不难看出|由此可见|在一定程度上|具有重要意义|起到了重要作用|有着广泛的应用|极大地提高了|为我们提供了|不仅如此|与此同时|换句话说|需要指出的是|这不仅仅是|更是一种|在这个基础上"
 
 
-@query(rf"""WITH {_SENTENCES}, kept AS (SELECT doc_id, sentence FROM sents WHERE length(sentence) >= 4 AND length(sentence) <= 100000 AND NOT regexp_matches(sentence, '^[#=-]')),
-stat AS (SELECT doc_id, count(*) AS sentences, sum(length(sentence))::DOUBLE AS total, sum(length(sentence) * length(sentence))::DOUBLE AS squares FROM kept GROUP BY doc_id),
+@query(rf"""WITH stripped AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents),
+long AS (SELECT *, lower(s) AS low, regexp_extract_all(s, '[一-鿿]') AS han FROM stripped WHERE length(s) >= 120),
+cut AS (SELECT doc_id, length(regexp_replace(unnest(string_split_regex(s, '[。！？；\n]+|[.!?;]+\s')), '^\s+|\s+$', '', 'g')) AS n FROM long),
+stat AS (SELECT doc_id, count(*) AS sentences, sum(n)::DOUBLE AS total, sum(n * n)::DOUBLE AS squares FROM cut WHERE n >= 4 GROUP BY doc_id),
 parts AS (
-  SELECT doc_id, sentences, round(sqrt(greatest(0.0::DOUBLE, squares / sentences - (total / sentences) * (total / sentences))) / (total / sentences), 4) AS length_cv,
-    round(1 - len(list_distinct({_T})) / len({_T})::DOUBLE, 4) AS repeat_ratio,
-    round(len(regexp_extract_all(lower(text), '{_CLICHES}')) / (length(text) / 100.0::DOUBLE), 4) AS cliche_per_100,
-    round(CASE WHEN len(regexp_extract_all(text, '[一-鿿]')) > 0 THEN len(regexp_extract_all(text, '[的了和是在有与及或而对为以等之所被把从到上中]')) / len(regexp_extract_all(text, '[一-鿿]'))::DOUBLE ELSE 0.0::DOUBLE END, 4) AS function_ratio
-  FROM stat JOIN documents USING (doc_id) WHERE sentences >= 5 AND length(text) >= 120),
-voted AS (SELECT *, (length_cv < 0.35)::BIGINT + (repeat_ratio > 0.62)::BIGINT + (cliche_per_100 >= 1.2)::BIGINT AS votes FROM parts)
-SELECT doc_id, sentences, length_cv, repeat_ratio, function_ratio, cliche_per_100, votes, [0.0::DOUBLE, 0.3::DOUBLE, 0.55::DOUBLE, 0.75::DOUBLE, 0.9::DOUBLE][votes + 1] AS score FROM voted""")
+  SELECT doc_id, sentences, sqrt(greatest(0.0::DOUBLE, squares / sentences - (total / sentences) * (total / sentences))) / (total / sentences) AS length_cv, s, han,
+    list_concat(list_transform(range(1, greatest(len(han), 1)), lambda i: han[i] || han[i + 1]), regexp_extract_all(low, '[a-z]{{2,}}')) AS words,
+    len(regexp_extract_all(low, '{_CLICHES}')) / (length(s) / 100.0::DOUBLE) AS cliche_per_100,
+    CASE WHEN len(han) > 0 THEN len(list_filter(han, lambda c: contains('的了和是在有与及或而对为以等之所被把从到上中', c))) / len(han)::DOUBLE ELSE 0.0::DOUBLE END AS function_ratio
+  FROM stat JOIN long USING (doc_id) WHERE sentences >= 5),
+rated AS (SELECT *, CASE WHEN len(words) > 0 THEN 1 - len(list_distinct(words)) / len(words)::DOUBLE ELSE 0.0::DOUBLE END AS repeat_ratio FROM parts),
+voted AS (SELECT *, (length_cv < 0.35)::BIGINT + (repeat_ratio > 0.62)::BIGINT + (function_ratio > 0.30)::BIGINT + (cliche_per_100 >= 1.2)::BIGINT AS votes FROM rated)
+SELECT doc_id, sentences, round(length_cv, 4) AS length_cv, round(repeat_ratio, 4) AS repeat_ratio, round(function_ratio, 4) AS function_ratio, round(cliche_per_100, 4) AS cliche_per_100, votes,
+  [0.0::DOUBLE, 0.3::DOUBLE, 0.55::DOUBLE, 0.75::DOUBLE, 0.9::DOUBLE][votes + 1] AS score FROM voted""")
 def ai_style_stats(spark, sf_dir):
     return passages.style(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("id", "doc_id")
 
 
-@query(r"""WITH named AS (SELECT doc_id, '/home/' || source || '/' || ['.env', 'id_rsa', 'server.pem', '.env.local', 'my_passwords.txt', 'notes.md', 'tokenizer.py'][doc_id % 7 + 1] AS path FROM documents),
-parts AS (SELECT *, lower(split_part(path, '/', 4)) AS name FROM named)
-SELECT doc_id, path, CASE WHEN name IN ('.env', 'id_rsa', 'id_ed25519', '.htpasswd', '.netrc', 'credentials', 'wallet.dat') THEN 'name'
-  WHEN regexp_extract(name, '(\.[^.]+)$', 1) IN ('.pem', '.key', '.pfx', '.p12', '.kdbx', '.keystore') THEN 'extension'
-  WHEN starts_with(name, '.env.') THEN 'prefix'
-  WHEN regexp_matches(regexp_replace(name, '\.[^.]+$', ''), '(^|[^a-z])(password|passwd|secret|token|credential)s?([^a-z]|$)') THEN 'keyword' END AS reason FROM parts""")
+_FILES = [".env", "Credentials.json", "id_rsa.pub", "Web Data", ".npmrc", "server.pem", "office.ovpn", ".env.local", ".envrc", "my_passwords.txt", "api-key.yaml", "access_token", "private_key_old.bak", "密码本.docx", "notes.md", "tokenizer.py", "keyboard.txt", "pem"]
+
+
+@query(r"""WITH named AS (SELECT doc_id, '/home/' || source || '/' || ['.env', 'Credentials.json', 'id_rsa.pub', 'Web Data', '.npmrc', 'server.pem', 'office.ovpn', '.env.local', '.envrc', 'my_passwords.txt', 'api-key.yaml', 'access_token', 'private_key_old.bak', '密码本.docx', 'notes.md', 'tokenizer.py', 'keyboard.txt', 'pem'][doc_id % 18 + 1] AS path FROM documents),
+parts AS (SELECT *, lower(split_part(path, '/', 4)) AS name FROM named),
+cut AS (SELECT *, regexp_extract(name, '^.+(\.[^.]+)$', 1) AS ending FROM parts),
+stems AS (SELECT *, name[1:length(name) - length(ending)] AS stem FROM cut)
+SELECT doc_id, path, CASE
+  WHEN name IN ('.env', '.npmrc', '.netrc', '.pgpass', 'id_rsa', 'id_dsa', 'id_ecdsa', 'id_ed25519', 'credentials.json', 'credentials.csv', 'login data', 'cookies', 'web data')
+    OR stem IN ('.env', '.npmrc', '.netrc', '.pgpass', 'id_rsa', 'id_dsa', 'id_ecdsa', 'id_ed25519', 'credentials.json', 'credentials.csv', 'login data', 'cookies', 'web data') THEN 'name'
+  WHEN ending IN ('.pem', '.key', '.pfx', '.p12', '.kdbx', '.ovpn', '.ppk') THEN 'extension' WHEN starts_with(name, '.env.') THEN 'prefix'
+  WHEN regexp_matches(stem, '(secret|password|passwd|api[_-]?key|access[_-]?token|private[_-]?key|credential|凭据|密钥|密码)') THEN 'keyword' END AS reason FROM stems""")
 def sensitive_reason(spark, sf_dir):
-    names = F.array(*[F.lit(x) for x in (".env", "id_rsa", "server.pem", ".env.local", "my_passwords.txt", "notes.md", "tokenizer.py")])
-    path = F.concat(F.lit("/home/"), "source", F.lit("/"), F.element_at(names, (F.col("doc_id") % 7 + 1).cast("int")))
+    names = F.array(*[F.lit(x) for x in _FILES])
+    path = F.concat(F.lit("/home/"), "source", F.lit("/"), F.element_at(names, (F.col("doc_id") % len(_FILES) + 1).cast("int")))
     return V.table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), passages.sensitive_reason(path).alias("reason"))
 
 

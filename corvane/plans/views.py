@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
-from corvane.operators.search_index import SearchIndex, built
+from corvane.operators import spelling, title_index
+from corvane.operators.search_index import SearchIndex, built, kept
+from corvane.operators.vector_index import VectorIndex
+from corvane.operators.vector_index import build as build_vectors
+from corvane.tables import Table
 
 AS_OF = "2024-02-01 00:00:00"
 
@@ -43,6 +47,23 @@ def index(spark: SparkSession, sf_dir: str) -> SearchIndex:
     return built(spark, f"{sf_dir}/documents.parquet", lambda: chunks(spark, sf_dir))
 
 
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term, cnt): the corpus vocabulary of words of 2 to 12 characters, counted once."""
+    return kept(spark, f"{sf_dir}/documents.parquet", "words", lambda: Table(index(spark, sf_dir).postings.where(F.length("term").between(spelling.LEAST, spelling.MOST)).groupBy("term").agg(F.sum("tf").alias("cnt")), "words").df)
+
+
+def spelling_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, f"{sf_dir}/documents.parquet", "spelling", lambda: Table(spelling.spelling_index(words(spark, sf_dir)), "spelling").df)
+
+
+def titles(spark: SparkSession, sf_dir: str) -> title_index.TitleIndex:
+    return kept(spark, f"{sf_dir}/documents.parquet", "titles", lambda: title_index.build(items(spark, sf_dir)))
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    return kept(spark, f"{sf_dir}/embeddings.parquet", "vectors", lambda: build_vectors(vectors(spark, sf_dir)))
+
+
 def queries(spark: SparkSession, sf_dir: str, words: int = 2) -> DataFrame:
     """(query_id, query, terms) from the benchmark's items: each item's first tokens."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(tokens(F.col("text")), 1, words).alias("terms"))
@@ -114,3 +135,9 @@ pairs AS (
   FROM unit q JOIN benchmark b ON b.item_id = q.item_id CROSS JOIN unit x)"""
 MENTIONS = """mentions AS (
   SELECT DISTINCT l_partkey AS entity, l_orderkey AS item, o_orderdate AS content_time FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+TITLE_HITS = """titles AS (SELECT item_id, lower(title) AS t, lower(locator) AS l, greatest(length(title) - 2, 0) + greatest(length(locator) - 2, 0) AS size FROM items),
+title_stats AS (SELECT count(*) AS n, avg(size) AS mean FROM titles),
+title_tf AS (SELECT query_id, item_id, size, (SELECT count(*) FROM range(1, length(t) - length(query) + 2) r(i) WHERE t[i:i + length(query) - 1] = query) + (SELECT count(*) FROM range(1, length(l) - length(query) + 2) r(i) WHERE l[i:i + length(query) - 1] = query) AS tf
+  FROM titles JOIN queries ON length(query) >= 3 AND (contains(t, query) OR contains(l, query))),
+title_df AS (SELECT query_id, count(*) AS df FROM title_tf GROUP BY query_id),
+title_scored AS (SELECT query_id, item_id, round(greatest(1e-6::DOUBLE, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean)), 6) AS score FROM title_tf JOIN title_df USING (query_id) CROSS JOIN title_stats)"""

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corvane.functions import text, web
-from corvane.operators import evidence, library, passages, retrieval, web_search
+from corvane.operators import clustering, evidence, library, passages, retrieval, web_search
 from corvane.operators.query_language import parse
 from corvane.sources import files
 from corvane.streaming import streams
@@ -172,7 +172,7 @@ def test_verdicts(spark):
 
 def test_clusters_keep_apart_what_shares_no_word(spark):
     rows = [(1, i, f"t{i % 10}", 1.0) for i in range(40)]
-    got = evidence.clusters(spark.createDataFrame(rows, "corpus long, id long, term string, weight double")).collect()
+    got = clustering.clusters(spark.createDataFrame(rows, "corpus long, id long, term string, weight double")).collect()
     assert {frozenset(r.id for r in got if r.cluster == c) for c in {r.cluster for r in got}} == {frozenset(range(k, 40, 10)) for k in range(10)}
 
 
