@@ -3,10 +3,11 @@
 Words are maximal runs of letters and digits with A-Z lower-cased, so changes of punctuation, case
 and spacing don't hide a passage. An item's fingerprint is the SimHash of its five-word shingles,
 with repeats. A window of a document, as long as an item, is a candidate for that item if their
-fingerprints are within ``RADIUS`` bits. The multi-index finds them: with the 64 bits in eight
-blocks, one block then differs in at most RADIUS // 8 bits, so a table for each block and value
-lists the items within that, a window is looked up in all eight, and no item within the radius is
-missed. A candidate is verified by the exact weighted Jaccard similarity of the two multisets of
+fingerprints are within ``RADIUS`` bits. The multi-index finds them: with the 64 bits in four
+blocks, one block then differs in at most RADIUS // 4 bits, so each item stands in the inverted
+lists of all block values within that, a window reads the list of each of its four values, and no item within
+the radius is missed. Lists are by item length too. At radius 15 they name 4 % of all pairs of a window and
+an item; a window at the least similarity is within it with probability 0.98, at 0.85 and over with 0.997. A candidate is verified by the exact weighted Jaccard similarity of the two multisets of
 shingles, which has to be ``MIN_SIMILARITY`` or more.
 
 A window that holds no shingle of any item of its length has similarity zero with all of them, so
@@ -14,28 +15,33 @@ only windows around such a shingle are fingerprinted and looked up; that drops n
 shorter than the item is one window.
 
 The benchmark is broadcast in blocks of about ``BLOCK_CHARS`` characters as arrays, each against
-all documents, so what is broadcast doesn't grow with it. Items of fewer than five words are one
+all documents and written before the next is read, so what the driver holds and broadcasts doesn't grow
+with it; tasks make the lists of a block themselves. Items of fewer than five words are one
 shingle and match where their words occur; items and documents without words match nothing. Null
 texts are empty. Repeated rows are rows of their own; repeated item_ids are one item with several
-texts.
+texts. Items without an id are compared like any other and are one item, which counts but isn't listed.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.documents import NO_ID
 from corvane.llm.tokens import BREAK, LOWER, U64, Prefix, slices, word_bounds, word_hashes
+from corvane.tables import written
 
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
-RADIUS = 20
-BLOCK_CHARS = 8_000_000
+RADIUS = 15
+PARTS = 4
+BLOCK_CHARS = 1_000_000
 _STEP = 1 << 19
 
 
@@ -62,15 +68,21 @@ def simhash(hashes: np.ndarray, lo: np.ndarray, n: int) -> np.ndarray:
     return np.packbits((sums[lo + n] - sums[lo]) * 2 > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def _expanded(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For lists first[i] .. first[i + 1]: the place of every entry of the lists ``at``, and which of them it is of."""
-    n = first[at + 1] - first[at]
-    of = np.repeat(np.arange(len(at)), n)
-    return first[at][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), of
+def _stretches(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the stretches lo..hi, and which stretch each is of."""
+    n = hi - lo
+    of = np.repeat(np.arange(len(n)), n)
+    return lo[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), of
+
+
+def _block(prints: np.ndarray, b: int) -> np.ndarray:
+    """Block b of each fingerprint."""
+    bits = 64 // PARTS
+    return ((prints >> U64(b * bits)) & U64((1 << bits) - 1)).astype(np.int64)
 
 
 class Items:
-    """A block of benchmark items as arrays, with tables by fingerprint block and by shingle."""
+    """A block of benchmark items as arrays, with inverted lists by fingerprint block and by shingle."""
 
     def __init__(self, ids: list[int], texts: list[bytes], radius: int):
         self.radius = radius
@@ -90,11 +102,7 @@ class Items:
         self.first = np.r_[0, np.cumsum([len(x) for x in grams], dtype=np.int64)]
         self.grams, self.counts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (grams, counts))
         self.items = {n: np.flatnonzero(self.words == n) for n in sorted(set(words))}
-        values = np.arange(256, dtype=np.uint8)[:, None]
-        self.tables = {}  # by length: for a block's value and an item, the blocks in which the item's value is within radius // 8 bits
-        for n, own in self.items.items():
-            blocks = self.prints[own].view(np.uint8).reshape(-1, 8)
-            self.tables[n] = np.bitwise_or.reduce([(np.bitwise_count(values ^ blocks[:, b]) <= radius // 8).astype(np.uint8) << b for b in range(8)])
+        self._lists = None
         self.lengths = {}  # by shingle size: sorted shingles, and the lengths of the items that hold each
         of_item = np.repeat(self.words, np.diff(self.first))
         for k in sorted({min(SHINGLE_WORDS, n) for n in words}):
@@ -103,19 +111,33 @@ class Items:
             keys, first = np.unique(pairs[:, 0], return_index=True)
             self.lengths[k] = keys, np.r_[first, len(pairs)], pairs[:, 1].astype(np.int64)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_lists": None}
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+        """The inverted lists as sorted keys (block, value and length in one number) with an item each, and the number of each length."""
+        if self._lists is None:
+            bits = 64 // PARTS
+            masks = np.flatnonzero(np.bitwise_count(np.arange(1 << bits, dtype=np.uint32)) <= self.radius // PARTS)
+            number = {n: i for i, n in enumerate(self.items)}
+            own = np.array([number[n] for n in self.words.tolist()], dtype=np.int64)
+            keys = [((b << bits | (_block(self.prints, b)[:, None] ^ masks)) * len(number) + own[:, None]).ravel() for b in range(PARTS)]
+            items = np.tile(np.repeat(np.arange(len(self.prints), dtype=np.int32), len(masks)), PARTS)
+            keys = np.concatenate(keys)
+            order = np.argsort(keys, kind="stable")
+            self._lists = keys[order], items[order], number
+        return self._lists
+
     def candidates(self, fingerprints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs that the tables list and whose fingerprints are within the radius."""
-        items, table = self.items[length], self.tables[length]
-        windows, found, step = [], [], max(1, (1 << 20) // len(items))
-        for at in range(0, len(fingerprints), step):
-            piece = fingerprints[at : at + step]
-            values = np.ascontiguousarray(piece).view(np.uint8).reshape(-1, 8)
-            listed = np.bitwise_or.reduce([table[values[:, b]] & np.uint8(1 << b) for b in range(8)])
-            w, i = np.nonzero(listed)
-            near = np.bitwise_count(piece[w] ^ self.prints[items[i]]) <= self.radius
-            windows.append(w[near] + at)
-            found.append(items[i[near]])
-        return np.concatenate(windows), np.concatenate(found)
+        """(window, item) pairs that the lists name and whose fingerprints are within the radius."""
+        keys, items, number = self.lists()
+        wanted = np.concatenate([(b << (64 // PARTS) | _block(fingerprints, b)) * len(number) + number[length] for b in range(PARTS)])
+        lo, hi = np.searchsorted(keys, wanted, side="left"), np.searchsorted(keys, wanted, side="right")
+        entry, of = _stretches(lo, hi)
+        named = np.unique((of % max(1, len(fingerprints))) * len(self.prints) + items[entry])
+        w, i = named // len(self.prints), named % len(self.prints)
+        near = np.bitwise_count(fingerprints[w] ^ self.prints[i]) <= self.radius
+        return w[near], i[near]
 
     def similarity(self, window: np.ndarray, item: int) -> float:
         """Weighted Jaccard similarity of a window's shingles with an item's."""
@@ -166,7 +188,7 @@ def _search(items: Items, min_similarity: float):
                     row = np.searchsorted(first, hit, side="right") - 1
                     inside = hit + k <= first[row + 1]
                     hit, row = hit[inside], row[inside]
-                    entry, of = _expanded(begins, key[hit])
+                    entry, of = _stretches(begins[key[hit]], begins[key[hit] + 1])
                     for at, r, n in zip((hit - first[row])[of].tolist(), row[of].tolist(), lengths[entry].tolist(), strict=True):
                         around[r, n].append(at)
                 best: dict[tuple[int, int], float] = {}
@@ -184,17 +206,19 @@ def _search(items: Items, min_similarity: float):
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, similarity) of documents (doc_id, text) with a window like an item (item_id, text)."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chars = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     blocks = 1 + chars // BLOCK_CHARS
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    out = None
+    found = []
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
         if own and any(r.text for r in own):
             pairs = read.mapInArrow(_search(Items([r.item_id for r in own], [r.text.encode() for r in own], radius), min_similarity), "doc_id long, item_id long, similarity double")
-            out = pairs if out is None else out.unionAll(pairs)
-    return out if out is not None else read.where("false").select("doc_id", F.col("doc_id").alias("item_id"), F.lit(0.0).alias("similarity"))
+            found.append(pairs if blocks == 1 else written(pairs, "leaks"))
+    if not found:
+        return read.where("false").select("doc_id", F.col("doc_id").alias("item_id"), F.lit(0.0).alias("similarity"))
+    return reduce(DataFrame.unionAll, found).withColumn("item_id", F.when(F.col("item_id") != NO_ID, F.col("item_id")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -202,7 +226,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     item_ids are the sorted items found, similarity the highest of them (0 without).
     """
-    by_doc = contaminated_pairs(docs, benchmark).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("similarity").alias("similarity"))
+    unnamed = F.max(F.col("item_id").isNull().cast("long"))
+    by_doc = contaminated_pairs(docs, benchmark).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), unnamed.alias("unnamed"), F.max("similarity").alias("similarity"))
     joined = docs.select(F.col("doc_id").cast("long")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<long>"))
-    return joined.select("doc_id", (F.size(ids) > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    n = F.size(ids) + F.coalesce("unnamed", F.lit(0))
+    return joined.select("doc_id", (n > 0).alias("contaminated"), n.cast("long").alias("n_items"), ids.alias("item_ids"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))

@@ -118,11 +118,15 @@ def _neighboured(words: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray
 def links(classes: DataFrame, n: int, min_cosine: float = MIN_COSINE, recall: float = RECALL) -> DataFrame:
     """(rep, n_links, root) rows to be summed by rep; rep and root are connected."""
     bits, tables = plan(n, min_cosine, recall)
+    if tables > 255:
+        raise ValueError(f"{tables} tables are needed for a recall of {recall} at cosine {min_cosine}; there is room for 255")
     width, radius = -(-bits * tables // 8), sketch_radius(bits * tables, min_cosine)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim in np.unique(batch.column("dim")).tolist():
+                if dim >= 1 << 15:
+                    raise ValueError(f"a vector has {dim} components; there is room for {(1 << 15) - 1}")
                 own = batch.filter(pa.array(np.asarray(batch.column("dim")) == dim))
                 for at in range(0, own.num_rows, 2048):
                     piece = own.slice(at, 2048)

@@ -147,14 +147,15 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, keep = (batch.column(c).to_pylist() for c in ("_n", "_gone", "_keep"))
-            texts = [_kept(x[0], *x[1:]).decode() if x[3] else None for x in zip(strings(batch.column("text")), keep, n, gone, strict=True)]
-            old = batch.column("text").to_pylist()
-            out = [batch.column(c) for c in columns]
+            out = batch.column("row").flatten()
+            texts = [_kept(x[0], *x[1:]).decode() if x[3] else None for x in zip(strings(out[at]), keep, n, gone, strict=True)]
+            old = out[at].to_pylist()
             out[at] = pa.array([o if x is None else x for o, x in zip(old, texts, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(out, columns)
 
     text = F.col("text").cast("string")
-    from_docs = docs.withColumns({"text": text, "_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_t": text_key(text)})
-    joined = from_docs.join(bitmaps.select("_d", "_t", F.col("n_lines").alias("_n"), F.col("n_dropped").alias("_gone"), F.col("keep").alias("_keep")), ["_d", "_t"], "left")
-    schema = from_docs.drop("_d", "_t").schema
-    return joined.select(*columns, "_n", "_gone", "_keep").mapInArrow(cut, schema)
+    row = docs.withColumn("text", text)
+    keys = {"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_t": text_key(text)}
+    placed = row.select(F.struct(*[f"`{c}`" for c in columns]).alias("row"), *[c.alias(n) for n, c in keys.items()])  # columns of any name go through in a struct
+    joined = placed.join(bitmaps.select("_d", "_t", F.col("n_lines").alias("_n"), F.col("n_dropped").alias("_gone"), F.col("keep").alias("_keep")), ["_d", "_t"], "left")
+    return joined.select("row", "_n", "_gone", "_keep").mapInArrow(cut, row.schema)

@@ -17,8 +17,10 @@ Equal fingerprints are collapsed first, so copies never meet each other; a node
 different fingerprints is cut into pairs of blocks (``groups.paired_blocks``).
 
 Null and empty texts (no words) have fingerprint zero and are linked like any other. A text of
-fewer words than a shingle is one shingle. Rows with the same doc_id are kept as they are; a
-null doc_id stays a row of its own with a null component. Other columns are not used.
+fewer words than a shingle is one shingle. A class of equal fingerprints is known by the fingerprint, so
+rows with one doc_id and different texts belong to different components if their texts do, and a
+component is named by the smallest doc_id of its rows; a null doc_id stays a row of its own with a
+null component. Other columns are not used.
 
 ``similar_rows`` is for a similarity instead of a radius: fingerprints only find candidates there,
 and each pair of them is decided by the exact similarity of its sets of shingles.
@@ -140,15 +142,18 @@ def linked(fp: np.ndarray, wide: np.ndarray, side: np.ndarray, radius: int) -> n
     n = len(fp)
     order = np.argsort(gray_rank(fp), kind="stable")
     fp, wide, side, label = fp[order], wide[order], side[order], np.arange(n)
-    cross = side.min() < 2
+    cross, whole = side.min() < 2, np.concatenate([fp[:, None], wide], axis=1)
 
     def shared(width: int) -> tuple[np.ndarray, np.ndarray]:
         first = np.arange(0, n, width)
-        return fp[first], ~(np.bitwise_or.reduceat(fp, first) ^ np.bitwise_and.reduceat(fp, first))
+        return whole[first], ~(np.bitwise_or.reduceat(whole, first) ^ np.bitwise_and.reduceat(whole, first))
 
     def near(width: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         pattern, mask = shared(width)
-        return np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= radius
+        far = np.zeros(len(a), dtype=np.int64)
+        for word in range(whole.shape[1]):
+            far += np.bitwise_count((pattern[a, word] ^ pattern[b, word]) & mask[a, word] & mask[b, word])
+        return far <= radius
 
     tops = -(-n // (LEAF * FANOUT))
     a, b = np.triu_indices(tops)
@@ -248,9 +253,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, radius: int = RADIU
     ``radius`` of 64 bits. With ``words`` > 1 the radius holds for the whole fingerprint.
     """
     fps = written(fingerprints(docs, k, words), "fingerprints")
-    classes = written(fps.where("doc_id is not null").groupBy("fp", "wide").agg(F.min("doc_id").alias("rep")), "classes")
+    name = F.col("fp") if words == 1 else F.xxhash64("fp", "wide")
+    classes = written(fps.where("doc_id is not null").groupBy("fp", "wide").agg(F.min("doc_id").alias("least")).withColumn("rep", name), "classes")
     edges = similar(classes, radius, mask_nodes(block_masks(max(BLOCKS, radius + 2), radius)) if nodes is None else nodes, words)
-    named = classes.join(connected_components(edges), F.col("rep") == F.col("node"), "left").select("fp", "wide", F.coalesce("component", "rep").alias("component_id"))
+    placed = written(classes.join(connected_components(edges), F.col("rep") == F.col("node"), "left").select("fp", "wide", "least", F.coalesce("component", "rep").alias("component")), "placed")
+    smallest = placed.groupBy(F.col("component").alias("_c")).agg(F.min("least").alias("component_id"))
+    named = placed.join(smallest, F.col("component") == F.col("_c")).select("fp", "wide", "component_id")
     return fps.where("doc_id is not null").join(named, ["fp", "wide"]).select("doc_id", "fp", "wide", "component_id").unionByName(fps.where("doc_id is null").withColumn("component_id", F.lit(None).cast("long")))
 
 

@@ -403,3 +403,58 @@ def test_suffix_dedup_on_ten_thousand_documents(spark):
         spans = int(np.count_nonzero(np.diff(np.r_[False, g].astype(np.int8)) == 1))
         assert (own.n_bytes, own.n_removed, own.n_spans) == (len(b), int(g.sum()), spans)
         assert own.kept_sha256 == sha256(np.frombuffer(b, np.uint8)[~g].tobytes()).hexdigest()
+
+
+def test_components_where_one_id_has_several_texts(spark):
+    """Rows are known by their fingerprints: an id that two texts share joins nothing."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(500)]
+    fresh = lambda n: list(rng.choice(vocabulary, n))
+    prints = {}
+
+    def text(words):
+        t = " ".join(words)
+        prints[t] = int(simhash.fingerprint(simhash.shingle_hashes(t.encode(), 3))[0])
+        return t
+
+    x, y = text(x_words := fresh(400)), text(fresh(400))
+    z = next(t for k in range(1, 40) if 0 < (prints[x] ^ prints[t := text(x_words[:-k])]).bit_count() <= 3)
+    assert 3 < (prints[x] ^ prints[y]).bit_count()
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(documents(spark, [x, x, y, y, z], [5, 9, 5, 7, 2])).collect()}
+    assert got == {(5, 2), (9, 2), (2, 2), (5, 5), (7, 5)}
+
+    texts, ids = [], []
+    for _ in range(40):
+        base = fresh(300)
+        for k in range(int(rng.integers(1, 4))):
+            texts.append(text(base[: len(base) - k]))
+            ids.append(int(rng.integers(0, 30)))
+    rows = [(i, prints[t]) for i, t in zip(ids, texts, strict=True)]
+    links = [(a, b) for b in range(len(rows)) for a in range(b) if (rows[a][1] ^ rows[b][1]).bit_count() <= 3]
+    root = components_of(range(len(rows)), links)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        least[root[n]] = min(i, least.get(root[n], i))
+    got = sorted((r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(documents(spark, texts, ids)).collect())
+    assert got == sorted((i, p, least[root[n]]) for n, (i, p) in enumerate(rows))
+
+
+def test_wide_fingerprints_are_pruned_by_all_their_words():
+    """Groups of copies are told apart by the bits that their members share in every word, with the same links."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (6, 8), dtype=np.uint64)
+    rows = np.repeat(base, 80, axis=0)
+    for r in rows:
+        r[rng.integers(0, 8)] ^= np.uint64(1) << np.uint64(rng.integers(0, 64))
+    rows[:, 0] = rows[0, 0]  # the first word, by which they are sorted, says nothing
+    rows = rows[rng.permutation(len(rows))]
+    side = np.full(len(rows), 2)
+    root = simhash.linked(rows[:, 0], rows[:, 1:], side, 20)
+    wanted = components_of(range(len(rows)), [(a, b) for b in range(len(rows)) for a in range(b) if np.bitwise_count(rows[a] ^ rows[b]).sum() <= 20])
+    assert root.tolist() == [wanted[i] for i in range(len(rows))] and len(set(root.tolist())) == 6
+
+
+def test_parameters_without_room_are_errors(spark):
+    rows = spark.createDataFrame([(1, [1.0] * 4), (2, [1.0] * 4)], "rep long, unit array<double>")
+    with pytest.raises(ValueError, match="tables"):
+        embedding_dedup.links(rows, 10**9, 0.9)

@@ -124,6 +124,54 @@ def test_decontamination_against_brute_force(spark):
     assert got == pytest.approx(wanted) and len(wanted) > 10
 
 
+def test_hamming_lists_name_few_pairs_and_miss_none(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice([f"v{i}" for i in range(900)], 20)).encode() for _ in range(600)]
+    items = decontamination.Items(list(range(600)), texts, decontamination.RADIUS)
+    near = items.prints[:200].copy()
+    for i in range(200):  # up to the radius from an item
+        for bit in rng.choice(64, i % (decontamination.RADIUS + 1), replace=False):
+            near[i] ^= np.uint64(1) << np.uint64(bit)
+    asked = np.concatenate([near, rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 1000, dtype=np.uint64)])
+    wanted = {(w, i) for w in range(1200) for i in np.flatnonzero(np.bitwise_count(items.prints ^ asked[w]) <= decontamination.RADIUS).tolist()}
+    w, i = items.candidates(asked, 20)
+    assert set(zip(w.tolist(), i.tolist(), strict=True)) == wanted and {(x, x) for x in range(200)} <= wanted
+    monkeypatch.setattr(items, "radius", decontamination.RADIUS)
+    keys, listed, number = items.lists()
+    values = np.concatenate([(b << 16 | decontamination._block(asked[200:], b)) * len(number) + number[20] for b in range(4)])
+    named = (np.searchsorted(keys, values, "right") - np.searchsorted(keys, values, "left")).sum()
+    assert named < 0.05 * 1000 * 600 and len(listed) == len(keys)
+
+
+def test_radius_holds_windows_at_the_least_similarity():
+    """Items with a few words changed, at a similarity of 0.8 or more: the share within the radius."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"v{i}" for i in range(2000)]
+    found = []
+    for _ in range(3000):
+        words_ = list(rng.choice(vocabulary, int(rng.integers(15, 64))))
+        changed = list(words_)
+        for at in rng.integers(0, len(words_), int(rng.integers(1, 3))):
+            changed[at] = "changed"
+        items = decontamination.Items([0, 1], [" ".join(words_).encode(), " ".join(changed).encode()], decontamination.RADIUS)
+        data = np.frombuffer(" ".join(changed).encode(), np.uint8)
+        tokens, _ = decontamination._word_tokens(data, np.array([0, len(data)]))
+        if items.similarity(decontamination._shingles(tokens, 5), 0) >= 0.8:
+            found.append(int(np.bitwise_count(items.prints[0] ^ items.prints[1])) <= decontamination.RADIUS)
+    assert len(found) > 300 and np.mean(found) >= 0.98
+
+
+def test_items_without_id_and_several_blocks(spark, monkeypatch):
+    words_ = lambda k: " ".join(f"{k}{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, words_("a")), (2, "x " + words_("b")), (3, words_("c") + " " + words_("a"))], "doc_id long, text string")
+    items = spark.createDataFrame([(None, words_("a")), (None, words_("z")), (7, words_("b")), (7, words_("c")), (8, None), (None, None)], "item_id long, text string")
+    for chars in (decontamination.BLOCK_CHARS, 60):
+        monkeypatch.setattr(decontamination, "BLOCK_CHARS", chars)
+        assert sorted(((r.doc_id, r.item_id, r.similarity) for r in decontamination.contaminated_pairs(docs, items).collect()), key=str) == [(1, None, 1.0), (2, 7, 1.0), (3, 7, 1.0), (3, None, 1.0)]
+        got = sorted((r.doc_id, r.contaminated, r.n_items, r.item_ids) for r in decontamination.contamination(docs, items).collect())
+        assert got == [(1, True, 1, []), (2, True, 1, [7]), (3, True, 2, [7])]
+
+
 def test_contamination_has_a_row_for_each_document(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "x"), (2, None)], "doc_id long, text string")
     items = spark.createDataFrame([(5, "A b; c d e f!"), (5, "q")], "item_id long, text string")

@@ -76,6 +76,29 @@ def test_stages_know_rows_by_id_and_text(spark, tmp_path):
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(rows[:10] + rows[12:], key=str)
 
 
+def test_columns_with_names_used_inside_stay_as_they_are(spark, tmp_path):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(50))
+    line = "a line that is long enough to be a key of its own, in five documents"
+    texts = [f"{words(k)}\n{line}" for k in "abcdef"]
+    texts += [texts[0] + " x", None]
+    own = {"toxicity": 7.5, "_d": "mine", "_t": 3, "_n": 4, "_keep": "k", "_text": "t", "row": 1, "group": "g", "best": 2, "nodes": 5, "a.b": 6}
+    docs = spark.createDataFrame([(i, t, "s", *own.values()) for i, t in enumerate(texts)], "doc_id long, text string, source string, toxicity double, _d string, _t int, _n int, _keep string, _text string, row int, group string, best int, nodes int, `a.b` int")
+    spark.createDataFrame([(1, words("c"))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, 0), (1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all({c: r[c] for c in own} == own for r in rows), name
+        kept = {r.doc_id: r.text for r in rows}
+        if name == "line_dedup":
+            assert line not in kept[0] and line in kept[5] and kept[7] is None
+        elif name == "simhash_dedup":
+            assert 0 in kept and 6 not in kept
+        elif name == "decontamination":
+            assert 2 not in kept and len(kept) == 7
+
+
 def test_mixing_stage_makes_the_mix(spark):
     rows = [(i, "".join(f" w{i}-{j}\n" for j in range(1 + i % 13)), s) for s, ids in (("big", range(200)), ("small", range(200, 230)), (None, range(230, 260))) for i in ids] + [(None, "a b  c", "small"), (300, None, "big"), (301, " ", "small")]
     docs = spark.createDataFrame([(i, t, None, s, 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
