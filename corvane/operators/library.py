@@ -77,9 +77,9 @@ def snapshot_diff(base: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def prune_snapshots(snapshots: DataFrame, keep: int = 30) -> DataFrame:
-    """Snapshots that stay: all that were asked for, and the newest ``keep`` automatic ones."""
-    nth = F.row_number().over(Window.partitionBy("auto").orderBy(F.desc("taken_at"), F.desc("snapshot_id")))
-    return snapshots.withColumn("nth", nth).where(~F.col("auto") | (F.col("nth") <= keep)).drop("nth")
+    """Snapshots that stay: all that were asked for, and the newest ``keep`` automatic ones, which each partition cuts to before they meet."""
+    newest = snapshots.where(F.col("auto")).orderBy(F.desc("taken_at"), F.desc("snapshot_id")).limit(keep)
+    return snapshots.where(~F.col("auto")).unionByName(newest)
 
 
 def evidence_chain(manifest: DataFrame, found: DataFrame) -> DataFrame:

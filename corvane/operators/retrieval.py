@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.search_index import SearchIndex
 from corvane.tables import written
 
 RRF_K = 60
@@ -21,20 +22,17 @@ ROUTE_LIMIT = 200
 QUERY_BLOCK = 1024
 
 
-def bm25(post: DataFrame, stats: DataFrame, query_terms: DataFrame, every_term: bool = True) -> DataFrame:
+def bm25(index: SearchIndex, query_terms: DataFrame, every_term: bool = True) -> DataFrame:
     """(query_id, chunk_id, item_id, score): BM25 with k1 1.2, b 0.75 and the probabilistic idf, floored.
 
-    ``query_terms`` has distinct (query_id, term), and ``post`` the postings of these terms (see
-    ``SearchIndex.of``). With ``every_term`` a chunk has to hold all terms of its query.
+    ``query_terms`` has distinct (query_id, term). With ``every_term`` a chunk has to hold all terms of its query.
+    Postings bring their chunk's size and the terms their frequency, so the one shuffle is that of the sums.
     """
-    used = post.select("term", "chunk_id", "item_id", "tf")
-    df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    corpus = stats.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    wanted = query_terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("k"))
-    terms = query_terms.join(df, "term").join(wanted, "query_id").crossJoin(F.broadcast(corpus))
-    scored = used.join(terms, "term").join(stats, "chunk_id").withColumn("part", part)
+    wanted = query_terms.groupBy(F.col("query_id").alias("_q")).agg(F.count(F.lit(1)).alias("k"))
+    asked = query_terms.select("query_id", "term").join(wanted, F.col("query_id") == F.col("_q")).select("query_id", "term", "k")
+    idf = F.greatest(F.lit(1e-6), F.log((index.n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / index.avgdl))
+    scored = index.matched(asked).withColumn("part", part)
     out = scored.groupBy("query_id", "chunk_id", "item_id", "k").agg(F.round(F.sum("part"), 6).alias("score"), F.count(F.lit(1)).alias("hit"))
     return (out.where("hit = k") if every_term else out).select("query_id", "chunk_id", "item_id", "score")
 

@@ -1,56 +1,110 @@
-"""The built index of a corpus: postings, chunk sizes and corpus counts as tables that searches read.
+"""The built index of a corpus: postings, terms, chunk sizes and corpus counts as tables that searches read.
 
-Building tokenises every chunk once and writes the postings in folders by a hash of the term and
-sorted by term, so that a search for a few terms reads the folders and columns it needs.
-An index is built once for each state of its source (path and time of change) and Spark application,
+Building tokenises every chunk once, counts its terms where it is read, and writes the postings in
+folders by a hash of the term and sorted by term, so that a search for a few terms reads the folders and columns it needs. A posting has its
+chunk's size, and a table of terms their frequencies, so a search joins postings with nothing but its own few terms. There are more folders the
+more postings there are. An index is built once for each state of its source (path and time of change) and Spark application,
 and lies in the shared folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
 from corvane.tables import Table, fresh_path
 
-BUCKETS = 64
-
-
-def term_bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+#: Postings of a folder, about, and the most folders.
+FOLDER_ROWS, MOST_FOLDERS = 1_000_000, 4096
+#: So many terms of a batch of queries go to the tasks as a list; more are joined.
+MOST_LISTED = 4096
 
 
 @dataclass
 class SearchIndex:
-    """postings (bucket, term, chunk_id, item_id, tf) and stats (chunk_id, dl)."""
+    """postings (bucket, term, chunk_id, item_id, tf, dl), terms (term, df, cnt) and stats (chunk_id, dl); n chunks of mean size avgdl."""
 
     postings: DataFrame
+    terms: DataFrame
     stats: DataFrame
+    n: int
+    avgdl: float
+    folders: int
+
+    def bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.folders)).cast("int")
+
+    def listed(self, terms: DataFrame) -> DataFrame | None:
+        """The known ones of terms (term, ..) with their bucket and df, as a table of at most MOST_LISTED rows, or None if there are more."""
+        rows = terms.join(self.terms.select("term", "df"), "term").limit(MOST_LISTED + 1).collect()
+        if len(rows) > MOST_LISTED:
+            return None
+        schema = terms.join(self.terms.select("term", "df"), "term").schema
+        return terms.sparkSession.createDataFrame(rows, schema).withColumn("bucket", self.bucket(F.col("term")))
 
     def of(self, terms: DataFrame) -> DataFrame:
         """The postings of terms (term, ..)."""
-        asked = terms.select("term").distinct().withColumn("bucket", term_bucket(F.col("term")))
-        return self.postings.join(asked, ["bucket", "term"], "left_semi")
+        asked = terms.select("term").distinct()
+        few = self.listed(asked)
+        if few is None:
+            return self.postings.join(asked.withColumn("bucket", self.bucket(F.col("term"))), ["bucket", "term"], "left_semi")
+        return self._read(few).join(F.broadcast(few.select("bucket", "term")), ["bucket", "term"], "left_semi")
+
+    def matched(self, query_terms: DataFrame) -> DataFrame:
+        """The postings of (query_id, term, ..) with its columns and the term's df."""
+        few = self.listed(query_terms)
+        if few is None:
+            return self.postings.join(query_terms.join(self.terms.select("term", "df"), "term").withColumn("bucket", self.bucket(F.col("term"))), ["bucket", "term"])
+        return self._read(few).join(F.broadcast(few), ["bucket", "term"])
+
+    def _read(self, few: DataFrame) -> DataFrame:
+        """The postings in the folders of a few terms."""
+        folders = sorted({r.bucket for r in few.select("bucket").collect()})
+        return self.postings.where(F.col("bucket").isin(folders) if folders else F.lit(False))
+
+    @cached_property
+    def _item_terms(self) -> DataFrame:
+        return Table(self.postings.groupBy(F.col("item_id").alias("id"), "term").agg(F.sum("tf").alias("c")), "item_terms").df
 
     def item_terms(self) -> DataFrame:
-        """(id, term, c): how often each item holds each term."""
-        return self.postings.groupBy(F.col("item_id").alias("id"), "term").agg(F.sum("tf").alias("c"))
+        """(id, term, c): how often each item holds each term; counted at the first use and kept."""
+        return self._item_terms
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[tuple] = []
+        for chunk, item, words in zip(*(batch.column(c).to_pylist() for c in ("chunk_id", "item_id", "terms")), strict=True):
+            out += [(t, chunk, item, n, len(words)) for t, n in Counter(words).items()]
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["term", "chunk_id", "item_id", "tf", "dl"])
 
 
 def build(chunks: DataFrame) -> SearchIndex:
     """Writes the index of chunks (chunk_id, item_id, text)."""
     spark = chunks.sparkSession
-    listed = chunks.select("chunk_id", "item_id", F.explode(F.array(tokens(F.col("text")))).alias("terms"))
-    stats = Table(listed.select("chunk_id", F.size("terms").cast("long").alias("dl")), "index_stats")
-    counted = listed.select("chunk_id", "item_id", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "item_id").agg(F.count(F.lit(1)).alias("tf"))
+    listed = chunks.select(F.col("chunk_id").cast("long"), F.col("item_id").cast("long"), tokens(F.col("text")).alias("terms"))
+    counted = Table(listed.mapInArrow(_counted, "term string, chunk_id long, item_id long, tf long, dl long"), "index_counts")
+    sizes = counted.df.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
+    stats = Table(chunks.select(F.col("chunk_id").cast("long")).join(sizes, "chunk_id", "left").select("chunk_id", F.coalesce("dl", F.lit(0)).alias("dl")), "index_stats").df
+    whole = stats.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
+    postings, folders = counted.df.count(), 8
+    while folders < MOST_FOLDERS and folders * FOLDER_ROWS < postings:
+        folders *= 2
     path = fresh_path(spark, "index_postings")
-    placed = counted.withColumn("bucket", term_bucket(F.col("term")))
+    placed = counted.df.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int"))
     placed.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
-    return SearchIndex(spark.read.schema(placed.schema).parquet(path), stats.df)
+    counted.drop()
+    postings = spark.read.schema(placed.schema).parquet(path)
+    terms = Table(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cnt")), "index_terms").df
+    return SearchIndex(postings, terms, stats, whole.n, whole.mean or 1.0, folders)
 
 
 _BUILT: dict[tuple, object] = {}

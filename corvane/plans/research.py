@@ -98,10 +98,9 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final
 @query(_FULL)
 def full_search(spark, sf_dir):
     """The second page of each query: filters before recall, three routes, fusion, signals, diversity."""
-    index, terms = V.index(spark, sf_dir), V.query_terms(spark, sf_dir)
     allowed = V.items(spark, sf_dir).where("modality <> 'de' AND size_bytes > 200")
     ids = allowed.select("item_id")
-    hits = R.bm25(index.of(terms), index.stats, terms).join(ids, "item_id", "left_semi")
+    hits = R.bm25(V.index(spark, sf_dir), V.query_terms(spark, sf_dir)).join(ids, "item_id", "left_semi")
     keyword = R.best_chunks(hits).where(F.col("rank") <= R.ROUTE_LIMIT)
     vec = R.knn(V.vectors(spark, sf_dir).join(ids, "item_id", "left_semi"), V.query_vectors(spark, sf_dir), R.ROUTE_LIMIT)
     title = V.titles(spark, sf_dir).search(V.queries(spark, sf_dir), allowed=ids)

@@ -18,8 +18,7 @@ _BASE = f"WITH {CHUNKS}, {POSTINGS}, {STATS}, {queries_sql()}, {BM25}"
 
 
 def _bm25(spark, sf_dir) -> DataFrame:
-    index, terms = V.index(spark, sf_dir), V.query_terms(spark, sf_dir)
-    return R.bm25(index.of(terms), index.stats, terms)
+    return R.bm25(V.index(spark, sf_dir), V.query_terms(spark, sf_dir))
 
 
 @query(_BASE + " SELECT query_id, chunk_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm25) WHERE rank <= 200")
@@ -240,5 +239,5 @@ def click_learning(spark, sf_dir):
 
 @query(f"WITH {CHUNKS}, {POSTINGS} SELECT term, sum(tf)::BIGINT AS cnt, count(*) AS df FROM postings WHERE length(term) BETWEEN 2 AND 12 GROUP BY term ORDER BY cnt DESC, term LIMIT 8000")
 def vocabulary(spark, sf_dir):
-    p = V.index(spark, sf_dir).postings.where(F.length("term").between(2, 12))
-    return p.groupBy("term").agg(F.sum("tf").alias("cnt"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("cnt"), "term").limit(8000)
+    known = V.index(spark, sf_dir).terms.where(F.length("term").between(2, 12))
+    return known.select("term", "cnt", "df").orderBy(F.desc("cnt"), "term").limit(8000)

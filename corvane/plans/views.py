@@ -48,8 +48,8 @@ def index(spark: SparkSession, sf_dir: str) -> SearchIndex:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(term, cnt): the corpus vocabulary of words of 2 to 12 characters, counted once."""
-    return kept(spark, f"{sf_dir}/documents.parquet", "words", lambda: Table(index(spark, sf_dir).postings.where(F.length("term").between(spelling.LEAST, spelling.MOST)).groupBy("term").agg(F.sum("tf").alias("cnt")), "words").df)
+    """(term, cnt): the corpus vocabulary of words of 2 to 12 characters."""
+    return index(spark, sf_dir).terms.where(F.length("term").between(spelling.LEAST, spelling.MOST)).select("term", "cnt")
 
 
 def spelling_index(spark: SparkSession, sf_dir: str) -> DataFrame:
