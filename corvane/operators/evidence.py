@@ -145,6 +145,23 @@ def matrix(evidence: DataFrame, sites: list[str]) -> DataFrame:
     return cells.groupBy("topic").pivot("site", sites).agg(F.first("said")).na.fill("silent", sites)
 
 
+def stances(told: DataFrame, most: int = 10) -> DataFrame:
+    """(corpus, topic, site, place, stance, disagree) of what sites say (corpus, topic, id, site, text): each topic against the corpus's most heard sites.
+
+    Two negating words or more make a site negative on a topic, one makes it mixed, none positive; a site that says
+    nothing of a topic is silent, which isn't neutral. A topic is disagreed on if some of its sites are positive and some negative.
+    """
+    said = told.groupBy("corpus", "topic", "site").agg(F.sum(F.regexp_count("text", F.lit(NEGATION))).alias("negations"), F.count(F.lit(1)).alias("n"))
+    heard = said.groupBy("corpus", "site").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("corpus").orderBy(F.desc("n"), "site")).cast("long")
+    sites = heard.withColumn("place", place).where(F.col("place") <= most).select("corpus", "site", "place")
+    cells = said.select("corpus", "topic").distinct().join(sites, "corpus").join(said, ["corpus", "topic", "site"], "left")
+    stance = F.when(F.col("n").isNull(), "silent").when(F.col("negations") >= 2, "negative").when(F.col("negations") == 1, "mixed").otherwise("positive")
+    judged = cells.select("corpus", "topic", "site", "place", stance.alias("stance"))
+    topic = judged.groupBy("corpus", "topic").agg((F.max(F.col("stance") == "positive") & F.max(F.col("stance") == "negative")).alias("disagree"))
+    return judged.join(topic, ["corpus", "topic"])
+
+
 def date_conflicts(dated: DataFrame, least_days: int = 2) -> DataFrame:
     """(topic, a, b, days): two sites date one topic differently; compared by the coarser precision."""
     x, y = dated.alias("x"), dated.alias("y")
@@ -169,6 +186,21 @@ def number_check(claimed: DataFrame, sourced: DataFrame, tolerance: float = 0.00
     return out.select("key", "value", F.when(F.col("ok"), "ok").when(F.col("some"), "mismatch").otherwise("unverified").alias("status"))
 
 
+def near_numbers(claimed: DataFrame, sourced: DataFrame, tolerance: float = 0.005, reach: float = 0.5, most: int = 4) -> DataFrame:
+    """(key, value, near) of claimed numbers that their source doesn't have: the numbers of the source within half of the value, nearest first, which may be meant.
+
+    A source's numbers are those of one text. They are brought together by logarithmic buckets a reach wide, so only what may be near meets.
+    """
+    wide = F.floor(F.log(F.abs("value"))).cast("long")  # within half of a value is within one step of e
+    asked = number_check(claimed, sourced, tolerance).where("status = 'mismatch' AND value <> 0").select("key", "value")
+    have = sourced.where("value <> 0").select("key", F.col("value").alias("other"), wide.alias("slot")).distinct()
+    met = asked.withColumn("slot", F.explode(F.array(wide - 1, wide, wide + 1))).join(have, ["key", "slot"])
+    gap = F.abs(F.col("other") - F.col("value")) / F.abs("value")
+    ranked = met.where(gap <= reach).withColumn("gap", gap).withColumn("r", F.row_number().over(Window.partitionBy("key", "value").orderBy("gap", "other"))).where(F.col("r") <= most)
+    listed = ranked.groupBy("key", "value").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "other"))), lambda x: x["other"]).alias("near"))
+    return asked.join(listed, ["key", "value"], "left").select("key", "value", F.coalesce("near", F.array().cast("array<double>")).alias("near"))
+
+
 def merge_records(records: DataFrame) -> DataFrame:
     """Bibliographic records with one DOI or, without, one title key: sources joined, the longest abstract, the most citations, first known year."""
     title = F.substring(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}]+", ""), 1, 90)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import html_escaped
+from corvane.operators.evidence import stances
 
 #: What is taken off the ends of a question, and engines by the language that they are good at.
 QUESTION_HEAD = r"^(请问|想问一下|谁能告诉我|有没有人知道|我想知道|帮我查一下|帮我搜一下|如何|怎么|怎样|为什么|为啥|是什么|什么是|哪个|哪些|多少|能不能|可不可以)"
@@ -95,6 +97,15 @@ def review(papers: DataFrame, quotes: int = 5) -> DataFrame:
     return ranked.where(F.col("rank") <= quotes).withColumn("stance", stance)
 
 
+def disputed_quotes(quotes: DataFrame) -> DataFrame:
+    """(cluster, place, positive, negative, positive_id, negative_id): the nth quote for something beside the nth against it, of the quotes of ``review``; nobody is said to be right."""
+    nth = F.row_number().over(Window.partitionBy("cluster", "stance").orderBy("rank")).cast("long")
+    told = quotes.where("stance <> 'neutral'").withColumn("place", nth)
+    yes = told.where("stance = 'positive'").select("cluster", "place", F.col("quote").alias("positive"), F.col("id").alias("positive_id"))
+    no = told.where("stance = 'negative'").select("cluster", "place", F.col("quote").alias("negative"), F.col("id").alias("negative_id"))
+    return yes.join(no, ["cluster", "place"])
+
+
 def metric_table(papers: DataFrame, metrics: list[tuple[str, str, str]] = METRICS) -> DataFrame:
     """(id, a column a metric as 'value unit' or null, filled) of papers (id, text). What isn't written stays null, and nothing is converted."""
     def cell(pattern: str, unit: str) -> Column:
@@ -105,20 +116,31 @@ def metric_table(papers: DataFrame, metrics: list[tuple[str, str, str]] = METRIC
     return cells.withColumn("filled", sum((F.col(n).isNotNull().cast("long") for n, _, _ in metrics), F.lit(0).cast("long")))
 
 
-def briefing(topics: DataFrame, sentences: DataFrame, disputes: DataFrame, number_unit: str) -> DataFrame:
+def briefing(topics: DataFrame, sentences: DataFrame, disputes: DataFrame, number_unit: str, dated: DataFrame | None = None, most: int = 20) -> DataFrame:
     """(corpus, section, id, topic, site, text) of what was found for a query, in the words of the sources.
 
-    Topics are (corpus, word, id), sentences (corpus, id, site, text), disputes (corpus, a, b). A topic that two
-    sites or more carry is consensus, unless one of its sentences is disputed; a topic of one site is an open
-    question; sentences with a number and unit are numbers.
+    Topics are (corpus, word, id), sentences (corpus, id, site, text), disputes (corpus, a, b), dated (corpus, id,
+    site, published). A topic that two sites or more carry is consensus, unless one of its sentences is disputed; a topic of one
+    site is an open question. Numbers are the first sentences with a number and unit, each beginning once; the timeline has
+    the latest dates; the matrix has what each of the most heard sites holds of each topic.
     """
     told = topics.join(sentences, ["corpus", "id"])
     sites = told.groupBy("corpus", "word").agg(F.count_distinct("site").alias("sites"))
     fought = disputes.select("corpus", F.explode(F.array("a", "b")).alias("id")).distinct().join(topics, ["corpus", "id"]).select("corpus", "word").distinct().withColumn("fought", F.lit(True))
     kinds = sites.join(fought, ["corpus", "word"], "left").select("corpus", "word", F.when(F.col("fought"), "dispute").when(F.col("sites") >= 2, "consensus").otherwise("open").alias("section"))
-    by_topic = told.join(kinds, ["corpus", "word"]).select("corpus", "section", "id", F.col("word").alias("topic"), "site", "text")
-    numbers = sentences.where(F.col("text").rlike(number_unit)).select("corpus", F.lit("number").alias("section"), "id", F.lit(None).cast("string").alias("topic"), "site", "text")
-    return by_topic.unionByName(numbers)
+    note = lambda rows, section, i, topic, text: rows.select("corpus", section.alias("section"), i.alias("id"), topic.alias("topic"), "site", text.alias("text"))
+    none, text = F.lit(None).cast("string"), F.col("text")
+    by_topic = note(told.join(kinds, ["corpus", "word"]), F.col("section"), F.col("id"), F.col("word"), text)
+    once = Window.partitionBy("corpus", F.substring(F.regexp_replace("text", r"\s+", ""), 1, 40)).orderBy("id")
+    firsts = sentences.where(text.rlike(number_unit)).withColumn("r", F.row_number().over(once)).where("r = 1")
+    few = firsts.withColumn("r", F.row_number().over(Window.partitionBy("corpus").orderBy("id"))).where(F.col("r") <= most)
+    out = by_topic.unionByName(note(few, F.lit("number"), F.col("id"), none, text))
+    held = stances(told.select("corpus", F.col("word").alias("topic"), "id", "site", "text"))
+    out = out.unionByName(note(held, F.lit("matrix"), F.lit(None).cast("long"), F.col("topic"), F.col("stance")))
+    if dated is None:
+        return out
+    late = dated.where("published is not null").withColumn("r", F.row_number().over(Window.partitionBy("corpus").orderBy(F.desc("published"), "id"))).where(F.col("r") <= most)
+    return out.unionByName(note(late, F.lit("timeline"), F.col("id"), none, F.date_format("published", "yyyy-MM-dd")))
 
 
 def _listed(lines: Column) -> Column:
@@ -201,17 +223,28 @@ def federated(spark: SparkSession, libraries: dict[str, str], read: Callable[[Da
     return (reduce(DataFrame.unionByName, parts) if parts else None), failed
 
 
+#: So many words or beginnings of a batch of queries are looked for as a list.
+MOST_ASKED = 1000
+
+
 def federated_hits(rows: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """(query_id, library_id, id, score, rank) by how often a text holds the query's words; a mere substring ranks below all, by 1000.
 
-    Words meet on equal terms; a text that only has the whole query as a substring meets on the query's first three characters.
+    Words meet on equal terms; a text that only has the whole query as a substring meets on the query's first three
+    characters. Of a text only what is asked for is taken: words and beginnings of queries go to the tasks as lists if
+    there are no more than MOST_ASKED.
     """
     low = rows.select("library_id", "id", F.lower("text").alias("text"))
-    words = low.select("library_id", "id", F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("term")).groupBy("library_id", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    wanted = [r.term for r in queries.select(F.explode("terms").alias("term")).distinct().limit(MOST_ASKED + 1).collect()]
+    every_word = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    asked_words = F.filter(every_word, lambda w: w.isin(wanted)) if len(wanted) <= MOST_ASKED else every_word
+    words = low.select("library_id", "id", F.explode(asked_words).alias("term")).groupBy("library_id", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
     asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
     need = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("k"))
     whole = words.join(asked, "term").groupBy("query_id", "library_id", "id").agg(F.sum("tf").alias("score"), F.count(F.lit(1)).alias("n")).join(need, "query_id").where("n = k").select("query_id", "library_id", "id", "score")
-    grams = low.select("*", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?=(...))"), F.lit(1)))).alias("gram"))
+    starts = [r.gram for r in queries.where(F.length("query") >= 3).select(F.substring(F.lower("query"), 1, 3).alias("gram")).distinct().limit(MOST_ASKED + 1).collect()]
+    start = "|".join(re.escape(g) for g in sorted(starts)) if starts and len(starts) <= MOST_ASKED else "..."
+    grams = low.select("*", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=({start}))"), F.lit(1)))).alias("gram"))
     part = grams.join(queries.where(F.length("query") >= 3).select("query_id", F.lower("query").alias("q"), F.substring(F.lower("query"), 1, 3).alias("gram")), "gram").where(F.contains("text", F.col("q")))
     part = part.select("query_id", "library_id", "id").join(whole, ["query_id", "library_id", "id"], "left_anti").withColumn("score", F.lit(-1000).cast("long"))
     every = whole.unionByName(part)
@@ -228,7 +261,9 @@ def verify_sources(recorded: DataFrame, found: DataFrame) -> DataFrame:
 def file_digests(spark: SparkSession, folder: str) -> DataFrame:
     """(locator, fingerprint): SHA-256 of every file of a package, read by Spark; the locator is the path below the folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("locator"), F.sha2("content", 256).alias("fingerprint"))
+    root = re.sub(r"^[a-z]+:/*", "/", folder.rstrip("/"))
+    below = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(root) + "/", "")
+    return files.select(below.alias("locator"), F.sha2("content", 256).alias("fingerprint"))
 
 
 def restored(trash: DataFrame, requests: DataFrame, present: DataFrame) -> DataFrame:

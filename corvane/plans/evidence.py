@@ -184,6 +184,47 @@ def conflict_pairs(spark, sf_dir):
     return E.conflicts(s)
 
 
+@query(rf"""{_FOUND}, told AS (SELECT topic AS corpus, chunk_id AS id, 's' || h.item_id % 13 AS site, text || CASE WHEN h.item_id % 3 = 0 THEN ' not ' WHEN h.item_id % 3 = 1 THEN ' no, never ' ELSE '' END AS text, list_filter({TOKENS.format('text')}, lambda t: length(t) >= 5)[1] AS topic FROM hits h JOIN chunks USING (chunk_id)),
+said AS (SELECT corpus, topic, site, count(*) AS n, sum(len(regexp_extract_all(text, '(?i)(不|没|无|非|未|\bnot\b|\bno\b|\bnever\b|n''t\b)'))) AS negations FROM told WHERE topic IS NOT NULL GROUP BY ALL),
+sites AS (SELECT corpus, site, row_number() OVER (PARTITION BY corpus ORDER BY sum(n) DESC, site) AS place FROM said GROUP BY corpus, site QUALIFY place <= 10),
+cells AS (SELECT corpus, topic, site, place, CASE WHEN n IS NULL THEN 'silent' WHEN negations >= 2 THEN 'negative' WHEN negations = 1 THEN 'mixed' ELSE 'positive' END AS stance FROM (SELECT DISTINCT corpus, topic FROM said) JOIN sites USING (corpus) LEFT JOIN said USING (corpus, topic, site))
+SELECT *, bool_or(stance = 'positive') OVER w AND bool_or(stance = 'negative') OVER w AS disagree FROM cells WINDOW w AS (PARTITION BY corpus, topic)""")
+def agreement_matrix(spark, sf_dir):
+    """What the ten most heard sites of each query's chunks hold of each topic, which is a chunk's first long word; negations are added by item."""
+    c, i = _found(spark, sf_dir), F.col("item_id") % 3
+    text = F.concat("text", F.when(i == 0, " not ").when(i == 1, " no, never ").otherwise(""))
+    told = c.select(F.col("topic").alias("corpus"), F.col("chunk_id").alias("id"), F.concat(F.lit("s"), (F.col("item_id") % 13).cast("string")).alias("site"), text.alias("text"), F.get(F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 5), F.lit(0)).alias("topic"))
+    return E.stances(told.where("topic is not null"))
+
+
+@query(rf"""{_FOUND}, asked AS (SELECT item_id AS claim, 's' || item_id % 13 AS own, list_distinct(list_filter({TOKENS.format('text')}, lambda t: length(t) >= 2)) AS terms FROM benchmark),
+met AS (SELECT claim, 's' || h.item_id % 13 AS site, terms, text FROM hits h JOIN chunks USING (chunk_id) JOIN asked ON claim = h.topic WHERE 's' || h.item_id % 13 <> own),
+judged AS (SELECT claim, site, CASE WHEN regexp_matches(text, '(?i)(辟谣|谣言|不实|假的|误传|误读|纠正|更正|澄清|撤稿|撤回|被推翻|并不|其实不|debunk|false|hoax|myth|misleading|retract|incorrect|not true|refut)') THEN 'refute'
+  WHEN regexp_matches(text, '(?i)(证实|确认|属实|已验证|官方回应.{{0,6}}属实|research shows|confirmed|verified|study finds|according to)') OR len(list_filter(terms, lambda t: list_contains({TOKENS.format('text')}, t))) / len(terms)::DOUBLE >= 0.45::DOUBLE THEN 'support' ELSE 'neutral' END AS stance FROM met)
+SELECT claim, stance, count(*) AS n, count(DISTINCT site) AS sites FROM judged GROUP BY claim, stance""")
+def claim_checks(spark, sf_dir):
+    """Each benchmark text as a claim against the chunks that its words find, those of its own site left out."""
+    from corvane.operators import web_search
+
+    claimed = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim"), "text", F.concat(F.lit("s"), (F.col("item_id") % 13).cast("string")).alias("site"))
+    results = _found(spark, sf_dir).select(F.col("topic").alias("claim"), F.concat(F.lit("s"), (F.col("item_id") % 13).cast("string")).alias("site"), "text")
+    return web_search.verify(claimed, results).groupBy("claim", "stance").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("site").alias("sites"))
+
+
+_NUMBERS = """claimed AS (SELECT DISTINCT o_orderkey AS key, o_totalprice AS value FROM orders), sourced AS (SELECT l_orderkey AS key, l_extendedprice * 1.0 AS value FROM lineitem)"""
+
+
+@query(f"""WITH {_NUMBERS}, open AS (SELECT * FROM claimed c WHERE value <> 0 AND EXISTS (SELECT 1 FROM sourced s WHERE s.key = c.key) AND NOT EXISTS (SELECT 1 FROM sourced s WHERE s.key = c.key AND abs(c.value - s.value) <= 0.005::DOUBLE * abs(c.value))),
+met AS (SELECT DISTINCT o.key, o.value, s.value AS other, abs(s.value - o.value) / abs(o.value) AS gap FROM open o JOIN sourced s ON s.key = o.key WHERE abs(s.value - o.value) / abs(o.value) <= 0.5::DOUBLE),
+ranked AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY key, value ORDER BY gap, other) <= 4)
+SELECT o.key, o.value, coalesce(array_to_string(list(round(other, 2)::VARCHAR ORDER BY gap, other) FILTER (other IS NOT NULL), ','), '') AS near FROM open o LEFT JOIN ranked r ON r.key = o.key AND r.value = o.value GROUP BY o.key, o.value""")
+def number_near(spark, sf_dir):
+    """Order totals that none of their lines has, with the lines' prices that come nearest."""
+    o, li = V.table(spark, sf_dir, "orders"), V.table(spark, sf_dir, "lineitem")
+    found = E.near_numbers(o.select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value")), li.select(F.col("l_orderkey").alias("key"), F.col("l_extendedprice").alias("value")))
+    return found.withColumn("near", F.array_join(F.transform("near", lambda x: F.round(x, 2).cast("string")), ","))
+
+
 _RECORDS = r"""records AS (SELECT p_partkey AS record_id, p_name || ' ' || p_brand AS title, CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN '10.48550/arXiv.' ELSE '10.1/' END || p_size || p_brand END AS doi, 's' || p_partkey % 4 AS source, p_type AS abstract, p_size AS citations,
   CASE WHEN p_partkey % 5 <> 0 THEN 1990 + p_size END AS year, DATE '2020-01-01' + p_size AS day FROM part)"""
 

@@ -120,7 +120,8 @@ def _notes(spark, sf_dir):
     sents = found.select(F.col("topic").alias("corpus"), F.col("chunk_id").alias("id"), F.concat(F.lit("s"), (F.col("item_id") % 9).cast("string")).alias("site"), "text", "item_id")
     topics = E.topics(sents.select("corpus", "id", "site", F.array_distinct(F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 5)).alias("terms"))).select("corpus", "word", "id")
     disputes = E.conflicts(sents.select(F.col("corpus").alias("topic"), "id", "site", "text")).select(F.col("topic").alias("corpus"), "a", "b")
-    return S.briefing(topics, sents.select("corpus", "id", "site", "text"), disputes, r"\d+(?:\.\d+)?\s*(?:%|％|万|亿|GB|MB|km|kg)")
+    dated = sents.join(V.items(spark, sf_dir).select("item_id", F.when(F.col("source") != "src2", F.col("content_time")).alias("published")), "item_id").select("corpus", "id", "site", "published")
+    return S.briefing(topics, sents.select("corpus", "id", "site", "text"), disputes, r"\d+(?:\.\d+)?\s*(?:%|％|万|亿|GB|MB|km|kg)", dated)
 
 
 @query()
@@ -174,24 +175,48 @@ def trash_restore(spark, sf_dir):
     return S.restored(i.join(low, "item_id", "left_semi"), labels.select(F.col("doc_id").alias("item_id")), present)
 
 
-@query(r"""WITH pieces AS (SELECT source AS cluster, doc_id AS id, unnest(string_split(regexp_replace(text, '([。！？；.!?;])\s*', '\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(text, '([。！？；.!?;])\s*', '\1' || chr(1), 'g'), chr(1)), 1) AS k FROM documents),
+_QUOTES = r"""WITH pieces AS (SELECT source AS cluster, doc_id AS id, unnest(string_split(regexp_replace(text, '([。！？；.!?;])\s*', '\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(text, '([。！？；.!?;])\s*', '\1' || chr(1), 'g'), chr(1)), 1) AS k FROM documents),
 tidy AS (SELECT cluster, id, k, trim(regexp_replace(s, '\s+', ' ', 'g')) AS quote FROM pieces),
 scored AS (SELECT *, round((regexp_matches(quote, '(结果表明|实验表明|我们发现|研究发现|数据显示|证明了|表明)'))::INT * 3.0::DOUBLE + (regexp_matches(quote, '(?i)(results? show|we find|we show|demonstrates?|indicates?)'))::INT * 3.0::DOUBLE + (regexp_matches(quote, '\d+(\.\d+)?\s*[%％]'))::INT * 2.5::DOUBLE
   + (regexp_matches(quote, '(相比|优于|高于|低于|提升|下降|超过)'))::INT * 2.0::DOUBLE + (regexp_matches(quote, '(?i)(compared with|outperform|improv|reduc|achiev)'))::INT * 2.0::DOUBLE + (regexp_matches(quote, '(提出了|本文提出|我们提出|首次)'))::INT * 1.5::DOUBLE
   + (regexp_matches(quote, '(?i)(propose|present|introduce)'))::INT * 1.5::DOUBLE + (regexp_matches(quote, '(然而|但是|局限|不足|挑战)'))::INT * 1.2::DOUBLE + (regexp_matches(quote, '(?i)(however|limitation|challenge|drawback)'))::INT * 1.2::DOUBLE, 2) AS score FROM tidy WHERE length(quote) BETWEEN 18 AND 220),
-best AS (SELECT * FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY cluster, id ORDER BY score DESC, k) = 1)
-SELECT cluster, id, quote, score, CASE WHEN regexp_matches(quote, '(无效|不显著|未能|劣于|失败|不可行|反对|没有(发现|显著))') THEN 'negative' WHEN regexp_matches(quote, '(有效|显著|提升|优于|成功|可行|支持)') THEN 'positive' ELSE 'neutral' END AS stance,
-  row_number() OVER (PARTITION BY cluster ORDER BY score DESC, id) AS rank FROM best QUALIFY rank <= 5""")
+best AS (SELECT * FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY cluster, id ORDER BY score DESC, k) = 1),
+quotes AS (SELECT cluster, id, quote, score, CASE WHEN regexp_matches(quote, '(无效|不显著|未能|劣于|失败|不可行|反对|没有(发现|显著))') THEN 'negative' WHEN regexp_matches(quote, '(有效|显著|提升|优于|成功|可行|支持)') THEN 'positive' ELSE 'neutral' END AS stance,
+  row_number() OVER (PARTITION BY cluster ORDER BY score DESC, id) AS rank FROM best QUALIFY rank <= 5)"""
+
+
+@query(_QUOTES + " SELECT * FROM quotes")
 def review_quotes(spark, sf_dir):
     return S.review(V.table(spark, sf_dir, "documents").select(F.col("source").alias("cluster"), F.col("doc_id").alias("id"), "text"))
 
 
-@query(r"""WITH c AS (SELECT doc_id AS id, regexp_extract(text, '(?i)(?:准确率|accuracy|acc\.?)\s*(?:为|is|of|=|:)?\s*(\d+(?:\.\d+)?)\s*([%％]?)', ['v', 'u']) AS a, regexp_extract(text, '(?i)(\d+(?:\.\d+)?)\s*(小时|分钟|秒|hours?|minutes?|seconds?|ms)', ['v', 'u']) AS t FROM documents),
-n AS (SELECT id, CASE WHEN a.v <> '' THEN a.v || ' %' END AS accuracy, CASE WHEN t.v <> '' THEN t.v || ' ' || t.u END AS time FROM c)
-SELECT id, accuracy, time, (accuracy IS NOT NULL)::BIGINT + (time IS NOT NULL)::BIGINT AS filled FROM n""")
+@query(_QUOTES + """, nth AS (SELECT *, row_number() OVER (PARTITION BY cluster, stance ORDER BY rank) AS place FROM quotes WHERE stance <> 'neutral')
+SELECT y.cluster, y.place, y.quote AS positive, n.quote AS negative, y.id AS positive_id, n.id AS negative_id FROM nth y JOIN nth n ON y.cluster = n.cluster AND y.place = n.place AND y.stance = 'positive' AND n.stance = 'negative'""")
+def review_disputes(spark, sf_dir):
+    """Quotes for and against something side by side."""
+    return S.disputed_quotes(S.review(V.table(spark, sf_dir, "documents").select(F.col("source").alias("cluster"), F.col("doc_id").alias("id"), "text")))
+
+
+_CELLS = [
+    ("accuracy", r"(?i)(?:准确率|accuracy|acc\.?)\s*(?:为|is|of|=|:)?\s*(\d+(?:\.\d+)?)\s*([%％]?)", "%"),
+    ("f1", r"(?i)\bF1(?:[- ]score)?\s*(?:为|is|of|=|:)?\s*(\d+(?:\.\d+)?)\s*([%％]?)", ""),
+    ("precision", r"(?i)(?:精确率|precision)\s*(?:为|is|of|=|:)?\s*(\d+(?:\.\d+)?)\s*([%％]?)", "%"),
+    ("recall", r"(?i)(?:召回率|recall)\s*(?:为|is|of|=|:)?\s*(\d+(?:\.\d+)?)\s*([%％]?)", "%"),
+    ("auc", r"(?i)\bAUC\s*(?:为|is|of|=|:)?\s*(0?\.\d+|\d+(?:\.\d+)?)\s*([%％]?)", ""),
+    ("sample", r"(?i)(?:样本量|样本数|n\s*=|sample size (?:of|is)?)\s*(\d[\d,]{1,9})\s*()", "例"),
+    ("parameters", r"(?i)(\d+(?:\.\d+)?)\s*([BMK])\s*(?:参数|parameters?|params)", ""),
+    ("dataset", r"(?i)(?:数据集|dataset)\s*(?:为|is|:)?\s*([A-Za-z][\w\-]{2,20})\s*()", ""),
+    ("time", r"(?i)(\d+(?:\.\d+)?)\s*(小时|分钟|秒|hours?|minutes?|seconds?|ms)", ""),
+]
+_FOUND_CELLS = ", ".join(f"regexp_extract(text, '{p}', ['v', 'u']) AS {n}" for n, p, _ in _CELLS)
+_NAMED_CELLS = ", ".join(f"CASE WHEN {n}.v <> '' THEN trim({n}.v || ' ' || CASE WHEN {n}.u <> '' THEN replace({n}.u, '％', '%') ELSE '{u}' END) END AS {n}" for n, _, u in _CELLS)
+
+
+@query(f"""WITH c AS (SELECT doc_id AS id, {_FOUND_CELLS} FROM documents), n AS (SELECT id, {_NAMED_CELLS} FROM c)
+SELECT *, {" + ".join(f"({n} IS NOT NULL)::BIGINT" for n, _, _ in _CELLS)} AS filled FROM n""")
 def metric_cells(spark, sf_dir):
-    """Two of the metrics over whole texts."""
-    return S.metric_table(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), [m for m in S.METRICS if m[0] in ("accuracy", "time")])
+    """All nine metrics over whole texts."""
+    return S.metric_table(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 @query(f"""{evidence_plans._FOUND}, word AS (SELECT query_id AS topic, terms[1] AS term FROM queries WHERE length(terms[1]) >= 3),
