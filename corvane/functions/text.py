@@ -56,6 +56,12 @@ def snippet(text: Column, term: Column, window: int = 160) -> Column:
     return F.concat(F.when(at > 0, "…").otherwise(""), marked, F.when(at + window < F.length(text), "…").otherwise(""))
 
 
+def highlight_terms(query: Column) -> Column:
+    """The different terms of a query that are marked in results, in order: its tokens, without those of words that it excludes by a leading minus, and without quotes."""
+    words = F.filter(F.split(F.replace(F.coalesce(query, F.lit("")), F.lit('"'), F.lit(" ")), r"\s+"), lambda w: ~F.startswith(w, F.lit("-")))
+    return F.array_distinct(F.flatten(F.transform(words, tokens)))
+
+
 def bigrams(text: Column) -> Column:
     """Distinct pairs of neighbouring characters, blanks left out; a single character is its own pair."""
     chars = F.split(F.regexp_replace(text, r"\s+", ""), "")

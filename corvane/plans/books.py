@@ -275,3 +275,14 @@ def pause_chapters(spark, sf_dir):
     cut = s.withColumn("fresh", F.when(F.lag("end_h").over(w).isNull() | (F.col("start_h") - F.lag("end_h").over(w) >= 12), 1).otherwise(0))
     c = cut.withColumn("chapter", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return c.groupBy("video", "chapter").agg(F.count(F.lit(1)).alias("lines"), F.min("ts").alias("start_at"))
+
+
+@query("""WITH cites AS (SELECT DISTINCT p_brand AS topic, l_partkey AS seed, -1 - o_custkey AS paper FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+cited AS (SELECT -1 - o_custkey AS paper, count(*) AS citations FROM orders GROUP BY 1), counts AS (SELECT topic, paper, count(*) AS seeds FROM cites GROUP BY ALL)
+SELECT topic, paper, seeds, citations, row_number() OVER (PARTITION BY topic ORDER BY seeds DESC, citations DESC, paper) AS rank FROM counts JOIN cited USING (paper) QUALIFY rank <= 20""")
+def follow_ups(spark, sf_dir):
+    """Customers stand for papers that cite the parts of a brand, and their orders for citations."""
+    li, o, p = (V.table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
+    paper = (-1 - F.col("o_custkey")).alias("paper")
+    cites = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("topic"), F.col("l_partkey").alias("seed"), paper)
+    return graph.followups(cites, o.groupBy(paper).agg(F.count(F.lit(1)).alias("citations")))

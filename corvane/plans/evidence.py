@@ -30,19 +30,33 @@ def _results(spark, sf_dir):
     return p.select((F.col("page_id") % 20).alias("query_id"), "page_id", "engine", (1 + (F.col("page_id") * 13 + F.col("engine") * 5) % 10).alias("pos"), plain.alias("canonical"), "url", web.html_title(F.col("html")).alias("title"), F.concat(F.lit("about "), (F.col("page_id") % 40).cast("string")).alias("snippet"), web.host(F.col("url")).alias("site"))
 
 
-@query(rf"""WITH {_RESULTS}, once AS (
+_FOLD = rf"""{_RESULTS}, once AS (
   SELECT query_id, canonical, arg_max(title, (length(snippet), canonical)) AS title, arg_max(snippet, (length(snippet), canonical)) AS snippet FROM results GROUP BY ALL),
 keyed AS (SELECT *, CASE WHEN length(title) >= 6 AND length(trim(snippet)) > 0 THEN sha1(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}]+', '', 'g')[1:60] || '|' || regexp_replace(lower(snippet), '[^\p{{L}}\p{{N}}]+', '', 'g')[1:40]) ELSE sha1(canonical) END AS key FROM once),
 ranks AS (SELECT r.query_id, key, engine, site, min(pos) AS pos FROM results r JOIN keyed USING (query_id, canonical) GROUP BY ALL),
 engines AS (SELECT query_id, key, engine, min(pos) AS pos FROM ranks GROUP BY ALL),
 scored AS (SELECT query_id, key, round(sum(1.0::DOUBLE / (60 + pos)), 8) AS score, count(*) AS engines FROM engines GROUP BY ALL),
 sites AS (SELECT query_id, key, count(DISTINCT site) AS sites FROM ranks GROUP BY ALL),
-named AS (SELECT query_id, key, arg_max(title, (length(snippet), canonical)) AS title FROM keyed GROUP BY ALL)
-SELECT query_id, key, title, engines, sites, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, key) AS rank FROM named JOIN scored USING (query_id, key) JOIN sites USING (query_id, key)""")
+named AS (SELECT query_id, key, arg_max(title, (length(snippet), canonical)) AS title FROM keyed GROUP BY ALL),
+folded AS (SELECT query_id, key, title, engines, sites, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, key) AS rank FROM named JOIN scored USING (query_id, key) JOIN sites USING (query_id, key))"""
+
+
+@query(f"WITH {_FOLD} SELECT * FROM folded")
 def title_fold_rrf(spark, sf_dir):
     return E.fold(_results(spark, sf_dir)).select("query_id", "key", "title", "engines", "sites", "score", "rank")
 
 
+@query(f"""{_BASE}, {_BEST}, {_FOLD},
+lists AS (SELECT query_id, 'local' AS origin, CAST(item_id AS VARCHAR) AS key, rank FROM keyword UNION ALL SELECT query_id, 'web', key, rank FROM folded)
+SELECT query_id, origin, key, rank, count(*) OVER (PARTITION BY query_id, origin) AS listed FROM lists WHERE rank <= 10""")
+def unified_list(spark, sf_dir):
+    """What the library has on a query beside what the web has, ten of each."""
+    local = retrieval.best_chunks(_bm25(spark, sf_dir)).select("query_id", F.lit("local").alias("origin"), F.col("item_id").cast("string").alias("key"), "rank")
+    outside = E.fold(_results(spark, sf_dir)).select("query_id", F.lit("web").alias("origin"), "key", "rank")
+    few = local.unionByName(outside).where("rank <= 10")
+    return few.join(few.groupBy("query_id", "origin").agg(F.count(F.lit(1)).alias("listed")), ["query_id", "origin"])
+
+
 _CLUSTERS = """clusters AS (
   SELECT page_id AS item_id, page_id % 20 AS query_id, ['official', 'academic', 'mainstream', 'community', 'unknown', 'low'][page_id % 6 + 1] AS tier, 1 + page_id % 4 AS sites, page_id % 5 AS n_flags,
     page_id % 7 = 0 AS ai_suspect, page_id * 13 % 2000 AS age_days, page_id % 31 = 0 AS blocked, 1.0::DOUBLE / (60 + page_id % 17) AS relevance FROM pages),

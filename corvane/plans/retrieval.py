@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import folded, snippet, tokens
+from corvane.functions.text import highlight_terms as marked_terms
 from corvane.operators import retrieval as R
 from corvane.operators.query_language import parse
 from corvane.plans import views as V
@@ -222,12 +223,22 @@ def highlight_snippet(spark, sf_dir):
     return c.select("chunk_id", snippet(F.col("text"), F.lit("tion")).alias("snippet"))
 
 
+@query(f"""WITH cut AS (SELECT item_id AS query_id, {V.TOKENS.format('text')} AS t FROM benchmark)
+SELECT query_id, array_to_string(CASE WHEN t[1] = t[3] THEN [t[1]] ELSE [t[1], t[3]] END, ',') AS marked FROM cut WHERE len(t) >= 4 AND t[2] <> t[1]""")
+def highlight_terms(spark, sf_dir):
+    """Of each benchmark text's first four tokens as a query, the second and fourth of them excluded, what is marked."""
+    t = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(tokens(F.col("text")), 1, 4).alias("t")).where(F.size("t") == 4)
+    asked = t.where(F.get("t", F.lit(1)) != F.get("t", F.lit(0))).select("query_id", F.concat(F.lit('"'), F.get("t", F.lit(0)), F.lit('" -'), F.get("t", F.lit(1)), F.lit("  "), F.get("t", F.lit(2)), F.lit(" -"), F.get("t", F.lit(3))).alias("query"))
+    return asked.select("query_id", F.array_join(marked_terms(F.col("query")), ",").alias("marked"))
+
+
 @query(f"""WITH {OPENS}, docs AS (SELECT doc_id AS item_id, source FROM documents)
 SELECT item_id, source, coalesce(opens, 0) AS opens, last_opened_at, round(CASE WHEN max(opens) OVER (PARTITION BY source) > 1 THEN ln(1 + coalesce(opens, 0)) / ln(1 + max(opens) OVER (PARTITION BY source)) ELSE 0 END, 6) AS popularity FROM docs LEFT JOIN opens USING (item_id)""")
 def popularity_norm(spark, sf_dir):
-    w = Window.partitionBy("source")
     d = V.items(spark, sf_dir).select("item_id", "source").join(V.opens(spark, sf_dir), "item_id", "left").withColumn("opens", F.coalesce("opens", F.lit(0)))
-    return d.withColumn("popularity", F.round(F.when(F.max("opens").over(w) > 1, F.log1p("opens") / F.log1p(F.max("opens").over(w))).otherwise(0.0), 6))
+    most = d.groupBy(F.col("source").alias("_s")).agg(F.max("opens").alias("most"))
+    joined = d.join(most, F.col("source").eqNullSafe(F.col("_s")))
+    return joined.select("item_id", "source", "opens", "last_opened_at", F.round(F.when(F.col("most") > 1, F.log1p("opens") / F.log1p("most")).otherwise(0.0), 6).alias("popularity"))
 
 
 @query("""SELECT event_type AS term, event_id % (SELECT count(*) FROM documents) AS item_id, count(*) AS n, max(ts) AS at FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2""")
