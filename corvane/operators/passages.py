@@ -223,6 +223,49 @@ def entities(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.explode(found).alias("e")).groupBy("id", "e.kind", "e.name").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: How names of organisations end, characters that are in none, and how none begins.
+ORGANISATION_ENDS = ["有限公司", "股份公司", "科技公司", "公司", "集团", "大学", "学院", "中学", "小学", "医院", "银行", "研究院", "研究所", "实验室", "工作室", "事务所", "协会", "基金会", "委员会", "中心"]
+ORGANISATION_STOPS = "的地得在和与及或是了也就都很不我你他她它这那有为以对从向被把等着过上下里外前后中间时候因为所以但是而且如果虽然然后并且以及由于关于请按照可能需要仅靠要让各种大型一个两个三个多个若干，。、；：！？（）【】「」《》\"'“”‘’ \t\n\r0123456789"
+NO_BEGINNINGS = ("和", "与", "及", "或", "等", "为", "把", "让", "使", "有", "无", "各", "该", "其")
+_NAME_REACH, _LEAST_NAME, _MOST_NAME = 10, 3, 16
+
+
+def _organisations(text: str, ends: re.Pattern, stops: frozenset, name: re.Pattern) -> list[tuple[str, int]]:
+    """Names in a text with how often they occur: from an ending back to a stop; names that a longer one contains count for it."""
+    counts: dict[str, int] = {}
+    for m in ends.finditer(text):
+        at = m.start()
+        while at > 0 and m.start() - at < _NAME_REACH and text[at - 1] not in stops and name.match(text[at - 1]):
+            at -= 1
+        found = text[at : m.end()]
+        if _LEAST_NAME <= len(found) <= _MOST_NAME and at < m.start() and not found.startswith(NO_BEGINNINGS):
+            counts[found] = counts.get(found, 0) + 1
+    names = sorted(counts, key=len, reverse=True)  # of equal length the first in the text comes first
+    joined, borders = "\n".join(names), np.cumsum([0, *(len(n) + 1 for n in names)])
+    out: dict[str, int] = {}
+    for short in names:
+        owner = names[int(np.searchsorted(borders, joined.find(short), side="right")) - 1]
+        out[owner] = out.get(owner, 0) + counts[short]
+    return list(out.items())
+
+
+def organisations(docs: DataFrame, ends: list[str] | None = None, stops: str = ORGANISATION_STOPS) -> DataFrame:
+    """(id, name, n): organisations that texts (id, text) name, by how their names end.
+
+    A name goes back from its ending over Han characters, letters and digits up to a character that is in no name, ten at the most, so
+    that it doesn't begin in the middle of a sentence. Whole texts are read; null ones name nothing.
+    """
+    tail, other, name = re.compile("|".join(map(re.escape, ORGANISATION_ENDS if ends is None else ends))), frozenset(stops), re.compile("[一-龥A-Za-z0-9]")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, n, c) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True) for n, c in _organisations(t or "", tail, other, name)]
+            ids, names, counts = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["id", "name", "n"])
+
+    return docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(find, "id long, name string, n long")
+
+
 _SENTENCE_ENDS = re.compile(r"[。！？；\n]+|[.!?;]+\s")
 _HAN, _LATIN = re.compile("[一-鿿]"), re.compile("[a-z]{2,}")
 _STYLE = ["sentences", "total", "squares", "n_words", "n_distinct", "chars", "cliches", "han", "functional"]

@@ -167,6 +167,17 @@ def ai_style_stats(spark, sf_dir):
     return passages.style(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("id", "doc_id")
 
 
+@query("""WITH cut AS (SELECT doc_id, string_split(text, 'tion') AS l FROM documents), places AS (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM cut),
+found AS (SELECT doc_id, i, regexp_extract(array_to_string(l[greatest(1, i - 10):i], 'tion')[-10:], '[A-Za-z0-9]*$') AS front FROM places),
+named AS (SELECT doc_id, regexp_extract(front, '[^aeiou0-9]*$') || 'tion' AS name, min(i) AS first, count(*) AS c FROM found WHERE regexp_extract(front, '[^aeiou0-9]*$') <> '' GROUP BY 1, 2),
+kept AS (SELECT * FROM named WHERE length(name) BETWEEN 3 AND 16),
+owned AS (SELECT s.doc_id, s.c, arg_min(o.name, (-length(o.name), o.first)) AS owner FROM kept s JOIN kept o ON o.doc_id = s.doc_id AND contains(o.name, s.name) GROUP BY s.doc_id, s.name, s.c)
+SELECT doc_id AS id, owner AS name, sum(c)::BIGINT AS n FROM owned GROUP BY doc_id, owner""")
+def organisation_names(spark, sf_dir):
+    """The texts have no Chinese, so words that end in "tion" stand for names, which small vowels and digits end."""
+    return passages.organisations(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), ["tion"], "aeiou0123456789")
+
+
 _FILES = [".env", "Credentials.json", "id_rsa.pub", "Web Data", ".npmrc", "server.pem", "office.ovpn", ".env.local", ".envrc", "my_passwords.txt", "api-key.yaml", "access_token", "private_key_old.bak", "密码本.docx", "notes.md", "tokenizer.py", "keyboard.txt", "pem"]
 
 

@@ -98,3 +98,13 @@ def test_style_reaches_four_votes(spark):
     got = {r.id: r for r in passages.style(spark.createDataFrame(rows, "id long, text string")).collect()}
     assert got[1].votes == 4 and got[1].score == 0.9 and got[1].function_ratio > 0.3
     assert got[4].votes == 2 and got[4].repeat_ratio > 0.62 and got[4].function_ratio == 0 and got.keys() == {1, 4}
+
+
+def test_organisations_by_their_endings(spark):
+    text = "王伟和李娜在北京的字节跳动公司工作，字节跳动公司与清华大学附属医院合作。请联系该研究所、检测/银行、AB3科技公司；在实验室的公司。字节跳动公司很大，大学。"
+    rows = [(1, text), (2, None), (3, ""), (4, "某某集团某某集团，某某集团"), (5, "东方集团研究院与东方集团及东方集团研究院")]
+    got = {(r.id, r.name): r.n for r in passages.organisations(spark.createDataFrame(rows, "id long, text string")).collect()}
+    # a digit and some characters are in no name, so one may begin in the middle
+    assert {k[1]: n for k, n in got.items() if k[0] == 1} == {"字节跳动公司": 3, "联系该研究所": 1, "学附属医院": 1, "清华大学": 1}
+    assert {k[1]: n for k, n in got.items() if k[0] == 4} == {"某某集团某某集团": 3}  # longer names take those that they contain
+    assert {k[1]: n for k, n in got.items() if k[0] == 5} == {"东方集团研究院": 5} and {k[0] for k in got} == {1, 4, 5}
