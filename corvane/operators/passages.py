@@ -147,13 +147,13 @@ def numbers(text: Column, limit: int = 40) -> Column:
 
 
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-#: How a day, a month or a year is written, in the order in which they count; a part of a longer date is none of its own.
+#: How a day, a month or a year is written, in the order in which they count, with blanks around separators; a part of a longer date is none of its own. Years of both centuries count.
 DATE_PATTERNS = [
-    ("ymd", r"(?<!\d)((?:19|20)\d{2})[-/.年](0?[1-9]|1[0-2])[-/.月](0?[1-9]|[12]\d|3[01])(?!\d)"),
-    ("ym", r"(?<!\d)((?:19|20)\d{2})[-/年](0?[1-9]|1[0-2])(?![-/.月\d])"),
+    ("ymd", r"(?<!\d)((?:19|20)\d{2})\s*[-/.年]\s*(0?[1-9]|1[0-2])\s*[-/.月]\s*(0?[1-9]|[12]\d|3[01])(?!\d)"),
+    ("ym", r"(?<!\d)((?:19|20)\d{2})\s*[-/年]\s*(0?[1-9]|1[0-2])(?!\s*[-/.月]\s*\d|\d)"),
     ("dmy", r"(?<![\d/-])(0?[1-9]|[12]\d|3[01])[/-](0?[1-9]|1[0-2])[/-]((?:19|20)\d{2})(?!\d)"),
     ("mdy", r"(?i)\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+(\d{1,2}),?\s+((?:19|20)\d{2})\b"),
-    ("y", r"(?<![\d/.,-])(?<!\d,\s)(?<!\d\s)((?:19|20)\d{2})(?![-/.年,\d])"),
+    ("y", r"(?<![\d/.,-])(?<!\d,\s)(?<!\d\s)((?:19|20)\d{2})(?![-/.年,\d]|\s+[-/.年]\s*\d)"),
 ]
 
 

@@ -360,7 +360,8 @@ _VOCAB = f"""{CHUNKS}, {POSTINGS}, vocab AS (SELECT term, sum(tf)::BIGINT AS cnt
 asked AS (SELECT item_id AS query_id, unnest({TOKENS.format('text')}[1:3]) AS t, generate_subscripts({TOKENS.format('text')}[1:3], 1) AS nth FROM benchmark),
 typed AS (SELECT query_id, nth, CASE WHEN nth <> 1 + query_id % 3 THEN t ELSE CASE query_id % 4 WHEN 0 THEN t[1:length(t) - 1] WHEN 1 THEN 'q' || t[2:length(t) - 1] || 'z' WHEN 2 THEN t[1:1] || 'x' || t[2:] ELSE t[2:] || t[1:1] END END AS term FROM asked),
 unknown AS (SELECT DISTINCT term, CASE WHEN length(term) <= 3 THEN 1 ELSE 2 END AS most FROM typed WHERE length(term) BETWEEN 2 AND 12 AND term NOT IN (SELECT term FROM vocab)),
-near AS (SELECT u.term, v.term AS suggestion, levenshtein(u.term, v.term) AS distance, cnt FROM unknown u JOIN vocab v ON abs(length(u.term) - length(v.term)) <= most AND levenshtein(u.term, v.term) <= most),
+plain AS (SELECT term, cnt, translate(term, 'ßœæøłđðþıħ', 'SOEUABCDFH') AS bytes FROM vocab),
+near AS (SELECT u.term, v.term AS suggestion, levenshtein(translate(u.term, 'ßœæøłđðþıħ', 'SOEUABCDFH'), bytes) AS distance, cnt FROM unknown u JOIN plain v ON abs(length(u.term) - length(v.term)) <= most AND levenshtein(translate(u.term, 'ßœæøłđðþıħ', 'SOEUABCDFH'), bytes) <= most),
 meant AS (SELECT term, suggestion, distance, cnt FROM near QUALIFY row_number() OVER (PARTITION BY term ORDER BY cnt DESC, distance, suggestion) = 1)"""
 
 

@@ -66,22 +66,25 @@ def running_clusters(points: DataFrame, least_cosine: float = 0.45) -> DataFrame
     """
 
     def assign(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sums, counts = ([list(map(float, s)) for s in state.get[0]], list(state.get[1])) if state.exists else ([], [])
-        rows = []
+        sums = np.array(state.get[0], dtype=float) if state.exists else np.zeros((0, 0))
+        counts, n, rows = list(state.get[1]) if state.exists else [], len(sums), []
+        norms = np.linalg.norm(sums, axis=1) if n else np.zeros(0)
         for f in frames:
             for i, v in sorted(zip(f["id"], f["vector"], strict=True), key=lambda x: x[0]):
                 v = np.asarray(v, float) / max(1e-12, float(np.linalg.norm(v)))
-                near = [float(np.dot(v, s)) / max(1e-12, float(np.linalg.norm(s))) for s in sums]
-                best = int(np.argmax(near)) if near else -1
+                near = (sums[:n] @ v) / np.maximum(norms[:n], 1e-12) if n else np.zeros(0)  # all centroids at once
+                best = int(np.argmax(near)) if n else -1
                 if best < 0 or near[best] < least_cosine:
-                    sums.append(v.tolist())
-                    counts.append(1)
-                    best = len(sums) - 1
-                else:
-                    sums[best] = (np.asarray(sums[best]) + v).tolist()
-                    counts[best] += 1
+                    if n == len(sums):  # room for as many again
+                        sums = np.concatenate([sums.reshape(n, len(v)), np.zeros((max(8, n), len(v)))])
+                        norms = np.concatenate([norms, np.zeros(max(8, n))])
+                    best, n = n, n + 1
+                    counts.append(0)
+                sums[best] += v
+                norms[best] = np.linalg.norm(sums[best])
+                counts[best] += 1
                 rows.append((key[0], i, best))
-        state.update((sums, counts))
+        state.update((sums[:n].tolist(), counts))
         yield pd.DataFrame(rows, columns=["space", "id", "cluster"])
 
     return points.groupBy("space").applyInPandasWithState(assign, "space long, id long, cluster long", "sums array<array<double>>, counts array<long>", "append", GroupStateTimeout.NoTimeout)

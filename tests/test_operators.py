@@ -76,6 +76,8 @@ def test_numbers_and_dates(spark):
     assert [(str(r.day), r.precision) for r in got] == [("2024-02-28", "day"), ("2021-03-05", "day"), ("2023-07-01", "month")]
     got = one(spark, passages.dates(F.col("t")), t="5/11/2022, March 7, 2021, Sept. 31 2020, in 2019 and 13/13/2018")
     assert [(str(r.day), r.precision) for r in got] == [("2022-11-05", "day"), ("2021-03-07", "day"), ("2020-09-28", "day"), ("2019-01-01", "year")]
+    got = one(spark, passages.dates(F.col("t")), t="2024 年 3 月 9 日; 2023 / 11 ; 2022年7月; 2021 - 02 - 03 and 1999 . 12 . 1; since 2020 年")
+    assert [(str(r.day), r.precision) for r in got] == [("2024-03-09", "day"), ("2021-02-03", "day"), ("1999-12-01", "day"), ("2023-11-01", "month"), ("2022-07-01", "month"), ("2020-01-01", "year")]
     got = one(spark, passages.numbers(F.col("t")), t="百分之二十三，百分之一百零五，百分之十，百分之百，百分之零，3%")
     assert [(r.value, r.percent) for r in got] == [(3.0, True), (23.0, True), (105.0, True), (10.0, True), (100.0, True)]
 
@@ -191,6 +193,29 @@ def test_running_clusters_over_batches(spark, tmp_path):
     assert got[1] == got[3] and got[1] != got[2] and got[4] == 0
 
 
+def test_running_clusters_are_a_fold_in_order(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    schema = "space long, id long, vector array<double>"
+    vectors = rng.standard_normal((120, 6))
+    for n in range(3):
+        spark.createDataFrame([(i % 2, i, vectors[i].tolist()) for i in range(40 * n, 40 * n + 40)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{n}")
+    points = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {r.id: r.cluster for r in streams.settle(streams.running_clusters(points, 0.6), "folded", "append").collect()}
+    wanted, sums = {}, {0: [], 1: []}
+    for i, v in enumerate(vectors):
+        v, own = v / np.linalg.norm(v), sums[i % 2]
+        near = [v @ s / np.linalg.norm(s) for s in own]
+        if near and max(near) >= 0.6:
+            wanted[i] = int(np.argmax(near))
+            own[wanted[i]] = own[wanted[i]] + v
+        else:
+            wanted[i] = len(own)
+            own.append(v)
+    assert got == wanted and max(wanted.values()) > 10
+
+
 def zipped(**parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
