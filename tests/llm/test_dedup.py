@@ -371,7 +371,7 @@ def covered_by_repeats(texts, window):
     data = [(t or "").encode() for t in texts]
     flat = np.frombuffer(b"".join(data), np.uint8)
     borders = np.r_[0, np.cumsum([len(b) for b in data])]
-    step, odd = 1 << 20, 0x9E3779B97F4A7C15
+    step, odd = 1 << 20, 0xD6E8FEB86659FD93
     up = np.cumprod(np.r_[np.uint64(1), np.full(step + window, odd, np.uint64)], dtype=np.uint64)
     down = np.cumprod(np.r_[np.uint64(1), np.full(step + window, pow(odd, -1, 1 << 64), np.uint64)], dtype=np.uint64)
     h = np.empty(max(0, len(flat) - window + 1), np.uint64)
@@ -458,3 +458,24 @@ def test_parameters_without_room_are_errors(spark):
     rows = spark.createDataFrame([(1, [1.0] * 4), (2, [1.0] * 4)], "rep long, unit array<double>")
     with pytest.raises(ValueError, match="tables"):
         embedding_dedup.links(rows, 10**9, 0.9)
+
+
+def test_columns_with_names_used_inside_change_nothing(spark):
+    """Extra columns may have any name, and rows with one id and different texts are documents of their own."""
+    texts = hostile(7, 40) + ["a line that is long enough, and in many documents\nown " + str(i) for i in range(9)]
+    ids = [i % 30 for i in range(len(texts))]
+    plain = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    inside = ["_d", "_t", "_u", "_n", "_b", "h", "g", "s", "p", "n", "pos", "part", "side", "keep", "gone", "holder", "fp", "wide", "rep", "node", "component", "least", "key", "entries"]
+    clashing = plain.select("*", *[F.lit("x").alias(c) for c in inside])
+    for digests in (line_dedup.line_digests, substring_dedup.substring_digests, suffix_dedup.suffix_digests, lambda d: simhash.near_duplicates(d).drop("wide")):
+        assert sorted(map(str, digests(clashing).collect())) == sorted(map(str, digests(plain).collect()))
+
+
+def test_lines_of_one_id_with_several_texts(spark):
+    """Ties over equal ids: documents are counted by id, and each row of the largest id keeps its lines."""
+    line = "a line of at least forty characters that documents share"
+    rows = [(i, f"{line}\nown {i}") for i in range(6)] + [(5, f"other\n{line}"), (5, f"{line}\nown 5"), (3, f"{line} \n\t{line}")]
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.line_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(i, 2, 1) for i in range(5)] + [(5, 2, 0)] * 3 + [(3, 2, 2)])
+    few = [(i % 4, f"{line}\n{i}") for i in range(9)]  # four ids are too few, whatever their rows
+    assert {r.n_dropped for r in line_dedup.line_digests(spark.createDataFrame(few, "doc_id long, text string")).collect()} == {0}
