@@ -5,11 +5,11 @@ bytes, with a mark at either end, hashed into ``BUCKETS``); a document is the me
 words, weighted by 1 + ln of how often each occurs and with ``NEUTRAL`` words of zero added, so
 that neither endless repeats nor very short texts stand out; and a softmax over two classes tells
 toxic from not. Embeddings and softmax are trained together
-in numpy, on the driver, on a bounded sample of labelled rows: ``toxic_docs`` and ``other_docs``
+in numpy, in one task, on a bounded sample of labelled rows: ``toxic_docs`` and ``other_docs``
 rows in the order of a hash of their ids, of which whole documents are taken in that order as
 long as they have at most ``max_entries`` (n-gram, weight) entries of 6 bytes in all; one that
-would go beyond is left out. Spark writes the sample's entries to a table, and the driver reads
-that piece by piece into two flat arrays. The share of toxic rows among all labels corrects the
+would go beyond is left out. Spark writes the sample's entries to a table, and one task reads
+that batch by batch into two flat arrays and trains; the driver gets the model alone. The share of toxic rows among all labels corrects the
 bias for the sample's. Unseen misspellings and inflections share n-grams with what was seen.
 
 Averaging and softmax are linear in the words, so a trained model is one number a bucket, and
@@ -179,29 +179,41 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, other_
     found = docs.select(F.col("doc_id").cast("long"), F.struct(F.xxhash64(text).alias("h"), text.alias("text")).alias("one")).join(sample, F.col("doc_id") == F.col("_l"))
     rows = found.groupBy("doc_id", "toxic").agg(F.min("one")["text"].alias("text")).repartition(SAMPLE_PARTS, "doc_id")
     table = Table(rows.mapInArrow(_features, "doc_id long, toxic int, entries long, ids binary, weights binary"), "toxicity_sample")
-    ids, weights, first, toxic = _collected(table.df, max_entries)
-    table.drop()
-    if len(toxic) == 0 or toxic.min() == toxic.max():
+    taken = _taken(table.df, max_entries)
+    if len({t for _, t, _ in taken}) < 2:
+        table.drop()
         return np.zeros(BUCKETS), -np.inf
-    return train(ids, weights, first, toxic, counts[1] / (counts[0] + counts[1]))
+    model = table.df.select("doc_id", "ids", "weights").coalesce(1).mapInArrow(_trained(taken, counts[1] / (counts[0] + counts[1])), "value binary, bias double").first()
+    table.drop()
+    return np.frombuffer(model.value), model.bias
 
 
-def _collected(sample: DataFrame, max_entries: int) -> tuple[np.ndarray, ...]:
-    """The sample's entries as flat arrays, in the order of doc_id: ids, weights, each document's first, classes."""
+def _taken(sample: DataFrame, max_entries: int) -> list[tuple[int, int, int]]:
+    """(doc_id, class, entries) of the sample's documents that are learned from, in the order of doc_id; as many in the order of a hash as have room."""
     taken, left = [], max_entries
     for r in sample.select("doc_id", "toxic", "entries").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").collect():
         if r.entries <= left:
-            taken.append(r)
+            taken.append((r.doc_id, r.toxic, r.entries))
             left -= r.entries
-    taken.sort(key=lambda r: r.doc_id)
-    first = np.r_[0, np.cumsum([r.entries for r in taken], dtype=np.int64)]
-    place = {r.doc_id: i for i, r in enumerate(taken)}
-    ids, weights = np.zeros(first[-1], np.int32), np.zeros(first[-1], np.float16)
-    for r in sample.select("doc_id", "ids", "weights").toLocalIterator():
-        if r.doc_id in place:
-            own = slice(first[place[r.doc_id]], first[place[r.doc_id] + 1])
-            ids[own], weights[own] = np.frombuffer(r.ids, np.int32), np.frombuffer(r.weights, np.float16)
-    return ids, weights, first, np.array([r.toxic for r in taken], dtype=np.int64)
+    return sorted(taken)
+
+
+def _trained(taken: list[tuple[int, int, int]], prior: float):
+    """Training in one task, which holds the bounded sample; the driver holds only what was learned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.r_[0, np.cumsum([n for _, _, n in taken], dtype=np.int64)]
+        place = {i: k for k, (i, _, _) in enumerate(taken)}
+        ids, weights = np.zeros(first[-1], np.int32), np.zeros(first[-1], np.float16)
+        for batch in batches:
+            for i, own_ids, own_weights in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("weights"), strict=True):
+                if i in place:
+                    own = slice(first[place[i]], first[place[i] + 1])
+                    ids[own], weights[own] = np.frombuffer(own_ids.as_buffer(), np.int32), np.frombuffer(own_weights.as_buffer(), np.float16)
+        value, bias = train(ids, weights, first, np.array([t for _, t, _ in taken], dtype=np.int64), prior)
+        yield pa.RecordBatch.from_arrays([pa.array([value.tobytes()], pa.binary()), pa.array([bias])], ["value", "bias"])
+
+    return run
 
 
 def log_odds(data: np.ndarray, borders: np.ndarray, value: np.ndarray, bias: float) -> np.ndarray:
