@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import sentences, tokens
+from corvane.tables import spread
 
 TARGET, HARD, OVERLAP, TINY = 300, 480, 45, 40
 
@@ -95,8 +96,9 @@ def interleaved(first: DataFrame, second: DataFrame, take: int = 12) -> DataFram
 
 def _text_ranks(words: list[str], window: int, rounds: int, damping: float) -> list[tuple[str, float]]:
     """Terms of one text with their TextRank weight, heaviest first."""
-    terms, at = np.unique(np.array(words, dtype=object).astype(str), return_inverse=True) if words else (np.array([]), np.zeros(0, int))
-    n = len(terms)
+    number: dict[str, int] = {}
+    at = np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64)
+    terms, n = list(number), len(number)
     a, b = (np.concatenate([x[:-d] if first else x[d:] for d in range(1, window + 1) for x in [at]] or [at]) for first in (True, False))
     a, b = a[a != b], b[a != b]
     if not len(a):
@@ -108,7 +110,7 @@ def _text_ranks(words: list[str], window: int, rounds: int, damping: float) -> l
     for _ in range(rounds):
         weight = 1 - damping + damping * np.bincount(dst, share * weight[src], minlength=n)
     linked = np.flatnonzero(np.bincount(dst, minlength=n))
-    return sorted(((str(terms[i]), float(np.round(weight[i], 6))) for i in linked), key=lambda x: (-x[1], x[0]))
+    return sorted(((terms[i], float(np.round(weight[i], 6))) for i in linked), key=lambda x: (-x[1], x[0]))
 
 
 def keyword_ranks(docs: DataFrame, take: int = 12, window: int = 4, rounds: int = 10, damping: float = 0.85) -> DataFrame:
@@ -129,7 +131,7 @@ def keyword_ranks(docs: DataFrame, take: int = 12, window: int = 4, rounds: int
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(weights, pa.float64()), pa.array(ranks, pa.int64())], ["id", "term", "weight", "rank"])
 
     words = F.filter(tokens(F.col("text")), lambda t: F.length(t) >= 2)
-    return docs.select(F.col("id").cast("long").alias("id"), words.alias("words")).mapInArrow(rank, "id long, term string, weight double, rank long")
+    return spread(docs.select("id", "text")).select(F.col("id").cast("long").alias("id"), words.alias("words")).mapInArrow(rank, "id long, term string, weight double, rank long")
 
 
 def numbers(text: Column, limit: int = 40) -> Column:

@@ -5,17 +5,20 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import html_escaped
 from corvane.operators.evidence import stances
+from corvane.tables import spread, written
 
 #: What is taken off the ends of a question, and engines by the language that they are good at.
 QUESTION_HEAD = r"^(请问|想问一下|谁能告诉我|有没有人知道|我想知道|帮我查一下|帮我搜一下|如何|怎么|怎样|为什么|为啥|是什么|什么是|哪个|哪些|多少|能不能|可不可以)"
@@ -223,32 +226,47 @@ def federated(spark: SparkSession, libraries: dict[str, str], read: Callable[[Da
     return (reduce(DataFrame.unionByName, parts) if parts else None), failed
 
 
-#: So many words or beginnings of a batch of queries are looked for as a list.
-MOST_ASKED = 1000
+#: So many queries of a batch go to the tasks at once; more are more passes over the texts.
+ASKED_AT_ONCE = 1000
+_WORD = re.compile(r"[^\W_]+")
+
+
+def _scan(asked: list[tuple[int, str, tuple]]):
+    """Scores of texts for queries (query_id, query, words): how often all its words stand there, or -1000 where only the query does as a substring."""
+    wanted = {w for _, _, words in asked for w in words}
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for library, i, text in zip(*(batch.column(c).to_pylist() for c in ("library_id", "id", "text")), strict=True):
+                held = Counter(w for w in _WORD.findall(text or "") if w in wanted)
+                for query, whole, words in asked:
+                    if words and all(w in held for w in words):
+                        rows.append((query, library, i, sum(held[w] for w in words)))
+                    elif len(whole) >= 3 and text and whole in text:
+                        rows.append((query, library, i, -1000))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["query_id", "library_id", "id", "score"])
+
+    return scan
 
 
 def federated_hits(rows: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """(query_id, library_id, id, score, rank) by how often a text holds the query's words; a mere substring ranks below all, by 1000.
 
-    Words meet on equal terms; a text that only has the whole query as a substring meets on the query's first three
-    characters. Of a text only what is asked for is taken: words and beginnings of queries go to the tasks as lists if
-    there are no more than MOST_ASKED.
+    Libraries have no index of ours, so each text is read once for ASKED_AT_ONCE queries (query_id, query, terms), and only hits are shuffled; of
+    several passes each one's first hits are written before the next.
     """
-    low = rows.select("library_id", "id", F.lower("text").alias("text"))
-    wanted = [r.term for r in queries.select(F.explode("terms").alias("term")).distinct().limit(MOST_ASKED + 1).collect()]
-    every_word = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    asked_words = F.filter(every_word, lambda w: w.isin(wanted)) if len(wanted) <= MOST_ASKED else every_word
-    words = low.select("library_id", "id", F.explode(asked_words).alias("term")).groupBy("library_id", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
-    need = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("k"))
-    whole = words.join(asked, "term").groupBy("query_id", "library_id", "id").agg(F.sum("tf").alias("score"), F.count(F.lit(1)).alias("n")).join(need, "query_id").where("n = k").select("query_id", "library_id", "id", "score")
-    starts = [r.gram for r in queries.where(F.length("query") >= 3).select(F.substring(F.lower("query"), 1, 3).alias("gram")).distinct().limit(MOST_ASKED + 1).collect()]
-    start = "|".join(re.escape(g) for g in sorted(starts)) if starts and len(starts) <= MOST_ASKED else "..."
-    grams = low.select("*", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=({start}))"), F.lit(1)))).alias("gram"))
-    part = grams.join(queries.where(F.length("query") >= 3).select("query_id", F.lower("query").alias("q"), F.substring(F.lower("query"), 1, 3).alias("gram")), "gram").where(F.contains("text", F.col("q")))
-    part = part.select("query_id", "library_id", "id").join(whole, ["query_id", "library_id", "id"], "left_anti").withColumn("score", F.lit(-1000).cast("long"))
-    every = whole.unionByName(part)
-    return every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "library_id", "id")).cast("long")).where(F.col("rank") <= limit)
+    low = spread(rows).select("library_id", "id", F.lower("text").alias("text"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.lower("query").alias("q"), F.array_distinct("terms").alias("terms"))
+    passes = max(1, -(-asked.count() // ASKED_AT_ONCE))
+    parts = []
+    for n in range(passes):
+        own = [(r.query_id, r.q or "", tuple(r.terms or ())) for r in asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n).collect()]
+        hits = low.mapInArrow(_scan(own), "query_id long, library_id string, id string, score long")
+        ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "library_id", "id")).cast("long")).where(F.col("rank") <= limit)
+        parts.append(ranked if passes == 1 else written(ranked, "federated"))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def verify_sources(recorded: DataFrame, found: DataFrame) -> DataFrame:

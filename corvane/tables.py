@@ -52,3 +52,9 @@ class Table:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back."""
     return Table(df, name).df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where it comes from fewer files than there are; what is read from many files stays where it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
