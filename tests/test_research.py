@@ -154,3 +154,35 @@ def test_keywords_are_taken_in_turn(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (1, "z", 3)], "id long, term string, rank long")
     b = spark.createDataFrame([(1, "y", 1), (1, "w", 2)], "id long, term string, rank long")
     assert [r.term for r in passages.interleaved(a, b, 4).orderBy("rank").collect()] == ["x", "y", "w", "z"]
+
+
+def test_near_pairs_send_no_flips_through_the_driver(spark):
+    """An explode makes far more rows than its plan's estimate, so what holds all flipped values isn't broadcast; items of one hot value are all compared."""
+    rows = [(i, (7 << 48) | (i << 16) | (i % 3)) for i in range(300)]
+    found = graph.near_pairs(spark.createDataFrame(rows, "item_id long, hash long"))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin [band" not in plan and "BroadcastHashJoin [value" not in plan
+    wanted = {(i, j, (a ^ b).bit_count()) for i, a in rows for j, b in rows if i < j and (a ^ b).bit_count() <= 10}
+    assert {tuple(r) for r in found.collect()} == wanted and found.count() == len(wanted)
+
+
+def test_frame_runs_of_every_length(spark):
+    """Runs against a plain walk along the diagonals, longer than the stretch that is compared where videos meet; a frame that is missing ends a run. No pair is shuffled."""
+    rng = np.random.default_rng(5)
+    base = [str(x) for x in rng.integers(0, 3, 40)]
+    videos = {1: base, 2: base[:15] + ["q"] + base[15:], 3: [str(x) for x in rng.integers(0, 3, 40)], 4: base[5:30]}
+    frames = [(v, i, x) for v, looks in videos.items() for i, x in enumerate(looks) if (v, i) not in {(2, 20), (3, 7)}]
+    look = {(v, i): x for v, i, x in frames}
+    wanted = set()
+    for (a, i), x in look.items():
+        for b, j in [(b, j) for b, j in look if b > a and look[b, j] == x]:
+            if look.get((a, i - 1)) is not None and look.get((a, i - 1)) == look.get((b, j - 1)):
+                continue
+            n = 0
+            while look.get((a, i + n)) is not None and look.get((a, i + n)) == look.get((b, j + n)):
+                n += 1
+            if n >= 2:
+                wanted.add((a, b, i - j, i, i + n - 1, n))
+    runs = library.frame_runs(spark.createDataFrame(frames, "video long, i long, look string"))
+    assert sorted(map(tuple, runs.collect())) == sorted(wanted) and max(n for *_, n in wanted) > 12
+    assert "Aggregate" not in runs._jdf.queryExecution().sparkPlan().toString()
