@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,17 +115,34 @@ def pack_islands(pairs: DataFrame, least: int = 2) -> DataFrame:
     return runs.where(F.col("n") >= least).select("a", "b", "shift", "start", "end", "n")
 
 
+#: Frames of a run that are compared where two videos meet; only longer runs are put together from their two ends.
+_GRAM = 6
+
+
 def frame_runs(frames: DataFrame) -> DataFrame:
     """(a, b, shift, start, end, n): runs of two frames or more in which two videos look alike, of frames (video, i, look).
 
     A run holds two alike frames one after the other, so videos meet on the looks of neighbouring
-    frames and not on single looks, which a great many frames have.
+    frames and not on single looks, which a great many frames have. Frames carry the looks around them, so a run is told at its first
+    pair and no pair is shuffled; a run of ``_GRAM`` frames or more gives a row at either end, by joins on so many looks.
     """
-    nexts = frames.select("video", "i", "look", F.lead("look").over(Window.partitionBy("video").orderBy("i")).alias("then")).where("then is not null")
-    x, y = nexts.alias("x"), nexts.alias("y")
-    met = x.join(y, (F.col("x.look") == F.col("y.look")) & (F.col("x.then") == F.col("y.then")) & (F.col("x.video") < F.col("y.video")))
-    steps = met.select(F.col("x.video").alias("a"), F.col("y.video").alias("b"), F.col("x.i").alias("i"), F.col("y.i").alias("j"), F.explode(F.array(F.lit(0), F.lit(1))).alias("d"))
-    return pack_islands(steps.select("a", "b", (F.col("i") + F.col("d")).alias("i"), (F.col("j") + F.col("d")).alias("j")).distinct())
+    w = Window.partitionBy("video").orderBy("i")
+    at = lambda d: F.when(F.lead("i", d).over(w) == F.col("i") + d, F.lead("look", d).over(w)) if d > 0 else F.when(F.lag("i", -d).over(w) == F.col("i") + d, F.lag("look", -d).over(w))
+    around = frames.select("video", "i", F.col("look").alias("l0"), at(-1).alias("before"), *[at(d).alias(f"l{d}") for d in range(1, _GRAM + 1)]).where("l0 is not null AND l1 is not null")
+    x, y = around.hint("merge").alias("x"), around.hint("merge").alias("y")
+    same = lambda c: F.coalesce(F.col(f"x.{c}") == F.col(f"y.{c}"), F.lit(False))
+    every = lambda names: reduce(lambda p, q: p & q, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in names]) & (F.col("x.video") < F.col("y.video"))
+    a, b, shift, i = F.col("x.video").alias("a"), F.col("y.video").alias("b"), (F.col("x.i") - F.col("y.i")).alias("shift"), F.col("x.i").alias("i")
+
+    n = F.lit(_GRAM)
+    for d in range(_GRAM - 1, 1, -1):
+        n = F.when(same(f"l{d}"), n).otherwise(d)
+    short = x.join(y, every(["l0", "l1"]) & ~same("before") & (n < _GRAM)).select(a, b, shift, i.alias("start"), (i + n - 1).alias("end"), n.cast("long").alias("n"))
+
+    full = x.join(y, every([f"l{d}" for d in range(_GRAM)]) & (~same("before") | ~same(f"l{_GRAM}")))
+    ends = full.select(a, b, shift, i, F.explode(F.filter(F.array(F.when(~same("before"), F.lit(0)), F.when(~same(f"l{_GRAM}"), F.lit(_GRAM - 1))), lambda e: e.isNotNull())).alias("e"))
+    paired = ends.select("a", "b", "shift", (F.col("i") + F.col("e")).alias("i"), (F.col("e") > 0).alias("last")).withColumn("start", F.lag("i").over(Window.partitionBy("a", "b", "shift").orderBy("i")))
+    return short.unionAll(paired.where("last").select("a", "b", "shift", "start", F.col("i").alias("end"), (F.col("i") - F.col("start") + 1).alias("n")))
 
 
 def engine_health(log: DataFrame, window: int = 30, reference_ms: float = 1500.0) -> DataFrame:
