@@ -212,3 +212,16 @@ def test_conflicts_with_a_few_texts(spark):
     assert sorted(map(tuple, found.collect())) == [(1, -1, 10, 2), (2, -1, 10, 2), (3, -2, 12, 1)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_mentions_are_dealt_by_the_size_of_the_table(spark, sf_dir, monkeypatch):
+    """As many parts as the table has blocks of rows, and the same pairs as with few."""
+    from corvane.plans import views
+
+    few = sorted(map(tuple, graph.cooccurrence(views.mentions(spark, sf_dir)).collect()))
+    monkeypatch.setattr(views, "MENTION_ROWS", 500)
+    n = views.mention_tasks(spark, sf_dir)
+    mentions = views.mentions(spark, sf_dir)
+    edges = graph.cooccurrence(mentions, tasks=n)
+    assert n > 10 and mentions.rdd.getNumPartitions() == edges.rdd.getNumPartitions() == n
+    assert sorted(map(tuple, edges.collect())) == few
