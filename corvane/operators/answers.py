@@ -51,10 +51,9 @@ def drop_one(items: DataFrame, filters: dict[str, Column]) -> DataFrame:
     return counts.unpivot([], list(all_but), "dropped", "n")
 
 
-def split_terms(postings: DataFrame, query_terms: DataFrame) -> DataFrame:
-    """(query_id, term, n): how many chunks each single word of a query would find."""
-    df = postings.join(query_terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return query_terms.join(df, "term", "left").select("query_id", "term", F.coalesce("n", F.lit(0)).alias("n"))
+def split_terms(known: DataFrame, query_terms: DataFrame) -> DataFrame:
+    """(query_id, term, n): how many chunks each single word of a query would find, by the known terms (term, df)."""
+    return query_terms.join(known.select("term", "df"), "term", "left").select("query_id", "term", F.coalesce("df", F.lit(0)).alias("n"))
 
 
 def questions(chunks: DataFrame, per_item: int = 2) -> DataFrame:
