@@ -18,6 +18,8 @@ from corvane.functions import web
 from corvane.tables import written
 
 MOST_LINKS = 60
+#: Rows, about, of a task that groups what a hop reaches.
+TASK_ROWS = 1_000_000
 
 #: Hosts and addresses that a page links to without citing them, and tiers in the order of their trust.
 NOISE_HOST = r"(?i)(facebook|twitter|x\.com|linkedin|pinterest|reddit\.com/submit|weibo|qzone|t\.qq|api\.addthis|sharethis|instagram|youtube\.com/channel)"
@@ -87,13 +89,20 @@ def trail(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
     """(seed, url, hop, way): every address within ``hops`` links of a seed (seed, url), at its fewest hops, by the way it was first reached ("back" before "out").
 
     A seed is at hop 0. Each round writes its frontier, so a lost executor costs one round; what is joined grows with
-    what was found and not with the graph.
+    what was found and not with the graph. What a round reaches is counted by the edges of its frontier and dealt by seed and
+    address in as many tasks as it is large, before it is grouped; with a hub it may be the square of the hub's links.
     """
+    degrees = written(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "degrees")
+    cores, visits = edges.sparkSession.sparkContext.defaultParallelism, 0
     found = [written(seeds.select("seed", "url").distinct().select("seed", "url", F.lit(0).alias("hop"), F.lit("seed").alias("way")), "trail")]
     for hop in range(1, hops + 1):
-        reached = found[-1].select("seed", F.col("url").alias("src")).join(edges.select("src", "dst", "way"), "src")
-        new = reached.groupBy("seed", F.col("dst").alias("url")).agg(F.min("way").alias("way"))
-        visited = reduce(DataFrame.unionAll, [f.select("seed", "url") for f in found])
+        before = found[-1].select("seed", F.col("url").alias("src"))
+        ahead = before.join(degrees, "src", "left").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("reached")).first()
+        visits += ahead.rows
+        tasks = max(cores, -(-(visits + (ahead.reached or 0)) // TASK_ROWS))
+        reached = before.join(edges.select("src", "dst", "way"), "src").select("seed", F.col("dst").alias("url"), "way")
+        new = reached.repartition(tasks, "seed", "url").groupBy("seed", "url").agg(F.min("way").alias("way"))
+        visited = reduce(DataFrame.unionAll, [f.select("seed", "url") for f in found]).repartition(tasks, "seed", "url")
         frontier = written(new.join(visited, ["seed", "url"], "left_anti").select("seed", "url", F.lit(hop).alias("hop"), "way"), "trail")
         found.append(frontier)
         if frontier.isEmpty():
