@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
-from corvane.operators import answers, retrieval, search_index
+from corvane.operators import answers, passages, retrieval, search_index, trail
 
 
 def _index(spark, n=60):
@@ -47,3 +47,22 @@ def test_more_terms_than_a_list_holds(spark, monkeypatch):
     index = _index(spark)
     asked = spark.createDataFrame([(1, "the"), (2, "the"), (2, "red")], "query_id long, term string")
     assert index.matched(asked).count() == 150 and index.of(asked).count() == 90
+
+
+def test_tfidf_of_some_documents_counts_all(spark):
+    counts = spark.createDataFrame([(1, "red", 1), (1, "tea", 2), (2, "tea", 1), (3, "tea", 1), (3, "sun", 4)], "id long, term string, c long")
+    docs = counts.select("id").distinct()
+    whole = {tuple(r) for r in passages.tfidf(counts, docs).collect()}
+    some = {tuple(r) for r in passages.tfidf(counts, docs, only=spark.createDataFrame([(1,), (3,), (3,)], "id long")).collect()}
+    assert some == {r for r in whole if r[0] != 2} and len(some) == 4
+
+
+def test_a_hops_tasks_follow_what_it_reaches(spark, monkeypatch):
+    monkeypatch.setattr(trail, "TASK_ROWS", 100)
+    tasks = []
+    dealt = type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, n, *by: tasks.append(n) or dealt(self, n, *by))
+    links = spark.createDataFrame([(f"p{i}", "hub") for i in range(40)], "src string, dst string")
+    found = trail.trail(trail.both_ways(links), links.select(F.col("src").alias("seed"), F.col("src").alias("url")), 2)
+    assert found.count() == 40 * 41 and found.where("hop = 2").count() == 40 * 39
+    assert max(tasks) >= 40 * 40 // 100
