@@ -100,7 +100,8 @@ def trail(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
         ahead = before.join(degrees, "src", "left").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("reached")).first()
         visits += ahead.rows
         tasks = max(cores, -(-(visits + (ahead.reached or 0)) // TASK_ROWS))
-        reached = before.join(edges.select("src", "dst", "way"), "src").select("seed", F.col("dst").alias("url"), "way")
+        dealt = before.repartition(max(cores, -(-ahead.rows // TASK_ROWS)), "src")
+        reached = dealt.join(edges.select("src", "dst", "way"), "src").select("seed", F.col("dst").alias("url"), "way")
         new = reached.repartition(tasks, "seed", "url").groupBy("seed", "url").agg(F.min("way").alias("way"))
         visited = reduce(DataFrame.unionAll, [f.select("seed", "url") for f in found]).repartition(tasks, "seed", "url")
         frontier = written(new.join(visited, ["seed", "url"], "left_anti").select("seed", "url", F.lit(hop).alias("hop"), "way"), "trail")
