@@ -124,8 +124,9 @@ def briefing(topics: DataFrame, sentences: DataFrame, disputes: DataFrame, numbe
 
     Topics are (corpus, word, id), sentences (corpus, id, site, text), disputes (corpus, a, b), dated (corpus, id,
     site, published). A topic that two sites or more carry is consensus, unless one of its sentences is disputed; a topic of one
-    site is an open question. Numbers are the first sentences with a number and unit, each beginning once; the timeline has
-    the latest dates; the matrix has what each of the most heard sites holds of each topic.
+    site is an open question. Numbers are the first sentences with a number and unit, each beginning once. All these are
+    quotes, and without dates there is nothing else. With dates come the timeline, which has the latest ones, and the
+    matrix, which has what each of the most heard sites holds of each topic.
     """
     told = topics.join(sentences, ["corpus", "id"])
     sites = told.groupBy("corpus", "word").agg(F.count_distinct("site").alias("sites"))
@@ -138,10 +139,10 @@ def briefing(topics: DataFrame, sentences: DataFrame, disputes: DataFrame, numbe
     firsts = sentences.where(text.rlike(number_unit)).withColumn("r", F.row_number().over(once)).where("r = 1")
     few = firsts.withColumn("r", F.row_number().over(Window.partitionBy("corpus").orderBy("id"))).where(F.col("r") <= most)
     out = by_topic.unionByName(note(few, F.lit("number"), F.col("id"), none, text))
-    held = stances(told.select("corpus", F.col("word").alias("topic"), "id", "site", "text"))
-    out = out.unionByName(note(held, F.lit("matrix"), F.lit(None).cast("long"), F.col("topic"), F.col("stance")))
     if dated is None:
         return out
+    held = stances(told.select("corpus", F.col("word").alias("topic"), "id", "site", "text"))
+    out = out.unionByName(note(held, F.lit("matrix"), F.lit(None).cast("long"), F.col("topic"), F.col("stance")))
     late = dated.where("published is not null").withColumn("r", F.row_number().over(Window.partitionBy("corpus").orderBy(F.desc("published"), "id"))).where(F.col("r") <= most)
     return out.unionByName(note(late, F.lit("timeline"), F.col("id"), none, F.date_format("published", "yyyy-MM-dd")))
 
@@ -158,11 +159,15 @@ def research_notes(notes: DataFrame, template: str = "points") -> DataFrame:
 
     All templates show the same quotes and only place them differently: points by section, timeline by date
     with undated ones last, compare as a table of claims by who says so and who differs, qa under a question a
-    topic. A corpus is what one query found, so a body is bounded by its hits.
+    topic. Dates and matrix cells of a briefing are no quotes; they are sections of points only. A corpus is what
+    one query found, so a body is bounded by its hits.
     """
     if template not in TEMPLATES:
         raise ValueError(f"no template {template}")
-    quote = F.concat(F.lit("- "), "text", F.lit(" ["), F.coalesce("site", F.lit("source")), F.lit("]("), F.coalesce("url", F.lit("")), F.lit(")"))
+    if template != "points":
+        notes = notes.where(~F.coalesce("section", F.lit("")).isin("matrix", "timeline"))
+    text = F.when(F.col("section") == "matrix", F.concat("topic", F.lit(": "), "text")).otherwise(F.col("text"))
+    quote = F.concat(F.lit("- "), text, F.lit(" ["), F.coalesce("site", F.lit("source")), F.lit("]("), F.coalesce("url", F.lit("")), F.lit(")"))
     if template == "points":
         rows = notes.groupBy("corpus", "section").agg(_listed([F.col("id"), quote.alias("line")]).alias("line"))
         rows = rows.select("corpus", F.col("section").alias("id"), F.concat(F.lit("## "), "section", F.lit("\n\n"), "line", F.lit("\n")).alias("line"))

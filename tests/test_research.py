@@ -55,6 +55,23 @@ def test_review_and_metrics(spark):
     assert cells[5].filled == 0 and cells[1].f1 is None
 
 
+def test_dates_and_matrix_cells_are_no_quotes(spark):
+    topics = spark.createDataFrame([(1, "solar", 1), (1, "solar", 2), (1, "wind", 3), (1, "coal", 4), (1, "coal", 5)], "corpus long, word string, id long")
+    sents = spark.createDataFrame([(1, 1, "a", "solar is good"), (1, 2, "b", "solar is cheap"), (1, 3, "a", "wind blows"), (1, 4, "a", "coal is clean"), (1, 5, "b", "coal is not clean")], "corpus long, id long, site string, text string")
+    disputes = spark.createDataFrame([(1, 5, 4)], "corpus long, a long, b long")
+    dated = sents.select("corpus", "id", "site", F.when(F.col("id") < 3, F.lit("2024-01-02").cast("timestamp")).alias("published"))
+    url = F.concat(F.lit("/"), F.col("id").cast("string"))
+    bodies = {}
+    for name, notes in (("quotes", research.briefing(topics, sents, disputes, r"\d+ ?%")), ("whole", research.briefing(topics, sents, disputes, r"\d+ ?%", dated))):
+        full = notes.withColumn("url", url).withColumn("published", F.when(F.col("id") < 3, F.lit("2024-01-02").cast("timestamp")))
+        bodies[name] = {t: research.research_notes(full, t).first().body for t in research.TEMPLATES}
+    assert all(bodies["whole"][t] == bodies["quotes"][t] for t in ("timeline", "compare", "qa"))
+    assert "| wind | a | - |" in bodies["whole"]["compare"] and "| coal | - | a, b |" in bodies["whole"]["compare"]
+    points = bodies["whole"]["points"]
+    assert "- wind: silent [b]()" in points and "- coal: mixed [b]()" in points and "- 2024-01-02 [a](/1)" in points
+    assert "silent" not in bodies["quotes"]["points"]
+
+
 def test_briefing_and_its_exports(spark):
     topics = spark.createDataFrame([(1, "solar", 1), (1, "solar", 2), (1, "wind", 3), (1, "coal", 4), (1, "coal", 5)], "corpus long, word string, id long")
     sents = spark.createDataFrame([(1, 1, "a", "solar is good"), (1, 2, "b", "solar is cheap, 5 %"), (1, 3, "a", "wind blows"), (1, 4, "a", "coal is clean"), (1, 5, "b", "coal is not clean")], "corpus long, id long, site string, text string")
