@@ -253,6 +253,21 @@ def test_training_sample_is_bounded(spark, monkeypatch):
     assert seen[0][0] < seen[1][0] and seen[1] == seen[2]
 
 
+def test_what_the_training_task_holds_is_bounded(spark, monkeypatch):
+    """Training runs in a task, which takes what the driver lists; the list is bounded and the same when rows are repeated."""
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
+    listed, trained = [], []
+    take, task = toxicity._taken, toxicity._trained
+    monkeypatch.setattr(toxicity, "_taken", lambda *a: listed.append(take(*a)) or listed[-1])
+    monkeypatch.setattr(toxicity, "_trained", lambda taken, prior: trained.append(taken) or task(taken, prior))
+    for some, most in ((docs, 50_000), (docs.unionByName(docs.limit(300)), 50_000), (docs, 400_000)):
+        toxicity.fit(some, labels, max_entries=most)
+    held = [sum(n for _, _, n in taken) for taken in listed]
+    assert trained == listed and all(0 < n <= most for n, most in zip(held, (50_000, 50_000, 400_000), strict=True))
+    assert listed[0] == listed[1] and len(listed[0]) < len(listed[2])
+
+
 def test_models_with_clashing_columns_and_empty_tables(spark):
     rows = [(i, f"some words of text {i} here", "en" if i % 2 else "de", "s", 0.5, "x", 1) for i in range(40)] + [(None, "no id", "en", "s", 0.5, "x", 1), (50, None, None, None, None, None, None), (51, "", "en", "s", 0.5, "x", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double, spoken string, toxic int")
