@@ -242,3 +242,27 @@ def test_mentions_are_dealt_by_the_size_of_the_table(spark, sf_dir, monkeypatch)
     edges = graph.cooccurrence(mentions, tasks=n)
     assert n > 10 and mentions.rdd.getNumPartitions() == edges.rdd.getNumPartitions() == n
     assert sorted(map(tuple, edges.collect())) == few
+
+
+def test_an_item_counts_with_all_its_entities(spark, monkeypatch):
+    """Every pair of every item, also of one that is cut into blocks, with duplicates and without what has no id; capped only where that is asked for."""
+    from itertools import combinations
+
+    rows = [(1, e) for e in range(40)] + [(2, e) for e in range(5, 45, 2)] + [(3, 7), (3, 7), (3, 9), (4, 1), (None, 1), (None, 2), (5, None), (5, 3)]
+    mentions = spark.createDataFrame(rows, "item long, entity long")
+    held = {}
+    for i, e in rows:
+        if i is not None and e is not None:
+            held.setdefault(i, set()).add(e)
+
+    def wanted(most):
+        out = {}
+        for es in held.values():
+            for p in combinations(sorted(es)[:most], 2):
+                out[p] = out.get(p, 0) + 1
+        return out
+
+    for block, tasks in ((512, None), (8, None), (8, 6), (1, 3)):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        for most in (None, 12):
+            assert {(r.lo, r.hi): r.weight for r in graph.cooccurrence(mentions, most, tasks).collect()} == wanted(most)
