@@ -37,6 +37,37 @@ def test_a_frequent_terms_postings_are_dealt(spark, monkeypatch):
     assert both.groupBy("query_id").count().orderBy("query_id").collect() == [(1, 60), (2, 30)]
 
 
+def test_a_search_done_once_writes_no_postings(spark):
+    """The same hits, counts and frequencies as over postings and the table of terms by item, which are read if they are there."""
+    index = _index(spark)
+    asked = spark.createDataFrame([(1, "the"), (2, "the"), (2, "red"), (3, "none")], "query_id long, term string")
+    hits = sorted(map(tuple, retrieval.bm25(index, asked, once=True).collect()))
+    few = spark.createDataFrame([(1,), (3,), (3,)], "id long")
+    counts, df = sorted(map(tuple, index.item_terms(few).collect())), sorted(map(tuple, index.item_frequencies().collect()))
+    assert not {"postings", "_item_terms"} & index.__dict__.keys()
+    assert hits == sorted(map(tuple, retrieval.bm25(index, asked).collect())) and len(hits) == 90
+    assert counts == sorted(tuple(r) for r in index.item_terms().collect() if r.id in (1, 3)) and len(counts) == 6
+    assert {"postings", "_item_terms"} <= index.__dict__.keys() and df == sorted(map(tuple, index.item_frequencies().collect())) == [("blue", 20), ("red", 20), ("the", 20)]
+    assert hits == sorted(map(tuple, retrieval.bm25(index, asked, once=True).collect()))
+
+
+def test_frequencies_count_items(spark):
+    """Over chunks in any order and several batches, with an item without terms and one without id."""
+    rows = [(1, 1, "red tea"), (2, 2, "tea"), (3, 1, "tea red sun"), (4, 3, "..."), (5, None, "sun"), (6, None, "sun tea"), (7, 2, "中文字")]
+    index = search_index.build(spark.createDataFrame(rows, "chunk_id long, item_id long, text string"))
+    assert {tuple(r) for r in index.item_frequencies().collect()} == {("red", 1), ("tea", 3), ("sun", 2), ("中文", 1), ("文字", 1)}
+
+
+def test_clusters_write_no_postings(spark, sf_dir):
+    from corvane.plans import catalogue, views
+
+    index = views.index(spark, sf_dir)
+    kept = {k: index.__dict__.pop(k) for k in ("postings", "_item_terms") if k in index.__dict__}
+    found = catalogue.QUERIES["tfidf_cluster"](spark, sf_dir).count()
+    assert found and not {"postings", "_item_terms"} & index.__dict__.keys()
+    index.__dict__.update(kept)
+
+
 def test_plain_text_has_the_same_tokens(spark):
     texts = spark.createDataFrame([("It's A-1_b2  C",), ("İt's A-1_b2 é C",), ("",), (None,), ("中文字 Ab",)], "text string")
     assert [r[0] for r in texts.select(tokens(F.col("text"))).collect()] == [["it", "s", "a", "1", "b2", "c"], ["i", "t", "s", "a", "1", "b2", "e", "c"], [], [], ["中文", "文字", "ab"]]
