@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
@@ -97,3 +98,45 @@ def test_a_hops_tasks_follow_what_it_reaches(spark, monkeypatch):
     found = trail.trail(trail.both_ways(links), links.select(F.col("src").alias("seed"), F.col("src").alias("url")), 2)
     assert found.count() == 40 * 41 and found.where("hop = 2").count() == 40 * 39
     assert max(tasks) >= 40 * 40 // 100
+
+
+def test_a_trail_keeps_sets_and_not_rows(spark, monkeypatch):
+    """What a round writes grows with the addresses, also past a hub, and no shuffle files stay behind it."""
+    rounds = []
+    kept = trail.written
+    monkeypatch.setattr(trail, "written", lambda df, name: rounds.append((name, spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled"), kept(df, name))) or rounds[-1][2])
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    links = spark.createDataFrame([(f"p{i}", "hub") for i in range(40)], "src string, dst string")
+    found = trail.trail(trail.both_ways(links), links.select(F.col("src").alias("seed"), F.col("src").alias("url")), 2)
+    assert found.count() == 40 * 41
+    assert [df.count() for name, _, df in rounds if name == "trail"] == [1, 40] and {x for _, x, _ in rounds} == {"true"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
+def test_a_trail_in_many_blocks_and_parts(spark, monkeypatch):
+    """As a search by levels finds it, with the first of both ways, seeds of several addresses or without links, and links one way only."""
+    rng = np.random.default_rng(3)
+    edges = sorted({(f"n{a}", f"n{b}") for a, b in rng.integers(0, 120, (150, 2)) if a != b})
+    ways = sorted({(a, b, w) for a, b in edges for w in (("out",), ("back",), ("back", "out"))[rng.integers(0, 3)]})
+    seeds = [(f"s{i}", f"n{a}") for i, a in enumerate(rng.integers(0, 130, 60))] + [("s1", "n5"), ("s1", "n6"), ("none", "elsewhere")]
+    wanted = {}
+    for seed in {s for s, _ in seeds}:
+        level = {u for s, u in seeds if s == seed}
+        wanted |= {(seed, u): (0, "seed") for u in level}
+        for hop in (1, 2, 3, 4):
+            new = {}
+            for a, b, w in ways:
+                if a in level and (seed, b) not in wanted:
+                    new[b] = min(w, new.get(b, w))
+            wanted |= {(seed, u): (hop, w) for u, w in new.items()}
+            level = set(new)
+    for name, n in (("SEEDS", 25), ("PART_LINKS", 30), ("LISTED", 5)):
+        monkeypatch.setattr(trail, name, n)
+    found = trail.trail(spark.createDataFrame(ways, "src string, dst string, way string"), spark.createDataFrame(seeds, "seed string, url string"), 4).collect()
+    assert {(r.seed, r.url): (r.hop, r.way) for r in found} == wanted and len(found) == len(wanted) and {h for h, _ in wanted.values()} == {0, 1, 2, 3, 4}
+
+
+def test_sets_of_places_are_packed():
+    for places in ([0], [65535], [0, 1, 255, 256, 511, 40000, 65535], list(range(65536))):
+        assert trail._unpack(trail._pack(np.array(places))).tolist() == places
+    assert trail._pack(np.array([258])) == bytes([1, 2])  # as a start is written
